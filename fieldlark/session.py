@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +25,12 @@ def session(app: str = "fieldlark", master: str | None = None, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k.replace("__", "."), v)
     return b.getOrCreate()
+
+
+def on_workers(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver found it, if they have no copy of their own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH"), root) if p)
+    return spark
