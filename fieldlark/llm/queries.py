@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from . import common, exact_dedup, simhash
+import public_tokenizers
+
+from . import common, exact_dedup, id_files, packing, simhash
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op4_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_token_id_files(spark, sf_dir):
+    return id_files.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(common.table(spark, sf_dir, "documents"))
 
 
 OPS = [
     op1_exact_dedup,
+    op4_best_fit_packing,
+    op6_token_id_files,
     op10_simhash_near_dedup,
 ]
 
