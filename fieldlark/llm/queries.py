@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import common, exact_dedup, id_files, packing, simhash
+from . import common, exact_dedup, id_files, packing, pieces, simhash
 
 
 def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark, sf_dir):
+    return pieces.encode_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -25,6 +29,7 @@ def op10_simhash_near_dedup(spark, sf_dir):
 
 OPS = [
     op1_exact_dedup,
+    op3_sentencepiece,
     op4_best_fit_packing,
     op6_token_id_files,
     op10_simhash_near_dedup,
