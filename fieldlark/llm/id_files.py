@@ -1,7 +1,7 @@
 """Token ids as files: canonical length-limited Huffman codes in independent blocks.
 
-Ids are encoded once and kept; their global counts (one row per id of the
-vocabulary) give the code lengths by package-merge. Documents go to files by
+Ids are encoded once and kept, each task's counts beside them; the global counts
+(one row per id of the vocabulary) give the code lengths by package-merge. Documents go to files by
 ranges of their id, in ascending order, and within a file to blocks of about
 ``block`` tokens. A block holds its bits, the documents' id counts and, for
 every run of ``SEGMENT`` ids of a document, the bit offset where it begins: any
@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from . import common
 from .word_ids import word_ids
 
-IDS = "doc_id long, ids binary"
+IDS = "doc_id long, ids binary, sums binary"
 CODED = "to int, doc_id long, n long, bits binary, checkpoints binary"
 BLOCKS = "part int, begin long, tokens long, doc_ids array<long>, counts array<long>, bits binary, checkpoints binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Ids between checkpoints; longest code in bits; ids of a block.
-SEGMENT, LONGEST, BLOCK = 512, 20, 1 << 18
+SEGMENT, LONGEST, BLOCK = 256, 18, 1 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -148,22 +148,28 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     def tokens(batches):
         schema = common.batches_of(IDS)
         coder, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        total = np.zeros(max(coder.size, end_id + 1), np.int64)
         for b in batches:
-            out = [np.frombuffer(raw + end, "<u4").astype(width).tobytes() for raw in coder.encode(b.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], schema=schema)
+            texts = b.column(1).to_pylist()
+            for i in range(0, len(texts), 256):
+                out = [np.frombuffer(raw + end, "<u4") for raw in coder.encode(texts[i : i + 256])]
+                total += np.bincount(np.concatenate(out), minlength=len(total))
+                out = [x.astype(width).tobytes() for x in out]
+                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
-    rows = common.stored(common.text_rows(docs, id_col, text_col).mapInArrow(tokens, IDS), "ids", "zstd")
+    kept = common.stored(common.text_rows(docs, id_col, text_col).mapInArrow(tokens, IDS), "ids", "zstd")
+    rows = kept.where("sums is null").select("doc_id", "ids")
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            got = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), width), minlength=len(total))
-            got[: len(total)] += total
-            total = got
+            for raw in b.column(0).to_pylist():
+                total = np.frombuffer(raw, "<i8") + (total if len(total) else 0)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], schema=common.batches_of("id long, n long"))
 
-    sums = rows.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
+    sums = kept.where("sums is not null").select("sums").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary
     counts = np.zeros(max([r["id"] for r in sums], default=0) + 1, np.int64)
     for r in sums:
         counts[r["id"]] = r["n"]
@@ -176,13 +182,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         for b in batches:
             docs_, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
             to = np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
-            for i in range(0, len(raws), 512):
-                part = raws[i : i + 512]
+            for i in range(0, len(raws), 64):
+                part = raws[i : i + 64]
                 n = np.array([len(r) for r in part], np.int64) // np.dtype(width).itemsize
                 bits, size, at = encode_bits(np.frombuffer(b"".join(part), width), np.cumsum(n), lengths, codes)
                 byte, first = np.concatenate([[0], np.cumsum(size)]).tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
                 marks = [(at[first[k] : first[k + 1] : SEGMENT] - 8 * byte[k]).astype("<u4").tobytes() for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 512]), pa.array(docs_[i : i + 512], pa.int64()), pa.array(n), pa.array([bits[byte[k] : byte[k + 1]] for k in range(len(part))], pa.binary()), pa.array(marks, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 64]), pa.array(docs_[i : i + 64], pa.int64()), pa.array(n), pa.array([bits[byte[k] : byte[k + 1]] for k in range(len(part))], pa.binary()), pa.array(marks, pa.binary())], schema=schema)
 
     def blocks(batches):
         schema = common.batches_of(BLOCKS)
@@ -208,7 +214,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
             yield close()
 
     total = int(counts.sum())
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)), -(-total // (64 * BLOCK)))
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)), -(-total // (16 * BLOCK)))
     bounds = np.unique(np.array(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], np.int64))
     dealt = rows.mapInArrow(code, CODED).repartitionById(parts, F.col("to")).sortWithinPartitions("doc_id")
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")

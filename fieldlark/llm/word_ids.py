@@ -17,7 +17,7 @@ import unicodedata
 import numpy as np
 
 #: Words kept in a worker's memo; it changes no result.
-MEMO = 600_000
+MEMO = 1_000_000
 
 _latin = [chr(i) for i in range(256)]
 _cls = lambda keep: "".join(re.escape(c) for c in _latin if keep(c))
@@ -26,9 +26,10 @@ _N = _cls(lambda c: unicodedata.category(c)[0] == "N")
 _S = _cls(lambda c: c in "\t\n\x0b\x0c\r \x85\xa0")
 #: The contractions that both vocabularies' patterns begin with.
 _SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+# Letters come first, as nothing else begins with one.
 PATTERNS = {
-    "byte": re.compile(f"{_SHORT}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
-    "word": re.compile(f"{_SHORT}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "byte": re.compile(f" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+    "word": re.compile(f"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+"),
 }
 
 
