@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import chat, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, urls
+from . import chat, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -23,10 +23,18 @@ def op4_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.judge(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
 def op6_token_id_files(spark, sf_dir):
     return id_files.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_exact_top_k(spark, sf_dir):
+    return topk.top_k(common.table(spark, sf_dir, "embeddings"))
+
+
 def op8_secret_scans(spark, sf_dir):
     return secret_scan.summary(secret_scan.scan(common.table(spark, sf_dir, "documents")))
 
@@ -50,7 +58,9 @@ OPS = [
     op2_url_filters,
     op3_sentencepiece,
     op4_best_fit_packing,
+    op5_toxicity,
     op6_token_id_files,
+    op7_exact_top_k,
     op8_secret_scans,
     op9_chat_formatting,
     op10_simhash_near_dedup,
@@ -62,6 +72,12 @@ ORACLES = {
              g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
         FROM t JOIN g USING (text_sha256)""",
+    "op7_exact_top_k": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+             s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
 }
 
 
