@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
+
 from . import chat, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls
 
 
@@ -82,7 +84,7 @@ ORACLES = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in OPS}
+    return {f.__name__: f for f in OPS} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:

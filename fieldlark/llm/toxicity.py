@@ -9,7 +9,9 @@ by a G-test, and scoring covers all rows and whole texts.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from . import common
 #: Labelled rows of either class of the first category that the models are fitted on, at most.
 SAMPLE = 6_000
 BUCKETS, FOLDS, SIGNIFICANT = 1 << 20, 3, 30.0
-#: Word beginnings that count as features of their own, beside the whole word.
-PREFIXES = (4, 5)
+#: Word beginnings that count as features of their own, beside the whole word; how often a text has to have one, in
+#: all and as a share of its words, for each feature made of it.
+PREFIXES, TIERS = (4, 5), ((1, 0), (2, 0), (2, 0.003), (2, 0.008), (3, 0), (3, 0.02))
+WIDTH = BUCKETS * len(TIERS)  # a feature for each tier
 FEATURES = "doc_id long, features binary"
 _TRIM = "\"'.,;:!?()[]{}<>*#$%&|-_/\\"
 
@@ -35,8 +39,13 @@ def word_features(word: str) -> tuple[int, ...]:
     return tuple({zlib.crc32(f"w{w}".encode()) % BUCKETS, *(zlib.crc32(f"{n}{w[:n]}".encode()) % BUCKETS for n in PREFIXES if len(w) >= n)})
 
 
+def tiers(counts: dict[int, int], words: int) -> list[int]:
+    least = [max(n, math.ceil(share * words)) for n, share in TIERS]
+    return [k * BUCKETS + f for f, n in counts.items() for k, m in enumerate(least) if n >= m]
+
+
 class Featuriser:
-    """Distinct features of a text; words met before are looked up."""
+    """Features of a text; words met before are looked up."""
 
     def __init__(self, limit: int = 300_000):
         self.memo: dict[str, tuple[int, ...]] = {}
@@ -45,13 +54,15 @@ class Featuriser:
     def __call__(self, text: str) -> np.ndarray:
         if len(self.memo) > self.limit:
             self.memo.clear()
-        out: set[int] = set()
-        for w in set(text.lower().split()):
+        out: dict[int, int] = {}
+        words = text.lower().split()
+        for w, n in Counter(words).items():
             f = self.memo.get(w)
             if f is None:
                 f = self.memo[w] = word_features(w)
-            out.update(f)
-        return np.fromiter(out, np.uint32, len(out))
+            for x in f:
+                out[x] = out.get(x, 0) + n
+        return np.array(tiers(out, len(words)), np.uint32)
 
 
 def featurised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +116,7 @@ class Chain:
         for c in range(k):
             y = labels[:, c].astype(float)
             own = self._select(rows, cols, y)
-            place = np.full(BUCKETS, -1, np.int64)
+            place = np.full(WIDTH, -1, np.int64)
             place[own] = np.arange(len(own))
             kept = place[cols] >= 0
             r, f, d = rows[kept], place[cols[kept]], len(own)
@@ -131,9 +142,9 @@ class Chain:
         n, p = len(y), y.mean() if len(y) else 0
         if not 0 < p < 1:
             return np.zeros(0, np.int64)
-        have = np.bincount(cols, minlength=BUCKETS).astype(float)
-        both = np.bincount(cols, y[rows], BUCKETS)
-        g = np.zeros(BUCKETS)
+        have = np.bincount(cols, minlength=WIDTH).astype(float)
+        both = np.bincount(cols, y[rows], WIDTH)
+        g = np.zeros(WIDTH)
         for o, e in ((both, have * p), (have - both, have * (1 - p)), (y.sum() - both, (n - have) * p), (n - y.sum() - have + both, (n - have) * (1 - p))):
             with np.errstate(divide="ignore", invalid="ignore"):
                 g += np.where((o > 0) & (e > 0), 2 * o * np.log(o / e), 0)
@@ -152,6 +163,7 @@ class Scorer:
 
     def __init__(self, chain: Chain, limit: int = 500_000):
         self.weights = chain.weights()
+        self.known = {f % BUCKETS for f in self.weights}
         self.tops = [(m.v.tolist(), m.b) for m in chain.models]
         self.memo: dict[str, tuple[int, ...]] = {}
         self.limit = limit
@@ -159,18 +171,21 @@ class Scorer:
     def __call__(self, text: str) -> list[float]:
         if len(self.memo) > self.limit:
             self.memo.clear()
-        memo, weights = self.memo, self.weights
-        found: set[int] = set()
-        for w in set(text.lower().split()):
+        memo, known = self.memo, self.known
+        counts: dict[int, int] = {}
+        words = text.lower().split()
+        for w, n in Counter(words).items():
             f = memo.get(w)
             if f is None:
-                f = memo[w] = tuple(x for x in word_features(w) if x in weights)
-            if f:
-                found.update(f)
+                f = memo[w] = tuple(x for x in word_features(w) if x in known)
+            for x in f:
+                counts[x] = counts.get(x, 0) + n
+        none = (0.0,) * len(self.tops)
+        found = [self.weights.get(f, none) for f in sorted(tiers(counts, len(words)))]
         out: list[float] = []
         for c, (v, b) in enumerate(self.tops):
-            z = b + sum(weights[f][c] for f in sorted(found)) + sum(x * y for x, y in zip(v, out))
-            out.append(float(_sigmoid(z)))
+            z = b + sum(w[c] for w in found) + sum(x * y for x, y in zip(v, out))
+            out.append(1 / (1 + math.exp(-max(-40.0, min(40.0, z)))))
         return out
 
 
