@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled rows of either class of the first category that the models are fitted on, at most.
-SAMPLE = 6_000
-BUCKETS, FOLDS, SIGNIFICANT = 1 << 20, 3, 30.0
+SAMPLE = 4_000
+BUCKETS, FOLDS, SIGNIFICANT = 1 << 19, 3, 20.0
 #: Word beginnings that count as features of their own, beside the whole word; how often a text has to have one, in
 #: all and as a share of its words, for each feature made of it.
 PREFIXES, TIERS = (4, 5), ((1, 0), (2, 0), (2, 0.003), (2, 0.008), (3, 0), (3, 0.02))
@@ -108,7 +108,7 @@ class Chain:
     def __init__(self, features: list[np.ndarray], labels: np.ndarray):
         n, k = labels.shape
         sizes = np.array([len(f) for f in features])
-        rows, cols = np.repeat(np.arange(n), sizes), np.concatenate([*features, np.zeros(0, np.uint32)]).astype(np.int64)
+        rows, cols = np.repeat(np.arange(n, dtype=np.int32), sizes), np.concatenate([*features, np.zeros(0, np.uint32)]).astype(np.int32)
         fold = np.arange(n) % FOLDS
         before = np.zeros((n, 0))
         self.models: list[Linear] = []
@@ -116,7 +116,7 @@ class Chain:
         for c in range(k):
             y = labels[:, c].astype(float)
             own = self._select(rows, cols, y)
-            place = np.full(WIDTH, -1, np.int64)
+            place = np.full(WIDTH, -1, np.int32)
             place[own] = np.arange(len(own))
             kept = place[cols] >= 0
             r, f, d = rows[kept], place[cols[kept]], len(own)
@@ -142,13 +142,15 @@ class Chain:
         n, p = len(y), y.mean() if len(y) else 0
         if not 0 < p < 1:
             return np.zeros(0, np.int64)
-        have = np.bincount(cols, minlength=WIDTH).astype(float)
-        both = np.bincount(cols, y[rows], WIDTH)
-        g = np.zeros(WIDTH)
+        have = np.bincount(cols, minlength=WIDTH)
+        both = np.bincount(cols[y[rows] > 0], minlength=WIDTH)
+        seen = np.flatnonzero(have >= SIGNIFICANT / 10)  # rarer ones cannot be significant
+        have, both = have[seen].astype(float), both[seen].astype(float)
+        g = np.zeros(len(seen))
         for o, e in ((both, have * p), (have - both, have * (1 - p)), (y.sum() - both, (n - have) * p), (n - y.sum() - have + both, (n - have) * (1 - p))):
-            with np.errstate(divide="ignore", invalid="ignore"):
-                g += np.where((o > 0) & (e > 0), 2 * o * np.log(o / e), 0)
-        return np.flatnonzero(g >= SIGNIFICANT)
+            some = (o > 0) & (e > 0)
+            g[some] += 2 * o[some] * np.log(o[some] / e[some])
+        return seen[g >= SIGNIFICANT]
 
     def weights(self) -> dict[int, tuple[float, ...]]:
         out: dict[int, list[float]] = {}
