@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "cell_feature_table"
+from . import scalar
+
+FLAGSHIP = "cell_keys"
 
 
 def queries() -> dict:
-    return {}
+    return dict(scalar.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(scalar.SQL)
