@@ -7,13 +7,13 @@ sample of labelled rows; which words may matter at all is decided on that sample
 by a G-test, and scoring covers all rows and whole texts.
 """
 
-from __future__ import annotations
-
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +47,7 @@ def tiers(counts: dict[int, int], words: int) -> list[int]:
 class Featuriser:
     """Features of a text; words met before are looked up."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.memo: dict[str, tuple[int, ...]] = {}
         self.limit = limit
 
@@ -163,7 +163,7 @@ class Chain:
 class Scorer:
     """Probabilities of all categories for a text, through the chain."""
 
-    def __init__(self, chain: Chain, limit: int = 500_000):
+    def __init__(self, chain: Chain, limit: int = 150_000):
         self.weights = chain.weights()
         self.known = {f % BUCKETS for f in self.weights}
         self.tops = [(m.v.tolist(), m.b) for m in chain.models]
@@ -257,20 +257,9 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
         return docs
 
     @F.pandas_udf("double")
-    def p_toxic(texts):
-        of = _scorer(chain)
-        return texts.map(lambda t: of(t)[0])
+    def p_toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Scorer(chain)  # with its memo, it ends with the task
+        for texts in batches:
+            yield pd.Series([of(t)[0] for t in texts], dtype="float64")
 
     return docs.where(p_toxic(F.coalesce(F.col(text_col), F.lit(""))) <= threshold)
-
-
-_scorers: dict[int, Scorer] = {}
-
-
-def _scorer(chain: Chain) -> Scorer:
-    """One per chain that a worker holds."""
-    key = id(chain)
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(chain)
-    return _scorers[key]
