@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from . import scalar
+from . import scalar, tables
 
-FLAGSHIP = "cell_keys"
+FLAGSHIP = "advisory_end_to_end"
 
 
 def queries() -> dict:
-    return dict(scalar.QUERIES)
+    return scalar.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(scalar.SQL)
+    return scalar.SQL | tables.SQL

@@ -34,3 +34,15 @@ def on_workers(spark: SparkSession) -> SparkSession:
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH"), root) if p)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder all executors share (``spark.checkpoint.dir``; a temporary one only where none is set)."""
+    import tempfile
+    import uuid
+
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    if not d:
+        d = f"file://{tempfile.mkdtemp(prefix='fieldlark-')}"
+        spark.conf.set("spark.checkpoint.dir", d)
+    return f"{d.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
