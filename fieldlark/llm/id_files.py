@@ -147,7 +147,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
 
     def tokens(batches):
         schema = common.batches_of(IDS)
-        coder, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        coder, end = word_ids(tokenizer, 1_200_000), end_id.to_bytes(4, "little")
         total = np.zeros(max(coder.size, end_id + 1), np.int64)
         for b in batches:
             texts = b.column(1).to_pylist()

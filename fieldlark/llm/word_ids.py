@@ -16,8 +16,8 @@ import unicodedata
 
 import numpy as np
 
-#: Words kept in a worker's memo; it changes no result.
-MEMO = 1_000_000
+#: Words kept in a worker's memo (of some 200 bytes each); it changes no result.
+MEMO = 400_000
 
 _latin = [chr(i) for i in range(256)]
 _cls = lambda keep: "".join(re.escape(c) for c in _latin if keep(c))
@@ -43,8 +43,9 @@ def _byte_letters() -> dict[int, int]:
 class _Memo(dict):
     """Words met of late; a word that is in neither generation goes to the library's model."""
 
-    def __init__(self, library):
+    def __init__(self, library, size: int):
         super().__init__()
+        self.half = size // 2
         self.old: dict[str, bytes] = {}
         self.tokenize = library.model.tokenize
         self.letters = _byte_letters()
@@ -59,7 +60,7 @@ class _Memo(dict):
         return ids
 
     def age(self) -> None:
-        if len(self) > MEMO // 2:
+        if len(self) > self.half:
             self.old = dict(self)
             self.clear()
 
@@ -67,7 +68,7 @@ class _Memo(dict):
 class WordIds:
     """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -79,7 +80,7 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.memo = _Memo(self.library)
+        self.memo = _Memo(self.library, memo)
 
     def _plain(self, text: str) -> bool:
         if "<|" in text and any(s in text for s in self.specials):
@@ -103,11 +104,11 @@ class WordIds:
 _by_path: dict[str, WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, memo: int = MEMO) -> WordIds:
     """One per worker process and vocabulary."""
     if path not in _by_path:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _by_path[path] = WordIds(path)
+        _by_path[path] = WordIds(path, memo)
     return _by_path[path]
