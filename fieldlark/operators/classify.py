@@ -72,7 +72,7 @@ def fit(df: DataFrame, features: list[str], label: str, model: str = "rf", trees
     else:
         head = RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=trees, maxDepth=min(depth, 30), seed=seed, **extra)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
-    return Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep"), head, names]).fit(df)
+    return Pipeline(stages=[index, VectorAssembler(inputCols=features, outputCol="__x", handleInvalid="keep" if len(features) > 1 else "error"), head, names]).fit(df)
 
 
 def importances(model, features: list[str], spark, top: int = 15) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import advisory, crop, geo, soil, stress
-from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, smoothing, stats
+from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, serving, smoothing, stats
 from ..session import scratch
 from ..sources import tables
 from ..streaming import windows
@@ -649,3 +649,83 @@ def stream_upsert(spark, d):
     q = s.writeStream.foreachBatch(windows.upsert_into(f"{path}/rows", ["user_id", "event_type"], "event_id")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(s.schema).parquet(f"{path}/rows/v={q.lastProgress['batchId']}")
+
+
+_U = lambda *p: "(('0x' || substr(sha256(" + " || '/' || ".join(p) + "), 1, 12))::BIGINT % 10000) / 10000::DOUBLE"
+
+
+@query(f"""WITH k AS (SELECT 'cell' || c_custkey AS cell FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT t, DATE '2025-06-01' + (t * 8)::INT AS date FROM range(8) r(t)), a AS (SELECT *, strftime(date, '%Y-%m-%d') AS s, (('0x' || substr(sha256(cell || '/crop'), 1, 12))::BIGINT % 6)::INT AS crop_class FROM k, d),
+    b AS (SELECT *, round(0.7::DOUBLE + 0.29::DOUBLE * {_U("cell", "'cropconf'")}, 6) AS confidence, round({cl(f"0.25::DOUBLE + 0.5 * sin(pi() * (t + 1) / 9) * (0.6::DOUBLE + 0.4::DOUBLE * {_U('cell', chr(39) + 'stressbias' + chr(39))}) + 0.1::DOUBLE * ({_U('cell', 's')} - 0.5)", "0.0", "1.0")}, 6) AS si FROM a),
+    e AS (SELECT *, round(3 + 4 * (0.5 + 0.5 * si), 5) AS etc, round(6 * {_U("cell", "s", "'rain'")}, 5) AS rain FROM b), f AS (SELECT *, round(etc * (1 - 0.6::DOUBLE * si), 5) AS eta FROM e), g AS (SELECT *, round(greatest((etc - eta) * 8 - rain, 0), 5) AS df FROM f)
+    SELECT cell, date, crop_class, ['fallow', 'rice', 'wheat', 'maize', 'cotton', 'sugarcane'][crop_class + 1] AS crop_label, confidence, si AS stress_index, least(trunc(si * 4), 3)::INT AS stress_level, ['sowing', 'vegetative', 'reproductive', 'maturity'][(least(t // 2, 3) + 1)::INT] AS stage, df AS deficit_mm,
+    CASE WHEN df <= 2 THEN 'adequate' WHEN df <= 10 THEN 'mild_deficit' WHEN df <= 25 THEN 'moderate_deficit' ELSE 'severe_deficit' END AS status, CASE WHEN df > 2 THEN df ELSE 0 END AS irrigation_mm FROM g""")
+def serving_seed(spark, d):
+    return serving.seeded(_cells(spark, d), serving.season_dates(), 6).select("cell", "date", "crop_class", "crop_label", "confidence", "stress_index", "stress_level", "stage", "deficit_mm", "status", "irrigation_mm")
+
+
+def _cells(spark, d):
+    return A.read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("cell"), F.col("c_custkey").cast("string")).alias("cell"))
+
+
+@query("SELECT 'cell6' AS cell, DATE '2025-07-27' AS date")
+def serving_latest(spark, d):
+    return serving.lookup(serving.seeded(_cells(spark, d), serving.season_dates()), "cell6", None, ["cell", "date"])
+
+
+@query("SELECT count(*) AS cells, count(*) * 8 AS records, DATE '2025-07-27' AS latest FROM customer WHERE c_custkey % 3 = 0")
+def serving_counts(spark, d):
+    return serving.counts(serving.seeded(_cells(spark, d), serving.season_dates()))
+
+
+@query("SELECT event_id, 'stress:h3=' || user_id || ':date=' || strftime(ts, '%Y-%m-%d') || ':a=' || event_type || ':z=1' AS key, strftime(ts, '%Y-%m-%d') AS day FROM events")
+def serving_cache_key(spark, d):
+    e = A.read(spark, d, "events")
+    day = serving.iso_day("ts")
+    return e.select("event_id", serving.cache_key("stress", F.col("user_id"), day, z=1, a=F.col("event_type")).alias("key"), day.alias("day"))
+
+
+@query(f"WITH {A.PIXELS}, a AS (SELECT l_orderkey, l_linenumber, {cl('nir * 1.3::DOUBLE', '0.0', '1.0')} * 2 AS x FROM pix), b AS (SELECT *, least(floor(x), 1)::INT AS i FROM a), c AS (SELECT *, x - i AS f FROM b) SELECT l_orderkey, l_linenumber, " + ", ".join(f"trunc([{s[0]}::DOUBLE, {s[1]}, {s[2]}][i + 1] * (1 - f) + [{s[0]}::DOUBLE, {s[1]}, {s[2]}][i + 2] * f)::INT AS {n}" for n, s in zip("rgb", zip(*[(26, 152, 80), (255, 255, 191), (215, 48, 39)]))) + " FROM c")
+def colour_ramp(spark, d):
+    p = A.pixels(spark, d)
+    return p.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in serving.ramp(F.col("nir") * 1.3).items()])
+
+
+@query("SELECT DATE '2025-11-01' + (i * 8)::INT AS date FROM range(5) t(i)")
+def season_axis(spark, d):
+    return spark.createDataFrame([(x,) for x in serving.season_dates("rabi", 5)], "date date")
+
+
+@query("SELECT DATE '2024-01-01' + round_even(45 / 6::DOUBLE * i, 0)::INT AS date FROM range(7) t(i)")
+def even_time_axis(spark, d):
+    return spark.createDataFrame([(x,) for x in tables.time_axis(START, date(2024, 2, 15), 7)], "date date")
+
+
+_BOX = [(74.50, 18.90), (74.80, 18.95), (74.78, 19.20), (74.48, 19.15)]
+
+
+@query("""WITH p AS (SELECT 74.48::DOUBLE + 0.012::DOUBLE AS x0, 74.80::DOUBLE - 0.012::DOUBLE AS x1, 18.90::DOUBLE + 0.012::DOUBLE AS y0, 19.20::DOUBLE - 0.012::DOUBLE AS y1), g AS (SELECT r, c, (x1 - x0) / 12 AS dx, (y1 - y0) / 9 AS dy, x0, y0 FROM range(9) a(r), range(12) b(c), p),
+    m AS (SELECT r::INT AS r, c::INT AS c, ((x0 + c * dx + dx * 0.06::DOUBLE) + (x0 + (c + 1) * dx - dx * 0.06::DOUBLE)) / 2 AS cx, ((y0 + r * dy + dy * 0.06::DOUBLE) + (y0 + (r + 1) * dy - dy * 0.06::DOUBLE)) / 2 AS cy FROM g) SELECT r, c, round(cx, 6) AS cx, round(cy, 6) AS cy FROM m WHERE sqrt((cx - 74.64::DOUBLE) ** 2 + ((cy - 19.05::DOUBLE) * 1.05::DOUBLE) ** 2) <= 0.105::DOUBLE""")
+def field_grid(spark, d):
+    return serving.field_grid(spark, _BOX, (74.64, 19.05), 9, 12).select("r", "c", R("cx"), R("cy"))
+
+
+@query()
+def harmonic_trend(spark, d):
+    """The scene-server twin: a trend column, periods of one unit of time."""
+    s = _series(spark, d).withColumn("t", F.col("t") / 365.25)
+    return smoothing.harmonic_series(s, "cell", "t", "vi", 2, None, True)
+
+
+@query()
+def gbm_classifier(spark, d):
+    return _trained(spark, "gbm", trees=5, depth=3)
+
+
+@query()
+def embedding_forest(spark, d):
+    """A forest over embedding vectors: in-sample accuracy."""
+    from pyspark.ml.functions import array_to_vector
+
+    e = A.read(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    model = classify.fit(e, ["v"], "label", "rf", trees=20, depth=8)
+    return accuracy.overall(accuracy.confusion(model.transform(e).withColumn("label", F.col("label").cast("string")), "label", "predicted"))

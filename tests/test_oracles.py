@@ -13,7 +13,7 @@ from fieldlark.plans import catalogue
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SLOW = {"rf_classifier", "lr_head", "double_logistic_fit", "phenometrics"}
+SLOW = {"rf_classifier", "lr_head", "gbm_classifier", "embedding_forest", "double_logistic_fit", "phenometrics"}
 
 
 @pytest.fixture(scope="module")
