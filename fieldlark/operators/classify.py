@@ -38,9 +38,10 @@ def probabilities(df: DataFrame, centres: DataFrame, key: str = "vec_id", vector
     return held.select(key, "label", (F.col("e") / F.sum("e").over(Window.partitionBy(key))).alias("probability"))
 
 
-def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", blocks: int = 8) -> DataFrame:
+def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 2048) -> DataFrame:
     """(key, predicted): majority of the k nearest training rows by cosine, other rows than the query itself; the
-    smaller label on ties. Training rows come in blocks; each block yields its own k best before they meet."""
+    smaller label on ties. Training rows come in blocks of about ``block``; each yields its own k best before they meet."""
+    blocks = max(1, -(-train.count() // block))
     t = train.select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), unit(F.col(vector)).alias("t_v")).withColumn("block", F.pmod(F.xxhash64("t_id"), F.lit(blocks)))
     packed = t.groupBy("block").agg(F.collect_list(F.struct("t_id", "t_label", "t_v")).alias("rows"))
     q = queries.select(key, unit(F.col(vector)).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))

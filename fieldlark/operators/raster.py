@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 EPS = 1e-6
 
 
+def with_totals(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
+    """Each patch's aggregates beside its pixels: a patch may hold most pixels, so no window gathers it; the table of
+    patches is small beside that of pixels, and adaptive execution broadcasts it where its size allows."""
+    return df.join(df.groupBy(key).agg(*aggregates), key)
+
+
 def shape(df: DataFrame, key: str = "patch") -> DataFrame:
     """Adds height ``__h`` and width ``__w`` of each patch."""
-    w = Window.partitionBy(key)
-    return df.withColumns({"__h": F.max("y").over(w) + 1, "__w": F.max("x").over(w) + 1})
+    return with_totals(df, key, (F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
 
 
 def sent(df: DataFrame, radius: int, edge: str = "clamp") -> DataFrame:
@@ -77,8 +82,7 @@ def refined_lee(df: DataFrame, size: int = 7, looks: float = 1.0, key: str = "pa
     if size < 3 or size % 2 == 0:
         raise ValueError("the window has to be odd and at least 3")
     cu2 = 1.0 / looks
-    whole = Window.partitionBy(key)
-    x = df.withColumn("v", F.coalesce(F.col(value).cast("double"), F.avg(value).over(whole)))
+    x = with_totals(df, key, F.avg(value).alias("__fill")).withColumn("v", F.coalesce(F.col(value).cast("double"), F.col("__fill")))
     n = sent(shape(x, key).withColumn("v2", F.col("v") * F.col("v")), size // 2, "clamp")
     own = F.max(F.when((F.col("ty") == F.col("y")) & (F.col("tx") == F.col("x")), F.col("v")))
     s = n.groupBy(key, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.avg("v").alias("m"), F.avg("v2").alias("m2"), own.alias("v"))
@@ -94,10 +98,10 @@ def quantise(df: DataFrame, levels: int = 16, key: str = "patch", value: str = "
     """Adds ``q``: min-max to 0..levels-1, ties to even; missing and constant patches are 0."""
     if levels < 2:
         raise ValueError("two levels at least")
-    w = Window.partitionBy(key)
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
+    lo, hi = F.col("__lo"), F.col("__hi")
     q = F.rint((F.col(value) - lo) / F.when(hi > lo, hi - lo) * float(levels - 1))
-    return df.withColumn("q", F.coalesce(q, F.lit(0.0)).cast("int"))
+    both = with_totals(df, key, F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    return both.withColumn("q", F.coalesce(q, F.lit(0.0)).cast("int")).drop("__lo", "__hi")
 
 
 def cooccurrence(df: DataFrame, key: str = "patch", q: str = "q", distance: int = 1, symmetric: bool = True) -> DataFrame:
@@ -134,8 +138,8 @@ def haralick(glcm: DataFrame, key: str = "patch") -> DataFrame:
 def starfm(df: DataFrame, fine: str = "f0", coarse0: str = "c0", coarse1: str = "c1", win: int = 25, tolerance: float | None = None, classes: int = 4, key: str = "patch", name: str = "pred") -> DataFrame:
     """(key, y, x, name): fine pixels moved by the coarse change of spectrally similar neighbours, near and steady ones first."""
     win += 1 - win % 2
-    s = shape(df, key)
-    tol = F.lit(float(tolerance)) if tolerance is not None else F.stddev_pop(fine).over(Window.partitionBy(key)) * 2.0 / float(max(classes, 1)) + EPS
+    s = with_totals(shape(df, key), key, F.stddev_pop(fine).alias("__sd"))
+    tol = F.lit(float(tolerance)) if tolerance is not None else F.col("__sd") * 2.0 / float(max(classes, 1)) + EPS
     s = s.withColumn("__tol", tol).withColumn("__own", F.struct(F.col(fine).alias("f"), (F.col(coarse1) - F.col(coarse0)).alias("d")))
     n = sent(s.select(key, "y", "x", "__h", "__w", "__tol", F.col(fine).alias("f"), F.col(coarse0).alias("a"), F.col(coarse1).alias("b"), "__own"), win // 2, "reflect")
     # the centre's own value reaches its neighbours with the rows gathered at it
