@@ -69,3 +69,10 @@ def batches_of(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = (f.split() for f in ddl.split(","))
     return pa.schema([pa.field(n, pa.list_(kinds[k[6:-1]]) if k.startswith("array<") else kinds[k]) for n, k in fields])
+
+
+def sliced(batches, rows: int = 256):
+    """Arrow batches in slices, so that only so many rows' texts are Python objects at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -27,7 +27,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches):
         schema = common.batches_of(DIGESTS)
-        for b in batches:
+        for b in common.sliced(batches):
             out = [hashlib.sha256(t.lower()).digest() for t in b.column(1).to_pylist()]  # bytes.lower() is A-Z only
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], schema=schema)
 

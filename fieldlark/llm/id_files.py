@@ -87,19 +87,25 @@ def decode_table(lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np
     return symbol, size, width
 
 
-def encode_bits(ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
-    """Bits of all documents (each from a byte's first bit), bytes of each, and the bit each id begins at."""
-    size = lengths[ids].astype(np.int64)
-    total = np.concatenate([[0], np.cumsum(size)])
+def aligned(lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Each code at the top of a 64-bit word."""
+    return codes << (np.uint64(64) - np.maximum(lengths, 1).astype(np.uint64))
+
+
+def encode_bits(ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray, top: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Bits of all documents (each from a byte's first bit), bytes of each, and the bit each id begins at; ``top`` is ``aligned``."""
+    total = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(lengths[ids], out=total[1:])
     first = np.concatenate([[0], ends[:-1]])
-    width = (total[ends] - total[first] + 7) // 8
+    start = total[first]
+    width = (total[ends] - start + 7) >> 3
     base = np.concatenate([[0], np.cumsum(width)])
-    at = total[:-1] + np.repeat(base[:-1] * 8 - total[first], ends - first)
-    words = np.zeros(int(base[-1]) // 4 + 3, np.uint64)  # 32-bit big-endian words, with room to carry
-    word, shift = at >> 5, (64 - (at & 31) - size).astype(np.uint64)
-    value = codes[ids] << shift
+    at = total[:-1] + np.repeat(base[:-1] * 8 - start, ends - first)
+    words = np.zeros(int(base[-1]) // 4 + 3, np.uint64)  # 32-bit words, with room to carry
     if len(ids):
-        cut = np.concatenate([[0], np.flatnonzero(np.diff(word)) + 1])
+        word = at >> 5
+        value = top[ids] >> (at & 31).astype(np.uint64)
+        cut = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])
         whole = np.add.reduceat(value, cut)  # the codes' bits are apart, so sums are unions
         words[word[cut]] += whole >> np.uint64(32)
         words[word[cut] + 1] += whole & np.uint64(0xFFFFFFFF)
@@ -149,13 +155,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         schema = common.batches_of(IDS)
         coder, end = word_ids(tokenizer, 1_200_000), end_id.to_bytes(4, "little")
         total = np.zeros(max(coder.size, end_id + 1), np.int64)
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            for i in range(0, len(texts), 256):
-                out = [np.frombuffer(raw + end, "<u4") for raw in coder.encode(texts[i : i + 256])]
-                total += np.bincount(np.concatenate(out), minlength=len(total))
-                out = [x.astype(width).tobytes() for x in out]
-                yield pa.RecordBatch.from_arrays([b.column(0)[i : i + 256], pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], schema=schema)
+        for b in common.sliced(batches):
+            out = [np.frombuffer(raw + end, "<u4") for raw in coder.encode(b.column(1).to_pylist())]
+            total += np.bincount(np.concatenate(out), minlength=len(total))
+            out = [x.astype(width).tobytes() for x in out]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
     kept = common.stored(common.text_rows(docs, id_col, text_col).mapInArrow(tokens, IDS), "ids", "zstd")
@@ -174,21 +178,19 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     for r in sums:
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
-    codes = canonical(lengths)
+    top = aligned(lengths, canonical(lengths))
     spark.createDataFrame([(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)], "id long, bits int").coalesce(1).write.parquet(f"{path}/code")
 
     def code(batches):
         schema = common.batches_of(CODED)
-        for b in batches:
-            docs_, raws = b.column(0).to_pylist(), b.column(1).to_pylist()
+        for b in common.sliced(batches, 64):
+            part = b.column(1).to_pylist()
             to = np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
-            for i in range(0, len(raws), 64):
-                part = raws[i : i + 64]
-                n = np.array([len(r) for r in part], np.int64) // np.dtype(width).itemsize
-                bits, size, at = encode_bits(np.frombuffer(b"".join(part), width), np.cumsum(n), lengths, codes)
-                byte, first = np.concatenate([[0], np.cumsum(size)]).tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
-                marks = [(at[first[k] : first[k + 1] : SEGMENT] - 8 * byte[k]).astype("<u4").tobytes() for k in range(len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(to[i : i + 64]), pa.array(docs_[i : i + 64], pa.int64()), pa.array(n), pa.array([bits[byte[k] : byte[k + 1]] for k in range(len(part))], pa.binary()), pa.array(marks, pa.binary())], schema=schema)
+            n = np.array([len(r) for r in part], np.int64) // np.dtype(width).itemsize
+            bits, size, at = encode_bits(np.frombuffer(b"".join(part), width), np.cumsum(n), lengths, top)
+            byte, first = np.concatenate([[0], np.cumsum(size)]).tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
+            marks = [(at[first[k] : first[k + 1] : SEGMENT] - 8 * byte[k]).astype("<u4").tobytes() for k in range(len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array(to), b.column(0), pa.array(n), pa.array([bits[byte[k] : byte[k + 1]] for k in range(len(part))], pa.binary()), pa.array(marks, pa.binary())], schema=schema)
 
     def blocks(batches):
         schema = common.batches_of(BLOCKS)

@@ -31,7 +31,7 @@ def described(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
         from xxhash import xxh64_intdigest
 
         schema = common.batches_of(ROWS)
-        for b in batches:
+        for b in common.sliced(batches):
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 words = set(text.lower().split())

@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
         schema = common.batches_of(PIECES)
         coder = word_ids(tokenizer)
         end = end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in common.sliced(batches):
             out = []
             for doc, raw in zip(b.column(0).to_pylist(), coder.encode(b.column(1).to_pylist())):
                 raw += end

@@ -301,7 +301,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     def run(batches):
         schema, own = common.batches_of(ddl), coder(model)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for b in batches:
+        for b in common.sliced(batches):
             out = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 n, listed, decoded = own.document(text)

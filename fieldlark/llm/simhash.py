@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         schema = common.batches_of(PRINTS)
-        for b in batches:
+        for b in common.sliced(batches):
             out = [majority(np.array(shingle_hashes(t, width), np.uint64)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.int64())], schema=schema)
 

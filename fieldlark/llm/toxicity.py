@@ -7,13 +7,13 @@ sample of labelled rows; which words may matter at all is decided on that sample
 by a G-test, and scoring covers all rows and whole texts.
 """
 
+from __future__ import annotations
+
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,7 +68,7 @@ class Featuriser:
 def featurised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches):
         schema, f = common.batches_of(FEATURES), Featuriser()
-        for b in batches:
+        for b in common.sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], schema=schema)
 
     return common.text_rows(docs, id_col, text_col).mapInArrow(run, FEATURES)
@@ -231,7 +231,7 @@ def score(docs: DataFrame, chain: Chain | None, targets=None, id_col: str = "doc
     def run(batches):
         schema = common.batches_of(ddl)
         of = Scorer(chain) if chain else lambda t: [0.0] * len(targets)
-        for b in batches:
+        for b in common.sliced(batches):
             got = [of(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[c] for g in got], pa.float64()) for c in range(len(targets)))], schema=schema)
 
@@ -256,10 +256,11 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
     if chain is None:
         return docs
 
-    @F.pandas_udf("double")
-    def p_toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
         of = Scorer(chain)  # with its memo, it ends with the task
-        for texts in batches:
-            yield pd.Series([of(t)[0] for t in texts], dtype="float64")
+        for b in common.sliced(batches):
+            yield b.filter(pa.array([of(t or "")[0] <= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.where(p_toxic(F.coalesce(F.col(text_col), F.lit(""))) <= threshold)
+    return docs.mapInArrow(keep, docs.schema)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
@@ -49,12 +50,16 @@ class _Memo(dict):
         self.old: dict[str, bytes] = {}
         self.tokenize = library.model.tokenize
         self.letters = _byte_letters()
+        self.space = chr(self.letters[0x20])
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            letters = word.encode().decode("latin-1").translate(self.letters)
-            ids = b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(letters)])
+            if word.isascii() and word.isprintable():
+                letters = word.replace(" ", self.space)
+            else:
+                letters = word.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.tokenize(letters)]).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
@@ -66,7 +71,7 @@ class _Memo(dict):
 
 
 class WordIds:
-    """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as bytes."""
+    """``encode(texts)``: little-endian unsigned 32-bit ids of each text, as bytes (executors are little-endian machines)."""
 
     def __init__(self, path: str, memo: int = MEMO):
         from tokenizers import Tokenizer

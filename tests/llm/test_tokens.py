@@ -151,7 +151,7 @@ def test_bits_round_trip():
     used = np.flatnonzero(c)
     n = np.array([0, 5, 1, 0, 513, 256, 255, 257, 20000, 3])
     ids = rng.choice(used, n.sum())
-    bits, size, at = id_files.encode_bits(ids, np.cumsum(n), lengths, codes)
+    bits, size, at = id_files.encode_bits(ids, np.cumsum(n), lengths, id_files.aligned(lengths, codes))
     first = np.concatenate([[0], np.cumsum(n)])
     marks = np.concatenate([at[first[k] : first[k + 1] : id_files.SEGMENT] for k in range(len(n))])
     _, sizes = id_files.segments(n)
