@@ -67,3 +67,25 @@ def eight_day_deficit(df: DataFrame, field: str = "field_id", date: str = "date"
     out = got.select(field, F.aggregate(padded, zero, _step(F.col("taw"), F.col("p"), curve_number), lambda a: a["out"]).alias("s"))
     last = F.element_at("s", days)
     return out.select(field, last["dr"].alias("dnet"), (last["dr"] / efficiency).alias("dgross"), last["ks"].alias("ks_end"))
+
+
+BUCKET = "array<struct<step:int,dr:double,advisory:string,stress_class:string>>"
+
+
+def bucket(df: DataFrame, field: str = "field_id", step: str = "step") -> DataFrame:
+    """The simple bucket per field and step: demand less rain within [0, TAW], the advisory of what that is, and a part
+    of RAW refilled where it says to irrigate now. ``df`` has etc, rain, stage, taw, raw, refill and dr0."""
+    from ..functions.advisory import from_ratio
+
+    days = F.array_sort(F.collect_list(F.struct(F.col(step).cast("int").alias("step"), F.col("etc").alias("etc"), F.col("rain").alias("rain"), F.col("stage").alias("stage"))))
+    got = df.groupBy(field).agg(days.alias("days"), *[F.first(c).cast("double").alias(c) for c in ("taw", "raw", "refill", "dr0")])
+
+    def go(acc, d):
+        dr = _least(_most(acc["dr"] + d["etc"] - d["rain"], F.lit(0.0)), F.col("taw"))
+        told = from_ratio(dr / _most(F.col("raw"), F.lit(1e-6)), d["stage"])
+        after = F.when(told["advisory"].isin("irrigate_now", "critical"), _most(dr - F.col("raw") * F.col("refill"), F.lit(0.0))).otherwise(dr)
+        row = F.struct(d["step"].alias("step"), after.alias("dr"), told["advisory"].alias("advisory"), told["stress_class"].alias("stress_class"))
+        return F.struct(after.alias("dr"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    zero = F.struct(F.col("dr0").alias("dr"), F.expr(f"cast(array() as {BUCKET})").alias("out"))
+    return got.select(field, F.inline(F.aggregate("days", zero, go, lambda a: a["out"])))

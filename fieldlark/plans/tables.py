@@ -729,3 +729,21 @@ def embedding_forest(spark, d):
     e = A.read(spark, d, "embeddings").select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
     model = classify.fit(e, ["v"], "label", "rf", trees=20, depth=8)
     return accuracy.overall(accuracy.confusion(model.transform(e).withColumn("label", F.col("label").cast("string")), "label", "predicted"))
+
+
+_BK = "(r.dr0 + n.etc - n.rain)"
+_EFF = "z.d / greatest(n.raw, 1e-6) * (0.85::DOUBLE + 0.25::DOUBLE * ((CASE n.stage WHEN 'initial' THEN 0.4::DOUBLE WHEN 'development' THEN 0.8::DOUBLE WHEN 'mid' THEN 1.2::DOUBLE ELSE 0.7::DOUBLE END) - 0.4::DOUBLE))"
+
+
+@query(f"""WITH RECURSIVE {A.DAILY}, n AS (SELECT cell AS field_id, row_number() OVER (PARTITION BY cell ORDER BY date)::INT AS step, (n % 5 + 20)::DOUBLE AS etc, (floor(top)::BIGINT % 20)::DOUBLE AS rain, ['initial', 'development', 'mid', 'late'][(cell % 4 + 1)::INT] AS stage, (cell % 5 * 10 + 100)::DOUBLE AS taw, (cell % 5 * 10 + 100)::DOUBLE * 0.5 AS raw, 0.85::DOUBLE - 0.45::DOUBLE * ((cell % 3)::DOUBLE / 2) AS refill FROM day),
+    rec AS (SELECT field_id, 0 AS step, taw * 0.3::DOUBLE AS dr0, NULL::VARCHAR AS advisory FROM n WHERE step = 1
+    UNION ALL SELECT n.field_id, n.step, CASE WHEN y.e >= 1 THEN greatest(z.d - n.raw * n.refill, 0) ELSE z.d END, CASE WHEN y.e < 0.5 THEN 'no_irrigation' WHEN y.e < 0.85::DOUBLE THEN 'watch' WHEN y.e < 1 THEN 'irrigate_soon' WHEN y.e < 1.25 THEN 'irrigate_now' ELSE 'critical' END
+      FROM rec r JOIN n ON n.field_id = r.field_id AND n.step = r.step + 1, LATERAL (SELECT least(greatest({_BK}, 0), n.taw) AS d) z, LATERAL (SELECT {_EFF} AS e) y)
+    SELECT field_id, step, round(dr0, 6) AS dr, advisory FROM rec WHERE step > 0""")
+def bucket_recursion(spark, d):
+    from pyspark.sql import Window
+
+    k = F.col("cell")
+    df = A.daily(spark, d).withColumn("step", F.row_number().over(Window.partitionBy("cell").orderBy("date")))
+    df = df.select(k.alias("field_id"), "step", (F.col("n") % 5 + 20).cast("double").alias("etc"), (F.floor("top") % 20).cast("double").alias("rain"), A.nth(["initial", "development", "mid", "late"], k % 4).alias("stage"), (k % 5 * 10 + 100).cast("double").alias("taw"), ((k % 5 * 10 + 100).cast("double") * 0.5).alias("raw"), (0.85 - 0.45 * ((k % 3).cast("double") / 2.0)).alias("refill"))
+    return balance.bucket(df.withColumn("dr0", F.col("taw") * 0.3)).select("field_id", "step", R("dr"), "advisory")
