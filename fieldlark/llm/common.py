@@ -72,7 +72,23 @@ def batches_of(ddl: str) -> pa.Schema:
 
 
 def sliced(batches, rows: int = 256):
-    """Arrow batches in slices, so that only so many rows' texts are Python objects at once."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+    """Arrow batches in slices, so that only so many rows' texts are Python objects at once; memory goes back at the end."""
+    try:
+        for b in batches:
+            for i in range(0, b.num_rows, rows):
+                yield b.slice(i, rows)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and share a machine with the JVM."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass

@@ -42,6 +42,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id
                 for k, s in enumerate(range(0, n, capacity)):
                     out.append((doc, k, s, min(capacity, n - s), zlib.crc32(raw[4 * s : 4 * (s + capacity)])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
+        coder.memo.forget()  # a task's memo only, so that a worker is small between tasks
+        common.give_back()
 
     return common.text_rows(docs, id_col, text_col).mapInArrow(run, PIECES)
 

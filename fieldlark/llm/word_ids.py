@@ -64,6 +64,10 @@ class _Memo(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
     def age(self) -> None:
         if len(self) > self.half:
             self.old = dict(self)
