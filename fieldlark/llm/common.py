@@ -41,11 +41,21 @@ def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_rows(df: DataFrame, id_col: str, text_col: str, text_type: str = "string") -> DataFrame:
-    """Just (id, text): the id as a long, a null text as the empty one."""
+#: The number of a row in a table that ``numbered`` wrote.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """All rows and columns with a row number, stored so that the number stays the same."""
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def text_rows(df: DataFrame, id_col: str, text_col: str, text_type: str = "string", *more: str) -> DataFrame:
+    """Just (id, text), and columns named in ``more``: the id as a long, a null text as the empty one."""
     return df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.coalesce(df[text_col].cast("string"), F.lit("")).cast(text_type).alias("text"),
+        *more,
     )
 
 

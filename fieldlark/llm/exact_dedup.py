@@ -13,7 +13,7 @@ import hashlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -22,16 +22,17 @@ DIGESTS = "doc_id long, digest binary"
 SUMMARY = "digest binary, n long"
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the text with A-Z lower-cased, in UTF-8."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """(doc_id, digest): SHA-256 of the text with A-Z lower-cased, in UTF-8; with the number of a numbered row if asked."""
+    ddl, more = (f"{DIGESTS}, row long", [common.ROW]) if row else (DIGESTS, [])
 
     def run(batches):
-        schema = common.batches_of(DIGESTS)
+        schema = common.batches_of(ddl)
         for b in common.sliced(batches):
             out = [hashlib.sha256(t.lower()).digest() for t in b.column(1).to_pylist()]  # bytes.lower() is A-Z only
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), *b.columns[2:]], schema=schema)
 
-    return common.text_rows(docs, id_col, text_col, "binary").mapInArrow(run, DIGESTS)
+    return common.text_rows(docs, id_col, text_col, "binary", *more).mapInArrow(run, ddl)
 
 
 def _reduce(counts: Counter, k: int) -> Counter:
@@ -72,6 +73,26 @@ def misra_gries(rows: DataFrame, k: int, fan_in: int = 32) -> DataFrame:
     return out
 
 
+def _settled(rows: DataFrame, order: Column, counters: int) -> DataFrame:
+    """Adds to rows (column digest) the largest ``order`` of those of the digest, ``best``, and their number, ``group_size``."""
+    n = rows.count()
+    named = misra_gries(rows, counters).select("digest")
+    frequent = (
+        rows.join(F.broadcast(named), "digest")
+        .groupBy("digest")
+        .agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .where(F.col("group_size") * counters >= n)
+    )
+    verified = [tuple(r) for r in frequent.collect()]  # at most `counters` rows
+    winners = F.broadcast(rows.sparkSession.createDataFrame(verified, frequent.schema))
+    heavy = rows.join(winners, "digest")
+    w = Window.partitionBy("digest")
+    light = rows.join(winners, "digest", "left_anti").select(
+        *rows.columns, F.max(order).over(w).alias("best"), F.count(F.lit(1)).over(w).alias("group_size")
+    )
+    return heavy.select(*light.columns).unionByName(light)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -82,33 +103,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept: they are one document. Other columns are not read; an empty table gives
     an empty result.
     """
-    spark = docs.sparkSession
     rows = common.stored(digests(docs, id_col, text_col), "digests")
-    n = rows.count()
-    named = misra_gries(rows, counters).select("digest")
-    verified = (
-        rows.join(F.broadcast(named), "digest")
-        .groupBy("digest")
-        .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where(F.col("group_size") * counters >= n)
-        .collect()  # at most `counters` rows
-    )
-    winners = F.broadcast(spark.createDataFrame([tuple(r) for r in verified], "digest binary, keep_id long, group_size long"))
-    heavy = rows.join(winners, "digest")
-    w = Window.partitionBy("digest")
-    light = rows.join(winners, "digest", "left_anti").select(
-        "digest", "doc_id", F.max("doc_id").over(w).alias("keep_id"), F.count(F.lit(1)).over(w).alias("group_size")
-    )
-    return heavy.select(*light.columns).unionByName(light).select(
+    return _settled(rows, F.col("doc_id"), counters).select(
         "doc_id",
-        "keep_id",
+        F.col("best").alias("keep_id"),
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        F.col("doc_id").eqNullSafe(F.col("best")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that exact dedup keeps."""
-    found = exact_dedup(docs, id_col, text_col)
-    return common.without(docs, found.where(~F.col("kept")).select("doc_id").distinct(), id_col)
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
+    """Of each group of equal texts one row of ``docs``, all columns: one with the doc_id that exact dedup keeps.
+
+    It is settled by row, as ids may be null or repeat, with one text or several.
+    """
+    docs = common.numbered(docs)
+    rows = common.stored(digests(docs, id_col, text_col, row=True), "digests")
+    lost = _settled(rows, F.struct("doc_id", "row"), counters).where(F.col("row") != F.col("best.row"))
+    return docs.join(lost.select(F.col("row").alias(common.ROW)), common.ROW, "left_anti").drop(common.ROW)

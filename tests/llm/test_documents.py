@@ -45,6 +45,20 @@ def test_exact_dedup(spark, odd_docs, counters):
     assert kept.columns == odd_docs.columns and kept.where("text = 'Hello World'").count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"counters": 2}])
+def test_exact_dedup_keeps_one_row_of_each_text(spark, odd_docs, options):
+    more = [(20, "two texts"), (20, "TWO texts of an id"), (21, "two Texts"), (None, "nulls only"), (None, "Nulls only"), (22, "again"), (22, "again"), (22, "again")]
+    df = odd_docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    best = {}
+    for r in df.collect():
+        k = lower(r.text or "")
+        best[k] = max(best.get(k, -1), -1 if r.doc_id is None else r.doc_id)
+    kept = exact_dedup.keep_one(df, **options)
+    got = [(lower(r.text or ""), -1 if r.doc_id is None else r.doc_id) for r in kept.collect()]
+    assert kept.columns == df.columns and sorted(got) == sorted(best.items())
+    assert ("alone here", -1) in got and ("two texts of an id", 20) in got
+
+
 def test_exact_dedup_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert rows(queries.op1_exact_dedup(spark, sf_dir)) == dedup_by_hand(docs.collect())
