@@ -1,10 +1,9 @@
-"""Near-dedup of documents at a five-word resemblance of 0.8 by covering SimHash.
+"""Near-dedup of documents at a five-word resemblance of 0.8: linked by proposals, decided on whole shingle sets.
 
-An edit changes five shingles but one word, so fingerprints of word *sets* stay
-close where those of shingles drift apart. Four of them, of independent hashes,
-propose links at four or fewer differing bits, by the same covering masks as
-``simhash``; a bottom-k sketch of the five-word shingles (exact below k
-shingles) then has to confirm each proposed link.
+Four SimHashes of the word *set* propose links at four or fewer differing bits,
+by the same covering masks as ``simhash``.
+
+Every proposed pair is decided on the whole sets of shingle hashes.
 """
 
 from __future__ import annotations
@@ -18,14 +17,19 @@ from . import common, simhash
 from .components import components
 
 SEEDS = (42, 43, 44, 45)
-ROWS = "doc_id long, " + ", ".join(f"p{i} long" for i in range(len(SEEDS))) + ", sketch binary"
+ROWS = "row long, doc_id long, " + ", ".join(f"p{i} long" for i in range(len(SEEDS)))
+SETS = "row long, shingles array<long>"
 PAIRS = "a long, b long"
-#: Hashes of a sketch; least resemblance, and what a sketch's estimate may fall short of it.
-SKETCH, RESEMBLANCE, SLACK = 128, 0.8, 0.03
+#: Least resemblance, as a fraction.
+LEAST = (4, 5)
+
 
+def _shingles(text: bytes, width: int) -> np.ndarray:
+    return np.unique(np.array(simhash.shingle_hashes(text, width), np.uint64))
 
-def described(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text's word set and the sketch of its shingles; rows without words or id are left out."""
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of numbered rows the prints of the word set; rows without words or id are left out."""
 
     def run(batches):
         from xxhash import xxh64_intdigest
@@ -33,66 +37,80 @@ def described(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
         schema = common.batches_of(ROWS)
         for b in common.sliced(batches):
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text, row in zip(*(c.to_pylist() for c in b.columns)):
                 words = set(text.lower().split())
                 if doc is None or not words:
                     continue
-                prints = [simhash.majority(np.array([xxh64_intdigest(w, s) for w in words], np.uint64)) for s in SEEDS]
-                h = np.unique((np.array(simhash.shingle_hashes(text, width), np.uint64) >> np.uint64(32)).astype("<u4"))
-                out.append((doc, *prints, h[:SKETCH].tobytes()))
+                fps = [simhash.majority(np.array([xxh64_intdigest(w, s) for w in words], np.uint64)) for s in SEEDS]
+                out.append((row, doc, *fps))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
-    return common.text_rows(docs, id_col, text_col, "binary").mapInArrow(run, ROWS)
+    return common.text_rows(docs, id_col, text_col, "binary", common.ROW).mapInArrow(run, ROWS)
+
 
+def shingle_sets(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Of numbered rows the whole set of shingle hashes."""
 
-def resemblance(x: bytes, y: bytes) -> float:
-    """Jaccard estimate of two bottom-k sketches; exact if neither is full."""
-    a, b = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-    both = np.concatenate([a, b])
-    both.sort()
-    again = both[1:] == both[:-1]
-    if max(len(a), len(b)) < SKETCH:
-        n = int(again.sum())
-        return n / (len(both) - n)
-    # the k smallest of the union, and how many of them are in both
-    first = np.concatenate([[True], ~again])
-    rank = np.cumsum(first)
-    return float((again & (rank[1:] <= SKETCH)).sum()) / min(SKETCH, int(rank[-1]))
+    def run(batches):
+        schema = common.batches_of(SETS)
+        for b in common.sliced(batches, 64):
+            sets = [_shingles(t, width).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(sets, schema.types[1])], schema=schema)
 
+    return common.text_rows(docs, id_col, text_col, "binary", common.ROW).mapInArrow(run, SETS)
 
-def _confirmed(batches):
-    schema = common.batches_of(PAIRS)
-    for t in batches:
-        ok = [resemblance(x, y) >= RESEMBLANCE - SLACK for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist())]
-        kept = t.filter(pa.array(ok, pa.bool_()))
-        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1)], schema=schema)
 
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of rows whose shingle sets have the least resemblance."""
+    first, second = sets.select(F.col("row").alias("a"), F.col("shingles").alias("s")), sets.select(F.col("row").alias("b"), F.col("shingles").alias("t"))
+    both = F.size(F.array_intersect("s", "t"))
+    near = both * LEAST[1] >= (F.size("s") + F.size("t") - both) * LEAST[0]
+    return pairs.join(first, "a").join(second, "b").where(near).select("a", "b")
 
-def groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(node, root): every document with a near copy, and the smallest doc_id of its group.
 
-    Null, empty and wordless texts, and rows without an id, are in no group.
-    Rows that repeat an id are one node. Other columns are not read; an empty
-    table gives an empty result.
-    """
-    rows = common.stored(described(docs, id_col=id_col, text_col=text_col), "described", "zstd")
+def _by_words(rows: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of rows that the SimHashes of the word sets propose."""
     pairs = None
     for i in range(len(SEEDS)):
-        mine = rows.select("doc_id", F.col(f"p{i}").alias("fp"))
-        reps = common.stored(mine.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-        same = mine.join(reps, "fp").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        mine = rows.select("row", F.col(f"p{i}").alias("fp"))
+        reps = common.stored(mine.groupBy("fp").agg(F.min("row").alias("rep")), "reps")
+        same = mine.join(reps, "fp").select(F.col("row").alias("a"), F.col("rep").alias("b"))
         near = simhash.links(reps.select("fp"), radius, seed=7 + i)
         left, right = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
         found = same.unionByName(near.distinct().join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        found = found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
+    return pairs
+
+
+def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, root, doc_id) of every numbered row with a near copy, stored; root is the same for all rows of a group."""
+    rows = common.stored(described(docs, id_col=id_col, text_col=text_col), "described", "zstd")
+    pairs = _by_words(rows, radius)
+    pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = common.stored(pairs.distinct(), "proposed")
-    sketch = rows.select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    first, second = sketch.select(F.col("doc_id").alias("a"), F.col("sketch").alias("s")), sketch.select(F.col("doc_id").alias("b"), F.col("sketch").alias("t"))
-    checked = pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInArrow(_confirmed, PAIRS)
-    return components(checked)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias(common.ROW)).distinct()
+    sets = common.stored(shingle_sets(docs.join(asked, common.ROW, "left_semi"), id_col=id_col, text_col=text_col), "shingles")
+    found = components(confirmed(pairs, sets))
+    every = found.select(F.col("node").alias("row"), "root").unionByName(found.select(F.col("root").alias("row"), "root").distinct())
+    return common.stored(every.join(rows.select("row", "doc_id"), "row"), "grouped")
+
+
+def groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(node, root): every doc_id with a near copy, and the smallest doc_id of its group.
+
+    Null, empty and wordless texts, and rows without an id, are in no group. An
+    id that repeats with different texts can be in several. Other columns are not
+    read; an empty table gives an empty result.
+    """
+    found = _grouped(common.numbered(docs.select(id_col, text_col)), radius, id_col, text_col)
+    first = found.groupBy("root").agg(F.min("doc_id").alias("first"))
+    return found.join(first, "root").where("doc_id <> first").select(F.col("doc_id").alias("node"), F.col("first").alias("root")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without those whose group has a smaller doc_id."""
-    return common.without(docs, groups(docs, id_col=id_col, text_col=text_col).select("node"), id_col)
+    """The rows of ``docs``, all columns, but of each group of near copies only one row of the smallest doc_id."""
+    docs = common.numbered(docs)
+    found = _grouped(docs, 4, id_col, text_col)
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    lost = found.join(first, "row", "left_anti").select(F.col("row").alias(common.ROW))
+    return docs.join(lost, common.ROW, "left_anti").drop(common.ROW)

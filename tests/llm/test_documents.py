@@ -156,6 +156,58 @@ def test_near_dedup_keeps_one_of_each_group(spark, odd_docs):
     assert left.where("doc_id is null").count() == 2 and near_dedup.keep_one(odd_docs.limit(0)).count() == 0
 
 
+def near_groups_by_hand(docs, at_least=0.8):
+    """Of (doc_id, text): the smallest doc_id of each row's group, groups being joined by pairs of whole shingle sets."""
+    sets = []
+    for _, t in docs:
+        w = lower(t).split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= at_least * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)), key=lambda k: docs[k][0])
+                root[b] = a
+    return [docs[find(i)][0] for i in range(len(docs))]
+
+
+def kept_by_hand(docs):
+    return sorted({d for d in near_groups_by_hand(docs)})
+
+
+def some_words(rnd, n):
+    return ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+
+
+def test_near_dedup_decides_on_whole_shingle_sets(spark):
+    rnd = random.Random(7)
+    docs = []
+    for k in range(120):
+        a = some_words(rnd, 604)
+        at = 600 * (79 + 2 * (k % 2)) // 100  # cut tails of resemblance 0.79 and 0.81
+        docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(a[: at + 4]))]
+    docs += [(1000, " ".join(w := some_words(rnd, 504))), (1001, " ".join(w[:404]))]  # just 0.8
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = kept_by_hand(docs)
+    assert len(want) == 120 + 60 + 1
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df).collect()) == want
+
+
+def test_near_dedup_settles_rows_of_one_id_by_row(spark):
+    rnd = random.Random(8)
+    a, b, c = (some_words(rnd, 300) for _ in range(3))
+    docs = [(1, a), (5, a[:-3]), (5, b), (6, c), (6, c)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_dedup.keep_one(df).collect()) == Counter((i, " ".join(w)) for i, w in ((1, a), (5, b), (6, c)))
+
+
 BASE = [("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
 
 
