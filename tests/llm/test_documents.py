@@ -186,6 +186,36 @@ def some_words(rnd, n):
     return ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
 
 
+def test_near_dedup_finds_contiguous_edits(spark):
+    rnd = random.Random(5)
+    docs, kind = [], {}
+    for near in (0.81, 0.85, 0.90):
+        for k in range(60):
+            a = some_words(rnd, 400)
+            n = len(a) - 4
+            short = a[: int(n * near + 0.999) + 4]  # a cut tail
+            long = some_words(rnd, int(n * (1 / near - 1)))
+            at = rnd.randrange(50, 350)
+            passage = int(n * (1 / near - 1)) - 8
+            copy = [short, long + a, a + long, a[:at] + long[:passage] + a[at:]][k % 4]
+            docs += [(len(docs), " ".join(a)), (len(docs) + 1, " ".join(copy))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = kept_by_hand(docs)
+    assert len(want) == len(docs) // 2
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df).collect()) == want
+
+
+def test_min_hash_prints_meet_as_often_as_they_should():
+    rng = np.random.default_rng(6)
+    for size, both in ((300, 267), (300, 200), (40, 30)):
+        near, shared = both / (2 * size - both), 0
+        for _ in range(200):
+            h = rng.integers(0, 1 << 64, 2 * size - both, np.uint64)
+            shared += (near_dedup.min_prints(h[:size]) == near_dedup.min_prints(h[size - both :])).sum()
+        got = shared / 200 / near_dedup.PRINTS
+        assert abs(got - near**near_dedup.DEPTH) < 0.04
+
+
 def test_near_dedup_decides_on_whole_shingle_sets(spark):
     rnd = random.Random(7)
     docs = []
