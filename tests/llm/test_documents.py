@@ -238,6 +238,48 @@ def test_near_dedup_settles_rows_of_one_id_by_row(spark):
     assert Counter(tuple(r) for r in near_dedup.keep_one(df).collect()) == Counter((i, " ".join(w)) for i, w in ((1, a), (5, b), (6, c)))
 
 
+@pytest.mark.parametrize("options", [{}, {"block": 900}])
+def test_near_dedup_regroups_what_was_refused(spark, options):
+    rnd = random.Random(9)
+    docs = []
+    for _ in range(6):
+        words = some_words(rnd, 300)
+        docs.append((len(docs), " ".join(words)))  # the first of its word set, like none of the others
+        for _ in range(3):
+            rnd.shuffle(words)
+            for cut in (0, 3, 7):
+                docs.append((len(docs), " ".join(words[cut:] + words[:cut])))
+    for _ in range(4):  # chains: only neighbours are near, and a first that is near to none but shares prints
+        base = some_words(rnd, 700)
+        docs += [(len(docs) + k, " ".join(base[s : s + 300])) for k, s in enumerate((75, 0, 30, 60, 160, 190, 220))]
+    rnd.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = kept_by_hand(docs)
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df, **options).collect()) == want
+    roots = {d: r for (d, _), r in zip(docs, near_groups_by_hand(docs)) if d != r}
+    if not options:
+        assert {r.node: r.root for r in near_dedup.groups(df).collect()} == roots
+
+
+def test_joined_against_all_pairs():
+    rng = np.random.default_rng(10)
+    for _ in range(30):
+        base = rng.integers(0, 1 << 40, 60)
+        sets = [np.unique(np.where(rng.random(60) < 0.05, rng.integers(0, 1 << 40, 60), base)) for _ in range(25)]
+        roots = rng.integers(0, 12, 25)
+        got = near_dedup.joined(np.arange(25), roots, np.concatenate(sets), np.array([len(s) for s in sets]))
+        near = lambda i, j: len(np.intersect1d(sets[i], sets[j])) * 5 >= 4 * len(np.union1d(sets[i], sets[j]))
+        assert all(near(i, j) for i, j in got)
+
+        def label(edges):
+            out = roots.copy()
+            for i, j in edges:
+                out[out == out[j]] = out[i]
+            return [[bool(x == y) for y in out] for x in out]
+
+        assert label(got) == label([(i, j) for i in range(25) for j in range(i) if near(i, j)])
+
+
 BASE = [("assign", re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24)]
 
 
