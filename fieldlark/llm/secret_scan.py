@@ -10,8 +10,11 @@ alphabet, a runs test and lag-1 serial correlation each ask whether the token
 may be random, and a token that any of them rejects is left alone. A token of
 ordinary text repeats characters more than a random one: how far its repeats
 fall below those of ordinary text gives a p-value, in which short tokens weigh
-little. Over all tokens of the corpus the Benjamini-Hochberg rule, applied per
-encoding and class of length, keeps the share of false finds below a set rate.
+little. Hex digits repeat more than ordinary text does, so a hex token's p-value
+is another: the chance that a word has none but hex digits, or that a number has
+so many letters, whichever is larger. Over all tokens of the corpus the
+Benjamini-Hochberg rule, applied per encoding and class of length, keeps the
+share of false finds below a set rate.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 #: Encodings by their characters (the first that fits) with the size of their alphabet.
 ENCODINGS = [("decimal", "^[0-9]+$", 10), ("hex", "^[0-9a-f]+$|^[0-9A-F]+$", 16), ("lower", "^[a-z]+$", 26), ("upper", "^[A-Z]+$", 26), ("base32", "^[A-Z2-7]+$", 32), ("lower36", "^[a-z0-9]+$", 36), ("upper36", "^[A-Z0-9]+$", 36), ("base64", "^[A-Za-z0-9+/_-]+$", 64)]
 #: Encodings of which a random token is told from a number or a word.
-OPEN = ["base32", "lower36", "upper36", "base64"]
+OPEN = ["hex", "base32", "lower36", "upper36", "base64"]
 #: Chance that two characters of ordinary text are the same.
 ORDINARY = 0.058
+#: Chance that a character of an ordinary token is a hex digit, and that one of a number is a letter.
+HEX_IN_WORD, LETTER_IN_NUMBER = 0.5, 0.05
 #: A test rejects randomness beyond this many standard deviations; rate of false finds; bins per power of ten.
 REJECT, RATE, BINS = 3.29, 0.01, 10
 SPANS = "array<struct<s:int,e:int,kind:string>>"
@@ -83,7 +88,7 @@ def battery(tokens: DataFrame) -> DataFrame:
     t = tokens.withColumn("body", body).withColumns({"encoding": name, "alphabet": size, "n": F.length("body").cast("double")})
     t = t.where(F.col("encoding").isin(OPEN)).withColumn("codes", F.transform(F.split("body", ""), lambda c: F.ascii(c)))
     # places in the alphabet: digits, then letters, then marks
-    place = lambda c: F.when(c < 58, F.when(c >= 48, c - 48).otherwise(62 + (c == 47).cast("int"))).when(c < 91, c - 55).when(c < 96, F.lit(63)).otherwise(F.when(c >= 97, c - 61 - F.when(F.col("alphabet") == 36, 26).otherwise(0)).otherwise(62))
+    place = lambda c: F.when(c < 58, F.when(c >= 48, c - 48).otherwise(62 + (c == 47).cast("int"))).when(c < 91, c - 55).when(c < 96, F.lit(63)).otherwise(F.when(c >= 97, c - 61 - F.when(F.col("alphabet") <= 36, 26).otherwise(0)).otherwise(62))
     b32 = lambda c: F.when(c < 58, c - 24).otherwise(c - 65)
     t = t.withColumn("v", F.when(F.col("encoding") == "base32", F.transform("codes", b32)).otherwise(F.transform("codes", place)))
     squares = F.aggregate(F.array_distinct("v"), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter("v", lambda y: y == x)).cast("double"), F.lit(2.0)))
@@ -104,10 +109,14 @@ def battery(tokens: DataFrame) -> DataFrame:
     z_serial = F.when(F.col("spread") > 0, F.col("covered") / F.col("spread") * F.sqrt(n)).otherwise(F.lit(99.0))
     repeats = (F.col("squares") - n) / (n * (n - 1))
     z = (repeats - ORDINARY) / F.sqrt(2 * ORDINARY * (1 - ORDINARY) / (n * (n - 1)))
+    letters = F.size(F.filter("v", lambda x: x >= 10)).cast("double")
+    z_hex = (LETTER_IN_NUMBER * n - letters) / F.sqrt(LETTER_IN_NUMBER * (1 - LETTER_IN_NUMBER) * n)
+    p_hex = F.greatest(F.pow(F.lit(HEX_IN_WORD), n), _phi(z_hex))
+    p = F.when(F.col("encoding") == "hex", p_hex).otherwise(_phi(z))
     return t.withColumns(
         {
             "rejected": (chi > REJECT) | (F.abs(z_runs) > REJECT) | (F.abs(z_serial) > REJECT),
-            "log_p": F.log10(F.greatest(_phi(z), F.lit(1e-300))),
+            "log_p": F.log10(F.greatest(p, F.lit(1e-300))),
             "stratum": F.concat_ws("/", "encoding", F.floor(F.log2(n)).cast("string")),
         }
     ).select(*tokens.columns, "stratum", "rejected", "log_p")

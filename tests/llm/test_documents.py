@@ -313,6 +313,17 @@ def test_secret_scan(spark, odd_docs):
     assert secret_scan.summary(secret_scan.scan(odd_docs.limit(0))).count() == 0
 
 
+def test_secret_scan_finds_hex_of_both_cases(spark):
+    rnd = random.Random(11)
+    keys = [rnd.randbytes(k).hex().upper() for k in (10, 12, 16, 20, 32) for _ in range(20)] + [rnd.randbytes(k).hex() for k in (10, 11) for _ in range(20)]
+    plain = ["DEADBEEFDEADBEEFDEADBEEF", "AAAAAAAAAAAAAAAAAAAAAAAA", "20240101120000202401011200A", "2024010112000020240101b", "fadedfacadefadedfacade"]
+    df = spark.createDataFrame(list(enumerate(f"see {t} here" for t in [*keys, *plain])), "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.summary(secret_scan.scan(df)).collect() if "random" in r.spans}
+    assert len(found) >= 0.93 * len(keys) and not any(i >= len(keys) for i in found)
+    blank = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert all((blank[i] == "see [SECRET] here") == (i in found) for i in blank)
+
+
 def test_secret_scan_uses_no_python(spark, sf_dir):
     plan = queries.op8_secret_scans(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
