@@ -2,9 +2,10 @@
 
 Categories are predicted in a fixed order; each model sees the words and the
 probabilities of the categories before it, and is trained with out-of-fold
-predictions of those, as it will meet them. The models are fitted on a bounded
-sample of labelled rows; which words may matter at all is decided on that sample
-by a G-test, and scoring covers all rows and whole texts.
+predictions of those, as it will meet them: neither the features nor the model
+of a fold's predictions saw its rows. The last category decides. The models are
+fitted on a bounded sample of labelled rows; which words may matter at all is
+decided on that sample by a G-test, and scoring covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows of either class of the first category that the models are fitted on, at most.
-SAMPLE = 4_000
+#: Labelled rows of either class of the last category that the models are fitted on, and bytes of their features, at most.
+SAMPLE, BUDGET = 4_000, 128 << 20
 BUCKETS, FOLDS, SIGNIFICANT = 1 << 19, 3, 20.0
 #: Word beginnings that count as features of their own, beside the whole word; how often a text has to have one, in
 #: all and as a share of its words, for each feature made of it.
@@ -103,7 +104,7 @@ class Linear:
 
 
 class Chain:
-    """Models of the categories in order, over the selected features."""
+    """Models of the categories in order; each takes the probabilities of those before it as features."""
 
     def __init__(self, features: list[np.ndarray], labels: np.ndarray):
         n, k = labels.shape
@@ -115,26 +116,38 @@ class Chain:
         self.selected: list[np.ndarray] = []
         for c in range(k):
             y = labels[:, c].astype(float)
-            own = self._select(rows, cols, y)
-            place = np.full(WIDTH, -1, np.int32)
-            place[own] = np.arange(len(own))
-            kept = place[cols] >= 0
-            r, f, d = rows[kept], place[cols[kept]], len(own)
+            own, model = self._fitted(rows, cols, before, y)
             self.selected.append(own)
-            self.models.append(Linear(r, f, n, d, before, y))
+            self.models.append(model)
             if c + 1 < k:
                 told = np.zeros(n)
                 for x in range(FOLDS):
                     out = fold == x
                     if out.any() and not out.all():
-                        told[out] = self._part(r, f, d, before, y, ~out).predict(r, f, n, before)[out]
+                        told[out] = self._told(rows, cols, before, y, out)
                 before = np.column_stack([before, told])
 
+    @classmethod
+    def _fitted(cls, rows, cols, before, y):
+        """The features that these rows choose, and the model they fit."""
+        own = cls._select(rows, cols, y)
+        r, f = cls._placed(rows, cols, own)
+        return own, Linear(r, f, len(y), len(own), before, y)
+
+    @classmethod
+    def _told(cls, rows, cols, before, y, out):
+        """Probabilities of the rows in ``out``, by features and a model that none of them had a part in."""
+        number = np.where(out, np.cumsum(out), np.cumsum(~out)).astype(np.int32) - 1
+        held = out[rows]
+        own, model = cls._fitted(number[rows[~held]], cols[~held], before[~out], y[~out])
+        return model.predict(*cls._placed(number[rows[held]], cols[held], own), int(out.sum()), before[out])
+
     @staticmethod
-    def _part(rows, cols, d, before, y, mask):
-        number = np.cumsum(mask) - 1
-        own = mask[rows]
-        return Linear(number[rows[own]], cols[own], int(mask.sum()), d, before[mask], y[mask])
+    def _placed(rows, cols, own):
+        place = np.full(WIDTH, -1, np.int32)
+        place[own] = np.arange(len(own))
+        kept = place[cols] >= 0
+        return rows[kept], place[cols[kept]]
 
     @staticmethod
     def _select(rows, cols, y) -> np.ndarray:
@@ -191,32 +204,38 @@ class Scorer:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain | None:
-    """Fit the chain for ``targets`` ((category, SQL condition over labels), in order).
+def train(docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, budget: int = BUDGET) -> Chain | None:
+    """Fit the chain for ``targets`` ((category, SQL condition over labels), in order; the last is the one that decides).
 
-    At most ``sample`` labelled rows are taken of those that are in the first
-    category and as many of the others, by a hash of their id. Rows with a null
-    label value or id teach nothing; where a category has no two classes its
-    model only tells their share. None without any labelled text.
+    At most ``sample`` labelled rows are taken of those in the last category and
+    as many of the others, by a hash of their id, and of these as many as have
+    ``budget`` bytes of features. Rows with a null label value or id teach
+    nothing; of an id's several labels each category's largest counts, of its
+    several texts the one with the least features in byte order. Where a category
+    has no two classes its model only tells their share. None without any
+    labelled text.
     """
-    named = [F.expr(f"cast({cond} as int)").alias(f"y{i}") for i, (_, cond) in enumerate(targets)]
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), *named).dropna().dropDuplicates(["doc_id"])
+    names = [f"y{i}" for i in range(len(targets))]
+    named = [F.expr(f"cast({cond} as int)").alias(y) for y, (_, cond) in zip(names, targets)]
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), *named).dropna().groupBy("doc_id").agg(*[F.max(y).alias(y) for y in names])
     order = F.xxhash64("doc_id", F.lit(11))
-    taken = marks.where("y0 = 1").orderBy(order).limit(sample).unionByName(marks.where("y0 = 0").orderBy(order).limit(sample))
+    taken = marks.where(f"{names[-1]} = 1").orderBy(order).limit(sample).unionByName(marks.where(f"{names[-1]} = 0").orderBy(order).limit(sample))
+    taken = common.stored(taken, "taken")  # at most twice `sample` rows, so they may be broadcast
     texts = common.text_rows(docs, id_col, text_col)
-    # at most twice `sample` rows, so their bound is known
-    rows = featurised(texts.join(F.broadcast(taken.select("doc_id")), "doc_id"))
-    got = rows.join(F.broadcast(taken), "doc_id").dropDuplicates(["doc_id"]).toArrow()
+    rows = featurised(texts.join(F.broadcast(taken.select("doc_id")), "doc_id")).groupBy("doc_id").agg(F.min("features").alias("features"))
+    rows = common.stored(rows.join(F.broadcast(taken), "doc_id"), "training")
+    sizes = rows.select("doc_id", F.sum(F.octet_length("features")).over(Window.orderBy(order, "doc_id")).alias("bytes"))
+    got = rows.join(F.broadcast(sizes.where(F.col("bytes") <= budget).select("doc_id")), "doc_id").toArrow()
     if not got.num_rows:
         return None
     by = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
     features = [np.frombuffer(x, np.uint32) for x in got.column("features").to_pylist()]
-    y = np.column_stack([got.column(f"y{i}").to_numpy() for i in range(len(targets))])
+    y = np.column_stack([got.column(y).to_numpy() for y in names])
     return Chain([features[i] for i in by], y[by])
 
 
-#: The categories that the labels tell, in the chain's order.
-TARGETS = [("toxic", "toxic = 1"), ("low_quality", "quality = 0")]
+#: The categories that the labels tell, in the chain's order: whether a text is toxic is asked last, knowing the other.
+TARGETS = [("low_quality", "quality = 0"), ("toxic", "toxic = 1")]
 
 
 def _schema(targets) -> str:
@@ -239,7 +258,7 @@ def score(docs: DataFrame, chain: Chain | None, targets=None, id_col: str = "doc
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, p_toxic, p_low_quality, toxic (p_toxic over ``threshold``).
+    """One row per document: doc_id, p_low_quality, p_toxic, toxic (p_toxic over ``threshold``).
 
     A null or empty text has no words; its probabilities are the models' own
     bias. Repeated rows repeat, a null doc_id stays null, ties cannot matter;
@@ -261,6 +280,6 @@ def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
     def keep(batches):
         of = Scorer(chain)  # with its memo, it ends with the task
         for b in common.sliced(batches):
-            yield b.filter(pa.array([of(t or "")[0] <= threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([of(t or "")[-1] <= threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

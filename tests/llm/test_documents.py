@@ -353,6 +353,111 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {i for i in got if not got[i]}
 
 
+def dense_model(x, y):
+    """A weighted logistic regression by Adam steps, over a dense matrix whose first column is the constant."""
+    share = max(y.mean(), 1e-9), max(1 - y.mean(), 1e-9)
+    weight = np.where(y > 0, 0.5 / share[0], 0.5 / share[1]) / len(y)
+    w, m, s = (np.zeros(x.shape[1]) for _ in range(3))
+    penalty = np.where(np.arange(x.shape[1]) == 0, 0, 1e-3)
+    for t in range(1, 201):
+        grad = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * weight) + penalty * w
+        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-9)
+    return lambda z: 1 / (1 + np.exp(-z @ w))
+
+
+def dense_chain(texts, labels, scored):
+    """The chain's probabilities, by whole matrices: features are chosen and models fitted anew for every fold."""
+    sets = []
+    for t in [*texts, *scored]:
+        counts, words = Counter(), t.lower().split()
+        for w in words:
+            counts.update(toxicity.word_features(w))
+        sets.append(set(toxicity.tiers(counts, len(words))))
+    names = sorted(set().union(*sets[: len(texts)]))
+    x = np.array([[float(f in s) for f in names] for s in sets])
+    train, rest = x[: len(texts)], x[len(texts) :]
+
+    def chosen(x, y):
+        n, out = len(y), []
+        for j in range(x.shape[1]):
+            have = x[:, j].sum()
+            if have < toxicity.SIGNIFICANT / 10:
+                continue
+            g = 0.0
+            for side in (0, 1):
+                for kind in (0, 1):
+                    o, e = ((x[:, j] == side) & (y == kind)).sum(), (x[:, j] == side).sum() * (y == kind).sum() / n
+                    g += 2 * o * np.log(o / e) if o and e else 0
+            if g >= toxicity.SIGNIFICANT:
+                out.append(j)
+        return out
+
+    def fitted(x, before, y, z, z_before):
+        own = chosen(x, y)
+        one = lambda a, b: np.column_stack([np.ones(len(a)), a[:, own], b])
+        return dense_model(one(x, before), y)(one(z, z_before))
+
+    before, after = np.zeros((len(texts), 0)), np.zeros((len(scored), 0))
+    fold = np.arange(len(texts)) % toxicity.FOLDS
+    for c in range(labels.shape[1]):
+        y = labels[:, c].astype(float)
+        told = np.zeros(len(texts))
+        for k in range(toxicity.FOLDS):
+            out = fold == k
+            told[out] = fitted(train[~out], before[~out], y[~out], train[out], before[out])
+        now = fitted(train, before, y, rest, after)
+        before, after = np.column_stack([before, told]), np.column_stack([after, now])
+    return after
+
+
+def chain_rows(rnd, n=240):
+    """Texts whose toxicity shows in part by words, in part by their low quality alone, which many words tell."""
+    vocabulary = ["".join(rnd.choice("aeioubcdfg") for _ in range(6)) for _ in range(60)]
+    cheap = [f"{a}cheap" for a in ("alpha", "bravo", "gamma", "delta", "kilos", "omega", "sigma", "theta")]
+    texts, labels = [], []
+    for _ in range(n):
+        w = [rnd.choice(vocabulary) for _ in range(rnd.randint(10, 30))]
+        low = rnd.random() < 0.4
+        toxic = rnd.random() < (0.8 if low else 0.1)
+        w += [rnd.choice(cheap)] * low + ["moron"] * (toxic and rnd.random() < 0.6)
+        rnd.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append((low, toxic))
+    return texts, np.array(labels, int)
+
+
+def test_toxicity_chain_against_dense_matrices(spark):
+    rnd = random.Random(12)
+    texts, labels = chain_rows(rnd)
+    scored = chain_rows(rnd, 40)[0] + ["", "moron", "alphacheap"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lab = spark.createDataFrame([(i, 1 - int(a), int(b)) for i, (a, b) in enumerate(labels)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, lab, toxicity.TARGETS)
+    got = {r.doc_id: (r.p_low_quality, r.p_toxic) for r in toxicity.score(spark.createDataFrame(list(enumerate(scored)), "doc_id long, text string"), chain).collect()}
+    want = dense_chain(texts, labels, scored)
+    assert np.abs(np.array([got[i] for i in range(len(scored))]) - want).max() < 1e-6
+    # what is told of quality moves the verdict on toxicity
+    with_it = [toxicity.Scorer(chain)(t)[1] for t in scored]
+    chain.models[1].v[:] = 0
+    without = [toxicity.Scorer(chain)(t)[1] for t in scored]
+    assert max(abs(a - b) for a, b in zip(with_it, without)) > 0.05
+    assert any((a > 0.5) != (b > 0.5) for a, b in zip(with_it, without))
+
+
+def test_toxicity_does_not_depend_on_the_order_of_repeated_rows(spark):
+    texts, labels = chain_rows(random.Random(13), 90)
+    rows = [(i % 60, t, 1 - int(a), int(b)) for i, (t, (a, b)) in enumerate(zip(texts, labels))]
+    seen = set()
+    for part in (1, 5):
+        df = spark.createDataFrame(rows[::-1] if part == 5 else rows, "doc_id long, text string, quality int, toxic int").repartition(part)
+        chain = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), toxicity.TARGETS)
+        seen.add(tuple(round(x, 9) for t in texts for x in toxicity.Scorer(chain)(t)))
+    assert len(seen) == 1
+    few = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "quality", "toxic"), toxicity.TARGETS, budget=4000)
+    assert few is not None and len(few.selected[1]) <= len(chain.selected[1])
+
+
 def test_toxicity_edges(spark, odd_docs):
     lab = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     out = toxicity.judge(odd_docs, lab)
