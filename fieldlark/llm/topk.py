@@ -1,17 +1,20 @@
-"""Exact top-k search by inner product: a KD-tree per shard, traversed best first.
-
-Candidates are dealt to shards by a hash of their id, queries to blocks; a task
-holds one shard and one block. The shard's tree splits at medians of the widest
-component and keeps tight bounding boxes. No vector of a box can score above the
-sum, over components, of the better of the two corners, so boxes are visited in
-the order of that bound and the search ends when it falls below the kth score.
-The kth score is propagated: each query first searches one shard, and takes what
-it found there as its threshold in all others.
+"""Exact top-k search by inner product: KD-trees per shard, traversed best first.
+
+Median splits, fitted on a bounded sample, divide space into regions; a region's
+rows are dealt to as many shards as its size asks for, so that a vector that
+many rows share is no large shard. Each shard's tree is built once: it splits at
+medians of the widest component and keeps tight bounding boxes. No vector of a
+box can score above the sum, over components, of the better of the two corners,
+so boxes are visited in the order of that bound and the search ends when it
+falls below the kth score. The kth score is propagated: a query first searches
+one shard of its own region, and then only shards whose box can beat what it
+found there, which is its threshold in them.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 
 import numpy as np
 import pyarrow as pa
@@ -21,41 +24,60 @@ from pyspark.sql import functions as F
 from . import common
 
 FOUND = "query_id long, vec_id long, score long"
-#: Rows of a tree's leaf, of a shard, and queries of a block (on average, as they are dealt by hash).
+TREES = "dim int, region int, part int, low array<double>, high array<double>, tree binary"
+ASKS = "query_id long, dim int, region int, floor double, v array<double>"
+#: Rows of a tree's leaf, of a shard, queries of a block (the last two on average, as they are dealt by hash).
 LEAF, SHARD, BLOCK = 256, 16_384, 2_048
+#: Rows that the regions' splits are fitted on, and regions, at most.
+SAMPLE, REGIONS = 8_192, 256
 
 
 class Tree:
-    """A KD-tree over the rows of ``points`` (float64 holding integers)."""
+    """A KD-tree over the rows of ``points`` (float64 holding integers), or one read from its bytes."""
 
     def __init__(self, ids: np.ndarray, points: np.ndarray, leaf: int = LEAF):
-        self.order = np.arange(len(ids))
-        self.spans: list[tuple[int, int]] = []
-        self.children: list[tuple[int, int] | None] = []
+        order = np.arange(len(ids))
+        spans: list[tuple[int, int]] = []
+        children: list[tuple[int, int]] = []
         todo = [(0, len(ids), -1, 0)]
         while todo:
             a, b, parent, side = todo.pop()
-            node = len(self.spans)
-            self.spans.append((a, b))
-            self.children.append(None)
+            node = len(spans)
+            spans.append((a, b))
+            children.append((-1, -1))
             if parent >= 0:
-                left, right = self.children[parent] or (-1, -1)
-                self.children[parent] = (node, right) if side == 0 else (left, node)
+                left, right = children[parent]
+                children[parent] = (node, right) if side == 0 else (left, node)
             if b - a > leaf:
-                rows = self.order[a:b]
+                rows = order[a:b]
                 x = points[rows]
                 axis = int(np.ptp(x, axis=0).argmax())
                 mid = (b - a) // 2
-                self.order[a:b] = rows[np.argpartition(x[:, axis], mid)]
+                order[a:b] = rows[np.argpartition(x[:, axis], mid)]
                 todo += [(a, a + mid, node, 0), (a + mid, b, node, 1)]
-        self.ids, self.points = ids[self.order], points[self.order]
-        self.low = np.array([self.points[a:b].min(0) for a, b in self.spans])
-        self.high = np.array([self.points[a:b].max(0) for a, b in self.spans])
-        self.least = np.array([self.ids[a:b].min() for a, b in self.spans])
+        self.spans, self.children = np.array(spans), np.array(children)
+        self.ids, self.points = ids[order], points[order]
+        self.low = np.array([self.points[a:b].min(0) for a, b in spans])
+        self.high = np.array([self.points[a:b].max(0) for a, b in spans])
+        self.least = np.array([self.ids[a:b].min() for a, b in spans])
+
+    PARTS = ("spans", "children", "ids", "points", "low", "high", "least")
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **{p: getattr(self, p) for p in self.PARTS})
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> Tree:
+        tree, parts = cls.__new__(cls), np.load(io.BytesIO(raw))
+        for p in cls.PARTS:
+            setattr(tree, p, parts[p])
+        return tree
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Of each query and node, a score that no row of the node exceeds."""
-        return np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
+        return most(queries, self.low, self.high)
 
     def search(self, query: np.ndarray, own: int, bounds: list[float], k: int, floor: float) -> list[tuple[float, int]]:
         """At most k of (score, -id), best first; rows that score below ``floor`` are not looked for."""
@@ -68,19 +90,17 @@ class Tree:
                 if bound < floor or bound < best[0][0]:
                     break
                 continue  # an equal score here would only bring larger ids
-            if self.children[node]:
-                for c in self.children[node]:
+            if self.children[node, 0] >= 0:
+                for c in self.children[node].tolist():
                     heapq.heappush(heap, (-bounds[c], c))
                 continue
             a, b = self.spans[node]
-            scores = self.points[a:b] @ query
+            ids, scores = self.ids[a:b], self.points[a:b] @ query
             least = max(floor, best[0][0]) if len(best) == k else floor
-            rows = np.flatnonzero(scores >= least)
+            rows = np.flatnonzero((scores >= least) & (ids != own))
             if len(rows) > 4 * k:  # only the k best of a leaf matter, ties by id
-                rows = rows[np.lexsort((self.ids[a:b][rows], -scores[rows]))[: k + 1]]
-            for s, i in zip(scores[rows].tolist(), self.ids[a:b][rows].tolist()):
-                if i == own:
-                    continue
+                rows = rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
+            for s, i in zip(scores[rows].tolist(), ids[rows].tolist()):
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
                 elif (s, -i) > best[0]:
@@ -88,6 +108,40 @@ class Tree:
         return sorted(best, reverse=True)
 
 
+def most(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Of each query and box, a score that no vector in the box exceeds."""
+    return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
+
+
+def splits(points: np.ndarray, regions: int) -> list[tuple[int, float]]:
+    """Median splits of the widest component, a complete tree in heap order with ``regions`` (a power of two) leaves."""
+    out: list[tuple[int, float]] = []
+    level = [points]
+    while len(level) < regions:
+        after = []
+        for x in level:
+            axis = int(np.ptp(x, axis=0).argmax()) if len(x) else 0
+            cut = float(np.median(x[:, axis])) if len(x) else 0.0
+            out.append((axis, cut))
+            after += [x[x[:, axis] < cut], x[x[:, axis] >= cut]]
+        level = after
+    return out
+
+
+def region_of(points: np.ndarray, cuts: list[tuple[int, float]]) -> np.ndarray:
+    node = np.zeros(len(points), np.int64)
+    if cuts:
+        axes, at = np.array([a for a, _ in cuts]), np.array([c for _, c in cuts])
+        while node[0] < len(cuts):  # all leaves are of one depth
+            node = 2 * node + 1 + (points[np.arange(len(points)), axes[node]] >= at[node])
+    return (node - len(cuts)).astype(np.int32)
+
+
+def _matrix(column, dim: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten(), np.float64).reshape(-1, dim)
+
+
 def quantised(vectors: Column, scale: int) -> Column:
     """floor(scale * x) of each component as a double; null for a null vector or one with null or non-finite components."""
     x = F.transform(vectors, lambda v: F.floor(v.cast("double") * scale).cast("double"))
@@ -95,57 +149,116 @@ def quantised(vectors: Column, scale: int) -> Column:
     return F.when(ok, x)
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """The k best rows of each query: query_id, rank (from 1), vec_id, score.
+def _placed(rows: DataFrame, cuts: dict[int, list[tuple[int, float]]]) -> DataFrame:
+    """Adds ``region`` to rows (row, vec_id, dim, v)."""
+
+    def run(batches):
+        for b in batches:
+            dims, vectors = b.column(2).to_numpy(), b.column(3)
+            region = np.zeros(len(dims), np.int32)
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                region[own] = region_of(_matrix(vectors.take(pa.array(own)), d), cuts.get(d, []))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(region)], names=[*b.schema.names, "region"])
+
+    return rows.mapInArrow(run, "row long, vec_id long, dim int, v array<double>, region int")
+
+
+def _built(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    dim, region, part = (x.as_py() for x in key)
+    tree = Tree(rows.column("vec_id").to_numpy(), _matrix(rows.column("v"), dim))
+    row = [[dim], [region], [part], [tree.low[0].tolist()], [tree.high[0].tolist()], [tree.to_bytes()]]
+    schema = common.batches_of(TREES)
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(row, schema.types)], schema=schema)
 
-    Queries are the rows whose id is divisible by ``every``; candidates are all
-    rows but those of the query's own id. Scores are inner products of
-    floor(``scale`` * x); ties go to the smaller id. Rows with a null id, a null
-    vector or null or non-finite components take no part; vectors are of one
-    length, and those of another length than the query are no candidates of it.
-    Rows that repeat an id are candidates each; a query id is searched once, by
-    the first of its vectors. Other columns are not read; an empty table gives an
-    empty result.
-    """
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), quantised(vectors[vec_col], scale).alias("v")).where("vec_id is not null and v is not null")
-    rows = common.stored(rows.withColumn("dim", F.size("v")), "vectors")
-    n = rows.count()
-    shards = max(1, -(-n // shard))
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id", "dim").agg(F.min("v").alias("v"))
-    blocks = max(1, -(-n // every // block))
-    deal = lambda m, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+
+def _searched(asks: DataFrame, trees: DataFrame, k: int, block: int) -> DataFrame:
+    """The k best of every ask (query_id, dim, v, floor, region, part) in its shard. A shard goes to as many tasks as it has blocks of asks."""
+    shard = ["dim", "region", "part"]
+    blocks = asks.groupBy(*shard).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    asks = asks.join(blocks, shard).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int"))
+    dealt = trees.join(blocks, shard).select(*shard, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tree")
+    asked = asks.select(*[F.col(c).alias(f"q_{c}") for c in (*shard, "block", "query_id", "v", "floor")])
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = common.batches_of(FOUND)
         out: list[tuple[int, int, int]] = []
         if left.num_rows and right.num_rows:
-            dim = key[2].as_py()
-            matrix = lambda v: np.asarray(v.combine_chunks().flatten(), np.float64).reshape(-1, dim)
-            tree = Tree(left.column("vec_id").to_numpy(), matrix(left.column("v")))
-            ids, q, low = right.column("q_vec_id").to_numpy(), matrix(right.column("q_v")), right.column("q_floor").to_numpy()
+            tree = Tree.from_bytes(left.column("tree")[0].as_py())
+            ids, q, floors = right.column("q_query_id").to_numpy(), _matrix(right.column("q_v"), key[0].as_py()), right.column("q_floor").to_numpy()
             for s in range(0, len(ids), 256):
-                bounds = tree.bounds(q[s : s + 256]).tolist()
-                for i, b in enumerate(bounds):
-                    own = int(ids[s + i])
-                    out += [(own, -x, int(y)) for y, x in tree.search(q[s + i], own, b, k, float(low[s + i]))]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, schema=schema)
+                for i, b in enumerate(tree.bounds(q[s : s + 256]).tolist(), s):
+                    out += [(int(ids[i]), -x, int(y)) for y, x in tree.search(q[i], int(ids[i]), b, k, float(floors[i]))]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 3, schema=common.batches_of(FOUND))
+
+    return dealt.groupBy(*shard, "block").cogroup(asked.groupBy("q_dim", "q_region", "q_part", "q_block")).applyInArrow(run, FOUND)
+
+
+def _routed(asks: DataFrame, boxes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Of asks (query_id, dim, floor, v) a row for each region whose box may hold a score of at least the floor."""
+
+    def run(batches):
+        schema = common.batches_of(ASKS)
+        for b in batches:
+            dims, floors = b.column(1).to_numpy(), b.column(2).to_numpy()
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                regions, low, high = boxes[d]
+                i, j = np.nonzero(most(_matrix(b.column(3).take(pa.array(own)), d), low, high) >= floors[own, None])
+                for s in range(0, len(i), 4096):
+                    rows = pa.array(own[i[s : s + 4096]])
+                    cols = [b.column(0).take(rows), b.column(1).take(rows), pa.array(regions[j[s : s + 4096]], pa.int32()), b.column(2).take(rows), b.column(3).take(rows)]
+                    yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(cols, schema.types)], schema=schema)
 
+    return asks.select("query_id", "dim", "floor", "v").mapInArrow(run, ASKS)
 
-    candidates = rows.select("vec_id", "dim", "v", deal(shards, 1).alias("shard"))
-    asked = queries.select("vec_id", "dim", "v", deal(blocks, 2).alias("block"), deal(shards, 3).alias("home"))
 
-    def searched(asks: DataFrame) -> DataFrame:
-        """``asks`` (vec_id, dim, v, block, shard, floor) against their shards."""
-        spread = candidates.select(F.col("vec_id").alias("vec_id"), "v", "shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        asks = asks.select(*[F.col(c).alias(f"q_{c}") for c in ("vec_id", "dim", "v", "block", "shard", "floor")])
-        return spread.groupBy("shard", "block", "dim").cogroup(asks.groupBy("q_shard", "q_block", "q_dim")).applyInArrow(run, FOUND)
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard: int = SHARD, block: int = BLOCK, regions: int = REGIONS) -> DataFrame:
+    """The k best rows of each query: query_id, rank (from 1), vec_id, score.
+
+    Queries are the rows whose id is divisible by ``every``; candidates are all
+    rows but those of the query's own id. Scores are inner products of
+    floor(``scale`` * x); ties go to the smaller id. Rows with a null id, a null
+    vector or null or non-finite components take no part; vectors are of one
+    length, and those of another length than the query are no candidates of it.
+    Rows that repeat an id are candidates each; a query id is searched once,
+    by the first of its vectors (the shortest, then by components). Other columns are not read; an empty
+    table, and vectors without components, give an empty result.
+    """
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), quantised(vectors[vec_col], scale).alias("v")).where("vec_id is not null and size(v) > 0")
+    rows = common.stored(rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.size("v").alias("dim"), "v"), "vectors")
+    n = rows.count()
+    # the splits only balance the regions: a bounded sample will do, and any sample gives right results
+    sample = rows.select("dim", "v").orderBy(F.xxhash64("row", F.lit(3))).limit(SAMPLE).toArrow() if n > shard else None
+    cuts: dict[int, list[tuple[int, float]]] = {}
+    if sample is not None:
+        dims = sample.column("dim").to_numpy()
+        for d in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == d)
+            share = n * len(own) / len(dims) / shard
+            cuts[d] = splits(_matrix(sample.column("v").take(pa.array(own)), d), min(regions, 1 << max(0, int(np.ceil(np.log2(max(share, 1)))))))
+    placed = common.stored(_placed(rows, cuts), "placed")
+    sizes = placed.groupBy("dim", "region").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("parts"))
+    dealt = placed.join(sizes, ["dim", "region"]).withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    trees = common.stored(dealt.select("dim", "region", "part", "vec_id", "v").groupBy("dim", "region", "part").applyInArrow(_built, TREES), "trees")
+    # a number of boxes that the number of regions bounds
+    edges = trees.select("dim", "region", F.posexplode(F.arrays_zip("low", "high")).alias("i", "e")).groupBy("dim", "region", "i").agg(F.min("e.low").alias("low"), F.max("e.high").alias("high"))
+    edges = edges.groupBy("dim", "region").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("e")).select("dim", "region", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
+    found: dict[int, list] = {}
+    for r in edges.collect():
+        found.setdefault(r["dim"], []).append((r["region"], r["low"], r["high"]))
+    boxes = {d: tuple(np.array(c) for c in zip(*b)) for d, b in found.items()}
 
+    queries = placed.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("dim", "v", "region")).alias("q"))
+    parts = trees.groupBy("dim", "region").agg((F.max("part") + 1).alias("parts"))
+    asked = queries.select("query_id", "q.dim", "q.v", "q.region").join(parts, ["dim", "region"])
+    asked = common.stored(asked.select("query_id", "dim", "v", F.col("region").alias("home"), F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("home_part")), "asked")
+    # a home without rows has no tree and sets no threshold
+    first = asked.select("query_id", "dim", "v", F.lit(float("-inf")).alias("floor"), F.col("home").alias("region"), F.col("home_part").alias("part"))
+    home = common.stored(_searched(first, trees, k, block), "top-home")
+    kth = home.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("query_id", F.col("kth").cast("double").alias("kth"))
+    told = asked.join(kth, "query_id", "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
+    far = _routed(told, boxes).join(trees.select("dim", "region", "part"), ["dim", "region"])
+    far = far.join(asked.select("query_id", "home", "home_part"), "query_id").where((F.col("region") != F.col("home")) | (F.col("part") != F.col("home_part")))
+    every_one = home.unionByName(_searched(common.stored(far.drop("home", "home_part"), "asks"), trees, k, block))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    home = common.stored(searched(asked.withColumn("shard", F.col("home")).withColumn("floor", F.lit(float("-inf")))), "top-home")
-    if shards > 1:
-        kth = home.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).select("query_id", F.col("kth").cast("double").alias("kth"))
-        told = asked.join(kth, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("home"))
-        home = home.unionByName(searched(told.withColumn("shard", F.explode(others)).select("vec_id", "dim", "v", "block", "shard", "floor")))
-    ranked = home.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return every_one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,6 +8,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,34 @@ def test_top_k_with_ties(spark, shard, block):
     assert Counter(map(tuple, topk.top_k(df.where("vec_id in (0, 1, 2)")).collect())) == top_by_hand([r for r in rows if r[0] in (0, 1, 2)])
 
 
+@pytest.mark.parametrize("options", [{}, {"shard": 16, "block": 1}])
+@pytest.mark.parametrize("own", [3, 6, 30])
+def test_top_k_with_rows_of_the_query_id(spark, own, options):
+    rnd = random.Random(own)
+    rows = [(50, [2.0, 1.0 + i / 100]) for i in range(own)] + [(i, [rnd.random(), rnd.random()]) for i in range(1, 41)] + [(100, [0.5, 0.5, 0.5])] * 2 + [(101, [0.1, 0.2, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = top_by_hand(rows[:-3]) + top_by_hand(rows[-3:])
+    assert Counter(map(tuple, topk.top_k(df, **options).collect())) == want
+
+
+def test_top_k_of_one_vector_that_many_share(spark):
+    rnd = random.Random(3)
+    rows = [(i, [0.25, -0.5, 1.0]) for i in range(700)] + [(i, [rnd.uniform(-1, 1) for _ in range(3)]) for i in range(700, 1500)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    assert Counter(map(tuple, topk.top_k(df, shard=64, block=4).collect())) == top_by_hand(rows)
+
+
+def test_tree_bytes_and_splits():
+    rng = np.random.default_rng(4)
+    points = rng.integers(-50, 50, (3000, 4)).astype(float)
+    tree = topk.Tree.from_bytes(topk.Tree(np.arange(3000), points, leaf=40).to_bytes())
+    for q in points[:50]:
+        want = sorted(((float(q @ p), -i) for i, p in enumerate(points)), reverse=True)[:7]
+        assert tree.search(q, -1, tree.bounds(q[None])[0].tolist(), 7, -np.inf) == want
+    regions = topk.region_of(points, topk.splits(points, 8))
+    assert sorted(set(regions.tolist())) == list(range(8)) and np.bincount(regions).max() < 500
+
+
 def test_top_k_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert Counter(map(tuple, queries.op7_exact_top_k(spark, sf_dir).collect())) == top_by_hand(rows)
