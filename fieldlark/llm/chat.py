@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 HEAD, MIND, END = "### ", ": ", "</turn>"
 #: What is escaped, in this order; undone in the reverse one.
 ESCAPES = [("\\", "\\0"), (END, "\\1"), (HEAD, "\\2"), (MIND, "\\3")]
@@ -35,13 +37,6 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def _cumulated(lengths: Column) -> Column:
-    """(begin, length) of consecutive pieces."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<at:bigint,len:bigint>>)").alias("out"))
-    step = lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), n.alias("len")))).alias("out"))
-    return F.aggregate(lengths, start, step, lambda a: a["out"])
-
-
 def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss (code-point ranges [at, at + len) of trained texts).
 
@@ -60,48 +55,55 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         ).alias("t"),
     )
     got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    heads = F.filter(
-        F.sequence(F.lit(1), F.size("turns")),
-        lambda i: (i == 1) | (F.element_at("turns", i)["role"] != F.element_at("turns", F.greatest(i - 1, F.lit(1)))["role"]),
-    )
-    got = got.withColumn("heads", heads)
-    blocks = F.transform(
-        "heads",
-        lambda h, k: F.slice("turns", h, F.coalesce(F.try_element_at("heads", k + 2), F.size("turns") + 1) - h),
-    )
-    # a block as pieces: its header, then each text and its end
-    pieces = F.transform(
-        blocks,
-        lambda b, k: F.concat(
-            F.array(F.struct(F.concat(F.when(k > 0, F.lit("\n")).otherwise(F.lit("")), F.lit(HEAD), escape(b[0]["role"], True), F.lit(MIND)).alias("s"), F.lit(False).alias("loss"))),
-            F.flatten(
-                F.transform(b, lambda t: F.array(F.struct(escape(t["text"]).alias("s"), (t["role"] == TRAINED).alias("loss")), F.struct(F.lit(END).alias("s"), F.lit(False).alias("loss"))))
-            ),
-        ),
-    )
-    got = got.select("conv_id", F.flatten(pieces).alias("pieces"))
-    ranges = _cumulated(F.transform("pieces", lambda p: F.length(p["s"]).cast("long")))
-    return got.select(
-        "conv_id",
-        F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
-        F.transform(
-            F.filter(F.arrays_zip(ranges.alias("r"), F.transform("pieces", lambda p: p["loss"]).alias("loss")), lambda z: z["loss"]),
-            lambda z: z["r"],
-        ).alias("loss"),
-    )
+    return got.select("conv_id", common.let(common.let(F.col("turns"), _pieces), _joined).alias("f")).select("conv_id", "f.formatted", "f.loss")
 
 
-def read_chats(chats: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns (role, text), trained texts), all read from the formatted text and its loss ranges."""
-    blocks = F.slice(F.split("formatted", HEAD), F.lit(2), F.greatest(F.size(F.split("formatted", HEAD)) - 1, F.lit(0)))
+def _pieces(turns: Column) -> Column:
+    """The parts of a conversation in their order: of each block its header, then each text and its end."""
+    begins = F.transform(turns, lambda t, i: F.when((i > 0) & (F.get(turns, F.greatest(i - 1, F.lit(0)))["role"] == t["role"]), -1).otherwise(i))
+    plain = lambda s: F.struct(s.alias("s"), F.lit(False).alias("loss"))
+
+    def block(b: Column) -> Column:
+        said = F.transform(b, lambda t: F.array(F.struct(escape(t["text"]).alias("s"), (t["role"] == TRAINED).alias("loss")), plain(F.lit(END))))
+        return F.concat(F.array(plain(F.concat(F.lit(HEAD), escape(b[0]["role"], True), F.lit(MIND)))), F.flatten(said))
+
+    def merged(heads: Column) -> Column:
+        blocks = F.transform(heads, lambda h, k: F.slice(turns, h + 1, F.coalesce(F.get(heads, k + 1), F.size(turns)) - h))
+        return F.flatten(F.transform(blocks, lambda b, k: F.when(k == 0, block(b)).otherwise(F.concat(F.array(plain(F.lit("\n"))), block(b)))))
+
+    return common.let(F.filter(begins, lambda i: i >= 0), merged)
+
+
+def _joined(pieces: Column) -> Column:
+    """The pieces' text, and the places of those that bear the loss."""
+
+    def placed(at: Column) -> Column:
+        ranges = F.transform(pieces, lambda p, i: F.struct(F.get(at, i).alias("at"), F.length(p["s"]).cast("long").alias("len"), p["loss"].alias("loss")))
+        return F.transform(F.filter(ranges, lambda r: r["loss"]), lambda r: F.struct(r["at"].alias("at"), r["len"].alias("len")))
+
+    lengths = F.transform(pieces, lambda p: F.length(p["s"]))
+    return F.struct(F.array_join(F.transform(pieces, lambda p: p["s"]), "").alias("formatted"), common.let(common.running(lengths), placed).alias("loss"))
+
+
+def _read(text: Column) -> Column:
+    """(role, text) of each turn of a formatted conversation."""
 
     def block(b: Column) -> Column:
-        role = unescape(F.substring_index(b, MIND, 1))
-        parts = F.split(F.substr(b, F.length(F.substring_index(b, MIND, 1)) + len(MIND) + 1), END)
-        return F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        head = F.substring_index(b, MIND, 1)
+        parts = F.split(F.substr(b, F.length(head) + len(MIND) + 1), END)
+        return common.let(
+            F.struct(unescape(head).alias("role"), parts.alias("parts")),
+            lambda x: F.transform(F.slice(x["parts"], F.lit(1), F.size(x["parts"]) - 1), lambda t: F.struct(x["role"].alias("role"), unescape(t).alias("text"))),
+        )
+
+    blocks = lambda b: F.flatten(F.transform(F.slice(b, F.lit(2), F.greatest(F.size(b) - 1, F.lit(0))), block))
+    return common.let(F.split(text, HEAD), blocks)
 
-    trained = F.transform("loss", lambda r: unescape(F.substr("formatted", (r["at"] + 1).cast("int"), r["len"].cast("int"))))
-    return chats.select("conv_id", "formatted", F.flatten(F.transform(blocks, block)).alias("turns"), trained.alias("trained"))
+
+def read_chats(chats: DataFrame) -> DataFrame:
+    """(conv_id, formatted, turns (role, text), trained texts), all read from the formatted text and its loss ranges."""
+    trained = F.transform(common.cut(F.col("formatted"), F.col("loss")), unescape)
+    return chats.select("conv_id", "formatted", _read(F.col("formatted")).alias("turns"), trained.alias("trained"))
 
 
 def digests(chats: DataFrame) -> DataFrame:

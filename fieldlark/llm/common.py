@@ -74,6 +74,56 @@ def without(df: DataFrame, losers: DataFrame, id_col: str = "doc_id") -> DataFra
     return df.join(drop, df[id_col].eqNullSafe(drop["__drop_id"]), "left_anti")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once; inside a lambda a column's expression would be anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Elements that one step of ``prefix`` folds; a fold that builds an array costs the square of its length.
+FOLD = 256
+
+
+def prefix(values: Column, zero: Column, step) -> Column:
+    """Of each place in an array of longs, ``step`` folded over all values before it; the last entry is that of the whole array.
+
+    ``step`` has to be associative, with ``zero`` as its neutral value. Blocks of
+    ``FOLD`` values are folded each by itself, then what goes before each block.
+    """
+
+    def fold(items):
+        begin = F.struct(zero.alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(items, begin, lambda a, x: F.struct(step(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def blocks(v):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / FOLD).cast("int")), lambda i: fold(F.slice(v, i * FOLD + 1, FOLD)))
+
+    def whole(b):
+        moved = lambda before: F.concat(F.flatten(F.zip_with(b, before["out"], lambda x, z: F.transform(x["out"], lambda y: step(z, y)))), F.array(before["at"]))
+        return let(fold(F.transform(b, lambda x: x["at"])), moved)
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(blocks(v), whole)).otherwise(F.array(zero)))
+
+
+def running(lengths: Column) -> Column:
+    """Where consecutive pieces of these lengths begin, and where the last one ends."""
+    return prefix(F.transform(lengths, lambda n: n.cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+#: Pieces that are cut out of a text by place; a text with more is taken apart once instead.
+FEW = 64
+
+
+def cut(text: Column, pieces: Column) -> Column:
+    """The parts of a text at (at, len), in code points from 0, as an array of strings."""
+
+    def both(x):
+        few = F.transform(x["p"], lambda p: F.substr(x["t"], (p["at"] + 1).cast("int"), p["len"].cast("int")))
+        many = lambda c: F.transform(x["p"], lambda p: F.array_join(F.slice(c, (p["at"] + 1).cast("int"), p["len"].cast("int")), ""))
+        return F.when(F.size(x["p"]) <= FEW, few).otherwise(let(F.regexp_extract_all(x["t"], F.lit("(?s)."), F.lit(0)), many))
+
+    return let(F.struct(text.alias("t"), pieces.alias("p")), both)
+
+
 def batches_of(ddl: str) -> pa.Schema:
     """The Arrow schema of a flat DDL string; made on executors too, where there is no session to parse it."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
