@@ -1,20 +1,24 @@
 """Secret scans: fixed patterns, and a battery of randomness tests for other tokens.
 
 DataFrame and SQL functions only. Spans of a pattern come from splitting a text
-by it: the parts between and the matches add up to the text, so their lengths
-give the places.
+by it: the parts between and the matches add up to the text, so running sums of
+their lengths give the places.
 
 The battery looks at long tokens that no fixed pattern covers. By the characters
-it has, a token's encoding is inferred; chi-squared uniformity over that
-alphabet, a runs test and lag-1 serial correlation each ask whether the token
-may be random, and a token that any of them rejects is left alone. A token of
-ordinary text repeats characters more than a random one: how far its repeats
-fall below those of ordinary text gives a p-value, in which short tokens weigh
-little. Hex digits repeat more than ordinary text does, so a hex token's p-value
-is another: the chance that a word has none but hex digits, or that a number has
-so many letters, whichever is larger. Over all tokens of the corpus the
-Benjamini-Hochberg rule, applied per encoding and class of length, keeps the
-share of false finds below a set rate.
+it has, a token's encoding is inferred, which names an alphabet, listed from the
+characters that ordinary text has most to those it has least. Three tests ask how
+likely ordinary text of that encoding would look as random as the token does:
+chi-squared uniformity over the alphabet (by how often two characters are the
+same), the number of runs within the two halves of the alphabet, and lag-1 serial
+correlation of the places in it. That a token is all hex digits is evidence of its
+own. Stouffer's rule combines them into one p-value; few characters say little, so
+short tokens weigh little (20 digits or letters of one case hardly tell). Over all tokens of the corpus the Benjamini-Hochberg
+rule, applied per encoding and class of length, keeps the share of false finds
+below a set rate.
+
+A find has to be consistent with randomness too: the same three tests, now
+against a uniform alphabet, must not reject it, neither as too uneven nor, as
+alphabets and keyboard rows are, as too even.
 """
 
 from __future__ import annotations
@@ -31,92 +35,107 @@ KINDS = [
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # a whole run of [0-9a-f], as such a run holds no other
 ]
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
-#: Encodings by their characters (the first that fits) with the size of their alphabet.
-ENCODINGS = [("decimal", "^[0-9]+$", 10), ("hex", "^[0-9a-f]+$|^[0-9A-F]+$", 16), ("lower", "^[a-z]+$", 26), ("upper", "^[A-Z]+$", 26), ("base32", "^[A-Z2-7]+$", 32), ("lower36", "^[a-z0-9]+$", 36), ("upper36", "^[A-Z0-9]+$", 36), ("base64", "^[A-Za-z0-9+/_-]+$", 64)]
-#: Encodings of which a random token is told from a number or a word.
-OPEN = ["hex", "base32", "lower36", "upper36", "base64"]
-#: Chance that two characters of ordinary text are the same.
-ORDINARY = 0.058
+DIGITS, LETTERS = "0123456789", "etaoinsrhldcumfpgwybvkxjqz"
+#: Encodings, the first that fits: name, characters, alphabet (common characters first) and its size; of ordinary
+#: tokens the chance that two characters are the same, that neighbours are of different halves of the alphabet, and
+#: the serial correlation.
+ENCODINGS = [
+    ("decimal", "^[0-9]+$", DIGITS, 10, 0.17, 0.35, 0.2),
+    ("hex", "^[0-9a-f]+$|^[0-9A-F]+$", DIGITS + "eadcfb", 16, 0.14, 0.25, 0.2),
+    ("lower", "^[a-z]+$", LETTERS, 26, 0.066, 0.25, 0.2),
+    ("upper", "^[A-Z]+$", LETTERS, 26, 0.066, 0.25, 0.2),
+    ("base32", "^[A-Z2-7]+$", LETTERS + "234567", 32, 0.06, 0.2, 0.2),
+    ("lower36", "^[a-z0-9]+$", LETTERS + DIGITS, 36, 0.06, 0.2, 0.2),
+    ("upper36", "^[A-Z0-9]+$", LETTERS + DIGITS, 36, 0.06, 0.2, 0.2),
+    ("base64", "^[A-Za-z0-9+/_-]+$", LETTERS + "_-/" + DIGITS + LETTERS.upper() + "+", 64, 0.058, 0.2, 0.2),
+]
 #: Chance that a character of an ordinary token is a hex digit, and that one of a number is a letter.
 HEX_IN_WORD, LETTER_IN_NUMBER = 0.5, 0.05
-#: A test rejects randomness beyond this many standard deviations; rate of false finds; bins per power of ten.
-REJECT, RATE, BINS = 3.29, 0.01, 10
+#: Correlation that is allowed for between two tests of a token.
+TOGETHER = 0.2
+#: Standard deviations beyond which a test rejects randomness, and as too even; rate of false finds; bins per power of ten.
+REJECT, EVEN, RATE, BINS = 3.29, 2.58, 0.01, 10
 SPANS = "array<struct<s:int,e:int,kind:string>>"
+PLACES = "array<struct<s:int,e:int,token:string>>"
 
 
 def find(text: Column, pattern: str, group: int, least: int) -> Column:
-    """(s, e) of all leftmost non-overlapping matches whose group has ``least`` characters, in code points."""
-    whole, sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<s:int,e:int,n:int>>)").alias("out"))
-
-    def step(a, m):
-        s = a["at"] + m["gap"]
-        e = s + m["len"]
-        return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), m["n"].alias("n")))).alias("out"))
-
-    pieces = F.arrays_zip(
-        F.transform(whole, lambda m: F.length(m)).alias("len"),
-        F.transform(sized, lambda m: F.length(m)).alias("n"),
-        F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"),
+    """(s, e, token) of all leftmost non-overlapping matches whose group has ``least`` characters, in code points."""
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
+        F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m)).alias("n"),
+        F.transform(F.split(text, pattern, -1), lambda p: F.length(p)).alias("gap"),
     )
-    found = F.aggregate(pieces, begin, step, lambda a: a["out"])
-    kept = F.transform(F.filter(found, lambda m: m["n"] >= least), lambda m: F.struct(m["s"], m["e"]))
-    return F.when(F.regexp_like(text, F.lit(pattern)), kept).otherwise(F.expr("cast(array() as array<struct<s:int,e:int>>)"))
 
+    def placed(x: Column) -> Column:
+        def at(begin: Column) -> Column:
+            start = lambda i: (F.get(begin, i) + F.get(x["gap"], i)).cast("int")
+            found = F.transform(x["whole"], lambda m, i: F.struct(start(i).alias("s"), (start(i) + F.length(m)).alias("e"), m.alias("token"), F.get(x["n"], i).alias("n")))
+            return F.transform(F.filter(found, lambda m: m["n"] >= least), lambda m: F.struct(m["s"], m["e"], m["token"]))
 
-def _phi(z: Column) -> Column:
-    """The normal distribution function; the tail by its asymptotic series' first term."""
-    near = 1 / (1 + F.exp(-z * (1.5976 + 0.070566 * z * z)))
-    tail = F.exp(-z * z / 2) / (F.abs(z) * 2.5066282746)
-    return F.when(z < -4, tail).otherwise(near)
+        return common.let(common.running(F.transform(x["whole"], lambda m, i: F.length(m) + F.get(x["gap"], i))), at)
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), common.let(parts, placed)).otherwise(F.expr(f"cast(array() as {PLACES})"))
 
 
-def _encoding(token: Column) -> tuple[Column, Column]:
-    name = size = None
-    for n, pattern, a in ENCODINGS:
+def _phi(z: Column) -> Column:
+    """The normal distribution function; its lower tail by a continued fraction, as that is where it counts."""
+    near = 1 / (1 + F.exp(-z * (1.5976 + 0.070566 * z * z)))
+    x = F.greatest(-z, F.lit(1.0))
+    below = x
+    for k in range(8, 0, -1):
+        below = x + k / below
+    return F.when(z < -2, F.exp(-z * z / 2) / (below * 2.5066282746)).otherwise(near)
+
+
+def _encoding(token: Column) -> Column:
+    """The encoding's row of ``ENCODINGS``, as a struct; null where none fits."""
+    out = None
+    for name, pattern, letters, size, same, change, serial in ENCODINGS:
+        row = F.struct(F.lit(name).alias("encoding"), F.lit(letters).alias("letters"), F.lit(float(size)).alias("a"), F.lit(same).alias("same"), F.lit(change).alias("change"), F.lit(serial).alias("serial"))
         fits = F.regexp_like(token, F.lit(pattern))
-        name = F.when(fits, n) if name is None else name.when(fits, n)
-        size = F.when(fits, a) if size is None else size.when(fits, a)
-    return name, size.cast("double")
+        out = F.when(fits, row) if out is None else out.when(fits, row)
+    return out
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds to tokens (column token) their encoding, length class, whether a test rejects randomness, and log10 of p."""
-    body = F.regexp_replace(F.col("token"), "=+$", "")
-    name, size = _encoding(F.col("body"))
-    t = tokens.withColumn("body", body).withColumns({"encoding": name, "alphabet": size, "n": F.length("body").cast("double")})
-    t = t.where(F.col("encoding").isin(OPEN)).withColumn("codes", F.transform(F.split("body", ""), lambda c: F.ascii(c)))
-    # places in the alphabet: digits, then letters, then marks
-    place = lambda c: F.when(c < 58, F.when(c >= 48, c - 48).otherwise(62 + (c == 47).cast("int"))).when(c < 91, c - 55).when(c < 96, F.lit(63)).otherwise(F.when(c >= 97, c - 61 - F.when(F.col("alphabet") <= 36, 26).otherwise(0)).otherwise(62))
-    b32 = lambda c: F.when(c < 58, c - 24).otherwise(c - 65)
-    t = t.withColumn("v", F.when(F.col("encoding") == "base32", F.transform("codes", b32)).otherwise(F.transform("codes", place)))
-    squares = F.aggregate(F.array_distinct("v"), F.lit(0.0), lambda a, x: a + F.pow(F.size(F.filter("v", lambda y: y == x)).cast("double"), F.lit(2.0)))
-    t = t.withColumns({"squares": squares, "mean": F.aggregate("v", F.lit(0.0), lambda a, x: a + x) / F.col("n")})
-    a, n = F.col("alphabet"), F.col("n")
-    chi = (a / n * F.col("squares") - n - (a - 1)) / F.sqrt(2 * (a - 1) * (1 - 1 / n))
-    up = F.transform("v", lambda x: (x.cast("double") * 2 >= a).cast("int"))
-    steps = F.zip_with(F.slice("v", F.lit(1), F.size("v") - 1), F.slice("v", F.lit(2), F.size("v") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-    t = t.withColumns({"up": up, "steps": steps})
-    ones = F.aggregate("up", F.lit(0.0), lambda s, x: s + x)
-    runs = 1 + F.aggregate(F.zip_with(F.slice("up", F.lit(1), F.size("up") - 1), F.slice("up", F.lit(2), F.size("up") - 1), lambda x, y: (x != y).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    covered = F.aggregate("steps", F.lit(0.0), lambda s, p: s + (p["x"] - F.col("mean")) * (p["y"] - F.col("mean")))
-    spread = F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
-    t = t.withColumns({"ones": ones, "runs": runs, "covered": covered, "spread": spread})
+    """Adds to tokens (column token) their stratum (encoding, length class), whether a test rejects randomness, and log10 of p."""
+    t = tokens.withColumn("body", F.regexp_replace("token", "=+$", "")).withColumn("enc", _encoding(F.col("body"))).where("enc is not null")
+    t = t.select("*", "enc.*").withColumn("body", F.when(F.col("encoding") == "base64", F.col("body")).otherwise(F.lower("body")))
+    t = t.withColumns({"n": F.length("body").cast("double"), "v": F.transform(F.split("body", ""), lambda c: F.instr(F.col("letters"), c) - 1)})
+    squares = F.aggregate(F.array_distinct("v"), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter("v", lambda y: y == x)).cast("double"), F.lit(2.0)))
+    t = t.withColumns({"squares": squares, "mean": F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.col("n"), "up": F.transform("v", lambda x: (x.cast("double") * 2 >= F.col("a")).cast("int"))})
+    pairs = lambda c, f: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), f)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    t = t.withColumns(
+        {
+            "ones": total("up"),
+            "changes": total(pairs("up", lambda x, y: (x != y).cast("double"))),
+            "covered": total(pairs("v", lambda x, y: (x - F.col("mean")) * (y - F.col("mean")))),
+            "spread": F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))),
+            "letters": F.size(F.filter("v", lambda x: x >= 10)).cast("double"),
+        }
+    )
+    a, n, same, change = F.col("a"), F.col("n"), F.col("same"), F.col("change")
+    r = F.when(F.col("spread") > 0, F.col("covered") / F.col("spread"))
+    # against ordinary text: how far below its figures the token's lie
+    z_chi = ((F.col("squares") - n) / (n * (n - 1)) - same) / F.sqrt(2 * same * (1 - same) / (n * (n - 1)))
+    z_runs = ((n - 1) * change - F.col("changes")) / F.sqrt((n - 1) * change * (1 - change))
+    z_serial = (F.abs(r) - F.col("serial")) * F.sqrt(n)
+    numbers = (LETTER_IN_NUMBER * n - F.col("letters")) / F.sqrt(LETTER_IN_NUMBER * (1 - LETTER_IN_NUMBER) * n)
+    words = -F.sqrt(F.greatest(-2 * n * F.log(F.lit(HEX_IN_WORD)) - F.log(4 * n), F.lit(0.0)))  # about the deviation with a tail of HEX_IN_WORD^n
+    is_hex = F.col("encoding") == "hex"
+    k = F.when(is_hex, 4.0).otherwise(3.0)
+    z = (z_chi + z_runs + z_serial + F.when(is_hex, F.greatest(words, numbers)).otherwise(0.0)) / F.sqrt(k + k * (k - 1) * TOGETHER)
+    # against randomness
+    df = a - 1
+    even = (F.pow(F.greatest(a / n * F.col("squares") - n, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     many = 2 * F.col("ones") * (n - F.col("ones")) / n
-    width = F.sqrt(F.greatest(many * (many - 1) / (n - 1), F.lit(1e-9)))
-    z_runs = (F.col("runs") - 1 - many) / width
-    z_serial = F.when(F.col("spread") > 0, F.col("covered") / F.col("spread") * F.sqrt(n)).otherwise(F.lit(99.0))
-    repeats = (F.col("squares") - n) / (n * (n - 1))
-    z = (repeats - ORDINARY) / F.sqrt(2 * ORDINARY * (1 - ORDINARY) / (n * (n - 1)))
-    letters = F.size(F.filter("v", lambda x: x >= 10)).cast("double")
-    z_hex = (LETTER_IN_NUMBER * n - letters) / F.sqrt(LETTER_IN_NUMBER * (1 - LETTER_IN_NUMBER) * n)
-    p_hex = F.greatest(F.pow(F.lit(HEX_IN_WORD), n), _phi(z_hex))
-    p = F.when(F.col("encoding") == "hex", p_hex).otherwise(_phi(z))
+    runs = (F.col("changes") - many) / F.sqrt(F.greatest(many * (many - 1) / (n - 1), F.lit(1e-9)))
     return t.withColumns(
         {
-            "rejected": (chi > REJECT) | (F.abs(z_runs) > REJECT) | (F.abs(z_serial) > REJECT),
-            "log_p": F.log10(F.greatest(p, F.lit(1e-300))),
+            "rejected": F.coalesce((even > REJECT) | (even < -EVEN) | (F.abs(runs) > REJECT) | (F.abs(r) * F.sqrt(n) > REJECT), F.lit(True)),
+            "log_p": F.log10(F.greatest(_phi(F.coalesce(z, F.lit(0.0))), F.lit(1e-300))),
             "stratum": F.concat_ws("/", "encoding", F.floor(F.log2(n)).cast("string")),
         }
     ).select(*tokens.columns, "stratum", "rejected", "log_p")
@@ -145,10 +164,29 @@ def _base(text: Column) -> Column:
     return F.transform(F.array_sort(F.concat(*each)), lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e"), m["kind"].alias("kind")))
 
 
+def _apart(tokens: Column, base: Column) -> Column:
+    """The tokens that overlap no span of ``base``; either are in one order by start, so neighbours tell."""
+    places = F.concat(
+        F.transform(tokens, lambda t, i: F.struct(t["s"].alias("s"), t["e"].alias("e"), i.alias("i"))),
+        F.transform(base, lambda b: F.struct(b["s"].alias("s"), b["e"].alias("e"), F.lit(-1).alias("i"))),
+    )
+    far = F.lit(1 << 62)
+
+    def told(every: Column) -> Column:
+        # the furthest end of the fixed spans before each place, and the nearest start of those after it
+        ends = F.transform(every, lambda x: F.when(x["i"] < 0, x["e"]).otherwise(0).cast("long"))
+        starts = F.transform(F.reverse(every), lambda x: F.when(x["i"] < 0, x["s"].cast("long")).otherwise(far))
+        near = F.struct(common.prefix(ends, F.lit(0).cast("long"), F.greatest).alias("before"), common.prefix(starts, far, F.least).alias("after"))
+        free = lambda w: F.filter(every, lambda x, k: (x["i"] >= 0) & (F.get(w["before"], k) <= x["s"]) & (F.get(w["after"], F.size(every) - 1 - k) >= x["e"]))
+        return common.let(near, free)
+
+    kept = common.let(F.array_sort(places), told)
+    return F.when(F.size(base) == 0, tokens).otherwise(F.transform(kept, lambda x: F.get(tokens, x["i"])))
+
+
 def _tokens(text: Column, base: Column) -> Column:
-    """(s, e, token) of the long tokens that no fixed pattern covers."""
-    free = F.filter(find(text, TOKEN, 0, 20), lambda t: ~F.exists(base, lambda b: (b["s"] < t["e"]) & (t["s"] < b["e"])))
-    return F.transform(free, lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), F.substr(text, t["s"] + 1, t["e"] - t["s"]).alias("token")))
+    """(s, e, token) of the long tokens that no fixed pattern covers, in whole or in part."""
+    return common.let(F.struct(find(text, TOKEN, 0, 20).alias("t"), base.alias("b")), lambda x: _apart(x["t"], x["b"]))
 
 
 def _in_order(spans: Column) -> Column:
@@ -195,15 +233,18 @@ def summary(found: DataFrame) -> DataFrame:
 
 
 def _blanked(text: Column, spans: Column, mask: str) -> Column:
-    begin = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    """The text with ``mask`` in place of what spans cover; spans that overlap share one."""
+
+    def masked(x: Column) -> Column:
+        def gaps(ends: Column) -> Column:
+            # a span opens a gap if it begins no sooner than the furthest end before it
+            opened = F.filter(F.transform(x["s"], lambda m, i: F.struct(F.get(ends, i).alias("at"), (m["s"] - F.get(ends, i)).alias("len"))), lambda g: g["len"] >= 0)
+            last = F.struct(F.get(ends, F.size(x["s"])).alias("at"), (F.length(x["t"]) - F.get(ends, F.size(x["s"]))).alias("len"))
+            return F.array_join(common.cut(x["t"], F.concat(opened, F.array(last))), mask)
 
-    def step(a, m):
-        more = F.concat(a["out"], F.array(F.substr(text, a["at"] + 1, m["s"] - a["at"]), F.lit(mask)))
-        over = m["s"] < a["at"]  # overlaps the span before, which is blanked already
-        return F.struct(F.greatest(a["at"], m["e"]).alias("at"), F.when(over, a["out"]).otherwise(more).alias("out"))
+        return common.let(common.prefix(F.transform(x["s"], lambda m: m["e"].cast("long")), F.lit(0).cast("long"), F.greatest), gaps)
 
-    done = lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, begin, step, done)).otherwise(text)
+    return F.when(F.size(spans) > 0, common.let(F.struct(text.alias("t"), spans.alias("s")), masked)).otherwise(text)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", rate: float = RATE) -> DataFrame:

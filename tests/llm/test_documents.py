@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -324,6 +326,136 @@ def test_secret_scan_finds_hex_of_both_cases(spark):
     assert all((blank[i] == "see [SECRET] here") == (i in found) for i in blank)
 
 
+def battery_by_hand(token):
+    """(stratum, whether a test rejects randomness, p) of a token, or None without an encoding."""
+    body = token.rstrip("=")
+    for name, pattern, letters, size, same, change, serial in secret_scan.ENCODINGS:
+        if re.fullmatch(pattern.replace("^", "(?:").replace("$", ")"), body):
+            break
+    else:
+        return None
+    body = body if name == "base64" else body.lower()
+    v, n = np.array([max(letters.find(c), -1) for c in body], float), len(body)
+    counts = np.array(list(Counter(body).values()))
+    up = v * 2 >= size
+    ones, changes = up.sum(), (up[1:] != up[:-1]).sum()
+    d = v - v.mean()
+    r = (d[1:] * d[:-1]).sum() / (d * d).sum() if (d * d).sum() else None
+    pairs = n * (n - 1)
+    z = [((counts**2).sum() - n) / pairs - same, (n - 1) * change - changes]
+    z = [z[0] / math.sqrt(2 * same * (1 - same) / pairs), z[1] / math.sqrt((n - 1) * change * (1 - change))]
+    if r is not None:
+        z.append((abs(r) - serial) * math.sqrt(n))
+    if name == "hex":
+        p, letter = secret_scan.LETTER_IN_NUMBER, (v >= 10).sum()
+        words = -math.sqrt(max(-2 * n * math.log(secret_scan.HEX_IN_WORD) - math.log(4 * n), 0))
+        z.append(max(words, (p * n - letter) / math.sqrt(p * (1 - p) * n)))
+    k = 4 if name == "hex" else 3
+    total = sum(z) / math.sqrt(k + k * (k - 1) * secret_scan.TOGETHER) if r is not None else 0.0
+    df = size - 1
+    even = ((max(size / n * (counts**2).sum() - n, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    many = 2 * ones * (n - ones) / n
+    runs = (changes - many) / math.sqrt(max(many * (many - 1) / (n - 1), 1e-9))
+    bad = r is None or even > secret_scan.REJECT or even < -secret_scan.EVEN or abs(runs) > secret_scan.REJECT or abs(r) * math.sqrt(n) > secret_scan.REJECT
+    return f"{name}/{int(math.log2(n))}", bad, math.erfc(-total / math.sqrt(2)) / 2
+
+
+def found_by_hand(tokens, rate=secret_scan.RATE):
+    """What the battery finds among the distinct tokens, and what lies too near a limit to tell."""
+    rows = {t: x for t in set(tokens) if (x := battery_by_hand(t))}
+    found, near = set(), set()
+    for stratum in {x[0] for x in rows.values()}:
+        ps = sorted((p, t) for t, (s, _, p) in rows.items() if s == stratum)
+        cut = max((p for k, (p, _) in enumerate(ps) if p <= rate * (k + 1) / len(ps)), default=0)
+        for p, t in ps:
+            if p <= cut and not rows[t][1]:
+                found.add(t)
+            if cut / 1.5 < p < cut * 1.5 or p > rate / len(ps) / 1.5 and not cut and p < rate * 1.5:
+                near.add(t)
+    return found, near
+
+
+def random_token(rnd, alphabet, n):
+    return "".join(rnd.choice(alphabet) for _ in range(n))
+
+
+ALPHABETS = {
+    "decimal": "0123456789", "hex": "0123456789abcdef", "HEX": "0123456789ABCDEF", "lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "lower36": "abcdefghijklmnopqrstuvwxyz0123456789", "upper36": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+
+
+@pytest.fixture(scope="module")
+def battery_rows():
+    """Tokens of every encoding, random and ordinary ones."""
+    rnd = random.Random(21)
+    planted = [random_token(rnd, a, n) for k, a in ALPHABETS.items() for n in (40, 48, 64) for _ in range(15) if k != "hex"]
+    syllables = ["ther", "ing", "and", "ion", "ent", "ver", "sch", "ein", "est", "ous", "ment", "able", "re", "con", "di", "ta", "lo", "mi"]
+    word = lambda: "".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3)))
+    plain = []
+    for _ in range(150):
+        w = [word() for _ in range(rnd.randint(5, 9))]
+        plain += ["".join(w), "_".join(w), "/".join(w), "".join(x.title() for x in w), "-".join(w).upper().replace("-", ""), "".join(w) + "2024", f"{rnd.randint(2019, 2024)}{rnd.randint(1, 12):02}{rnd.randint(1, 28):02}00000000{rnd.randint(0, 99):04}"]
+    plain += ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "qwertyuiopasdfghjklzxcvbnm", "0123456789012345678901234567890123456789", "thequickbrownfoxjumpsoverthelazydog"]
+    return planted, [t for t in plain if len(t) >= 20]
+
+
+def test_secret_battery_against_brute_force(spark, battery_rows):
+    planted, plain = battery_rows
+    df = spark.createDataFrame([(t,) for t in planted + plain], "token string")
+    got = {r.token for r in secret_scan.random_tokens(df).collect()}
+    want, near = found_by_hand(planted + plain)
+    assert got - near == want - near and len(near) < 0.1 * len(planted)
+    for r in secret_scan.battery(df.distinct()).collect():
+        stratum, bad, p = battery_by_hand(r.token)
+        assert (r.stratum, r.rejected) == (stratum, bad) and abs(r.log_p - math.log10(max(p, 1e-300))) < 0.03 * max(1, -math.log10(max(p, 1e-300)))
+
+
+def test_secret_battery_finds_every_encoding_and_leaves_plain_text(spark, battery_rows):
+    planted, plain = battery_rows
+    docs = spark.createDataFrame(list(enumerate(f"ein {t} dort" for t in planted + plain)), "doc_id long, text string")
+    found = {r.doc_id for r in secret_scan.scan(docs).where("exists(spans, m -> m.kind = 'random')").collect()}
+    missed = Counter(battery_by_hand(t)[0].split("/")[0] for i, t in enumerate(planted) if i not in found)
+    assert missed.pop("decimal") == 45  # of 24 digits and more, so spans of the fixed pattern for hex already
+    assert max(missed.values()) <= 10 and sum(missed.values()) <= 30, missed
+    assert sum(i >= len(planted) for i in found) <= 0.01 * len(found) + 1
+
+
+@pytest.mark.parametrize("letter", ["x", "é"])
+def test_secrets_in_a_long_text(spark, letter):
+    rnd = random.Random(22)
+    bits = [f"token={random_token(rnd, ALPHABETS['base64'][:-2], 8)}" if i % 2 else random_token(rnd, ALPHABETS["base64"][:-2], 30) for i in range(30_000)]
+    text = f" {letter} ".join(bits)
+    df = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    t = time.perf_counter()
+    got = {r.doc_id: r for r in secret_scan.scan(df).collect()}
+    assert [(m.s, m.e, m.kind) for m in got[1].base] == [(a, e, k) for a, _, e, k in base_spans(text)]
+    spans = [(m.s, m.e) for m in got[1].spans if m.kind == "random"]
+    assert len(spans) > 14_000 and all(text[a:b] in bits for a, b in spans[:500])
+    blank = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    want, at = [], 0
+    for m in got[1].spans:
+        want += [text[at : m.s], "[SECRET]"]
+        at = m.e
+    assert blank == {1: "".join(want) + text[at:], 2: "short"}
+    assert time.perf_counter() - t < 120
+
+
+def apart_by_hand(text):
+    base = base_spans(text)
+    return [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text) if not any(a < m.end() and m.start() < e for a, _, e, _ in base)]
+
+
+def test_long_tokens_stay_clear_of_fixed_spans(spark):
+    rnd = random.Random(23)
+    bits = ["AKIA" + "B" * 20, "token=", "password: ", "/", " ", "é", "0" * 30, "abcdefghij", "KLMNOPQRST", "+", "=", "\n"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(1, 700 if i % 50 == 0 else 12))) for i in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    text = F.col("text")
+    got = {r.i: [(x.s, x.e, x.token) for x in r.t] for r in df.select("i", secret_scan._tokens(text, secret_scan._base(text)).alias("t")).collect()}
+    assert got == {i: [(a, e, t[a:e]) for a, e in apart_by_hand(t)] for i, t in enumerate(texts)}
+
+
 def test_secret_scan_uses_no_python(spark, sf_dir):
     plan = queries.op8_secret_scans(spark, sf_dir)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
