@@ -9,30 +9,22 @@ are rare, so an ordinary shuffle by digest meets no hot key.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-DIGESTS = "doc_id long, digest binary"
 SUMMARY = "digest binary, n long"
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """(doc_id, digest): SHA-256 of the text with A-Z lower-cased, in UTF-8; with the number of a numbered row if asked."""
-    ddl, more = (f"{DIGESTS}, row long", [common.ROW]) if row else (DIGESTS, [])
-
-    def run(batches):
-        schema = common.batches_of(ddl)
-        for b in common.sliced(batches):
-            out = [hashlib.sha256(t.lower()).digest() for t in b.column(1).to_pylist()]  # bytes.lower() is A-Z only
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), *b.columns[2:]], schema=schema)
-
-    return common.text_rows(docs, id_col, text_col, "binary", *more).mapInArrow(run, ddl)
+    rows = common.text_rows(docs, id_col, text_col, "string", *([common.ROW] if row else []))
+    digest = F.unhex(F.sha2(common.lower_ascii(F.col("text")).cast("binary"), 256)).alias("digest")
+    return rows.select("doc_id", digest, *([F.col(common.ROW).alias("row")] if row else []))
 
 
 def _reduce(counts: Counter, k: int) -> Counter:
@@ -86,11 +78,10 @@ def _settled(rows: DataFrame, order: Column, counters: int) -> DataFrame:
     verified = [tuple(r) for r in frequent.collect()]  # at most `counters` rows
     winners = F.broadcast(rows.sparkSession.createDataFrame(verified, frequent.schema))
     heavy = rows.join(winners, "digest")
-    w = Window.partitionBy("digest")
-    light = rows.join(winners, "digest", "left_anti").select(
-        *rows.columns, F.max(order).over(w).alias("best"), F.count(F.lit(1)).over(w).alias("group_size")
-    )
-    return heavy.select(*light.columns).unionByName(light)
+    rest = rows.join(winners, "digest", "left_anti")
+    # counted on the map side first, so that a digest's rows meet only to be told, a partition at a time
+    light = rest.join(rest.groupBy("digest").agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size")), "digest")
+    return heavy.unionByName(light)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = 1024) -> DataFrame:
