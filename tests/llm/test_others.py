@@ -95,6 +95,95 @@ def test_mined_rules_block_what_the_labels_say(spark):
     assert urls.judge(pages, noise).where("verdict = 'block'").count() == 0
 
 
+def mined_by_hand(data, support, confidence, most):
+    """Of (items, bad): the kept rules as {(antecedent, verdict): confidence}, by counting every set of tokens."""
+    from itertools import combinations
+
+    n = len(data)
+    least = max(support * n, urls.Z**2 * confidence / (1 - confidence))
+    pages = Counter(t for items, _ in data for t in items)
+    baskets = [(sorted((t for t in items if pages[t] >= least), key=lambda t: (pages[t], t))[:most], bad) for items, bad in data]
+    have, bads = Counter(), Counter()
+    for items, bad in baskets:
+        for k in range(1, len(items) + 1):
+            for c in combinations(sorted(items), k):
+                have[c] += 1
+                bads[c] += bad
+    rules = {}
+    for c, m in have.items():
+        for verdict, k in (("block", bads[c]), ("allow", m - bads[c])):
+            p, z2 = k / m, urls.Z**2
+            low = (p + z2 / (2 * m) - urls.Z * math.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
+            if k >= least - 1e-9 and low >= confidence:
+                rules[c, verdict] = low
+    return {(c, v): x for (c, v), x in rules.items() if not any(w == v and set(d) < set(c) and y >= x - 1e-12 for (d, w), y in rules.items())}
+
+
+@pytest.mark.parametrize("support,most", [(0.002, 12), (0.05, 12), (0.002, 3)])
+def test_mined_rules_against_brute_force(spark, support, most):
+    rnd = random.Random(8)
+    names = [f"h:{c}" for c in "abc"] + [f"p:{c}" for c in "xyz"] + ["q:id", "q:ref"]
+    data = []
+    for _ in range(1500):
+        items = sorted({rnd.choice(names[:3]), rnd.choice(names[3:6]), *rnd.sample(names, 2)})
+        low = {"h:a", "p:x"} <= set(items) or "q:ref" in items and "h:b" in items
+        data.append((items, rnd.random() < (0.95 if low else 0.1)))
+    # a pair that decides, in company that only repeats it
+    data += [([*"mn", f"o{i % 2}"], True) for i in range(80)] + [(["m"], False), (["n"], False)] * 40
+    df = spark.createDataFrame(data, "items array<string>, bad boolean").repartition(3)
+    got = {(tuple(r.antecedent), r.verdict): r for r in urls.mine(df, support, most=most).collect()}
+    want = mined_by_hand(data, support, urls.CONFIDENCE, most)
+    assert set(got) == set(want) and all(abs(got[k].confidence - want[k]) < 1e-9 for k in want)
+    if support < 0.01:
+        assert (("m", "n"), "block") in got and not any({"m", "n"} < set(a) for a, _ in got)
+    pages = Counter(t for items, _ in data for t in items)
+    assert all(r.anchor == min(r.antecedent, key=lambda t: (pages[t], t)) for r in got.values())
+
+
+def test_no_labels_mine_nothing(spark):
+    none = spark.createDataFrame([], "items array<string>, bad boolean")
+    assert urls.mine(none).count() == 0
+    few = spark.createDataFrame([(["a"], True)] * 10 + [([], False)], "items array<string>, bad boolean")
+    assert urls.mine(few).count() == 0
+
+
+def test_long_urls(spark):
+    many = "&".join(f"p{c}{d}=1" for c in "abcdefghij" for d in "klmnopqrst")
+    data = [(i, f"http://site.info/{'x' if i % 2 else 'y'}/{'seg/' * 3000}?{many}") for i in range(60)]
+    pages = spark.createDataFrame(data, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in urls.judge(pages, labels).collect()}
+    assert got == {i: "allow" if i % 2 else "block" for i in range(60)}
+
+
+def test_mined_verdicts_of_the_query(spark):
+    d = "/root/testdata/sf0.1"
+    out = queries.op2_url_filters(spark, d)
+    rows = out.collect()
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url").collect()
+    bad = {}
+    for r in spark.read.parquet(f"{d}/labels.parquet").collect():
+        bad[r.doc_id] = bad.get(r.doc_id, False) or r.toxic == 1 or r.quality == 0
+    data = {}
+    for r in pages:
+        host, path = url_by_hand(r.url)
+        query = re.search(r"://[^?#]*\?([^#]*)", r.url)
+        named = [f"h:{t}" for t in host.split(".")] + [f"p:{t}" for t in path.split("/")] + [f"q:{t.split('=')[0]}" for t in (query[1].split("&") if query else [])]
+        data[r.page_id] = sorted({re.sub("[0-9]+", "0", t) for t in named if len(re.sub("[0-9]+", "0", t)) > 2}), rule_by_hand(host, path)[1]
+    known = [(items, verdict == "block") for items, verdict in data.values() if verdict] + [(items, bad[i]) for i, (items, verdict) in data.items() if not verdict and i in bad]
+    rules = mined_by_hand(known, urls.SUPPORT, urls.CONFIDENCE, urls.MOST)
+    assert rules
+    for r in rows:
+        items, verdict = data[r.page_id]
+        fits = [(round(x, 9), len(a), " ".join(a), v) for (a, v), x in rules.items() if set(a) <= set(items)]
+        best = max(fits, default=None)
+        if verdict:
+            assert (r.verdict, r.mined) == (verdict, None)
+        else:
+            assert (r.verdict, r.mined) == ((best[3], best[2]) if best else ("allow", None))
+    assert any(r.mined for r in rows)
+
+
 def test_url_query(spark, sf_dir):
     df = queries.op2_url_filters(spark, sf_dir)
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
