@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Only a local session, as in tests, gets one of its own where none is set."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         d = f"file://{tempfile.mkdtemp(prefix='fieldlark-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
