@@ -15,6 +15,7 @@ leaves no half-written file and any store that Spark reaches will do.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +26,11 @@ from . import common
 from .word_ids import word_ids
 
 IDS = "doc_id long, ids binary, sums binary"
-CODED = "to int, doc_id long, n long, bits binary, checkpoints binary"
+CODED = "to int, doc_id long, spread long, n long, bits binary, checkpoints binary"
 BLOCKS = "part int, begin long, tokens long, doc_ids array<long>, counts array<long>, bits binary, checkpoints binary"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Ids between checkpoints; longest code in bits; ids of a block.
-SEGMENT, LONGEST, BLOCK = 256, 18, 1 << 20
+#: Ids between checkpoints; longest code in bits; ids of a block; rows that the files' bounds are taken from, at most.
+SEGMENT, LONGEST, BLOCK, SAMPLE = 256, 18, 1 << 20, 1 << 20
 
 
 def code_lengths(counts: np.ndarray, longest: int = LONGEST) -> np.ndarray:
@@ -146,7 +147,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
     """Encode all texts and write ``path``/blocks and ``path``/code; returns ``path``.
 
     A null or empty text is its end id alone. Equal doc_ids stand beside each
-    other, null ones first.
+    other, null ones first; many of one id go to several files.
     """
     spark = docs.sparkSession
     width = "<u2" if max(word_ids(tokenizer).size, end_id + 1) <= 1 << 16 else "<u4"
@@ -162,8 +163,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), pa.nulls(len(out), pa.binary())], schema=schema)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], schema=schema)
 
-    kept = common.stored(common.text_rows(docs, id_col, text_col).mapInArrow(tokens, IDS), "ids", "zstd")
-    rows = kept.where("sums is null").select("doc_id", "ids")
+    kept = common.text_rows(docs, id_col, text_col).mapInArrow(tokens, IDS).withColumn("row", F.monotonically_increasing_id())
+    kept = common.stored(kept, "ids", "zstd")
+    # files are cut by id, and within the rows of one id (or of none) by a number that spreads them
+    rows = kept.where("sums is null").select("doc_id", "ids", F.xxhash64("row").alias("spread"))
 
     def count(batches):
         total = np.zeros(0, np.int64)
@@ -185,12 +188,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
         schema = common.batches_of(CODED)
         for b in common.sliced(batches, 64):
             part = b.column(1).to_pylist()
-            to = np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy(), "left").astype(np.int32)
+            to = [bisect_left(bounds, at) for at in zip(b.column(0).fill_null(-(1 << 63)).to_pylist(), b.column(2).to_pylist())]
             n = np.array([len(r) for r in part], np.int64) // np.dtype(width).itemsize
             bits, size, at = encode_bits(np.frombuffer(b"".join(part), width), np.cumsum(n), lengths, top)
             byte, first = np.concatenate([[0], np.cumsum(size)]).tolist(), np.concatenate([[0], np.cumsum(n)]).tolist()
             marks = [(at[first[k] : first[k + 1] : SEGMENT] - 8 * byte[k]).astype("<u4").tobytes() for k in range(len(part))]
-            yield pa.RecordBatch.from_arrays([pa.array(to), b.column(0), pa.array(n), pa.array([bits[byte[k] : byte[k + 1]] for k in range(len(part))], pa.binary()), pa.array(marks, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), b.column(0), b.column(2), pa.array(n), pa.array([bits[byte[k] : byte[k + 1]] for k in range(len(part))], pa.binary()), pa.array(marks, pa.binary())], schema=schema)
 
     def blocks(batches):
         schema = common.batches_of(BLOCKS)
@@ -206,7 +209,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, schema.types)], schema=schema)
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns[1:])):
+            for row in zip(*(b.column(k).to_pylist() for k in (1, 3, 4, 5))):
                 held.append(row)
                 size += row[1]
                 if size >= BLOCK:
@@ -217,8 +220,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: s
 
     total = int(counts.sum())
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK)), -(-total // (16 * BLOCK)))
-    bounds = np.unique(np.array(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else [], np.int64))
-    dealt = rows.mapInArrow(code, CODED).repartitionById(parts, F.col("to")).sortWithinPartitions("doc_id")
+    bounds: list[tuple[int, int]] = []
+    if parts > 1:  # cut at quantiles of a sample of bounded size: the bounds only balance the files
+        share = min(1.0, min(SAMPLE, 64 * parts) / max(1, rows.count()))
+        some = sorted((-(1 << 63) if r[0] is None else r[0], r[1]) for r in rows.select("doc_id", "spread").where(F.pmod(F.xxhash64("spread"), F.lit(1 << 30)) < share * (1 << 30)).collect())
+        bounds = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
+    dealt = rows.mapInArrow(code, CODED).repartitionById(parts, F.col("to")).sortWithinPartitions("doc_id", "spread")
     dealt.mapInArrow(blocks, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     return path
 

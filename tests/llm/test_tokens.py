@@ -178,3 +178,18 @@ def test_id_files(spark, sf_dir, odd_docs):
     assert sorted(map(tuple, id_files.round_trip(own, path).collect())) == ids_by_hand(own.collect())
     assert {tuple(r)[2:] for r in id_files.round_trip(odd_docs, path).collect()} == {x[2:] for x in ids_by_hand(odd_docs.collect())}
     assert id_files.round_trip(odd_docs.limit(0), path).count() == 0
+
+
+def test_id_files_cut_within_an_id(spark, monkeypatch):
+    monkeypatch.setattr(id_files, "BLOCK", 200)  # the driver's, which makes more files
+    rnd = random.Random(4)
+    rows = [(i, f"text {rnd.randint(0, 9)} " * rnd.randint(0, 9)) for i in [None] * 150 + [7] * 250 + list(range(40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = id_files.write_ids(docs, f"{spark.conf.get('spark.checkpoint.dir')}/cut", public_tokenizers.path("byte_bpe_50k.json"), 2)
+    files = spark.read.parquet(f"{path}/blocks").select("part", "doc_ids").collect()
+    assert len({r.part for r in files if None in r.doc_ids}) > 1 and len({r.part for r in files if 7 in r.doc_ids}) > 1
+    got = sorted(map(tuple, id_files.read_ids(spark, path).collect()), key=lambda r: r[1])
+    assert Counter((r[0], *r[2:]) for r in got) == Counter((r[0], *r[2:]) for r in ids_by_hand(docs.collect()))
+    assert [r[1] for r in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    ids = [-1 if r[0] is None else r[0] for r in got]
+    assert ids == sorted(ids)
