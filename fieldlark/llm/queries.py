@@ -80,6 +80,16 @@ ORACLES = {
              s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q, v c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
              r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op9_chat_formatting": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+             e AS (SELECT *, length(replace(replace(replace(text, '\', '\0'), '</turn>', '\1'), '### ', '\2')) AS text_chars,
+                          length(replace(replace(replace(replace(role, '\', '\0'), '</turn>', '\1'), '### ', '\2'), ': ', '\3')) AS role_chars, lag(role) OVER w AS before, row_number() OVER w AS k
+                   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k)) AS loss_sha256,
+               sum(text_chars + 7 + CASE WHEN k = 1 THEN 6 + role_chars WHEN role <> before THEN 7 + role_chars ELSE 0 END)::BIGINT AS formatted_chars
+        FROM e GROUP BY 1""",
 }
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -53,6 +54,18 @@ def test_chat_query(spark, sf_dir):
     assert not re.search("Python|Pandas|MapInArrow", df._jdf.queryExecution().toString())
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_sql(spark, sf_dir, name):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.sql(queries.ORACLES[name]).to_arrow_table()
+    got = queries.queries()[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(want.column_names)
+    assert Counter(tuple(r[c] for c in want.column_names) for r in got.collect()) == Counter(tuple(r.values()) for r in want.to_pylist())
+
+
 def url_by_hand(u):
     at = (u or "").find("://")
     if at < 0:
@@ -247,22 +260,80 @@ def test_top_k_query(spark, sf_dir):
     assert Counter(map(tuple, queries.op7_exact_top_k(spark, sf_dir).collect())) == top_by_hand(rows)
 
 
-def test_pipeline(spark, sf_dir):
+def kept_near(rows):
+    """Of (doc_id, text) rows, those that stay when each group of near copies keeps its smallest."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", lower(t or "")) for _, t in rows]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    by, root = defaultdict(list), list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in by[x] if j < i)
+        for j, both in shared.items():
+            if rows[i][0] is not None and rows[j][0] is not None and both * 5 >= 4 * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)), key=lambda k: rows[k][0])
+                root[b] = a
+    return [r for i, r in enumerate(rows) if find(i) == i]
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    """run() and each stage against plain loops over rows; odd rows and copies planted among the documents."""
+    import shutil
+
     import corpus_pipeline as p
+    from fieldlark.llm import common, secret_scan, toxicity
+    from test_tokens import check_packing
 
     assert [n for n, _ in p.STAGES] == ["toxicity", "exact_dedup", "simhash_near_dedup", "secret_scan", "best_fit_packing"]
     first = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    odd = first.limit(3).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "lang", "source", F.lit(None).cast("long").alias("n_chars"))
-    docs, kept = first.unionByName(odd), []
-    for name, stage in p.STAGES:
-        out = stage(spark, docs, sf_dir)
-        if name != "best_fit_packing":
-            assert sorted(out.dtypes) == sorted(first.dtypes)
-            docs = spark.createDataFrame(out.collect(), first.schema)
-            kept.append({r.doc_id for r in docs.collect()})
-    assert kept[1] <= kept[0] and kept[2] <= kept[1] and kept[3] == kept[2] and len(kept[3]) > 0.5 * first.count()
-    assert {r.doc_id for r in out.collect()} == kept[3]
-    texts = [r.text.lower() for r in docs.collect() if r.text is not None]
-    assert len(texts) == len(set(texts))
-    done = p.run(spark, sf_dir)
-    assert done.count() > 0 and p.ORACLE_SQL is None
+    rnd = random.Random(31)
+    long = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(200)]
+    texts = [" ".join(long), " ".join(long).upper(), " ".join(long[:180]), " ".join(long + ["more"] * 3), " ".join(long[60:]), f"key AKIA{'Q' * 16} and token=abcdefgh", "", None, None]
+    planted = [(None if t is None else 900_000 + i, t, "en", "src0", len(t or "")) for i, t in enumerate(texts)]
+    d = str(tmp_path / "tables")
+    first.unionByName(spark.createDataFrame(planted, first.schema)).write.parquet(f"{d}/documents.parquet")
+    shutil.copytree(f"{sf_dir}/labels.parquet", f"{d}/labels.parquet") if os.path.isdir(f"{sf_dir}/labels.parquet") else shutil.copy(f"{sf_dir}/labels.parquet", f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+
+    of = toxicity.Scorer(toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"), toxicity.TARGETS))
+    rows = [(r.doc_id, r.text) for r in docs.collect() if of(r.text or "")[-1] <= 0.5]
+    assert 0.5 * docs.count() < len(rows) < docs.count()
+    best = {}
+    for i, t in rows:
+        best.setdefault(lower(t or ""), []).append((-1 if i is None else i, t))
+    rows = [max(v, key=lambda r: r[0]) for v in best.values()]
+    rows = [(None if i < 0 else i, t) for i, t in rows]
+    near = kept_near(rows)
+    assert len(near) < len(rows)
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    spans = {r.doc_id: [(m.s, m.e) for m in r.spans] for r in secret_scan.scan(df).collect()}
+    want = []
+    for i, t in near:
+        out, at = [], 0
+        for s, e in spans[i] if t is not None else []:
+            if s >= at:
+                out += [t[at:s], "[SECRET]"]
+            at = max(at, e)
+        want.append((i, None if t is None else "".join(out) + t[at:]))
+    assert any("[SECRET]" in (t or "") for _, t in want)
+
+    for name, stage in p.STAGES[:-1]:
+        before = docs
+        docs = common.stored(stage(spark, docs, d), f"test-{name}")
+        assert sorted(docs.dtypes) == sorted(first.dtypes) and docs.count() <= before.count()
+    assert Counter((r.doc_id, r.text) for r in docs.collect()) == Counter(want)
+    assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text is not None)
+    done = p.run(spark, d).collect()
+    used, least = check_packing(done, docs.collect(), 4096)
+    assert used <= least + 1 and p.ORACLE_SQL is None
