@@ -53,10 +53,12 @@ def children(token) -> Column:
 
 
 def disk(token, k: int = 1) -> Column:
-    """The (2k+1) x (2k+1) block around a cell, sorted."""
+    """The (2k+1) x (2k+1) block around a cell, sorted: columns go on around the globe, rows end at the poles."""
     res, row, column = parts(token)
+    rows, columns = (F.round(d / step(res)).cast("long") for d in (180.0, 360.0))
     around = F.sequence(F.lit(-k), F.lit(k))
-    block = F.flatten(F.transform(around, lambda i: F.transform(around, lambda j: _named(res, row + i, column + j))))
+    held = F.filter(F.transform(around, lambda i: row + i), lambda r: (r >= 0) & (r < rows))
+    block = F.flatten(F.transform(held, lambda r: F.transform(around, lambda j: _named(res, r, F.pmod(column + j, columns)))))
     return F.array_sort(F.array_distinct(block))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,33 +25,95 @@ def centroids(df: DataFrame, label: str = "label", vector: str = "embedding") ->
     return whole.select("label", unit(F.col("c")).alias("centre"))
 
 
+def _units(column) -> np.ndarray:
+    """The rows of a list column, of one length, as unit vectors; one shorter than 1e-12 stays as it is."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    m = np.asarray(flat.flatten(), np.float64).reshape(len(flat), -1)
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return m / np.where(n < 1e-12, 1.0, n)
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[kind]
+
+
+def _cosines(df: DataFrame, centres: DataFrame, key: str, vector: str, finish, columns: list[tuple[str, str]]) -> DataFrame:
+    """Each batch's matrix of cosines to the centres, through ``finish`` (keys, cosines, labels) to columns."""
+    kind, label = df.schema[key].dataType.simpleString(), centres.schema["label"].dataType.simpleString()
+    ddl = [(key, kind), *[(n, label if t == "label" else t) for n, t in columns]]
+    schema = pa.schema([(n, _arrow(t)) for n, t in ddl])
+    table = centres.orderBy("label").toArrow()  # as many rows as classes
+    labels, matrix = table.column("label").to_numpy(), _units(table.column("centre"))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                cols = finish(b.column(0), _units(b.column(1)) @ matrix.T, labels)
+                yield pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(cols, schema.types)], schema=schema)
+
+    held = df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v"))
+    return held.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in ddl))
+
+
 def by_centroid(df: DataFrame, centres: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(key, predicted, score): the class of the nearest centre by cosine, the smaller label on ties."""
-    table = centres.agg(F.array_sort(F.collect_list(F.struct("label", "centre"))).alias("table"))
-    held = df.select(key, unit(F.col(vector)).alias("v")).crossJoin(F.broadcast(table))  # one row, of as many entries as classes
-    scored = held.select(key, F.transform("table", lambda e: F.struct(F.round(dot(F.col("v"), e["centre"]), 9).alias("score"), (-e["label"]).alias("minus"))).alias("s"))
-    best = F.array_max("s")
-    return scored.select(key, (-best["minus"]).alias("predicted"), best["score"].alias("score"))
+    """(key, predicted, score): the class of the nearest centre by cosine, the smaller label on ties. A batch is one matrix product."""
+
+    def best(keys, cosines, labels):
+        held = np.round(cosines, 9)
+        at = held.argmax(1)  # the first of equals, and labels are in order
+        return keys, labels[at], held[np.arange(len(at)), at]
+
+    return _cosines(df, centres, key, vector, best, [("predicted", "label"), ("score", "double")])
 
 
 def probabilities(df: DataFrame, centres: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(key, label, probability): softmax of the cosines."""
-    held = df.select(key, unit(F.col(vector)).alias("v")).crossJoin(F.broadcast(centres)).select(key, "label", F.exp(dot(F.col("v"), F.col("centre"))).alias("e"))
-    return held.select(key, "label", (F.col("e") / F.sum("e").over(Window.partitionBy(key))).alias("probability"))
+
+    def softmax(keys, cosines, labels):
+        e = np.exp(cosines)
+        p = e / e.sum(1, keepdims=True)
+        return keys.take(pa.array(np.repeat(np.arange(len(p)), p.shape[1]))), np.tile(labels, len(p)), p.ravel()
+
+    return _cosines(df, centres, key, vector, softmax, [("label", "label"), ("probability", "double")])
 
 
-def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 2048) -> DataFrame:
+def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 8192) -> DataFrame:
     """(key, predicted): majority of the k nearest training rows by cosine, other rows than the query itself; the
-    smaller label on ties. Training rows come in blocks of about ``block``; each yields its own k best before they meet."""
-    blocks = max(1, -(-train.count() // block))
-    t = train.select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), unit(F.col(vector)).alias("t_v")).withColumn("block", F.pmod(F.xxhash64("t_id"), F.lit(blocks)))
-    packed = t.groupBy("block").agg(F.collect_list(F.struct("t_id", "t_label", "t_v")).alias("rows"))
-    q = queries.select(key, unit(F.col(vector)).alias("v")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    near = F.transform("rows", lambda r: F.struct(F.round(-dot(F.col("v"), r["t_v"]), 9).alias("d"), r["t_id"].alias("t_id"), r["t_label"].alias("t_label")))
-    best = q.join(packed, "block").select(key, F.inline(F.slice(F.array_sort(F.filter(near, lambda e: e["t_id"] != F.col(key))), 1, k)))
-    w = Window.partitionBy(key).orderBy("d", "t_id")
-    votes = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy(key, "t_label").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy(key).agg((-F.max(F.struct("n", (-F.col("t_label")).alias("m")))["m"]).alias("predicted"))
+    smaller label on ties. Both sides come in blocks of about ``block``; every two blocks meet in one matrix product,
+    which yields the k best of each query, so what is shuffled after it is k rows a query and block."""
+    blocks = lambda df: max(1, -(-df.count() // block))
+    nq, nt = blocks(queries), blocks(train)
+    kind, lab = queries.schema[key].dataType.simpleString(), train.schema[label].dataType.simpleString()
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.col(vector).cast("array<double>")
+    t = train.where(v.isNotNull()).select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), v.alias("t_v")).withColumn("t_block", deal("t_id", nt)).withColumn("t_other", each(nq))
+    q = queries.where(v.isNotNull()).select(F.col(key).alias("q_id"), v.alias("q_v")).withColumn("q_block", deal("q_id", nq)).withColumn("q_other", each(nt))
+    schema = pa.schema([("q_id", _arrow(kind)), ("t_id", _arrow(kind)), ("t_label", _arrow(lab)), ("d", pa.float64())])
+
+    def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        left = left.sort_by("t_id")  # equal cosines then come by id
+        ids, own, units = left.column("t_id").to_numpy(), right.column("q_id").to_numpy(), _units(left.column("t_v"))
+        found = []
+        for s in range(0, len(own), 1024):
+            d = np.round(-(_units(right.column("q_v").slice(s, 1024)) @ units.T), 9)
+            d[own[s : s + 1024, None] == ids[None]] = np.inf
+            best = np.sort(np.argpartition(d, k - 1, 1)[:, :k], 1) if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
+            if d.shape[1] > k:  # where the kth is tied the smallest ids count
+                edge = np.take_along_axis(d, best, 1).max(1)
+                for i in np.flatnonzero((d <= edge[:, None]).sum(1) > k).tolist():
+                    best[i] = np.argsort(d[i], kind="stable")[:k]
+            rows, cols = np.repeat(np.arange(len(d)), best.shape[1]), best.ravel()
+            some = np.isfinite(d[rows, cols])
+            found.append(pa.table({"q_id": right.column("q_id").slice(s, 1024).take(pa.array(rows[some])), "t_id": left.column("t_id").take(pa.array(cols[some])), "t_label": left.column("t_label").take(pa.array(cols[some])), "d": d[rows, cols][some]}))
+        return pa.concat_tables(found).cast(schema)
+
+    best = t.groupBy("t_block", "t_other").cogroup(q.groupBy("q_other", "q_block")).applyInArrow(nearest, f"q_id {kind}, t_id {kind}, t_label {lab}, d double")
+    w = Window.partitionBy("q_id").orderBy("d", "t_id")
+    votes = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("q_id", "t_label").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy(F.col("q_id").alias(key)).agg((-F.max(F.struct("n", (-F.col("t_label")).alias("m")))["m"]).alias("predicted"))
 
 
 BACKENDS = ("rf", "gbm", "logistic")

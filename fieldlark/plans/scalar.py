@@ -292,12 +292,10 @@ def cell_keys(spark, d):
     return df.select("c_custkey", "cell", F.round(lat, 6).alias("clat"), F.round(lng, 6).alias("clng"), geo.parent("cell").alias("parent"), geo.children("cell").alias("children"))
 
 
-@query(f"""WITH {A.POINTS}, a AS (SELECT c_custkey, floor((lat + 90) / (60 / 512::DOUBLE))::BIGINT AS r, floor((lng + 180) / (60 / 512::DOUBLE))::BIGINT AS c FROM pts WHERE c_custkey % 5 = 0 AND lat > -79)
-    SELECT c_custkey, printf('f%02d%08x%08x', 9, r + i, c + j) AS cell FROM a, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE c + j >= 0""")
+@query(f"""WITH {A.POINTS}, a AS (SELECT c_custkey, floor((lat + 90) / (60 / 512::DOUBLE))::BIGINT AS r, floor((lng + 180) / (60 / 512::DOUBLE))::BIGINT AS c FROM pts)
+    SELECT c_custkey, printf('f%02d%08x%08x', 9, r + i, (c + j + 3072) % 3072) AS cell FROM a, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j) WHERE r + i BETWEEN 0 AND 1535""")
 def cell_disk(spark, d):
-    df = A.points(spark, d).where("c_custkey % 5 = 0 and lat > -79").withColumn("cell", geo.cell("lat", "lng", 9))
-    out = df.select("c_custkey", "lng", F.explode(geo.disk("cell", 1)).alias("cell"))
-    return out.where("length(cell) = 19").select("c_custkey", "cell")
+    return A.points(spark, d).select("c_custkey", F.explode(geo.disk(geo.cell("lat", "lng", 9), 1)).alias("cell"))
 
 
 _RING = [(-100.0, -40.0), (120.0, -55.0), (60.0, 10.0), (150.0, 60.0), (-20.0, 45.0), (-130.0, 30.0)]

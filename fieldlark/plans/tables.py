@@ -275,10 +275,10 @@ def anomaly_zscore(spark, d):
     return z.select("l_orderkey", "l_linenumber", R("z0", "z"), R("z", "z_robust"))
 
 
-@query(f"""WITH {A.PIXELS}, v AS (SELECT l_suppkey, l_linenumber, max(nir) AS value, (l_linenumber)::DOUBLE AS w FROM pix WHERE l_orderkey % 3 = 0 GROUP BY 1, 2), m AS (SELECT l_suppkey, median(value) AS med, mad(value) AS md FROM v GROUP BY 1), k AS (SELECT *, (md <= 1e-9 OR 0.6745::DOUBLE * abs(value - med) / md <= 3.5) AS ok FROM v JOIN m USING (l_suppkey))
+@query(f"""WITH {A.PIXELS}, v AS (SELECT l_suppkey, l_linenumber, max(nir) AS value, (l_linenumber)::DOUBLE AS w FROM pix GROUP BY 1, 2), m AS (SELECT l_suppkey, median(value) AS med, mad(value) AS md FROM v GROUP BY 1), k AS (SELECT *, (md <= 1e-9 OR 0.6745::DOUBLE * abs(value - med) / md <= 3.5) AS ok FROM v JOIN m USING (l_suppkey))
     SELECT l_suppkey, {r6(median="any_value(med)", mad="any_value(md)", consensus="coalesce(sum(CASE WHEN ok THEN w * value END) / sum(CASE WHEN ok THEN w END), any_value(med))")}, count(CASE WHEN ok THEN 1 END)::INT AS n_kept FROM k GROUP BY 1""")
 def consensus_mad(spark, d):
-    v = A.pixels(spark, d).where("l_orderkey % 3 = 0").groupBy("l_suppkey", "l_linenumber").agg(F.max("nir").alias("value")).withColumn("w", F.col("l_linenumber").cast("double"))
+    v = A.pixels(spark, d).groupBy("l_suppkey", "l_linenumber").agg(F.max("nir").alias("value")).withColumn("w", F.col("l_linenumber").cast("double"))
     out = stats.consensus(v, ["l_suppkey"], "value", "w")
     return out.select("l_suppkey", R("median"), R("mad"), R("consensus"), "n_kept")
 
@@ -654,7 +654,7 @@ def stream_upsert(spark, d):
 _U = lambda *p: "(('0x' || substr(sha256(" + " || '/' || ".join(p) + "), 1, 12))::BIGINT % 10000) / 10000::DOUBLE"
 
 
-@query(f"""WITH k AS (SELECT 'cell' || c_custkey AS cell FROM customer WHERE c_custkey % 3 = 0), d AS (SELECT t, DATE '2025-06-01' + (t * 8)::INT AS date FROM range(8) r(t)), a AS (SELECT *, strftime(date, '%Y-%m-%d') AS s, (('0x' || substr(sha256(cell || '/crop'), 1, 12))::BIGINT % 6)::INT AS crop_class FROM k, d),
+@query(f"""WITH k AS (SELECT 'cell' || c_custkey AS cell FROM customer), d AS (SELECT t, DATE '2025-06-01' + (t * 8)::INT AS date FROM range(8) r(t)), a AS (SELECT *, strftime(date, '%Y-%m-%d') AS s, (('0x' || substr(sha256(cell || '/crop'), 1, 12))::BIGINT % 6)::INT AS crop_class FROM k, d),
     b AS (SELECT *, round(0.7::DOUBLE + 0.29::DOUBLE * {_U("cell", "'cropconf'")}, 6) AS confidence, round({cl(f"0.25::DOUBLE + 0.5 * sin(pi() * (t + 1) / 9) * (0.6::DOUBLE + 0.4::DOUBLE * {_U('cell', chr(39) + 'stressbias' + chr(39))}) + 0.1::DOUBLE * ({_U('cell', 's')} - 0.5)", "0.0", "1.0")}, 6) AS si FROM a),
     e AS (SELECT *, round(3 + 4 * (0.5 + 0.5 * si), 5) AS etc, round(6 * {_U("cell", "s", "'rain'")}, 5) AS rain FROM b), f AS (SELECT *, round(etc * (1 - 0.6::DOUBLE * si), 5) AS eta FROM e), g AS (SELECT *, round(greatest((etc - eta) * 8 - rain, 0), 5) AS df FROM f)
     SELECT cell, date, crop_class, ['fallow', 'rice', 'wheat', 'maize', 'cotton', 'sugarcane'][crop_class + 1] AS crop_label, confidence, si AS stress_index, least(trunc(si * 4), 3)::INT AS stress_level, ['sowing', 'vegetative', 'reproductive', 'maturity'][(least(t // 2, 3) + 1)::INT] AS stage, df AS deficit_mm,
@@ -664,7 +664,7 @@ def serving_seed(spark, d):
 
 
 def _cells(spark, d):
-    return A.read(spark, d, "customer").where("c_custkey % 3 = 0").select(F.concat(F.lit("cell"), F.col("c_custkey").cast("string")).alias("cell"))
+    return A.read(spark, d, "customer").select(F.concat(F.lit("cell"), F.col("c_custkey").cast("string")).alias("cell"))
 
 
 @query("SELECT 'cell6' AS cell, DATE '2025-07-27' AS date")
@@ -672,7 +672,7 @@ def serving_latest(spark, d):
     return serving.lookup(serving.seeded(_cells(spark, d), serving.season_dates()), "cell6", None, ["cell", "date"])
 
 
-@query("SELECT count(*) AS cells, count(*) * 8 AS records, DATE '2025-07-27' AS latest FROM customer WHERE c_custkey % 3 = 0")
+@query("SELECT count(*) AS cells, count(*) * 8 AS records, DATE '2025-07-27' AS latest FROM customer")
 def serving_counts(spark, d):
     return serving.counts(serving.seeded(_cells(spark, d), serving.season_dates()))
 
