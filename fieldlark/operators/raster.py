@@ -1,17 +1,22 @@
 """Raster neighbourhoods over pixel rows (patch, y, x, value).
 
-A window is a set of offsets: each pixel row is sent to the pixels it is a
-neighbour of, and one grouping gathers them. That costs one shuffle and no join;
-rows grow by the window's size, so wide box means go through two passes of
-window sums instead (``box_mean_wide``).
+A patch is cut into square tiles; a pixel goes to its own tile and to those whose
+windows reach it, so that each tile has its halo. That is one shuffle of about
+(1 + 2 radius / side)^2 times the raster, whatever the window's area, and a patch
+of any size spreads over many tasks. Within a tile, windows are sums of shifted
+arrays.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPS = 1e-6
+#: Side of a tile in pixels.
+TILE = 256
 
 
 def with_totals(df: DataFrame, key: str, *aggregates: Column) -> DataFrame:
@@ -25,39 +30,70 @@ def shape(df: DataFrame, key: str = "patch") -> DataFrame:
     return with_totals(df, key, (F.max("y") + 1).alias("__h"), (F.max("x") + 1).alias("__w"))
 
 
-def sent(df: DataFrame, radius: int, edge: str = "clamp") -> DataFrame:
-    """Each pixel to all targets (ty, tx) whose window, at offset (dy, dx), falls on it.
+def _reads(i: np.ndarray, n: int, edge: str) -> np.ndarray:
+    """What a window reads at index i of n: beyond the border the edge pixel, the mirrored one, or -1 for nothing."""
+    if edge == "clamp":
+        return np.clip(i, 0, n - 1)
+    if edge == "reflect":
+        fold = np.mod(i, max(2 * (n - 1), 1))
+        return np.zeros_like(i) if n == 1 else np.minimum(fold, 2 * (n - 1) - fold)
+    return np.where((i >= 0) & (i < n), i, -1)
 
-    Beyond the border a window reads the edge pixel (``clamp``), the mirrored
-    one (``reflect``) or nothing (``drop``). ``df`` has ``__h`` and ``__w``.
+
+def tiled(df: DataFrame, radius: int, values: list[str], names: list[str], fn, key: str = "patch", edge: str = "clamp", constants: tuple[str, ...] = (), tile: int | None = None) -> DataFrame:
+    """(key, y, x, names) of every pixel of ``df``, by ``fn`` over whole tiles.
+
+    ``fn`` takes an array for each value, ``radius`` wider than the tile on all
+    sides, with NaN where there is no pixel or no value, and the patch's
+    ``constants``; it returns an array of the tile's size for each name.
     """
-    r = list(range(-radius, radius + 1))
-    offsets = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in r for b in r])
-    if edge == "drop":
-        out = df.select("*", F.inline(offsets))
-        out = out.withColumns({"ty": F.col("y") - F.col("dy"), "tx": F.col("x") - F.col("dx")})
-        return out.where("ty >= 0 and tx >= 0 and ty < __h and tx < __w")
-
-    def sources(c: str, size: str) -> Column:
-        """(target, offset) pairs along one axis that read index c."""
-        i, n = F.col(c), F.col(size)
-        if edge == "clamp":
-            read = lambda j: F.greatest(F.lit(0), F.least(n - 1, j))
-        else:
-            fold = lambda j: F.pmod(j, F.greatest(2 * (n - 1), F.lit(1)))
-            read = lambda j: F.when(n == 1, F.lit(0)).otherwise(F.least(fold(j), 2 * (n - 1) - fold(j)))
-        near = F.sequence(F.greatest(F.lit(0), i - 2 * radius), F.least(n - 1, i + 2 * radius))
-        pairs = F.flatten(F.transform(near, lambda t: F.transform(F.array(*map(F.lit, r)), lambda d: F.struct(t.alias("t"), d.alias("d")))))
-        return F.filter(pairs, lambda p: read(p["t"] + p["d"]) == i)
-
-    out = df.select("*", F.explode(sources("y", "__h")).alias("__py")).select("*", F.explode(sources("x", "__w")).alias("__px"))
-    return out.select(*df.columns, F.col("__py.t").alias("ty"), F.col("__py.d").alias("dy"), F.col("__px.t").alias("tx"), F.col("__px.d").alias("dx"))
-
-
-def box_mean(df: DataFrame, size: int, key: str = "patch", value: str = "value", edge: str = "clamp", name: str = "mean") -> DataFrame:
-    """(key, y, x, name): the mean over a square; ``drop`` averages only the pixels there are."""
-    n = sent(shape(df, key), size // 2, edge)
-    return n.groupBy(key, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.avg(value).alias(name))
+    side = tile or TILE
+    kind = df.schema[key].dataType.simpleString()
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+    schema = pa.schema([(key, kinds[kind]), ("y", pa.int32()), ("x", pa.int32()), *[(n, pa.float64()) for n in names]])
+    held = shape(df.select(key, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *[F.col(v).cast("double").alias(v) for v in values], *constants), key)
+    meets = lambda c, n: F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col(c) - radius) / side).cast("int"), F.floor(F.least(F.col(n) - 1, F.col(c) + radius) / side).cast("int")))
+    dealt = held.withColumn("__ty", meets("y", "__h")).withColumn("__tx", meets("x", "__w"))
+
+    def run(at: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        h, w = rows.column("__h")[0].as_py(), rows.column("__w")[0].as_py()
+        y, x = rows.column("y").to_numpy(), rows.column("x").to_numpy()
+        y0, x0 = at[1].as_py() * side, at[2].as_py() * side
+        y1, x1 = min(h, y0 + side), min(w, x0 + side)
+        top, left = max(0, y0 - radius), max(0, x0 - radius)
+        size = min(h, y1 + radius) - top, min(w, x1 + radius) - left
+        iy, ix = _reads(np.arange(y0 - radius, y1 + radius), h, edge), _reads(np.arange(x0 - radius, x1 + radius), w, edge)
+        windows = []
+        for v in values:
+            flat = np.full((size[0] + 1, size[1] + 1), np.nan)  # the last row and column are what "nothing" reads
+            flat[y - top, x - left] = rows.column(v).to_numpy(zero_copy_only=False)
+            windows.append(flat[np.where(iy < 0, size[0], iy - top)][:, np.where(ix < 0, size[1], ix - left)])
+        own = np.flatnonzero((y >= y0) & (y < y1) & (x >= x0) & (x < x1))
+        got = fn(*windows, *[rows.column(c)[0].as_py() for c in constants])
+        out = [g[y[own] - y0, x[own] - x0] for g in got]
+        cols = [pa.array([at[0].as_py()] * len(own), schema.types[0]), pa.array(y[own], pa.int32()), pa.array(x[own], pa.int32()), *[pa.array(o, pa.float64(), mask=np.isnan(o)) for o in out]]
+        return pa.Table.from_arrays(cols, schema=schema)
+
+    return dealt.groupBy(key, "__ty", "__tx").applyInArrow(run, f"{key} {kind}, y int, x int, " + ", ".join(f"{n} double" for n in names))
+
+
+def _sums(a: np.ndarray, radius: int) -> np.ndarray:
+    """The sum over each window, rows first."""
+    n = 2 * radius + 1
+    rows = sum(a[:, i : a.shape[1] - n + 1 + i] for i in range(n))
+    return sum(rows[i : a.shape[0] - n + 1 + i] for i in range(n))
+
+
+def _means(a: np.ndarray, radius: int) -> np.ndarray:
+    """The mean over the values in each window; NaN where there are none."""
+    ok = np.isfinite(a)
+    n = _sums(ok.astype(float), radius)
+    return np.where(n > 0, _sums(np.where(ok, a, 0.0), radius) / np.maximum(n, 1), np.nan)
+
+
+def box_mean(df: DataFrame, size: int, key: str = "patch", value: str = "value", edge: str = "clamp", name: str = "mean", tile: int | None = None) -> DataFrame:
+    """(key, y, x, name): the mean over a square, of the values there are; ``drop`` reads nothing beyond the border."""
+    return tiled(df, size // 2, [value], [name], lambda a: [_means(a, size // 2)], key, edge, tile=tile)
 
 
 def box_mean_wide(df: DataFrame, size: int, key: str = "patch", value: str = "value", name: str = "mean") -> DataFrame:
@@ -77,21 +113,21 @@ def box_mean_wide(df: DataFrame, size: int, key: str = "patch", value: str = "va
     return out.select(key, "y", "x", F.col("__v").alias(name))
 
 
-def refined_lee(df: DataFrame, size: int = 7, looks: float = 1.0, key: str = "patch", value: str = "value") -> DataFrame:
+def refined_lee(df: DataFrame, size: int = 7, looks: float = 1.0, key: str = "patch", value: str = "value", tile: int | None = None) -> DataFrame:
     """Speckle filter: the local mean moved towards the pixel as far as the local variance exceeds speckle's."""
     if size < 3 or size % 2 == 0:
         raise ValueError("the window has to be odd and at least 3")
-    cu2 = 1.0 / looks
+    cu2, r = 1.0 / looks, size // 2
     x = with_totals(df, key, F.avg(value).alias("__fill")).withColumn("v", F.coalesce(F.col(value).cast("double"), F.col("__fill")))
-    n = sent(shape(x, key).withColumn("v2", F.col("v") * F.col("v")), size // 2, "clamp")
-    own = F.max(F.when((F.col("ty") == F.col("y")) & (F.col("tx") == F.col("x")), F.col("v")))
-    s = n.groupBy(key, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(F.avg("v").alias("m"), F.avg("v2").alias("m2"), own.alias("v"))
-    local = F.greatest(F.col("m2") - F.col("m") * F.col("m"), F.lit(0.0))
-    noise = F.col("m") * F.col("m") * cu2
-    signal = F.greatest((local - noise) / (1.0 + cu2), F.lit(0.0))
-    den = signal + noise
-    w = F.when(den > 1e-12, signal / F.when(den > 1e-12, den)).otherwise(F.lit(0.0))
-    return s.select(key, "y", "x", (F.col("m") + w * (F.col("v") - F.col("m"))).alias("filtered"))
+
+    def filtered(v):
+        m, m2 = _means(v, r), _means(v * v, r)
+        noise = m * m * cu2
+        signal = np.maximum((np.maximum(m2 - m * m, 0.0) - noise) / (1.0 + cu2), 0.0)
+        den = signal + noise
+        return [m + np.where(den > 1e-12, signal / np.where(den > 1e-12, den, 1.0), 0.0) * (v[r : v.shape[0] - r, r : v.shape[1] - r] - m)]
+
+    return tiled(x, r, ["v"], ["filtered"], filtered, key, tile=tile)
 
 
 def quantise(df: DataFrame, levels: int = 16, key: str = "patch", value: str = "value") -> DataFrame:
@@ -135,28 +171,36 @@ def haralick(glcm: DataFrame, key: str = "patch") -> DataFrame:
     return each.groupBy(key).agg(*[F.avg(c).alias(c) for c in names])
 
 
-def starfm(df: DataFrame, fine: str = "f0", coarse0: str = "c0", coarse1: str = "c1", win: int = 25, tolerance: float | None = None, classes: int = 4, key: str = "patch", name: str = "pred") -> DataFrame:
+def starfm(df: DataFrame, fine: str = "f0", coarse0: str = "c0", coarse1: str = "c1", win: int = 25, tolerance: float | None = None, classes: int = 4, key: str = "patch", name: str = "pred", tile: int | None = None) -> DataFrame:
     """(key, y, x, name): fine pixels moved by the coarse change of spectrally similar neighbours, near and steady ones first."""
     win += 1 - win % 2
-    s = with_totals(shape(df, key), key, F.stddev_pop(fine).alias("__sd"))
-    tol = F.lit(float(tolerance)) if tolerance is not None else F.col("__sd") * 2.0 / float(max(classes, 1)) + EPS
-    s = s.withColumn("__tol", tol).withColumn("__own", F.struct(F.col(fine).alias("f"), (F.col(coarse1) - F.col(coarse0)).alias("d")))
-    n = sent(s.select(key, "y", "x", "__h", "__w", "__tol", F.col(fine).alias("f"), F.col(coarse0).alias("a"), F.col(coarse1).alias("b"), "__own"), win // 2, "reflect")
-    # the centre's own value reaches its neighbours with the rows gathered at it
-    centre = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col("__own")))
-    rows = F.array_sort(F.collect_list(F.struct("dy", "dx", "f", "a", "b")))
-    got = n.groupBy(key, F.col("ty").alias("y"), F.col("tx").alias("x")).agg(centre.alias("c"), F.first("__tol").alias("tol"), rows.alias("n"))
-    off = lambda e: F.abs(e["f"] - F.col("c.f"))
-    dist = lambda e: F.sqrt((e["dy"] * e["dy"] + e["dx"] * e["dx"]).cast("double"))
-    weight = lambda e: F.when(off(e) <= F.col("tol"), 1.0 / ((off(e) + EPS) * (F.abs(e["b"] - e["a"]) + EPS) * (1.0 + dist(e)))).otherwise(0.0)
-    got = got.withColumn("s", F.aggregate("n", F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v")), lambda acc, e: F.struct((acc["w"] + weight(e)).alias("w"), (acc["v"] + weight(e) * (e["f"] + (e["b"] - e["a"]))).alias("v"))))
-    return got.select(key, "y", "x", F.when(F.col("s.w") > 0, F.col("s.v") / F.when(F.col("s.w") > 0, F.col("s.w"))).otherwise(F.col("c.f") + F.col("c.d")).alias(name))
-
-
-def estarfm(df: DataFrame, fine0: str = "f0", coarse0: str = "c0", fine2: str = "f2", coarse2: str = "c2", coarse1: str = "c1", win: int = 25, classes: int = 4, key: str = "patch") -> DataFrame:
+    r = win // 2
+    s = with_totals(df, key, F.stddev_pop(fine).alias("__sd"))
+    s = s.withColumn("__tol", F.lit(float(tolerance)) if tolerance is not None else F.col("__sd") * 2.0 / float(max(classes, 1)) + EPS)
+
+    def moved(f, a, b, tol):
+        h, w = f.shape[0] - 2 * r, f.shape[1] - 2 * r
+        own = f[r : r + h, r : r + w]
+        change = b - a
+        steady = np.abs(change) + EPS
+        total, best = np.zeros((h, w)), np.zeros((h, w))
+        for dy in range(win):
+            for dx in range(win):
+                near = np.s_[dy : dy + h, dx : dx + w]
+                off = np.abs(f[near] - own)
+                weight = np.where(off <= tol, 1.0 / ((off + EPS) * steady[near] * (1.0 + np.hypot(dy - r, dx - r))), 0.0)
+                ok = np.isfinite(weight) & np.isfinite(f[near] + change[near])
+                total += np.where(ok, weight, 0.0)
+                best += np.where(ok, weight * (f[near] + change[near]), 0.0)
+        return [np.where(total > 0, best / np.where(total > 0, total, 1.0), own + change[r : r + h, r : r + w])]
+
+    return tiled(s, r, [fine, coarse0, coarse1], [name], moved, key, "reflect", ("__tol",), tile)
+
+
+def estarfm(df: DataFrame, fine0: str = "f0", coarse0: str = "c0", fine2: str = "f2", coarse2: str = "c2", coarse1: str = "c1", win: int = 25, classes: int = 4, key: str = "patch", tile: int | None = None) -> DataFrame:
     """Two predictions, from before and after, weighted by how near their coarse image is to the target date's."""
-    p0 = starfm(df, fine0, coarse0, coarse1, win, None, classes, key, "p0")
-    p2 = starfm(df, fine2, coarse2, coarse1, win, None, classes, key, "p2")
+    p0 = starfm(df, fine0, coarse0, coarse1, win, None, classes, key, "p0", tile)
+    p2 = starfm(df, fine2, coarse2, coarse1, win, None, classes, key, "p2", tile)
     far = df.groupBy(key).agg((F.avg(F.abs(F.col(coarse1) - F.col(coarse0))) + EPS).alias("d0"), (F.avg(F.abs(F.col(coarse1) - F.col(coarse2))) + EPS).alias("d2"))
     w0 = (1.0 / F.col("d0")) / (1.0 / F.col("d0") + 1.0 / F.col("d2"))
     return p0.join(p2, [key, "y", "x"]).join(far, key).select(key, "y", "x", (w0 * F.col("p0") + (1.0 - w0) * F.col("p2")).alias("pred"))

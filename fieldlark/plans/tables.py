@@ -442,7 +442,7 @@ def item_search(spark, d):
 
 
 def _near(radius: int, mode: str) -> str:
-    ix = {"clamp": ("least(greatest(a.y + dy, 0), h - 1)", "least(greatest(a.x + dx, 0), w - 1)"), "reflect": ("(CASE WHEN abs(a.y + dy) > h - 1 THEN 2 * (h - 1) - abs(a.y + dy) ELSE abs(a.y + dy) END)", "(CASE WHEN abs(a.x + dx) > w - 1 THEN 2 * (w - 1) - abs(a.x + dx) ELSE abs(a.x + dx) END)"), "drop": ("a.y + dy", "a.x + dx")}[mode]
+    ix = {"clamp": ("least(greatest(a.y + dy, 0), h - 1)", "least(greatest(a.x + dx, 0), w - 1)"), "reflect": tuple(f"(h - 1 - abs(h - 1 - abs(a.{c} + d{c}) % greatest(2 * (h - 1), 1)))".replace("h", n) for c, n in (("y", "h"), ("x", "w"))), "drop": ("a.y + dy", "a.x + dx")}[mode]
     return f"dim AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM grd), off AS (SELECT i AS dy, j AS dx FROM range(-{radius}, {radius + 1}) p(i), range(-{radius}, {radius + 1}) q(j)), nb AS (SELECT a.patch, a.y, a.x, dy, dx, {ix[0]} AS ny, {ix[1]} AS nx FROM grd a, off, dim)"
 
 
@@ -472,6 +472,17 @@ def refined_lee(spark, d):
     return raster.refined_lee(A.grid(spark, d), 5).select("patch", "y", "x", R("filtered", None, 5))
 
 
+@query(SQL["refined_lee"].replace(_near(2, "clamp"), _near(3, "clamp")))
+def refined_lee_7(spark, d):
+    """The default window of 7."""
+    return raster.refined_lee(A.grid(spark, d)).select("patch", "y", "x", R("filtered", None, 5))
+
+
+@query(SQL["boxcar"].replace(_near(2, "clamp"), _near(12, "clamp")))
+def boxcar_25(spark, d):
+    return raster.box_mean(A.grid(spark, d), 25).select("patch", "y", "x", R("mean"))
+
+
 _Q = "qz AS (SELECT patch, y, x, CASE WHEN hi > lo THEN round_even((size - lo) / (hi - lo) * 15, 0)::INT ELSE 0 END AS q FROM (SELECT *, min(size) OVER () AS lo, max(size) OVER () AS hi FROM grd))"
 
 
@@ -516,11 +527,23 @@ def starfm_w3(spark, d):
     return raster.starfm(_fusion(spark, d), win=3).select("patch", "y", "x", R("pred"))
 
 
+@query(f"WITH {_RAW}, {_FG}, {_near(12, 'reflect')}, {_starfm('f0', 'c0', 'p')} SELECT patch, y, x, round(pred, 6) AS pred FROM p")
+def starfm(spark, d):
+    """The default window of 25."""
+    return raster.starfm(_fusion(spark, d)).select("patch", "y", "x", R("pred"))
+
+
 @query(f"WITH {_RAW}, {_FG}, {_near(1, 'reflect')}, {_starfm('f0', 'c0', 'p')}, {_starfm('f2', 'c2', 'q')}, ds AS (SELECT avg(abs(c1 - c0)) + 1e-6 AS d0, avg(abs(c1 - c2)) + 1e-6 AS d2 FROM grd), wt AS (SELECT (1 / d0) / (1 / d0 + 1 / d2) AS w FROM ds) SELECT p.patch, p.y, p.x, round(w * p.pred + (1 - w) * q.pred, 6) AS pred FROM p JOIN q USING (patch, y, x), wt")
 def estarfm_w3(spark, d):
     return raster.estarfm(_fusion(spark, d), win=3).select("patch", "y", "x", R("pred"))
 
 
+@query(SQL["estarfm_w3"].replace(_near(1, "reflect"), _near(12, "reflect")))
+def estarfm(spark, d):
+    """The default window of 25."""
+    return raster.estarfm(_fusion(spark, d)).select("patch", "y", "x", R("pred"))
+
+
 @query(f"WITH {A.GRID}, m AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM grd), t AS (SELECT i AS ty, j AS tx, round_even(i * ((h - 1) / 16::DOUBLE), 0)::INT AS y, round_even(j * ((w - 1) / 22::DOUBLE), 0)::INT AS x FROM range(17) a(i), range(23) b(j), m) SELECT patch, ty::INT AS y, tx::INT AS x, value FROM t JOIN grd USING (y, x)")
 def resample_nearest(spark, d):
     return raster.resample_nearest(A.grid(spark, d), 17, 23)

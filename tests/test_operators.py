@@ -111,6 +111,42 @@ def test_raster(spark):
         raster.refined_lee(df, 4)
 
 
+def boxes_by_hand(pixels, radius, edge):
+    """The mean of the values in each window, over (y, x) -> value or None."""
+    h, w = max(y for y, _ in pixels) + 1, max(x for _, x in pixels) + 1
+    fold = lambda i, n: 0 if n == 1 else min(i % (2 * (n - 1)), 2 * (n - 1) - i % (2 * (n - 1)))
+    reads = {"clamp": lambda i, n: min(max(i, 0), n - 1), "reflect": fold, "drop": lambda i, n: i}[edge]
+    out = {}
+    for y, x in pixels:
+        near = [pixels.get((reads(y + i, h), reads(x + j, w))) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1)]
+        near = [v for v in near if v is not None]
+        out[y, x] = sum(near) / len(near) if near else None
+    return out
+
+
+@pytest.mark.parametrize("edge", ["clamp", "reflect", "drop"])
+@pytest.mark.parametrize("size,tile", [(3, 4), (7, 3), (5, 256), (25, 4)])
+def test_tiles_meet(spark, edge, size, tile):
+    rng = np.random.default_rng(6)
+    pixels = {(y, x): None if rng.random() < 0.1 else float(rng.uniform(0, 9)) for y in range(10) for x in range(13) if rng.random() < 0.9 or (y, x) == (9, 12)}
+    rows = [(k, y, x, v) for k in ("a", "b") for (y, x), v in pixels.items()]
+    df = spark.createDataFrame(rows, "patch string, y int, x int, value double").repartition(3)
+    got = {(r.patch, r.y, r.x): r["mean"] for r in raster.box_mean(df, size, edge=edge, tile=tile).collect()}
+    want = boxes_by_hand(pixels, size // 2, edge)
+    assert set(got) == {(k, *p) for k in "ab" for p in want}
+    for (_, y, x), v in got.items():
+        assert v is None and want[y, x] is None or v == pytest.approx(want[y, x])
+
+
+def test_fusion_is_the_same_over_tiles(spark):
+    g = np.random.default_rng(7).uniform(0.2, 0.5, (20, 17))
+    df = grid(spark, g).select("patch", "y", "x", F.col("value").alias("f0"), (F.col("value") * 0.9).alias("c0"), (F.col("value") + F.col("x") / 100).alias("c1"))
+    one, many = ({(r.y, r.x): r.pred for r in raster.starfm(df, win=9, tile=t).collect()} for t in (64, 5))
+    assert many == pytest.approx(one) and len(one) == g.size
+    lee = [{(r.y, r.x): r.filtered for r in raster.refined_lee(grid(spark, g), 7, tile=t).collect()} for t in (64, 4)]
+    assert lee[1] == pytest.approx(lee[0])
+
+
 def test_starfm_carries_the_change(spark):
     g = np.random.default_rng(5).uniform(0.2, 0.5, (8, 8))
     df = grid(spark, g).select("patch", "y", "x", F.col("value").alias("f0"), F.col("value").alias("c0"), (F.col("value") + 0.1).alias("c1"))
