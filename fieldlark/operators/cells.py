@@ -42,20 +42,41 @@ def from_json(stored: DataFrame, keys=("cell", "date")) -> DataFrame:
     return stored.select(*keys, F.from_json("features", "map<string,double>").alias("features"))
 
 
+def _comparable(df: DataFrame, but: list[str]) -> list[str]:
+    """Columns that ties may be settled by: Spark doesn't order maps."""
+    return [c for c, t in df.dtypes if c not in but and "map<" not in t and t != "variant"]
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key by ``order``; at equal order the new one."""
+    """The last row of each key by ``order``; at equal order the new one, then the largest by its other columns."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("__new"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc("__new"), *[F.desc(c) for c in _comparable(old, [*keys, order])])
     return both.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k", "__new")
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The row with the largest ``order`` of each key: one aggregate, no sort."""
+    """The row with the largest ``order`` of each key, on ties the largest by its other columns: one aggregate, no sort."""
     rest = [c for c in df.columns if c not in keys]
-    picked = F.max_by(F.struct(*rest), F.col(order)).alias("r")
+    picked = F.max_by(F.struct(*rest), F.struct(order, *_comparable(df, [*keys, order]))).alias("r")
     return df.groupBy(*keys).agg(picked).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], t: str, values: list[str]) -> DataFrame:
+    """Adds to ``left`` the ``values`` of the last row of ``right`` at or before its time, per key; NULL where there is none.
+
+    Both sides go through one window over their union: one shuffle, no join on
+    inequalities. Of several right rows at one time the largest by ``values``
+    counts.
+    """
+    carried = F.struct(*values)
+    both = left.withColumns({"__v": F.lit(None).cast(right.select(carried.alias("v")).schema["v"].dataType), "__left": F.lit(1)}).unionByName(
+        right.select(*keys, t, carried.alias("__v")).withColumn("__left", F.lit(0)), allowMissingColumns=True
+    )
+    w = Window.partitionBy(*keys).orderBy(t, "__left", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("__v", F.last("__v", True).over(w)).where("__left = 1")
+    return held.select(*left.columns, *[F.col(f"__v.{c}").alias(c) for c in values])
+
+
 def timeseries(records: DataFrame, cell, variable: str, start, end) -> DataFrame:
     """(date, value) of one cell between two dates, both included; a variable is sought in stress, then advisory, then crop."""
     layers = [F.try_element_at(F.col(c), F.lit(variable)) for c in ("stress", "advisory", "crop")]

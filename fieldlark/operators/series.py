@@ -20,17 +20,36 @@ def growing_degree_days(df: DataFrame, keys: list[str], t: str = "date", tmin: s
     return df.withColumn("gdd", day).withColumn("gdd_sum", F.sum("gdd").over(w))
 
 
+#: Time constants that a block of a series spans: weights relative to its start stay within a double's range.
+BLOCK = 100
+
+
 def soil_water_index(df: DataFrame, keys: list[str], t: str = "t", value: str = "ssm", t_char: float = 10.0) -> DataFrame:
-    """Adds ``swi``: the exponential filter in closed form, weights exp((t - t0) / T).
+    """Adds ``swi``: the exponential filter in closed form, weights exp(t / T) relative to the start of a block of time.
 
-    Gaps carry the last value; before the first observation it is NULL. The span
-    of a series is limited to 700 T.
+    Gaps carry the last value; before the first observation it is NULL. A series
+    may span any time: what came before a block enters by the totals of the two
+    blocks before it that have values, as all older ones weigh less than e^-100
+    of these.
     """
-    w = _by(keys, t)
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    weight = F.exp((F.col(t) - F.min(t).over(Window.partitionBy(*keys))) / t_char)
-    held = df.withColumn("__w", F.when(F.col(value).isNotNull(), weight)).withColumn("__wx", F.col("__w") * F.col(value))
-    return held.withColumn("swi", F.sum("__wx").over(run) / F.sum("__w").over(run)).drop("__w", "__wx")
+    whole = Window.partitionBy(*keys)
+    ahead = (F.col(t) - F.min(t).over(whole)) / t_char
+    held = df.withColumn("__b", F.floor(ahead / BLOCK).cast("long"))
+    held = held.withColumn("__w", F.when(F.col(value).isNotNull(), F.exp(ahead - F.col("__b") * BLOCK))).withColumn("__wx", F.col("__w") * F.col(value))
+    run, block = Window.partitionBy(*keys, "__b").orderBy(t).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys, "__b")
+    held = held.withColumns({"__cw": F.sum("__w").over(run), "__cx": F.sum("__wx").over(run), "__tw": F.sum("__w").over(block), "__tx": F.sum("__wx").over(block)})
+    earlier = whole.orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+
+    def carried(w: str, x: str) -> Column:
+        return F.last(F.when(F.col(w).isNotNull(), F.struct(F.col("__b").alias("b"), F.col(w).alias("w"), F.col(x).alias("x"))), True).over(earlier)
+
+    fade = F.exp((F.col("__p.b") - F.col("__b")) * float(BLOCK))
+    held = held.withColumn("__p", carried("__tw", "__tx"))
+    held = held.withColumns({c: F.col(f"__t{k}") + F.coalesce(F.col(f"__p.{k}") * fade, F.lit(0.0)) for k, c in (("w", "__uw"), ("x", "__ux"))})
+    held = held.withColumn("__p", carried("__uw", "__ux"))
+    total = lambda k: F.col(f"__c{k}") + F.coalesce(F.col(f"__p.{k}") * fade, F.lit(0.0))
+    swi = F.when(F.col("__cw").isNull(), F.col("__p.x") / F.col("__p.w")).otherwise(total("x") / total("w"))
+    return held.withColumn("swi", swi).drop(*[f"__{c}" for c in ("b", "w", "wx", "cw", "cx", "tw", "tx", "uw", "ux", "p")])
 
 
 def gradient(df: DataFrame, keys: list[str], value: str, t: str = "date") -> DataFrame:

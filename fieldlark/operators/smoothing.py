@@ -1,28 +1,64 @@
-"""Fits per series that need a solver: Whittaker, harmonics, double logistic (numpy, one Arrow group a series)."""
+"""Fits per series that need a solver: Whittaker, harmonics, double logistic (numpy, many series an Arrow batch)."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 METRICS = ("sos", "pos", "eos", "lgp", "amplitude", "peak_value", "base_value", "integral", "rmse")
 
 
-def whittaker(y: np.ndarray, lam: float = 10.0, order: int = 2, weights: np.ndarray | None = None, keep_gaps: bool = False) -> np.ndarray:
-    """Penalised least squares; missing values have no weight. A series too short for the differences comes back with
-    its gaps as zero or, with ``keep_gaps``, as they are."""
+def _banded(diagonals: list[np.ndarray], right: np.ndarray) -> np.ndarray:
+    """Solutions of symmetric banded systems, one a row: ``diagonals[k][:, i]`` is the entry (i, i + k). LDL' without pivots."""
+    width, n = len(diagonals) - 1, right.shape[1]
+    low = [np.zeros_like(right) for _ in range(width + 1)]  # low[k][:, i] is L(i, i - k)
+    d, x = np.empty_like(right), right.copy()
+    for i in range(n):
+        for k in range(min(width, i), -1, -1):
+            j = i - k
+            v = diagonals[k][:, j].copy()
+            for m in range(k + 1, min(width, i) + 1):
+                if j - (i - m) <= width:
+                    v -= low[m][:, i] * d[:, i - m] * low[m - k][:, j]
+            if k:
+                low[k][:, i] = v / d[:, j]
+            else:
+                d[:, i] = v
+        for k in range(1, min(width, i) + 1):
+            x[:, i] -= low[k][:, i] * x[:, i - k]
+    x /= d
+    for i in range(n - 2, -1, -1):
+        for k in range(1, min(width, n - 1 - i) + 1):
+            x[:, i] -= low[k][:, i + k] * x[:, i + k]
+    return x
+
+
+def whittaker_rows(y: np.ndarray, lam: float = 10.0, order: int = 2, weights: np.ndarray | None = None, keep_gaps: bool = False) -> np.ndarray:
+    """Penalised least squares of many series of one length, a row each; missing values have no weight. Series too short
+    for the differences come back with their gaps as zero or, with ``keep_gaps``, as they are."""
     y = np.asarray(y, float)
     ok = np.isfinite(y)
-    n = len(y)
+    n = y.shape[1]
     if keep_gaps and n <= order + 1:
         return y.copy()
     filled = np.where(ok, y, 0.0)
     if n <= order:
         return filled
     w = np.where(ok, 1.0 if weights is None else weights, 0.0)
-    d = np.diff(np.eye(n), order, axis=0)
-    return np.linalg.solve(np.diag(w) + lam * d.T @ d + 1e-12 * np.eye(n), w * filled)
+    d = np.diff(np.eye(order + 1), order, axis=0)[0]  # the differences' coefficients
+    penalty = [np.zeros(n) for _ in range(order + 1)]
+    for k in range(order + 1):
+        for i in range(n - order):  # each difference adds its own products
+            penalty[k][i : i + order + 1 - k] += d[: order + 1 - k] * d[k:]
+    rows = [np.broadcast_to(lam * p, y.shape) for p in penalty]
+    return _banded([w + rows[0] + 1e-12, *rows[1:]], w * filled)
+
+
+def whittaker(y: np.ndarray, lam: float = 10.0, order: int = 2, weights: np.ndarray | None = None, keep_gaps: bool = False) -> np.ndarray:
+    """``whittaker_rows`` of one series."""
+    return whittaker_rows(np.asarray(y, float)[None], lam, order, None if weights is None else np.asarray(weights, float)[None], keep_gaps)[0]
 
 
 def harmonics(t: np.ndarray, x: np.ndarray, n: int = 3, period: float | None = None, trend: bool = False) -> dict[str, float]:
@@ -121,26 +157,63 @@ def season(t: np.ndarray, x: np.ndarray, threshold: float = 0.5, smooth: float |
     return dict(zip(METRICS, (sos, float(g[k]), eos, max(eos - sos, 0.0), peak - base, peak, base, area, rmse))) | {"success": float(q is not None)}
 
 
-def _per_series(df: DataFrame, key: str, t: str, value: str, names: list[str], fn) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="stable")
-        got = fn(pdf[t].to_numpy(float), pdf[value].to_numpy(float))
-        return pd.DataFrame([{key: pdf[key].iloc[0]} | {n: got[n] for n in names}])
+def _series_batches(df: DataFrame, key: str, t: str, value: str, fn, ddl: str) -> DataFrame:
+    """``fn`` over lists of whole series (key, times, values), each sorted by time; many at once, as many as a batch holds.
+
+    A series has to fit a task, as its own rows meet in one.
+    """
+    held = df.select(key, t, F.col(value).cast("double").alias(value)).repartition(key).sortWithinPartitions(key, t)
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            table = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
+            edges = _edges(table.column(0))
+            whole, rest = table.slice(0, edges[-1]), table.slice(edges[-1])
+            if whole.num_rows:
+                yield fn(_parts(whole), b.schema.types[0])
+        if rest is not None and rest.num_rows:
+            yield fn(_parts(rest), rest.schema.types[0])
+
+    def _edges(keys):
+        c = keys.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        return np.concatenate([[0], np.flatnonzero(c[1:] != c[:-1]) + 1])
 
+    def _parts(table):
+        edges = [*_edges(table.column(0)).tolist(), table.num_rows]
+        keys, times, values = table.column(0), table.column(1), table.column(2).to_numpy()
+        return [(keys[a].as_py(), times.slice(a, e - a), values[a:e]) for a, e in zip(edges, edges[1:])]
+
+    return held.mapInArrow(run, ddl)
+
+
+def _per_series(df: DataFrame, key: str, t: str, value: str, names: list[str], fn) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
-    ddl = f"{key} {kind}, " + ", ".join(f"{n} double" for n in names)
-    return df.select(key, t, value).groupBy(key).applyInPandas(run, ddl)
 
+    def each(series, of):
+        got = [fn(np.asarray(times.to_numpy(), float), x) for _, times, x in series]
+        cols = [pa.array([k for k, _, _ in series], of), *[pa.array([g[n] for g in got], pa.float64()) for n in names]]
+        return pa.RecordBatch.from_arrays(cols, names=[key, *names])
 
-def whittaker_series(df: DataFrame, key: str, t: str, value: str, lam: float = 10.0, order: int = 2) -> DataFrame:
-    """(key, t, smooth) of every row."""
+    ddl = f"{key} {kind}, " + ", ".join(f"{n} double" for n in names)
+    return _series_batches(df, key, t, value, each, ddl)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="stable")
-        return pd.DataFrame({key: pdf[key], t: pdf[t], "smooth": whittaker(pdf[value].to_numpy(float), lam, order)})
 
+def whittaker_series(df: DataFrame, key: str, t: str, value: str, lam: float = 10.0, order: int = 2) -> DataFrame:
+    """(key, t, smooth) of every row. Series of one length are solved together."""
     k, tt = df.schema[key].dataType.simpleString(), df.schema[t].dataType.simpleString()
-    return df.select(key, t, value).groupBy(key).applyInPandas(run, f"{key} {k}, {t} {tt}, smooth double")
+
+    def solved(series, of):
+        out: list = [None] * len(series)
+        sizes = np.array([len(x) for _, _, x in series])
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n).tolist()
+            for i, row in zip(at, whittaker_rows(np.array([series[i][2] for i in at]), lam, order)):
+                out[i] = row
+        keys = pa.array([s[0] for s in series], of).take(pa.array(np.repeat(np.arange(len(series)), sizes)))
+        return pa.RecordBatch.from_arrays([keys, pa.concat_arrays([c for s in series for c in s[1].chunks]), pa.array(np.concatenate(out))], names=[key, t, "smooth"])
+
+    return _series_batches(df, key, t, value, solved, f"{key} {k}, {t} {tt}, smooth double")
 
 
 def harmonic_series(df: DataFrame, key: str, t: str, value: str, n: int = 3, period: float | None = None, trend: bool = False) -> DataFrame:

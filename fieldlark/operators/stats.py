@@ -60,21 +60,53 @@ def fitted_calibration(df: DataFrame, keys: list[str], source: str, reference: s
     return ok.groupBy(*keys).agg(F.regr_slope(reference, source).alias("gain"), F.regr_intercept(reference, source).alias("bias"), F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+#: Bins of one pass of ``medians``.
+BINS = 4096
+
+
+def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
+    """The exact median of each expression over a table of any size, None where it has no values.
+
+    A pass counts the values in ``BINS`` equal bins of a range, with each bin's
+    smallest and largest; the bin that holds the middle rank is the next pass's
+    range, until all of its values are one. Each pass is one aggregate with
+    map-side combine, and the driver sees as many rows as there are bins.
+    """
+    spans = df.agg(*[f(c).cast(k).alias(f"{n}{i}") for i, c in enumerate(columns.values()) for n, f, k in (("lo", F.min, "double"), ("hi", F.max, "double"), ("n", F.count, "long"))]).first()
+    return {name: _middle(df.select(c.cast("double").alias("x")), spans[f"lo{i}"], spans[f"hi{i}"], spans[f"n{i}"]) for i, (name, c) in enumerate(columns.items())}
+
+
+def _middle(df: DataFrame, lo: float, hi: float, n: int) -> float | None:
+    if not n:
+        return None
+    ranks, below = sorted({(n - 1) // 2, n // 2}), 0
+    while (width := (hi - lo) / BINS) > 0:
+        at = F.least(F.floor((F.col("x") - lo) / width), F.lit(BINS - 1))
+        bins = df.where(F.col("x").between(lo, hi)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("bin").collect()
+        held = []
+        for b in bins:
+            held += [(b["lo"], b["hi"], below) for r in ranks if below <= r < below + b["n"]]
+            below += b["n"]
+        if held[0] != held[-1]:  # neighbours in two bins: the one's largest value and the other's smallest
+            return (held[0][1] + held[1][0]) / 2.0
+        lo, hi, below = held[0]
+    return lo
+
+
 def downscaled(df: DataFrame, coarse: str = "smap", radar: str = "s1", optical: str = "optical") -> DataFrame:
     """Adds ``downscaled``: coarse moisture moved by robust z-scores of radar and optical detail."""
-    one = df.agg(F.median(radar).alias("m1"), F.median(optical).alias("m2"), F.stddev_pop(coarse).alias("sd"))
-    held = df.crossJoin(F.broadcast(one))  # one row
-    two = held.agg(F.median(F.abs(F.col(radar) - F.col("m1"))).alias("d1"), F.median(F.abs(F.col(optical) - F.col("m2"))).alias("d2"))
-    held = held.crossJoin(F.broadcast(two))  # one row
-    z = lambda c, m, d: (F.col(c) - F.col(m)) / (1.4826 * (F.col(d) + EPS))
-    x = F.col(coarse) + 0.10 * z(radar, "m1", "d1") * F.col("sd") - 0.05 * z(optical, "m2", "d2") * F.col("sd")
-    return held.withColumn("downscaled", clip(x, 0.0, 0.6)).drop("m1", "m2", "sd", "d1", "d2")
+    mid = medians(df, {"s1": F.col(radar), "optical": F.col(optical)})
+    off = {n: F.abs(F.col(c) - F.lit(mid[n])) for n, c in (("s1", radar), ("optical", optical))}
+    spread, sd = medians(df, off), df.agg(F.stddev_pop(coarse)).first()[0]
+    z = lambda n, c: (F.col(c) - F.lit(mid[n])) / (1.4826 * (F.lit(spread[n]) + EPS))
+    x = F.col(coarse) + 0.10 * z("s1", radar) * F.lit(sd) - 0.05 * z("optical", optical) * F.lit(sd)
+    return df.withColumn("downscaled", clip(x, 0.0, 0.6))
 
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values by the column's exact median, 0 for an all-missing column."""
-    mids = df.agg(*[F.median(finite(c)).alias(f"__{c}") for c in columns])
-    return df.crossJoin(F.broadcast(mids)).withColumns({c: F.coalesce(finite(c), F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
+    mids = medians(df, {c: finite(c) for c in columns})
+    return df.withColumns({c: F.coalesce(finite(c), F.lit(mids[c]).cast("double"), F.lit(0.0)) for c in columns})
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:

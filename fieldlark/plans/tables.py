@@ -669,9 +669,10 @@ def stream_upsert(spark, d):
     path = scratch(spark, "stream-upsert")
     e = A.read(spark, d, "events")
     s = spark.readStream.schema(e.schema).parquet(f"{d}/events*.parquet").select("user_id", "event_type", "event_id", "value")
-    q = s.writeStream.foreachBatch(windows.upsert_into(f"{path}/rows", ["user_id", "event_type"], "event_id")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    sink = windows.upsert_into(spark, f"{path}/rows", ["user_id", "event_type"], "event_id")
+    q = s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(s.schema).parquet(f"{path}/rows/v={q.lastProgress['batchId']}")
+    return windows.upserted(spark, f"{path}/rows", s.schema)
 
 
 _U = lambda *p: "(('0x' || substr(sha256(" + " || '/' || ".join(p) + "), 1, 12))::BIGINT % 10000) / 10000::DOUBLE"

@@ -37,12 +37,15 @@ def on_workers(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``; a temporary one only where none is set)."""
+    """A fresh path in the folder all executors share, ``spark.checkpoint.dir``. Only a local session, as in tests, gets
+    one of its own where none is set."""
     import tempfile
     import uuid
 
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         d = f"file://{tempfile.mkdtemp(prefix='fieldlark-')}"
         spark.conf.set("spark.checkpoint.dir", d)
     return f"{d.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"

@@ -16,10 +16,14 @@ RANGES = {"optical_sr": (0.0, 1.0), "sar_grd": (-30.0, 0.0), "soil_moisture": (0
 
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
-    """A sensor registry in JSON lines; ids have to be unique and tiers between 1 and 3."""
+    """A sensor registry in JSON lines. An id that is missing or not unique, and a tier out of 1..3, are errors at once."""
     df = spark.read.schema(REGISTRY).json(path)
-    checked = df.withColumn("tier", F.when(F.col("tier").between(1, 3), F.col("tier")).otherwise(F.raise_error(F.lit("tier out of 1..3")).cast("int")))
-    return checked
+    twice = df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("id is null or n > 1").select(F.coalesce("id", F.lit("a missing id")).alias("id"))
+    tiers = df.where("tier is null or not tier between 1 and 3").select(F.concat(F.col("id"), F.lit(" by its tier")).alias("id"))
+    wrong = [r["id"] for r in twice.unionByName(tiers).limit(5).collect()]
+    if wrong:
+        raise ValueError(f"registry {path}: {', '.join(map(str, wrong))}")
+    return df
 
 
 def scan(spark: SparkSession, path: str, bands: list[str], start: date, end: date, bbox=None, ts: str = "date") -> DataFrame:

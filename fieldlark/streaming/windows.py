@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,42 +30,87 @@ def sessions(df: DataFrame, keys: list[str], gap: str = "30 minutes", ts: str =
     return held.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")).drop("w")
 
 
-def upsert_into(path: str, keys: list[str], order: str):
-    """A foreachBatch sink that keeps the latest record of each key in ``path``/v=<batch>, one version a batch."""
+#: Files of an upserted table; a batch rewrites only those that one of its keys is in.
+BUCKETS = 64
+
+
+def _versions(spark: SparkSession, path: str, number: int | None = None) -> dict[int, int]:
+    """The batch that last wrote each bucket, as of a batch (of the last one by default); at most a row a bucket."""
+    known = spark.read.schema("bucket int, version long, v long").option("basePath", f"{path}/versions").parquet(f"{path}/versions")
+    last = number if number is not None else known.agg(F.max("v")).first()[0]
+    return {r["bucket"]: r["version"] for r in known.where(F.col("v") == F.lit(last)).collect()}
+
+
+def _bucket(keys: list[str], buckets: int):
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+
+
+def upsert_into(spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = BUCKETS):
+    """A foreachBatch sink that keeps the latest record of each key under ``path``; see ``upserted``.
+
+    Rows are in buckets by a hash of their key. A batch rewrites the buckets that
+    it touches, into a version of their own, and then says which version of each
+    is the last; so a batch that is run again gives the same table, and readers
+    never see half of one.
+    """
     from ..operators.cells import latest
 
+    spark.createDataFrame([], "bucket int, version long").write.mode("ignore").parquet(f"{path}/versions/v=-1")
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch
-        if number > 0:
-            new = spark.read.schema(batch.schema).parquet(f"{path}/v={number - 1}").unionByName(batch)
-        latest(new, keys, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={number}")
+        at = _versions(spark, path, number - 1)
+        batch = batch.withColumn("__bucket", _bucket(keys, buckets))
+        touched = [r[0] for r in batch.select("__bucket").distinct().collect()]  # at most `buckets` rows
+        held = [f"{path}/rows/v={at[b]}/__bucket={b}" for b in touched if b in at]
+        if held:
+            old = spark.read.schema(batch.drop("__bucket").schema).parquet(*held)
+            batch = old.withColumn("__bucket", _bucket(keys, buckets)).unionByName(batch)
+        latest(batch, keys, order).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows/v={number}")
+        now = [(b, v) for b, v in (at | dict.fromkeys(touched, number)).items()]
+        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={number}")
 
     return write
 
 
+def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that ``upsert_into`` keeps, as of its last batch; empty where no batch came."""
+    paths = [f"{path}/rows/v={v}/__bucket={b}" for b, v in sorted(_versions(spark, path).items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 class Balance(StatefulProcessor):
-    """Carries each field's deficit from batch to batch; rows (field_id, date, et0, kc, rain, taw, p)."""
+    """Carries each field's deficit from batch to batch; rows (field_id, date, et0, kc, rain, taw, p).
+
+    Missing rain is none. A day that isn't after the field's last one came too
+    late: its balance is a part of those after it, so it is handed out as it came,
+    marked late, and the state stays.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.dr = handle.getValueState("dr", "dr double")
+        self.state = handle.getValueState("state", "dr double, last date")
 
     def handleInputRows(self, key, rows, timerValues):
-        dr = self.dr.get()[0] if self.dr.exists() else 0.0
+        dr, last = self.state.get() if self.state.exists() else (0.0, None)
         out = []
         days = pd.concat(list(rows)).sort_values("date")
         for r in days.itertuples():
+            if last is not None and r.date <= last:
+                out.append((key[0], r.date, None, None, True))
+                continue
+            rain = 0.0 if pd.isna(r.rain) else max(r.rain, 0.0)
             share = min(max(r.p, 0.0), 0.999999)
             ks = 1.0 if r.taw <= 0 or dr <= share * r.taw else min(max((r.taw - dr) / ((1 - share) * r.taw), 0.0), 1.0)
-            before = dr - max(r.rain, 0.0) + ks * (r.kc * r.et0)
-            dr = min(before + max(-before, 0.0), r.taw)
-            out.append((key[0], r.date, dr, ks))
-        self.dr.update((float(dr),))
-        yield pd.DataFrame(out, columns=["field_id", "date", "dr", "ks"])
+            before = dr - rain + ks * (r.kc * r.et0)
+            dr, last = min(before + max(-before, 0.0), r.taw), r.date
+            out.append((key[0], r.date, dr, ks, False))
+        self.state.update((float(dr), last))
+        yield pd.DataFrame(out, columns=["field_id", "date", "dr", "ks", "late"])
 
     def close(self) -> None:
         pass
 
 
 def water_balance(stream: DataFrame) -> DataFrame:
-    return stream.groupBy("field_id").transformWithStateInPandas(Balance(), "field_id long, date date, dr double, ks double", "append", "none")
+    """(field_id, date, dr, ks, late) of each day, as it comes."""
+    return stream.groupBy("field_id").transformWithStateInPandas(Balance(), "field_id long, date date, dr double, ks double, late boolean", "append", "none")

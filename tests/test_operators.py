@@ -220,3 +220,144 @@ def test_streaming_balance_resumes(spark, tmp_path):
     q.awaitTermination()
     got = {r.date: r.dr for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == pytest.approx(whole)
+
+
+def test_streaming_balance_with_gaps_and_late_days(spark, tmp_path):
+    from fieldlark.streaming import windows
+
+    rows = [(1, i, 6.0, 1.15, None if i == 2 else 1.0, 120.0, 0.5) for i in range(8)]
+    whole = {r.date: r.dr for r in balance.run(days(spark, [r for r in rows if r[1] != 4])).collect()}
+    src = tmp_path / "in"
+    schema = days(spark, rows).schema
+    for k, part in enumerate((rows[:4], rows[5:7], [rows[4], rows[7]])):  # the fifth day comes after the seventh
+        days(spark, part).coalesce(1).write.parquet(str(src / f"p{k}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    q = windows.water_balance(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.late for r in sorted(got, key=lambda r: r.date)] == [False] * 4 + [True] + [False] * 3
+    assert {r.date: r.dr for r in got if not r.late} == pytest.approx(whole)
+
+
+def test_upserts_rewrite_what_they_touch(spark, tmp_path):
+    from fieldlark.streaming import windows
+
+    path = str(tmp_path / "table")
+    sink = windows.upsert_into(spark, path, ["k"], "at", buckets=8)
+    make = lambda rows: spark.createDataFrame(rows, "k long, at long, v string")
+    schema = make([]).schema
+    read = lambda: {tuple(r) for r in windows.upserted(spark, path, schema).collect()}
+    assert read() == set()
+    sink(make([(i, 1, "a") for i in range(40)]), 0)
+    sink(make([(3, 2, "b"), (3, 0, "old"), (99, 1, "new")]), 1)
+    want = {(i, 1, "a") for i in range(40) if i != 3} | {(3, 2, "b"), (99, 1, "new")}
+    assert read() == want
+    assert len(list((tmp_path / "table/rows/v=1").glob("__bucket=*"))) <= 2
+    sink(make([(3, 2, "b"), (3, 0, "old"), (99, 1, "new")]), 1)  # the batch again
+    assert read() == want
+    sink(make([]), 2)
+    assert read() == want
+
+
+def test_upsert_of_an_empty_stream(spark, tmp_path):
+    from fieldlark.streaming import windows
+
+    (tmp_path / "none").mkdir()
+    schema = spark.range(1).selectExpr("id as k", "id as at").schema
+    sink = windows.upsert_into(spark, str(tmp_path / "t"), ["k"], "at")
+    q = spark.readStream.schema(schema).parquet(str(tmp_path / "none")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert windows.upserted(spark, str(tmp_path / "t"), schema).count() == 0
+
+
+def test_late_data_is_left_out_by_the_watermark(spark, tmp_path):
+    from datetime import datetime
+
+    from fieldlark.streaming import windows
+
+    src = tmp_path / "in"
+    parts = [[(1, datetime(2024, 1, 2), 1.0)], [(1, datetime(2024, 3, 1), 5.0)], [(1, datetime(2024, 3, 2), 6.0)], [(1, datetime(2024, 1, 3), 9.0)], [(1, datetime(2024, 6, 1), 7.0)]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "cell long, ts timestamp, value double").coalesce(1).write.parquet(str(src / f"p{k}"))
+    stream = spark.readStream.schema("cell long, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
+    out = windows.eight_day(stream, ["cell"], "value", date(2024, 1, 1))
+    q = out.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.window_start: (r.value, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got[date(2024, 1, 1)] == (1.0, 1)  # the value of 9 came 16 days late
+
+
+def test_soil_water_index_over_any_span(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(6):
+        t = 0.0
+        for _ in range(400):
+            t += float(rng.choice([0.5, 3, 40, 900 if k % 2 else 1, 2500 if k % 3 == 0 else 2]))
+            rows.append((k, t, None if rng.random() < 0.2 else float(rng.uniform(0, 1))))
+    df = spark.createDataFrame(rows, "k int, t double, ssm double")
+    got = {(r.k, r.t): r.swi for r in series.soil_water_index(df, ["k"], t_char=5.0).collect()}
+    for k in range(6):
+        own, gain, last, swi = [r for r in rows if r[0] == k], 1.0, None, None
+        for _, t, x in own:
+            if x is not None:
+                gain = 1.0 if last is None else gain / (gain + np.exp(-(t - last) / 5.0))
+                swi = x if swi is None else swi + gain * (x - swi)
+                last = t
+            assert got[k, t] is None if swi is None else got[k, t] == pytest.approx(swi, rel=1e-9)
+
+
+@pytest.mark.parametrize("values", [[], [None], [2.0], [1.0, 4.0], [3.0] * 7, [1.0, 1.0, 9.0, 9.0], "random", "skewed"])
+def test_exact_medians(spark, values):
+    rng = np.random.default_rng(9)
+    values = {"random": rng.normal(size=5001).tolist(), "skewed": (rng.pareto(0.3, 4000) * 1e3).tolist() + [-1e12, 1e15]}.get(values, values) if isinstance(values, str) else values
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = stats.medians(df, {"v": F.col("v"), "w": F.col("v") * 2})
+    some = [v for v in values if v is not None]
+    want = float(np.median(some)) if some else None
+    assert got == {"v": pytest.approx(want) if some else None, "w": pytest.approx(2 * want) if some else None}
+
+
+def test_banded_smoothing_is_the_dense_one(spark):
+    rng = np.random.default_rng(10)
+    for order in (1, 2, 3):
+        for n in (4, 5, 9, 60):
+            y = rng.normal(size=(7, n))
+            y[rng.random((7, n)) < 0.2] = np.nan
+            for row, got in zip(y, smoothing.whittaker_rows(y, 8.0, order)):
+                w, d = np.isfinite(row).astype(float), np.diff(np.eye(n), order, axis=0)
+                if w.sum() > order:
+                    want = np.linalg.solve(np.diag(w) + 8.0 * d.T @ d + 1e-12 * np.eye(n), np.where(w > 0, row, 0))
+                    assert got == pytest.approx(want, rel=1e-6, abs=1e-6)
+    rows = [(f"k{k}", float(t), float(rng.normal())) for k in range(300) for t in range(3 + k % 40)]
+    df = spark.createDataFrame(rows, "k string, t double, vi double").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # series go over batches
+    got = {(r.k, r.t): r.smooth for r in smoothing.whittaker_series(df, "k", "t", "vi").collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for k in range(0, 300, 37):
+        own = sorted((t, v) for n, t, v in rows if n == f"k{k}")
+        assert [got[f"k{k}", t] for t, _ in own] == pytest.approx(smoothing.whittaker(np.array([v for _, v in own])).tolist())
+
+
+def test_as_of(spark):
+    left = spark.createDataFrame([("a", 1, "l"), ("a", 5, "m"), ("a", 9, "n"), ("b", 5, "o")], "k string, t int, v string")
+    right = spark.createDataFrame([("a", 2, 1.0), ("a", 5, 2.0), ("a", 5, 3.0), ("a", 6, None), ("b", 6, 9.0)], "k string, t int, x double")
+    got = {(r.k, r.t): (r.v, r.x) for r in cells.as_of(left, right, ["k"], "t", ["x"]).collect()}
+    assert got == {("a", 1): ("l", None), ("a", 5): ("m", 3.0), ("a", 9): ("n", None), ("b", 5): ("o", None)}
+
+
+def test_registry_is_checked(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"id": "a", "tier": 1}\n{"id": "b", "tier": 3}\n')
+    assert tables.read_registry(spark, str(tmp_path / "r.json")).count() == 2
+    for bad in ('{"id": "a", "tier": 2}', '{"tier": 2}', '{"id": "c", "tier": 4}', '{"id": "c"}'):
+        (tmp_path / "bad.json").write_text('{"id": "a", "tier": 1}\n' + bad)
+        with pytest.raises(ValueError):
+            tables.read_registry(spark, str(tmp_path / "bad.json"))
+
+
+def test_ties_of_the_latest_are_settled(spark):
+    rows = [(1, 5, float(v), f"s{v}") for v in range(50)]
+    for part in (1, 7):
+        df = spark.createDataFrame(rows, "k int, at int, v double, s string").repartition(part)
+        assert [tuple(r) for r in cells.latest(df, ["k"], "at").collect()] == [(1, 5, 49.0, "s49")]
