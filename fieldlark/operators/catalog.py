@@ -59,3 +59,26 @@ def search(items: DataFrame, collection: str, bbox, start, end, limit: int = 100
     w, s, e, n = bbox
     met = (F.col("max_lng") >= w) & (F.col("min_lng") <= e) & (F.col("max_lat") >= s) & (F.col("min_lat") <= n)
     return items.where((F.col("collection") == collection) & F.col("date").between(start, end) & met).orderBy("date", "id").limit(limit)
+
+
+def sensor(registry: DataFrame, name: str) -> dict:
+    """The registry's row of one id; unknown ids are errors."""
+    found = registry.where(F.col("id") == name).limit(1).collect()
+    if not found:
+        raise KeyError(f"no sensor {name!r}")
+    return found[0].asDict()
+
+
+def search_sensor(items: DataFrame, registry: DataFrame, name: str, bbox, start, end, limit: int = 100) -> DataFrame:
+    """``search`` by a sensor's own collection; one without a collection is an error."""
+    collection = sensor(registry, name)["stac_collection"]
+    if not collection:
+        raise ValueError(f"sensor {name!r} has no collection to search")
+    return search(items, collection, bbox, start, end, limit)
+
+
+def routes(registry: DataFrame, prefer_stac: bool = False) -> DataFrame:
+    """(id, route, asset): where each sensor's observations come from."""
+    stac = F.col("stac_collection").isNotNull() & (F.lit(prefer_stac) | F.col("gee_asset_id").isNull())
+    route = F.when(stac, "stac").when(F.col("gee_asset_id").isNotNull(), "gee").otherwise("demo")
+    return registry.select("id", route.alias("route"), F.when(stac, F.col("stac_collection")).otherwise(F.col("gee_asset_id")).alias("asset"))

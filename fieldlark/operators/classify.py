@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import unit_hash
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -162,4 +164,15 @@ def feature_stack(df: DataFrame, keys: list[str], t: str, values: list[str], ste
 
 def hash_split(df: DataFrame, key: str, share: float = 0.7, seed: int = 42) -> DataFrame:
     """Adds ``is_train`` by a hash of the key, whatever the partitioning."""
-    return df.withColumn("is_train", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1e6 < share)
+    return df.withColumn("is_train", unit_hash(str(seed), F.col(key).cast("string")) < share)
+
+
+def save(model, path: str) -> None:
+    """Write a fitted pipeline where all executors can read it."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

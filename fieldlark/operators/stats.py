@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import EPS, clip, finite, safe_divide
+from ..functions.geo import unit_hash
 
 
 def anomaly(series: DataFrame, baseline: DataFrame, keys: list[str], value: str, robust: bool = False) -> DataFrame:
@@ -18,6 +19,13 @@ def anomaly(series: DataFrame, baseline: DataFrame, keys: list[str], value: str,
     return series.join(off, keys, "left").withColumn("z", safe_divide(F.col(value) - F.col("__m"), F.col("__s"))).drop("__m", "__s")
 
 
+def zonal(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """(keys, n, low, high, mean, std, median, spread) of each zone's values; the deviation is the population's."""
+    x = finite(value)
+    out = df.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.median(x).alias("median"))
+    return out.withColumn("spread", F.col("high") - F.col("low"))
+
+
 def _median(a: Column) -> Column:
     s = F.array_sort(a)
     n = F.size(s)
@@ -124,10 +132,10 @@ def block_id(df: DataFrame, x: str, y: str, k: int) -> DataFrame:
 
 
 def block_split(df: DataFrame, x: str, y: str, k: int = 8, test: float = 0.3, seed: int = 42) -> DataFrame:
-    """Adds ``block`` and ``is_test``: whole blocks go to the test side, in the order of a hash."""
+    """Adds ``block`` and ``is_test``: whole blocks go to the test side, in the order of a hash that any SQL has too."""
     held = block_id(df, x, y, k)
     blocks = held.select("block").distinct()
     n = blocks.agg(F.count(F.lit(1)).alias("__nb"))
-    ranked = blocks.withColumn("__r", F.row_number().over(Window.orderBy(F.xxhash64("block", F.lit(seed)), "block"))).crossJoin(n)  # k * k rows at most
+    ranked = blocks.withColumn("__r", F.row_number().over(Window.orderBy(unit_hash(str(seed), F.col("block").cast("string")), "block"))).crossJoin(n)  # k * k rows at most
     chosen = ranked.select("block", (F.col("__r") <= F.greatest(F.lit(1), F.rint(F.col("__nb") * test))).alias("is_test"))
     return held.join(F.broadcast(chosen), "block")

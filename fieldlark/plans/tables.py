@@ -318,12 +318,13 @@ def block_split_ids(spark, d):
     return stats.block_id(A.points(spark, d), "lng", "lat", 8).select("c_custkey", "block")
 
 
-@query()
+@query("WITH ids AS (" + SQL["block_split_ids"] + """), b AS (SELECT DISTINCT block FROM ids), k AS (SELECT block, row_number() OVER (ORDER BY (('0x' || substr(sha256('42/' || block), 1, 12))::BIGINT % 10000), block) AS r, count(*) OVER () AS n FROM b)
+    SELECT c_custkey, block, r <= greatest(1, round_even(n * 0.3::DOUBLE, 0)) AS is_test FROM ids JOIN k USING (block)""")
 def block_split(spark, d):
     return stats.block_split(A.points(spark, d), "lng", "lat", 8).select("c_custkey", "block", "is_test")
 
 
-@query()
+@query("SELECT c_custkey, (('0x' || substr(sha256('42/' || c_custkey), 1, 12))::BIGINT % 10000) / 10000::DOUBLE < 0.7::DOUBLE AS is_train FROM customer")
 def random_split(spark, d):
     return classify.hash_split(A.read(spark, d, "customer").select("c_custkey"), "c_custkey")
 
@@ -616,14 +617,42 @@ def phenometrics(spark, d):
     return smoothing.phenometric_series(_series(spark, d), "cell", "t", "vi")
 
 
-@query()
+@query("""SELECT 's2' AS sensor, DATE '2024-01-01' + (t * 12)::INT AS date, y::INT AS y, x::INT AS x, band, round(least(greatest(0.25::DOUBLE + 0.45::DOUBLE * sin(pi() * t / 5) + 0.2::DOUBLE * ((('0x' || substr(sha256('0/s2/' || t || '/' || y || '/' || x || '/' || band), 1, 12))::BIGINT % 10000) / 10000::DOUBLE), 0), 1), 5) AS value
+    FROM range(6) a(t), range(16) b(y), range(16) c(x), (VALUES ('red'), ('nir')) v(band)""")
 def synthetic_stack(spark, d):
-    return tables.synthetic(spark, "s2", "optical_sr", START, date(2024, 3, 1), 6, 16, ("red", "nir"))
+    out = tables.synthetic(spark, "s2", "optical_sr", START, date(2024, 3, 1), 6, 16, ("red", "nir"))
+    return out.select("sensor", "date", "y", "x", "band", R(F.col("value").cast("double"), "value", 5))
 
 
-@query()
+_CUBE = """WITH h AS (SELECT t, y, x, DATE '2024-01-01' + (t * 30)::INT AS date, dayofyear(DATE '2024-01-01' + (t * 30)::INT)::DOUBLE AS doy, ((y // 5 * 3 + x // 4) % 5)::INT AS field_id FROM range(12) a(t), range(20) b(y), range(16) c(x)),
+    r AS (SELECT *, HASH(ndvi) AS u1, HASH(cloud) AS u2, HASH(sm) AS u3, HASH(lst) AS u4 FROM h),
+    g AS (SELECT *, greatest(0, least(0.95::DOUBLE, 0.18::DOUBLE + 0.02::DOUBLE * field_id + (0.45::DOUBLE + 0.08::DOUBLE * (field_id - 2)) * exp(-0.5 * ((doy - (150 + 25 * (field_id - 2))) / 45) ** 2) + (u1 - 0.5) * (0.015::DOUBLE * sqrt(12)))) AS g FROM r),
+    l AS (SELECT *, lag(g) OVER w AS b, lead(g) OVER w AS a FROM g WINDOW w AS (PARTITION BY y, x ORDER BY t)),
+    s AS (SELECT *, CASE WHEN b IS NULL THEN a - g WHEN a IS NULL THEN g - b ELSE (a - b) / 2 END AS d, CASE WHEN u2 < 0.25 * (0.6::DOUBLE + 0.8::DOUBLE * exp(-0.5 * ((doy - 200) / 40) ** 2)) THEN 0 ELSE 1 END AS qa, greatest(0, least(1, 0.2::DOUBLE + 0.45::DOUBLE * g)) AS nir FROM l),
+    e AS (SELECT *, greatest(0, least(1, nir * (1 - g) / (1 + g + 1e-6))) AS red, greatest(0.02::DOUBLE, least(0.55::DOUBLE, 0.15::DOUBLE + 0.12::DOUBLE * exp(-0.5 * ((doy - 210) / 35) ** 2) + 0.05::DOUBLE * (1 - g) + (u3 - 0.5) * (0.01::DOUBLE * sqrt(12)))) AS sm FROM s),
+    f AS (SELECT *, greatest(0, least(1, red * 1.15::DOUBLE + 0.02::DOUBLE)) AS green, greatest(0, least(1, red * 0.95::DOUBLE + 0.01::DOUBLE)) AS blue FROM e)
+    SELECT date, y::INT AS y, x::INT AS x, field_id, round(blue, 6) AS blue, round(green, 6) AS green, round(red, 6) AS red, round(nir, 6) AS nir, round(greatest(0, least(1, 0.18::DOUBLE + 0.1::DOUBLE * (1 - g))), 6) AS swir1, round(greatest(0, least(1, 0.12::DOUBLE + 0.08::DOUBLE * (1 - g))), 6) AS swir2,
+    round(CASE WHEN qa = 1 THEN g END, 6) AS ndvi, round(greatest(-0.2::DOUBLE, least(1, 2.5 * (nir - red) / (nir + 6 * red - 7.5 * blue + 1 + 1e-6))), 6) AS evi, round((green - nir) / (green + nir + 1e-6), 6) AS ndwi, round(sm, 6) AS soil_moisture, round(greatest(15, least(50, 28 + 8 * (1 - g) - 20 * sm + (u4 - 0.5) * (0.5 * sqrt(12)))), 6) AS lst_et,
+    CASE WHEN g >= 0.25 AND g < 0.5 AND d < 0 THEN 5 WHEN g >= 0.5 AND d < 0 THEN 4 WHEN g >= 0.6::DOUBLE AND abs(d) < 0.01::DOUBLE THEN 3 WHEN g >= 0.5 AND d >= 0 THEN 2 WHEN g >= 0.25 AND g < 0.5 AND d >= 0 THEN 1 ELSE 0 END AS phenophase, qa, round(0.01::DOUBLE + CASE WHEN qa = 0 THEN 0.04::DOUBLE ELSE 0 END + 0.02::DOUBLE * (1 - g), 6) AS sigma FROM f"""
+for _n in ("ndvi", "cloud", "sm", "lst"):
+    _CUBE = _CUBE.replace(f"HASH({_n})", f"(('0x' || substr(sha256('0/{_n}/' || t || '/' || y || '/' || x), 1, 12))::BIGINT % 10000) / 10000::DOUBLE")
+
+
+@query(_CUBE)
+def demo_cube(spark, d):
+    out = tables.demo_cube(spark, START, date(2024, 11, 26), 12, 20, 16)
+    return out.select("date", "y", "x", "field_id", *[R(c) for c in out.columns if c not in ("date", "y", "x", "field_id", "phenophase", "qa")], "phenophase", "qa")
+
+
+_ROLL = lambda *p: "((('0x' || substr(sha256('11/' || id || " + " || ".join(f"'/{x}'" for x in p) + "), 1, 12))::BIGINT % 10000) / 10000::DOUBLE)"
+_SIG = lambda z: f"(1 / (1 + exp(-({z}))))"
+
+
+@query("WITH r AS (SELECT i::BIGINT AS id, (i % 4)::INT AS k FROM range(480) t(i)), a AS (SELECT id, " + ", ".join(f"[{', '.join(f'{tables.ARCHETYPES[n][i]}::DOUBLE' for n in sorted(tables.ARCHETYPES))}][k + 1] AS a{i}" for i in range(6)) + f", 'crop' || k AS label, ({_ROLL('s')} - 0.5) * 0.06::DOUBLE AS shift FROM r) SELECT id, label, round({_ROLL('x')} * 100, 6) AS px, round({_ROLL('y')} * 100, 6) AS py, "
+    + ", ".join("round(a0 + a1 * (" + _SIG(f"a3 * ({t} / 11::DOUBLE - a2 - shift)") + " - " + _SIG(f"a5 * ({t} / 11::DOUBLE - a4 - shift)") + f") + ({_ROLL('n', t)} + {_ROLL('m', t)} - 1) * 0.04::DOUBLE * 2, 6) AS t{t:02d}" for t in range(12)) + " FROM a")
 def synthetic_crops(spark, d):
-    return tables.synthetic_crops(spark)
+    out = tables.synthetic_crops(spark)
+    return out.select("id", "label", *[R(c) for c in out.columns if c not in ("id", "label")])
 
 
 def _trained(spark, kind: str, **kw):
@@ -771,3 +800,73 @@ def bucket_recursion(spark, d):
     df = A.daily(spark, d).withColumn("step", F.row_number().over(Window.partitionBy("cell").orderBy("date")))
     df = df.select(k.alias("field_id"), "step", (F.col("n") % 5 + 20).cast("double").alias("etc"), (F.floor("top") % 20).cast("double").alias("rain"), A.nth(["initial", "development", "mid", "late"], k % 4).alias("stage"), (k % 5 * 10 + 100).cast("double").alias("taw"), ((k % 5 * 10 + 100).cast("double") * 0.5).alias("raw"), (0.85 - 0.45 * ((k % 3).cast("double") / 2.0)).alias("refill"))
     return balance.bucket(df.withColumn("dr0", F.col("taw") * 0.3)).select("field_id", "step", R("dr"), "advisory")
+
+
+@query(f"WITH {A.PIXELS} SELECT l_suppkey, count(cs) AS n, " + r6(low="min(cs)", high="max(cs)", mean="avg(cs)", std="stddev_pop(cs)", median="median(cs)", spread="max(cs) - min(cs)") + " FROM pix GROUP BY 1")
+def zonal_stats(spark, d):
+    out = stats.zonal(A.pixels(spark, d), ["l_suppkey"], "cs")
+    return out.select("l_suppkey", "n", *[R(c) for c in ("low", "high", "mean", "std", "median", "spread")])
+
+
+@query(f"WITH {A.GRID} SELECT patch, y, x, ((y // 10 * 3 + x // 12) % 5)::INT AS field_id FROM grd")
+def pixel_blocks(spark, d):
+    return A.grid(spark, d).select("patch", "y", "x", tables.pixel_block("y", "x", 40, 50).alias("field_id"))
+
+
+@query("""WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'error'), r AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'error' GROUP BY 1, 2) SELECT event_id, value AS last_error FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""")
+def as_of_layer(spark, d):
+    e = A.read(spark, d, "events")
+    errors = e.where("event_type = 'error'").select("user_id", "ts", F.col("value").alias("last_error"))
+    return cells.as_of(e.where("event_type <> 'error'").select("event_id", "user_id", "ts"), errors, ["user_id"], "ts", ["last_error"]).select("event_id", "last_error")
+
+
+@query("SELECT user_id, list_sort(list_distinct(list(CAST(ts AS DATE)))) AS days, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1")
+def distinct_sets(spark, d):
+    e = A.read(spark, d, "events")
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_set(F.col("ts").cast("date"))).alias("days"), F.count_distinct("event_type").alias("kinds"))
+
+
+@query("""SELECT 'both' AS side, c AS custkey FROM (SELECT c_custkey AS c FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'idle', c FROM (SELECT c_custkey AS c FROM customer EXCEPT SELECT o_custkey FROM orders)""")
+def set_operations(spark, d):
+    c, o = A.read(spark, d, "customer").select(F.col("c_custkey").alias("custkey")), A.read(spark, d, "orders").select(F.col("o_custkey").alias("custkey"))
+    named = lambda side, df: df.select(F.lit(side).alias("side"), "custkey")
+    return named("both", c.intersect(o)).unionByName(named("idle", c.subtract(o)))
+
+
+@query(f"WITH {A.FIELDS} SELECT command_id, crop, grouping(command_id) AS all_commands, grouping(crop) AS all_crops, count(*) AS fields, round(sum(area_ha), 6) AS area_ha FROM fld GROUP BY ROLLUP (command_id, crop)")
+def command_hierarchy(spark, d):
+    f = A.fields(spark, d)
+    return f.rollup("command_id", "crop").agg(F.grouping("command_id").cast("long").alias("all_commands"), F.grouping("crop").cast("long").alias("all_crops"), F.count(F.lit(1)).alias("fields"), R(F.sum("area_ha"), "area_ha"))
+
+
+@query(f"WITH {A.FIELDS} SELECT stage, is_tail_end, grouping(stage) AS all_stages, grouping(is_tail_end) AS all_ends, count(*) AS fields, round(avg(dr), 6) AS dr FROM fld GROUP BY CUBE (stage, is_tail_end)")
+def stage_cube(spark, d):
+    f = A.fields(spark, d)
+    return f.cube("stage", "is_tail_end").agg(F.grouping("stage").cast("long").alias("all_stages"), F.grouping("is_tail_end").cast("long").alias("all_ends"), F.count(F.lit(1)).alias("fields"), R(F.avg("dr"), "dr"))
+
+
+@query(f"WITH {_EV} SELECT DISTINCT {_C9} AS cell FROM ev ORDER BY 1 LIMIT 16")
+def first_cells(spark, d):
+    """A report's first cells, in order."""
+    return _events(spark, d).select(geo.cell("lat", "lng", 9).alias("cell")).distinct().orderBy("cell").limit(16)
+
+
+@query(f"WITH {A.REGISTRY} SELECT id, CASE WHEN stac_collection IS NOT NULL AND gee_asset_id IS NULL THEN 'stac' WHEN gee_asset_id IS NOT NULL THEN 'gee' ELSE 'demo' END AS route, CASE WHEN stac_collection IS NOT NULL AND gee_asset_id IS NULL THEN stac_collection ELSE gee_asset_id END AS asset FROM reg")
+def sensor_routes(spark, d):
+    return catalog.routes(A.registry(spark, d))
+
+
+@query(f"WITH {A.REGISTRY}, {A.POINTS}, i AS (SELECT c_custkey AS id, 'coll-' || (c_custkey % 5) AS collection, DATE '2024-01-01' + (c_custkey % 60)::INT AS date, lng, lat FROM pts) SELECT i.id, i.date FROM i JOIN reg ON reg.id = 'supplier#000000003' AND i.collection = reg.stac_collection WHERE date BETWEEN DATE '2024-01-11' AND DATE '2024-02-10' AND lng + 1 >= -60 AND lng <= 60 AND lat + 1 >= -30 AND lat <= 40 ORDER BY i.date, i.id LIMIT 50")
+def sensor_search(spark, d):
+    p = A.points(spark, d).select(F.col("c_custkey").alias("id"), F.concat(F.lit("coll-"), (F.col("c_custkey") % 5).cast("string")).alias("collection"), F.date_add(F.lit(START), (F.col("c_custkey") % 60).cast("int")).alias("date"), F.col("lng").alias("min_lng"), F.col("lat").alias("min_lat"), (F.col("lng") + 1.0).alias("max_lng"), (F.col("lat") + 1.0).alias("max_lat"))
+    return catalog.search_sensor(p, A.registry(spark, d), "supplier#000000003", (-60, -30, 60, 40), date(2024, 1, 11), date(2024, 2, 10), 50).select("id", "date")
+
+
+@query(f"WITH {A.PIXELS} SELECT date, l_suppkey, l_partkey, round(red, 6) AS red, round(nir, 6) AS nir FROM pix WHERE date >= DATE '1995-01-01' AND date < DATE '1996-01-01' AND l_suppkey BETWEEN 10 AND 60 AND l_partkey BETWEEN 20 AND 150")
+def pixel_scan(spark, d):
+    """Pixels written partitioned by year, and a date range and box read back: both reach the scan."""
+    path = scratch(spark, "pixel-scan")
+    p = A.pixels(spark, d).select("date", F.year("date").alias("year"), F.col("l_suppkey").alias("lat"), F.col("l_partkey").alias("lng"), "red", "nir")
+    tables.write_partitioned(p, path, "year", ("lat", "lng"))
+    out = tables.scan(spark, path, ["red", "nir"], date(1995, 1, 1), date(1996, 1, 1), (20, 10, 150, 60))
+    return out.select("date", F.col("lat").alias("l_suppkey"), F.col("lng").alias("l_partkey"), R("red"), R("nir"))

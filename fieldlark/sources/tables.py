@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.geo import unit_hash
+from ..operators.series import gradient, phenophase
+
 REGISTRY = "id string, name string, operator string, country string, sensor_type string, bands array<string>, native_resolution_m double, revisit_days double, swath_km double, status string, gee_asset_id string, stac_collection string, portal string, cost string, tier int, roles array<string>, fills_gaps array<string>"
 #: Sensor kinds each loader family takes.
 FAMILIES = {"optical_sr": ["optical"], "sar_grd": ["sar"], "soil_moisture": ["passive_microwave", "sar"], "precip": ["precip"], "thermal_et": ["thermal"], "dem": ["dem"], "embeddings": ["embedding"]}
@@ -69,21 +72,89 @@ def validate_family(family: str, kind: str) -> None:
         raise ValueError(f"{family} does not take {kind!r} sensors")
 
 
+def chance(seed, *parts) -> Column:
+    """A number in [0, 1) for a seed and any columns, the same in any partitioning (and in any SQL with SHA-256)."""
+    return unit_hash(F.concat_ws("/", F.lit(str(seed)), *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]))
+
+
 def synthetic(spark: SparkSession, sensor: str, family: str, start: date, end: date, n: int = 6, size: int = 32, bands=("b1",), seed: int = 0) -> DataFrame:
     """Deterministic observations (sensor, date, y, x, band, value): a season's swell and hash noise within the family's range."""
     lo, hi = RANGES[family]
     if family == "dem":
         n = 1
     dates = time_axis(start, end, n)
-    rows = spark.range(n * size * size).select((F.col("id") / (size * size)).cast("int").alias("t"), (F.col("id") / size % size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
+    rows = spark.range(n * size * size).select(F.floor(F.col("id") / (size * size)).cast("int").alias("t"), (F.floor(F.col("id") / size) % size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, bands))).alias("band"))
-    noise = F.pmod(F.xxhash64(F.lit(sensor), F.lit(seed), "t", "y", "x", "band"), F.lit(1_000_000)) / 1e6
     swell = F.sin(math.pi * F.col("t") / max(1, n - 1))
-    value = lo + (hi - lo) * (0.25 + 0.45 * swell + 0.2 * noise)
+    value = lo + (hi - lo) * (0.25 + 0.45 * swell + 0.2 * chance(seed, sensor, F.col("t"), F.col("y"), F.col("x"), F.col("band")))
     day = F.element_at(F.array(*map(F.lit, dates)), F.col("t") + 1)
     return rows.select(F.lit(sensor).alias("sensor"), day.alias("date"), "y", "x", "band", F.least(F.greatest(value, F.lit(lo)), F.lit(hi)).cast("float").alias("value"))
 
 
+def demo_cube(spark: SparkSession, start: date, end: date, n: int = 12, height: int = 64, width: int = 64, seed: int = 0, cloud: float = 0.25) -> DataFrame:
+    """A made cube (date, y, x, field_id, bands, indices, soil_moisture, lst_et, phenophase, qa, sigma).
+
+    Greenness is a Gaussian in time, with its own peak and height for each of
+    five kinds of field block. Clouds (qa 0, more of them in the rains) leave ndvi
+    NULL and nothing else. The noise is of hashes, so the cube is the same on any
+    cluster.
+    """
+    dates = time_axis(start, end, n)
+    ids = spark.range(n * height * width)
+    rows = ids.select(F.floor(F.col("id") / (height * width)).cast("int").alias("t"), (F.floor(F.col("id") / width) % height).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    rows = rows.withColumn("date", F.element_at(F.array(*map(F.lit, dates)), F.col("t") + 1)).withColumns({"doy": F.dayofyear("date").cast("double"), "field_id": pixel_block("y", "x", height, width)})
+    c = F.col
+    noise = lambda name, sd: (chance(seed, name, c("t"), c("y"), c("x")) - 0.5) * (sd * math.sqrt(12.0))
+    bell = lambda x, at, width: F.exp(-0.5 * F.pow((x - at) / width, F.lit(2.0)))
+    unit = lambda x, lo=0.0, hi=1.0: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    k = c("field_id").cast("double")
+    rows = rows.withColumn("green_up", unit(0.18 + 0.02 * k + (0.45 + 0.08 * (k - 2.0)) * bell(c("doy"), 150.0 + 25.0 * (k - 2.0), 45.0) + noise("ndvi", 0.015), 0.0, 0.95))
+    rows = gradient(rows, ["y", "x"], "green_up", "t")
+    g = c("green_up")
+    rows = rows.withColumns({"qa": F.when(chance(seed, "cloud", c("t"), c("y"), c("x")) < cloud * (0.6 + 0.8 * bell(c("doy"), 200.0, 40.0)), 0).otherwise(1), "nir": unit(0.20 + 0.45 * g), "swir1": unit(0.18 + 0.10 * (1.0 - g)), "swir2": unit(0.12 + 0.08 * (1.0 - g))})
+    rows = rows.withColumn("red", unit(c("nir") * (1.0 - g) / (1.0 + g + 1e-6)))
+    rows = rows.withColumns({"green": unit(c("red") * 1.15 + 0.02), "blue": unit(c("red") * 0.95 + 0.01), "soil_moisture": unit(0.15 + 0.12 * bell(c("doy"), 210.0, 35.0) + 0.05 * (1.0 - g) + noise("sm", 0.01), 0.02, 0.55)})
+    evi = 2.5 * (c("nir") - c("red")) / (c("nir") + 6.0 * c("red") - 7.5 * c("blue") + 1.0 + 1e-6)
+    return rows.select(
+        "date", "y", "x", "field_id", "blue", "green", "red", "nir", "swir1", "swir2", F.when(c("qa") == 1, g).alias("ndvi"), unit(evi, -0.2, 1.0).alias("evi"),
+        ((c("green") - c("nir")) / (c("green") + c("nir") + 1e-6)).alias("ndwi"), "soil_moisture", unit(28.0 + 8.0 * (1.0 - g) - 20.0 * c("soil_moisture") + noise("lst", 0.5), 15.0, 50.0).alias("lst_et"),
+        phenophase(g, c("gradient")).alias("phenophase"), "qa", (0.01 + F.when(c("qa") == 0, 0.04).otherwise(0.0) + 0.02 * (1.0 - g)).alias("sigma"),
+    )
+
+
+def pixel_block(y, x, height: int, width: int) -> Column:
+    """The kind of field (0 to 4) of a pixel: blocks of a quarter of the grid's sides."""
+    return ((F.floor(F.col(y) / max(height // 4, 1)) * 3 + F.floor(F.col(x) / max(width // 4, 1))) % 5).cast("int")
+
+
+def load_sensor(spark: SparkSession, sensor: dict, start: date, end: date, bands: list[str], stored: dict[str, str] | None = None, prefer_stac: bool = False, family: str = "optical_sr", n: int = 6, size: int = 32) -> DataFrame:
+    """Observations of a registered sensor with how they were got (``route``, ``asset``).
+
+    ``stored`` maps an asset's name to its table of pixels. A sensor goes to its
+    catalogue collection where that is preferred or it has no native asset, else
+    to the asset, and is made up (route "demo") without a stored table of either.
+    """
+    route, asset = route_of(sensor, prefer_stac)
+    path = (stored or {}).get(asset)
+    if path is None:
+        return synthetic(spark, sensor["id"], family, start, end, n, size, tuple(bands)).withColumns({"route": F.lit("demo"), "asset": F.lit(asset)})
+    return scan(spark, path, bands, start, end).withColumns({"sensor": F.lit(sensor["id"]), "route": F.lit(route), "asset": F.lit(asset)})
+
+
+def route_of(sensor: dict, prefer_stac: bool = False) -> tuple[str, str | None]:
+    """Where a sensor's observations come from, and its asset there."""
+    native, collection = sensor.get("gee_asset_id"), sensor.get("stac_collection")
+    if collection and (prefer_stac or not native):
+        return "stac", collection
+    return ("gee", native) if native else ("demo", None)
+
+
+def load_family(spark: SparkSession, family: str, sensor: dict, start: date, end: date, bands: list[str], **options) -> DataFrame:
+    """``load_sensor`` of a sensor that the family takes; elevation is one date."""
+    validate_family(family, sensor["sensor_type"])
+    return load_sensor(spark, sensor, start, end, bands, family=family, **options)
+
+
 #: Archetypes of synthetic crops: base, amplitude, start, rise, end, fall (shares of the season).
 ARCHETYPES = {"crop0": (0.15, 0.65, 0.20, 25.0, 0.75, 22.0), "crop1": (0.18, 0.50, 0.35, 30.0, 0.90, 30.0), "crop2": (0.22, 0.60, 0.10, 18.0, 0.55, 20.0), "crop3": (0.12, 0.35, 0.45, 22.0, 0.80, 18.0)}
 
@@ -93,7 +164,7 @@ def synthetic_crops(spark: SparkSession, per_class: int = 120, steps: int = 12,
     rows = spark.range(per_class * len(ARCHETYPES)).withColumn("k", (F.col("id") % len(ARCHETYPES)).cast("int"))
     names = sorted(ARCHETYPES)
     pick = lambda i: F.element_at(F.array(*[F.lit(ARCHETYPES[n][i]) for n in names]), F.col("k") + 1)
-    unit = lambda *p: F.pmod(F.xxhash64("id", F.lit(seed), *map(F.lit, p)), F.lit(1_000_000)) / 1e6
+    unit = lambda *p: chance(seed, F.col("id"), *p)
     sig = lambda z: 1.0 / (1.0 + F.exp(-z))
     cols = {}
     for t in range(steps):

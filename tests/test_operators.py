@@ -361,3 +361,44 @@ def test_ties_of_the_latest_are_settled(spark):
     for part in (1, 7):
         df = spark.createDataFrame(rows, "k int, at int, v double, s string").repartition(part)
         assert [tuple(r) for r in cells.latest(df, ["k"], "at").collect()] == [(1, 5, 49.0, "s49")]
+
+
+def test_demo_cube_has_seasons_and_clouds(spark):
+    cube = tables.demo_cube(spark, date(2024, 1, 1), date(2024, 12, 20), 20, 20, 20, seed=11).toPandas()
+    assert len(cube) == 8000 and cube.ndvi.isna().equals(cube.qa == 0) and (cube.qa == 0).any() and cube.drop(columns="ndvi").notna().all().all()
+    season = cube.groupby("date").ndvi.mean()
+    assert season.max() - season.min() > 0.1 and 0 < season.argmax() < 19
+    assert (cube.soil_moisture >= 0).all() and (cube.sigma > 0).all() and set(cube.phenophase) <= set(range(6)) and set(cube.field_id) == set(range(5))
+
+
+def test_sensors_are_loaded_by_route(spark, tmp_path):
+    from fieldlark.operators import catalog
+
+    sensor = {"id": "s9", "sensor_type": "optical", "gee_asset_id": "asset/9", "stac_collection": "coll-9"}
+    assert tables.route_of(sensor) == ("gee", "asset/9") and tables.route_of(sensor, True) == ("stac", "coll-9")
+    assert tables.route_of(sensor | {"gee_asset_id": None}) == ("stac", "coll-9") and tables.route_of({"id": "p"}) == ("demo", None)
+    px = spark.createDataFrame([(date(2024, 1, 2), 1.0, 2.0, 0.3), (date(2024, 3, 2), 1.0, 2.0, 0.4)], "date date, lat double, lng double, red double")
+    px.write.parquet(str(tmp_path / "px"))
+    got = tables.load_sensor(spark, sensor, date(2024, 1, 1), date(2024, 2, 1), ["red"], {"asset/9": str(tmp_path / "px")}).collect()
+    assert [(r.red, r.route, r.asset, r.sensor) for r in got] == [(0.3, "gee", "asset/9", "s9")]
+    made = tables.load_family(spark, "optical_sr", sensor, date(2024, 1, 1), date(2024, 2, 1), ["red", "nir"], n=3, size=4)
+    assert made.count() == 3 * 16 * 2 and {r.route for r in made.select("route").distinct().collect()} == {"demo"}
+    with pytest.raises(ValueError):
+        tables.load_family(spark, "sar_grd", sensor, date(2024, 1, 1), date(2024, 2, 1), ["vv"])
+    registry = spark.createDataFrame([("a", "c1", None), ("b", None, "asset/b")], "id string, stac_collection string, gee_asset_id string")
+    with pytest.raises(KeyError):
+        catalog.sensor(registry, "z")
+    with pytest.raises(ValueError):
+        catalog.search_sensor(registry, registry, "b", (0, 0, 1, 1), date(2024, 1, 1), date(2024, 2, 1))
+
+
+def test_models_are_saved_and_loaded(spark, tmp_path):
+    df = tables.synthetic_crops(spark, 20)
+    names = [c for c in df.columns if c.startswith("t")]
+    model = classify.fit(df, names, "label", "rf", trees=5, depth=4)
+    classify.save(model, str(tmp_path / "m"))
+    again = classify.load(str(tmp_path / "m"))
+    both = [[r.predicted for r in m.transform(df).orderBy("id").collect()] for m in (model, again)]
+    assert both[0] == both[1]
+    top = classify.importances(model, names, spark, 3).collect()
+    assert len(top) == 3 and top[0].importance >= top[2].importance
