@@ -1,10 +1,11 @@
 """Near-dedup of documents at a five-word resemblance of 0.8: linked by proposals, decided on whole shingle sets.
 
-Two kinds of prints propose. Four SimHashes of the word *set* meet at four or
-fewer differing bits, by the same covering masks as ``simhash``; an edit changes
-five shingles but one word, so they find scattered edits. Forty min-hash prints
-of the shingle set, of five min-hashes each, find pairs by their resemblance
-alone, whatever the edit: a pair at just 0.8 shares one but for a chance of
+Two kinds of prints propose. SimHashes of the word *set* meet at four or fewer
+differing bits, by the same covering masks as ``simhash``; an edit changes five
+shingles but one word, so they find scattered edits. They leave out what changes
+many words in one place, so forty min-hash prints of the shingle set, of five
+min-hashes each, propose too: they find pairs by their resemblance alone,
+whatever the edit, and a pair at just 0.8 shares one but for a chance of
 (1 - 0.8^5)^40 = 1.2e-7.
 
 Every proposed pair is decided on the whole sets of shingle hashes. First each
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from . import common, simhash
 from .components import components
 
-SEEDS = (42, 43, 44, 45)
+SEED = 42
 #: Min-hash prints of a text, and min-hashes of a print.
 PRINTS, DEPTH = 40, 5
-ROWS = "row long, doc_id long, size long, " + ", ".join(f"p{i} long" for i in range(len(SEEDS))) + ", prints array<long>"
+ROWS = "row long, doc_id long, size long, fp long, prints array<long>"
 SETS = "row long, shingles array<long>"
 PAIRS = "a long, b long"
 #: Least resemblance, as a fraction.
@@ -65,9 +66,9 @@ def described(docs: DataFrame, width: int = 5, id_col: str = "doc_id", text_col:
                 words = set(text.lower().split())
                 if doc is None or not words:
                     continue
-                fps = [simhash.majority(np.array([xxh64_intdigest(w, s) for w in words], np.uint64)) for s in SEEDS]
+                fp = simhash.majority(np.array([xxh64_intdigest(w, SEED) for w in words], np.uint64))
                 h = _shingles(text, width)
-                out.append((row, doc, len(h), *fps, min_prints(h)))
+                out.append((row, doc, len(h), fp, min_prints(h)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)] if out else [pa.array([], t) for t in schema.types], schema=schema)
 
     return common.text_rows(docs, id_col, text_col, "binary", common.ROW).mapInArrow(run, ROWS)
@@ -166,16 +167,11 @@ def regrouped(members: DataFrame, roots: DataFrame, rows: DataFrame, sets: DataF
 
 def _by_words(rows: DataFrame, radius: int) -> DataFrame:
     """Pairs (a, b) of rows that the SimHashes of the word sets propose."""
-    pairs = None
-    for i in range(len(SEEDS)):
-        mine = rows.select("row", F.col(f"p{i}").alias("fp"))
-        reps = common.stored(mine.groupBy("fp").agg(F.min("row").alias("rep")), "reps")
-        same = mine.join(reps, "fp").select(F.col("row").alias("a"), F.col("rep").alias("b"))
-        near = simhash.links(reps.select("fp"), radius, seed=7 + i)
-        left, right = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
-        found = same.unionByName(near.distinct().join(left, "a").join(right, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs
+    reps = common.stored(rows.groupBy("fp").agg(F.min("row").alias("rep")), "reps")
+    same = rows.select("row", "fp").join(reps, "fp").select(F.col("row").alias("a"), F.col("rep").alias("b"))
+    left, right = reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")), reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))
+    near = simhash.links(reps.select("fp"), radius).distinct().join(left, "a").join(right, "b")
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame:
