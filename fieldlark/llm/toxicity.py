@@ -108,56 +108,62 @@ class Chain:
 
     def __init__(self, features: list[np.ndarray], labels: np.ndarray):
         n, k = labels.shape
-        sizes = np.array([len(f) for f in features])
-        rows, cols = np.repeat(np.arange(n, dtype=np.int32), sizes), np.concatenate([*features, np.zeros(0, np.uint32)]).astype(np.int32)
+        have = np.zeros(WIDTH, np.int32)
+        for f in features:
+            have[f] += 1  # a text's features differ
+        seen = np.flatnonzero(have >= SIGNIFICANT / 10)  # rarer ones cannot be significant
+        place = np.full(WIDTH, -1, np.int32)
+        place[seen] = np.arange(len(seen))
+        kept = [p[p >= 0] for p in (place[f] for f in features)]
+        rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in kept]), np.concatenate([*kept, np.zeros(0, np.int32)])
         fold = np.arange(n) % FOLDS
         before = np.zeros((n, 0))
         self.models: list[Linear] = []
         self.selected: list[np.ndarray] = []
         for c in range(k):
             y = labels[:, c].astype(float)
-            own, model = self._fitted(rows, cols, before, y)
-            self.selected.append(own)
+            own, model = self._fitted(rows, cols, len(seen), before, y)
+            self.selected.append(seen[own])
             self.models.append(model)
             if c + 1 < k:
                 told = np.zeros(n)
                 for x in range(FOLDS):
                     out = fold == x
                     if out.any() and not out.all():
-                        told[out] = self._told(rows, cols, before, y, out)
+                        told[out] = self._told(rows, cols, len(seen), before, y, out)
                 before = np.column_stack([before, told])
 
     @classmethod
-    def _fitted(cls, rows, cols, before, y):
-        """The features that these rows choose, and the model they fit."""
-        own = cls._select(rows, cols, y)
-        r, f = cls._placed(rows, cols, own)
+    def _fitted(cls, rows, cols, d, before, y):
+        """The features (of ``d``) that these rows choose, and the model they fit."""
+        own = cls._select(rows, cols, d, y)
+        r, f = cls._placed(rows, cols, d, own)
         return own, Linear(r, f, len(y), len(own), before, y)
 
     @classmethod
-    def _told(cls, rows, cols, before, y, out):
+    def _told(cls, rows, cols, d, before, y, out):
         """Probabilities of the rows in ``out``, by features and a model that none of them had a part in."""
         number = np.where(out, np.cumsum(out), np.cumsum(~out)).astype(np.int32) - 1
         held = out[rows]
-        own, model = cls._fitted(number[rows[~held]], cols[~held], before[~out], y[~out])
-        return model.predict(*cls._placed(number[rows[held]], cols[held], own), int(out.sum()), before[out])
+        own, model = cls._fitted(number[rows[~held]], cols[~held], d, before[~out], y[~out])
+        return model.predict(*cls._placed(number[rows[held]], cols[held], d, own), int(out.sum()), before[out])
 
     @staticmethod
-    def _placed(rows, cols, own):
-        place = np.full(WIDTH, -1, np.int32)
+    def _placed(rows, cols, d, own):
+        place = np.full(d, -1, np.int32)
         place[own] = np.arange(len(own))
-        kept = place[cols] >= 0
-        return rows[kept], place[cols[kept]]
+        to = place[cols]
+        return rows[to >= 0], to[to >= 0]
 
     @staticmethod
-    def _select(rows, cols, y) -> np.ndarray:
+    def _select(rows, cols, d, y) -> np.ndarray:
         """Features whose presence depends on the category, by a G-test."""
         n, p = len(y), y.mean() if len(y) else 0
         if not 0 < p < 1:
             return np.zeros(0, np.int64)
-        have = np.bincount(cols, minlength=WIDTH)
-        both = np.bincount(cols[y[rows] > 0], minlength=WIDTH)
-        seen = np.flatnonzero(have >= SIGNIFICANT / 10)  # rarer ones cannot be significant
+        have = np.bincount(cols, minlength=d)
+        both = np.bincount(cols[y[rows] > 0], minlength=d)
+        seen = np.flatnonzero(have >= SIGNIFICANT / 10)
         have, both = have[seen].astype(float), both[seen].astype(float)
         g = np.zeros(len(seen))
         for o, e in ((both, have * p), (have - both, have * (1 - p)), (y.sum() - both, (n - have) * p), (n - y.sum() - have + both, (n - have) * (1 - p))):
@@ -229,9 +235,9 @@ def train(docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id
     if not got.num_rows:
         return None
     by = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    features = [np.frombuffer(x, np.uint32) for x in got.column("features").to_pylist()]
+    features = [np.frombuffer(x.as_py(), np.uint32) for x in got.column("features").take(by)]
     y = np.column_stack([got.column(y).to_numpy() for y in names])
-    return Chain([features[i] for i in by], y[by])
+    return Chain(features, y[by])
 
 
 #: The categories that the labels tell, in the chain's order: whether a text is toxic is asked last, knowing the other.
