@@ -20,7 +20,7 @@ def query(sql: str):
 
 
 def rounded(df, keys, exprs: dict):
-    return df.select(*keys, *[F.round(c, 6).alias(n) for n, c in exprs.items()])
+    return df.select(*keys, *[A.rounded(c, 6).alias(n) for n, c in exprs.items()])
 
 
 def sd(n: str, d: str) -> str:
@@ -53,7 +53,7 @@ def cloud_masks(spark, d):
 
 @query(f"WITH {A.PIXELS} SELECT {KEYS}, " + ", ".join(f"CASE WHEN scl NOT IN (0, 1, 2, 3, 8, 9, 10) THEN round({b}, 6) END AS {b}" for b in ("red", "nir", "blue")) + " FROM pix")
 def apply_cloud_mask(spark, d):
-    return A.pixels(spark, d).select(*PK, *[optical.masked(F.round(b, 6), optical.scl_valid("scl")).alias(b) for b in ("red", "nir", "blue")])
+    return A.pixels(spark, d).select(*PK, *[optical.masked(A.rounded(b, 6), optical.scl_valid("scl")).alias(b) for b in ("red", "nir", "blue")])
 
 
 @query(f"WITH {A.PIXELS} SELECT {KEYS}, " + r6(s2=cl("dn * 1e-4", "0.0", "1.0"), landsat=cl("dn * 2.75e-5 + (-0.2)::DOUBLE", "0.0", "1.0"), raw="dn * 2.75e-5 + (-0.2)::DOUBLE") + " FROM pix")
@@ -82,7 +82,7 @@ def sar_features(spark, d):
     f = sar.features("vv", "vh")
     df = df.withColumns({"vv_db": f["vv"], "vh_db": f["vh"], "rvi": f["rvi"], "lia": F.col("l_linenumber") * 5.0 + 20.0})
     out = {"vv_db": F.col("vv_db"), "vh_db": F.col("vh_db"), "ratio": f["vh_vv_ratio"], "ratio_db": f["cross_ratio_db"], "rvi": F.col("rvi"), "back": sar.to_linear("vv_db"), "server_ratio": sar.features_db("vv_db", "vh_db")["vh_vv_ratio"], "flat": sar.terrain_flatten("vv", "lia"), "ndvi": sar.ndvi_proxy("rvi")}
-    return df.select(*PK, *[F.round(c, 6).alias(n) for n, c in out.items()], sar.edge_free("vv_db", "vh_db").alias("edge_free"))
+    return df.select(*PK, *[A.rounded(c, 6).alias(n) for n, c in out.items()], sar.edge_free("vv_db", "vh_db").alias("edge_free"))
 
 
 _IDX = {
@@ -139,7 +139,7 @@ def et0_components(spark, d):
 def et0_reanalysis(spark, d):
     df = A.weather(spark, d)
     x = et0.reanalysis(F.col("tmin") + 5.0 + 273.15, F.col("tmin") + 273.15, "u2", F.lit(1.0), F.col("rs") * 1e6, 101300.0 - F.col("elevation") * 10.0)
-    return df.select("o_orderkey", F.round(x, 5).alias("et0_8day"))
+    return df.select("o_orderkey", A.rounded(x, 5).alias("et0_8day"))
 
 
 @query(f"""WITH {A.WEATHER} SELECT o_orderkey, {r6(tdew=_E0("tmin"), both=f"({_E0('tmin')} * rh_max / 100 + {_E0('tmax')} * rh_min / 100) / 2", high=f"{_E0('tmin')} * rh_max / 100", mean=f"rh_max / 100 * (({_E0('tmin')} + {_E0('tmax')}) / 2)")} FROM wx""")
@@ -163,7 +163,7 @@ def kc_curve(spark, d):
     k = F.col("o_orderkey") % 6
     df = A.weather(spark, d).withColumns({"c": A.nth([c.upper() for c in A.CROP_OF], k), "s": A.nth(_NAMES, k), "das": F.col("doy") - 1})
     df = crop.with_crop(df, "c")
-    return df.select("o_orderkey", crop.stage_name("s").alias("stage"), F.round(crop.kc_for_stage("s"), 6).alias("kc_stage"), crop.stage_for_day("das").alias("das_stage"), F.round(crop.kc_curve("das"), 6).alias("kc"), F.round(crop.kc_climate("kc_mid", "u2", "rh_min", F.lit(0.5)), 6).alias("kc_climate"))
+    return df.select("o_orderkey", crop.stage_name("s").alias("stage"), A.rounded(crop.kc_for_stage("s"), 6).alias("kc_stage"), crop.stage_for_day("das").alias("das_stage"), A.rounded(crop.kc_curve("das"), 6).alias("kc"), A.rounded(crop.kc_climate("kc_mid", "u2", "rh_min", F.lit(0.5)), 6).alias("kc_climate"))
 
 
 @query(f"WITH {A.PIXELS}, v AS (SELECT *, {nd('nir', 'red')} AS x FROM pix) SELECT {KEYS}, " + r6(kc=cl("1.457::DOUBLE * x + (-0.1725)::DOUBLE", "0.0", "1.3"), kc_server=cl("1.45::DOUBLE * x + (-0.10)::DOUBLE", "0.15", "1.2")) + " FROM v")
@@ -242,7 +242,7 @@ _TH = "th(stage, b0, b1, b2, b3) AS (VALUES " + ", ".join(f"('{k}', {v[0]}::DOUB
 def stage_stress(spark, d):
     df = A.pixels(spark, d).select(*PK, F.when(F.col("l_linenumber") != 5, F.col("nir") - 0.1).alias("x"), A.nth(_STAGES7, F.col("l_partkey") % 6).alias("stage"))
     c = stress.classify("x", "stage")
-    return df.select(*PK, "stage", F.round(c["condition"], 6).alias("condition"), c["severity"].alias("severity"), c["label"].alias("label"), c["stressed"].alias("stressed"), stress.bucket("x").alias("bucket"))
+    return df.select(*PK, "stage", A.rounded(c["condition"], 6).alias("condition"), c["severity"].alias("severity"), c["label"].alias("label"), c["stressed"].alias("stressed"), stress.bucket("x").alias("bucket"))
 
 
 _SCALE = "CASE stage " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in advisory.STAGE_SCALE.items()) + " ELSE 1.0::DOUBLE END"
@@ -258,7 +258,7 @@ def advisory_field(spark, d):
     e = advisory.evaluate("dr", "taw", "p", "stage", "etc", is_ponded="is_rice")
     df = df.withColumns({"raw": e["raw"], "ks": e["ks"]})
     nums = ("p_eff", "raw", "ks", "dnet", "dgross", "days_to_trigger")
-    return df.select("field_id", *[F.round(e[n], 6).alias(n) for n in nums], e["status"].alias("status"), e["status_name"].alias("status_name"), advisory.upland("dr", "raw", "ks", "taw").alias("upland"), advisory.ponded("dr", "raw", "taw", "stage").alias("ponded"))
+    return df.select("field_id", *[A.rounded(e[n], 6).alias(n) for n in nums], e["status"].alias("status"), e["status_name"].alias("status_name"), advisory.upland("dr", "raw", "ks", "taw").alias("upland"), advisory.ponded("dr", "raw", "taw", "stage").alias("ponded"))
 
 
 @query(f"""WITH {A.PIXELS}, a AS (SELECT {KEYS}, CASE WHEN l_linenumber <> 4 THEN dn / 100 END AS d, 60 + l_discount_ AS r, vv * 10 AS ks, 120::DOUBLE AS taw FROM (SELECT *, green * 100 AS l_discount_ FROM pix))
@@ -278,7 +278,7 @@ def advisory_variants(spark, d):
     df = A.fields(spark, d).select("field_id", advisory.server_deficit(F.lit(1.1), F.col("etc") * 8.0, "area_ha", F.lit(2.0)).alias("d0"), (F.col("dr") / 60.0).alias("ratio"), A.nth(["initial", "development", "mid", "late"], k % 4).alias("s"), F.col("etc"), F.col("area_ha"))
     df = df.withColumn("d", F.greatest(F.lit(1.1) * F.col("etc") * 8.0 - F.col("area_ha") - 2.0, F.lit(0.0)))
     r, s = advisory.from_ratio("ratio", "s"), advisory.serving_status("d")
-    return df.select("field_id", F.round("d", 6).alias("deficit"), advisory.server_classes("d").alias("class4"), r["advisory"].alias("advisory"), r["stress_class"].alias("stress_class"), s["status"].alias("serving"), advisory.season_stage(k % 23, F.lit(3), k % 15, k % 9 == 0).alias("season_stage"))
+    return df.select("field_id", A.rounded("d", 6).alias("deficit"), advisory.server_classes("d").alias("class4"), r["advisory"].alias("advisory"), r["stress_class"].alias("stress_class"), s["status"].alias("serving"), advisory.season_stage(k % 23, F.lit(3), k % 15, k % 9 == 0).alias("season_stage"))
 
 
 _CELL = lambda lat, lng, res: f"printf('f%02d%08x%08x', {res}, floor(({lat} + 90) / (60 / pow(2::DOUBLE, {res})))::BIGINT, floor(({lng} + 180) / (60 / pow(2::DOUBLE, {res})))::BIGINT)"
@@ -289,7 +289,7 @@ _CELL = lambda lat, lng, res: f"printf('f%02d%08x%08x', {res}, floor(({lat} + 90
 def cell_keys(spark, d):
     df = A.points(spark, d).withColumn("cell", geo.cell("lat", "lng", 9))
     lat, lng = geo.centre("cell")
-    return df.select("c_custkey", "cell", F.round(lat, 6).alias("clat"), F.round(lng, 6).alias("clng"), geo.parent("cell").alias("parent"), geo.children("cell").alias("children"))
+    return df.select("c_custkey", "cell", A.rounded(lat, 6).alias("clat"), A.rounded(lng, 6).alias("clng"), geo.parent("cell").alias("parent"), geo.children("cell").alias("children"))
 
 
 @query(f"""WITH {A.POINTS}, a AS (SELECT c_custkey, floor((lat + 90) / (60 / 512::DOUBLE))::BIGINT AS r, floor((lng + 180) / (60 / 512::DOUBLE))::BIGINT AS c FROM pts)
@@ -329,7 +329,7 @@ _T = lambda c, f: f"least(greatest(trunc({f})::INT, 0), 1023)"
 def tiles(spark, d):
     x, y = geo.tile("lng", "lat", 10)
     df = A.points(spark, d).select("c_custkey", x.alias("x"), y.alias("y"))
-    return df.select("c_custkey", "x", "y", *[F.round(c, 6).alias(n) for n, c in geo.tile_bounds(F.lit(10), "x", "y").items()])
+    return df.select("c_custkey", "x", "y", *[A.rounded(c, 6).alias(n) for n, c in geo.tile_bounds(F.lit(10), "x", "y").items()])
 
 
 @query("SELECT c_custkey, (('0x' || substr(sha256(c_custkey || '/' || c_mktsegment), 1, 12))::BIGINT % 10000) / 10000::DOUBLE AS u FROM customer")

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
     return add
 
 
-R = lambda c, n=None, k=6: F.round(c, k).alias(n or c)
+R = lambda c, n=None, k=6: A.rounded(c, k).alias(n or c)
 START, END = date(2024, 1, 1), date(2024, 2, 1)
 
 _EV = "ev AS (SELECT user_id, CAST(ts AS DATE) AS date, event_type, value, (user_id * 37 % 1600) / 10::DOUBLE - 80::DOUBLE AS lat, (user_id * 91 % 3600) / 10::DOUBLE - 180::DOUBLE AS lng FROM events)"
@@ -388,7 +388,7 @@ def command_delivery_order(spark, d):
 def command_rollup(spark, d):
     f = A.fields(spark, d)
     area = f.select("command_id", F.col("field_id").cast("string").alias("cell"), F.col("field_id").alias("pos"), F.lit(12500.0).alias("command_area_ha"))
-    s = f.where("field_id % 7 > 0").select(F.col("field_id").cast("string").alias("cell"), F.round(F.col("dr") / 160.0, 4).alias("stress_index"))
+    s = f.where("field_id % 7 > 0").select(F.col("field_id").cast("string").alias("cell"), A.rounded(F.col("dr") / 160.0, 4).alias("stress_index"))
     a = f.select(F.col("field_id").cast("string").alias("cell"), F.col("dr").alias("deficit_mm"), A.nth(["monitor", "irrigate_soon", "irrigate_now"], F.col("field_id") % 3).alias("action"))
     return command.rollup(area, s, a).drop("actions")
 
