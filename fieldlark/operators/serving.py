@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from datetime import date, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.advisory import serving_status
 from ..functions.core import at_least, clip, col
 from ..functions.geo import unit_hash
+from ..session import scratch
 
 #: Labels of classes, and first days of seasons.
 CROP_LABELS = ["fallow", "rice", "wheat", "maize", "cotton", "sugarcane"]
@@ -97,3 +99,22 @@ def iso_day(value) -> Column:
     """A date or timestamp as YYYY-MM-DD; of any other text its first ten characters."""
     x = col(value)
     return F.substring(x.cast("string"), 1, 10)
+
+
+_PREPARED: dict[tuple, tuple[str, StructType]] = {}
+
+
+def prepared(spark: SparkSession, key: tuple[str, ...], build, order: list[str]) -> DataFrame:
+    """A table to serve from: ``build`` makes it once for ``key`` while the application runs, later calls read what is stored.
+
+    It is sorted by ``order``, so that a lookup by these columns reads few row
+    groups. The key has to tell everything that the table is made of, its version
+    too.
+    """
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _PREPARED:
+        path, df = scratch(spark, "served"), build()
+        df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
+        _PREPARED[at] = path, df.schema
+    path, schema = _PREPARED[at]
+    return spark.read.schema(schema).parquet(path)

@@ -81,8 +81,11 @@ def latest_record(spark, d):
 
 @query(f"WITH {A.DAILY} SELECT date, top AS value FROM day WHERE cell = 7 AND date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'")
 def timeseries_range(spark, d):
-    r = A.daily(spark, d).select("cell", "date", F.create_map(F.lit("low"), F.col("low")).alias("stress"), F.create_map(F.lit("top"), F.col("top")).alias("advisory"), F.create_map(F.lit("n"), F.col("n")).alias("crop"))
-    return cells.timeseries(r, 7, "top", date(2024, 1, 5), date(2024, 1, 20))
+    return cells.timeseries(_records(spark, d), 7, "top", date(2024, 1, 5), date(2024, 1, 20))
+
+
+def _records(spark, d):
+    return A.daily(spark, d).select("cell", "date", F.create_map(F.lit("low"), F.col("low")).alias("stress"), F.create_map(F.lit("top"), F.col("top")).alias("advisory"), F.create_map(F.lit("n"), F.col("n")).alias("crop"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
@@ -665,7 +668,7 @@ def _trained(spark, kind: str, **kw):
 
 @query()
 def rf_classifier(spark, d):
-    return _trained(spark, "rf", trees=40, depth=8)
+    return _trained(spark, "rf")
 
 
 @query()
@@ -870,3 +873,16 @@ def pixel_scan(spark, d):
     tables.write_partitioned(p, path, "year", ("lat", "lng"))
     out = tables.scan(spark, path, ["red", "nir"], date(1995, 1, 1), date(1996, 1, 1), (20, 10, 150, 60))
     return out.select("date", F.col("lat").alias("l_suppkey"), F.col("lng").alias("l_partkey"), R("red"), R("nir"))
+
+
+@query(SQL["command_plan"].replace(" FROM adv GROUP BY 1", " FROM adv WHERE command_id = 2 GROUP BY 1"))
+def command_plan_served(spark, d):
+    """One command's plan, from the plans stored by the first call."""
+    return serving.prepared(spark, ("command_plan", d), lambda: command_plan(spark, d), ["command_id"]).where("command_id = 2")
+
+
+@query(SQL["timeseries_range"])
+def timeseries_served(spark, d):
+    """One cell's series, from the records stored by the first call."""
+    held = serving.prepared(spark, ("timeseries", d), lambda: _records(spark, d), ["cell", "date"])
+    return cells.timeseries(held, 7, "top", date(2024, 1, 5), date(2024, 1, 20))

@@ -402,3 +402,27 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     assert both[0] == both[1]
     top = classify.importances(model, names, spark, 3).collect()
     assert len(top) == 3 and top[0].importance >= top[2].importance
+
+
+def test_served_tables_are_made_once(spark):
+    from fieldlark.operators import serving
+
+    made = []
+
+    def build():
+        made.append(1)
+        return spark.range(100).selectExpr("id % 7 as k", "id as v")
+
+    first, again = (serving.prepared(spark, ("test", "served"), build, ["k", "v"]).where("k = 3") for _ in range(2))
+    assert {r.v for r in first.collect()} == {r.v for r in again.collect()} == {v for v in range(100) if v % 7 == 3} and made == [1]
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,3)]" in again._jdf.queryExecution().toString()
+
+
+def test_crop_classifier_meets_the_gate(spark):
+    """Overall accuracy over 0.85 and kappa over 0.8, on blocks that training didn't see; 300 trees as by default."""
+    df = tables.synthetic_crops(spark)
+    split = stats.block_split(df, "px", "py", 4, 0.3)
+    names = [c for c in df.columns if c.startswith("t")]
+    model = classify.fit(split.where("not is_test"), names, "label")
+    got = accuracy.overall(accuracy.confusion(model.transform(split.where("is_test")), "label", "predicted")).first()
+    assert got.overall_accuracy > 0.85 and got.kappa > 0.8
