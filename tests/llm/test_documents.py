@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -263,6 +264,37 @@ def test_near_dedup_regroups_what_was_refused(spark, options):
         assert {r.node: r.root for r in near_dedup.groups(df).collect()} == roots
 
 
+def near_pairs(rows, at_least=0.8):
+    """All pairs of (doc_id, text) rows with a resemblance of at least 0.8, by an index of whole five-word shingles."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    by, pairs = defaultdict(list), set()
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in by[x])
+        pairs |= {(rows[j][0], rows[i][0]) for j, both in shared.items() if both >= at_least * (len(s) + len(sets[j]) - both)}
+        for x in s:
+            by[x].append(i)
+    return pairs
+
+
+@pytest.mark.parametrize("deduped", [True, False])
+def test_near_dedup_recall_and_precision_on_the_documents(spark, deduped):
+    d = os.environ.get("NEAR_SF", "/root/testdata/sf0.01")
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = exact_dedup.keep_one(docs) if deduped else docs
+    pairs = near_pairs([tuple(r) for r in docs.collect()])
+    root = {r.node: r.root for r in near_dedup.groups(docs).collect()}
+    found = sum(root.get(a, a) == root.get(b, b) for a, b in pairs)
+    true = {x for p in pairs for x in p}
+    grouped = set(root) | set(root.values())
+    print(f"{d}: {len(pairs)} pairs, {found} linked; {len(grouped)} grouped, {len(grouped & true)} with a partner")
+    assert pairs and found == len(pairs) and grouped == true
+
+
 def test_joined_against_all_pairs():
     rng = np.random.default_rng(10)
     for _ in range(30):
