@@ -47,6 +47,16 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_long_chats(spark):
+    rnd = random.Random(15)
+    bits = ["### ", "</turn>", "\\", "é👍", "\n", "word ", ": "]
+    rows = [(c, t, rnd.choice(["user", "assistant"]), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 9)))) for c, n in ((1, 6000), (2, 700), (3, 257), (4, 256)) for t in range(n)]
+    rows += [(5, t, "assistant", f"one block {t}") for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.digests(chat.format_chats(df)).collect()}
+    assert got == chats_by_hand(rows)
+
+
 def test_chat_query(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()] + queries.HOSTILE
     df = queries.op9_chat_formatting(spark, sf_dir)
