@@ -1,8 +1,10 @@
 """Connected components of an edge table, without gathering it anywhere.
 
-Each round first contracts what lies together in a task (bounded chunks), then
-takes a large-star and a small-star step; every round is written to the shared
-folder. Labels end as (node, root) with the smallest node as root.
+What lies together in a task is contracted first, in chunks of bounded size.
+Then rounds of a large-star and a small-star step, each written to the shared
+folder, make the table smaller, until it fits one chunk, which a task contracts
+to the end, or until it stays the same. Labels end as (node, root) with the
+smallest node as root.
 """
 
 from __future__ import annotations
@@ -63,7 +65,8 @@ def _local(chunk: int):
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Edges (a, b), a > b. Large star: of each node, the larger neighbours go to its smallest; small star: the others."""
     both = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m"))
+    # stored, so that the joins below are of two shuffled tables, of which adaptive execution splits a hub's edges
+    low = common.stored(both.groupBy("a").agg(F.min("b").alias("m")), "lows")
     if small:
         joined = both.join(low, "a")
         moved = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
@@ -80,13 +83,16 @@ def components(edges: DataFrame, chunk: int = 1_000_000, rounds: int = 60) -> Da
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = common.stored(e.mapInArrow(_local(chunk), EDGES).distinct(), "edges")
-    before = None
+    before, n = None, e.count()
     for _ in range(rounds):
+        if n <= chunk:
+            e = common.stored(e.coalesce(1).mapInArrow(_local(chunk), EDGES), "edges")
+            break
         e = common.stored(_star(_star(e, False), True), "edges")
-        sums = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.count_if(F.col("a") <= F.col("b"))).first()
-        if tuple(sums) == before or sums[0] == 0:
+        sums = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if tuple(sums) == before:
             break
-        before = tuple(sums)
+        before, n = tuple(sums), sums[0]
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))

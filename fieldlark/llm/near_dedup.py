@@ -178,7 +178,8 @@ def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, block: in
     """(row, root, doc_id) of every numbered row with a near copy, stored; root is the same for all rows of a group."""
     rows = common.stored(described(docs, id_col=id_col, text_col=text_col), "described", "zstd")
     prints = rows.select("row", F.explode("prints").alias("key"))
-    shared = prints.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    # stored, so that adaptive execution can split a print that many rows share
+    shared = common.stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "shared-prints")
     members = common.stored(prints.join(shared, "key"), "shared")
     pairs = members.select(F.col("row").alias("a"), F.col("rep").alias("b")).unionByName(_by_words(rows, radius))
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))

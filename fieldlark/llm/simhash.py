@@ -186,7 +186,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = components(links(reps.select("fp"), radius, limit=limit))
     rooted = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     first = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = rooted.join(first, "root").select("fp", "component_id")
+    # stored, so that adaptive execution can split a fingerprint that many rows share
+    named = common.stored(rooted.join(first, "root").select("fp", "component_id"), "named")
     return rows.join(named, rows.fingerprint == named.fp).select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
