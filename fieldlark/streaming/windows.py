@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -91,6 +90,8 @@ class Balance(StatefulProcessor):
         self.state = handle.getValueState("state", "dr double, last date")
 
     def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd  # only where it runs, as the driver can do without
+
         dr, last = self.state.get() if self.state.exists() else (0.0, None)
         out = []
         days = pd.concat(list(rows)).sort_values("date")
