@@ -75,8 +75,7 @@ def _settled(rows: DataFrame, order: Column, counters: int) -> DataFrame:
         .agg(F.max(order).alias("best"), F.count(F.lit(1)).alias("group_size"))
         .where(F.col("group_size") * counters >= n)
     )
-    verified = [tuple(r) for r in frequent.collect()]  # at most `counters` rows
-    winners = F.broadcast(rows.sparkSession.createDataFrame(verified, frequent.schema))
+    winners = F.broadcast(common.stored(frequent, "winners"))  # at most `counters` rows
     heavy = rows.join(winners, "digest")
     rest = rows.join(winners, "digest", "left_anti")
     # counted on the map side first, so that a digest's rows meet only to be told, a partition at a time

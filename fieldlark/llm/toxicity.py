@@ -79,6 +79,14 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def _counted(cols: np.ndarray, d: int) -> np.ndarray:
+    """How often each of ``d`` numbers occurs; in slices, as numpy widens what it counts."""
+    out = np.zeros(d, np.int64)
+    for i in range(0, len(cols), 1 << 18):
+        out += np.bincount(cols[i : i + (1 << 18)], minlength=d)
+    return out
+
+
 class Linear:
     """Logistic regression with an L2 penalty over sparse binary features and a few dense ones, classes weighted evenly."""
 
@@ -115,7 +123,9 @@ class Chain:
         place = np.full(WIDTH, -1, np.int32)
         place[seen] = np.arange(len(seen))
         kept = [p[p >= 0] for p in (place[f] for f in features)]
+        del features
         rows, cols = np.repeat(np.arange(n, dtype=np.int32), [len(f) for f in kept]), np.concatenate([*kept, np.zeros(0, np.int32)])
+        del kept
         fold = np.arange(n) % FOLDS
         before = np.zeros((n, 0))
         self.models: list[Linear] = []
@@ -161,8 +171,7 @@ class Chain:
         n, p = len(y), y.mean() if len(y) else 0
         if not 0 < p < 1:
             return np.zeros(0, np.int64)
-        have = np.bincount(cols, minlength=d)
-        both = np.bincount(cols[y[rows] > 0], minlength=d)
+        have, both = _counted(cols, d), _counted(cols[(y > 0)[rows]], d)
         seen = np.flatnonzero(have >= SIGNIFICANT / 10)
         have, both = have[seen].astype(float), both[seen].astype(float)
         g = np.zeros(len(seen))
@@ -235,9 +244,12 @@ def train(docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id
     if not got.num_rows:
         return None
     by = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    features = [np.frombuffer(x.as_py(), np.uint32) for x in got.column("features").take(by)]
-    y = np.column_stack([got.column(y).to_numpy() for y in names])
-    return Chain(features, y[by])
+    y = np.column_stack([got.column(y).to_numpy() for y in names])[by]
+    held = [got.column("features").take(by)]
+    del got
+    chain = Chain([np.frombuffer(x.as_buffer(), np.uint32) for x in held.pop()], y)  # nothing else holds the features
+    common.give_back()
+    return chain
 
 
 #: The categories that the labels tell, in the chain's order: whether a text is toxic is asked last, knowing the other.
