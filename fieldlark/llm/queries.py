@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from . import chat, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls
+from . import chat, collocations, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -55,6 +55,10 @@ def op10_simhash_near_dedup(spark, sf_dir):
     return simhash.simhash_components(common.table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(common.table(spark, sf_dir, "documents"))
+
+
 OPS = [
     op1_exact_dedup,
     op2_url_filters,
@@ -66,6 +70,7 @@ OPS = [
     op8_secret_scans,
     op9_chat_formatting,
     op10_simhash_near_dedup,
+    op11_phrase_collocations,
 ]
 
 ORACLES = {
@@ -90,6 +95,20 @@ ORACLES = {
                sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY k)) AS loss_sha256,
                sum(text_chars + 7 + CASE WHEN k = 1 THEN 6 + role_chars WHEN role <> before THEN 7 + role_chars ELSE 0 END)::BIGINT AS formatted_chars
         FROM e GROUP BY 1""",
+    "op11_phrase_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM documents),
+             p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM t),
+             total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY 1),
+             g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM p, range(1, 5) AS s(m)),
+             f AS (SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+             k AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+             c AS (SELECT k.lang, k.phrase, k.a, k.w, k.m, x.f AS l, y.f AS r, (2000000::HUGEINT * k.a // (x.f + y.f))::BIGINT AS score, s.i
+                   FROM k JOIN range(1, 4) AS s(i) ON s.i < k.m JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:s.i], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[s.i + 1:], ' ')),
+             b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+             q AS (SELECT k.lang, k.a, array_to_string(k.w[j.j:j.j + i.i - 1], ' ') AS phrase FROM k JOIN range(2, 4) AS i(i) ON i.i < k.m JOIN range(1, 4) AS j(j) ON j.j + i.i - 1 <= k.m),
+             o AS (SELECT lang, phrase, max(a) AS most FROM q GROUP BY ALL),
+             r AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN o USING (lang, phrase) WHERE coalesce(100::HUGEINT * most < 80::HUGEINT * a, true))
+        SELECT r.lang, rank, phrase, a, l, r, n, score FROM r JOIN total USING (lang) WHERE rank <= 2000""",
 }
 
 
