@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from . import chat, collocations, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls
+from . import chat, collocations, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls, word_table
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -59,6 +59,10 @@ def op11_phrase_collocations(spark, sf_dir):
     return collocations.collocations(common.table(spark, sf_dir, "documents"))
 
 
+def op12_bpe(spark, sf_dir):
+    return word_table.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 OPS = [
     op1_exact_dedup,
     op2_url_filters,
@@ -71,6 +75,7 @@ OPS = [
     op9_chat_formatting,
     op10_simhash_near_dedup,
     op11_phrase_collocations,
+    op12_bpe,
 ]
 
 ORACLES = {
