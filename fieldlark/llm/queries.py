@@ -6,7 +6,7 @@ import public_tokenizers
 
 import corpus_pipeline
 
-from . import chat, collocations, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls, word_table
+from . import ball_means, chat, collocations, common, exact_dedup, id_files, packing, pieces, secret_scan, simhash, topk, toxicity, urls, word_table
 
 
 def op1_exact_dedup(spark, sf_dir):
@@ -63,6 +63,10 @@ def op12_bpe(spark, sf_dir):
     return word_table.round_trip(common.table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_centroid_clustering(spark, sf_dir):
+    return ball_means.clusters(common.table(spark, sf_dir, "embeddings"))
+
+
 OPS = [
     op1_exact_dedup,
     op2_url_filters,
@@ -76,6 +80,7 @@ OPS = [
     op10_simhash_near_dedup,
     op11_phrase_collocations,
     op12_bpe,
+    op13_centroid_clustering,
 ]
 
 ORACLES = {
@@ -117,6 +122,30 @@ ORACLES = {
 }
 
 
+def _rounds_sql(rounds: int = 10, k: int = 8, dim: int = 64) -> str:
+    """Plain k-means, each round a table of its own."""
+    nearest = "SELECT r, v, vec_id, c.j, list_sum(list_transform(range(1, {dim} + 1), lambda i: (v[i] - c.c[i]) * (v[i] - c.c[i])))::BIGINT AS d FROM x, c{t} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.j) = 1"
+    steps = [
+        f"""x AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+                WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS j, v AS c FROM x QUALIFY j < {k})",
+    ]
+    for t in range(rounds):
+        steps.append(f"n{t} AS MATERIALIZED ({nearest.format(dim=dim, t=t)})")
+        steps.append(
+            f"""s{t} AS (SELECT j, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM n{t}, range(1, {dim} + 1) AS g(i) GROUP BY 1, 2),
+             m{t} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{t} GROUP BY 1),
+             c{t + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{t} c LEFT JOIN m{t} m USING (j))"""
+        )
+    steps.append(f"f AS MATERIALIZED ({nearest.format(dim=dim, t=rounds)})")
+    return f"""WITH {", ".join(steps)}
+        SELECT vec_id, f.j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY f.j)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM f JOIN c{rounds} c ON c.j = f.j"""
+
+
+ORACLES["op13_centroid_clustering"] = _rounds_sql()
+
+
 def queries() -> dict:
     return {f.__name__: f for f in OPS} | {"pipeline": corpus_pipeline.run}
 

@@ -34,7 +34,7 @@ HOLE = 65_535
 #: Shares that the occurrences of a word of over ``LENGTH`` bytes are dealt out in.
 SHARES = 16
 #: White space of the pattern (the property White_Space of Unicode) as the inside of a regular expression's class.
-SPACE = r"\t-\r\x20\x85\xA0  -     　"
+SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Fixed value: the pattern of byte-level vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Runs of characters that all versions of Unicode from 3.2 on class alike are told apart from others if they are that long.
