@@ -4,11 +4,11 @@ The vocabulary's merges never cross the words that its pattern splits a text
 into, so the ids of a text are those of its words in a row. Spark splits the texts
 by a regular expression. The most frequent words (``HOT`` at most, each of
 ``LENGTH`` bytes at most, whatever the corpus' size) are encoded first; their
-table is broadcast, and a text becomes the row of its words' numbers in it, with
-holes. The words at the holes are dealt out by word, so that all occurrences of a
-word meet and it is encoded once; its ids come back to the text they are missing
-in and to their positions there by a join on the text's key. None of these words can be
-a hot key: what is more frequent than the least of the hot ones is hot itself.
+table is broadcast, and a chunk of texts becomes the row of its words' numbers in
+it. Words that it lacks are numbered within the chunk and dealt out by word,
+so that all chunks with a word meet and it is encoded once; its ids come back by a
+join on chunk and number, and stand where the number does. None of these words
+can be a hot key: what is more frequent than the least of the hot ones is hot itself.
 Decoding looks the ids up in the table of pieces, which the vocabulary bounds.
 """
 
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of the broadcast table, and bytes of each, at most. A number of a word takes 16 bits; the last one marks a hole.
-HOT, LENGTH = 65_535, 256
-HOLE = 65_535
+#: Words of the broadcast table, and bytes of each, at most; rows of a chunk, and words of one that has more than one row.
+HOT, LENGTH, CHUNK, WORDS = 250_000, 64, 1024, 1 << 19
 #: Shares that the occurrences of a word of over ``LENGTH`` bytes are dealt out in.
 SHARES = 16
 #: White space of the pattern (the property White_Space of Unicode) as the inside of a regular expression's class.
@@ -38,26 +37,30 @@ SPACE = r"\t-\r\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{2
 #: Fixed value: the pattern of byte-level vocabularies.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Runs of characters that all versions of Unicode from 3.2 on class alike are told apart from others if they are that long.
-RUN = 64
-FOUND = "text_key binary, at int, ids array<int>"
-CODED = "text_key binary, doc_id long, n_words int, codes binary, ats array<int>, words array<string>"
+RUN = 96
+FOUND = "chunk binary, at int, ids array<int>"
+CODED = "chunk binary, doc_ids array<long>, n_words array<int>, codes binary, missing array<string>"
 
 
 @functools.cache
-def settled() -> str:
-    """The inside of a class of characters that are letters, numbers, spaces or neither to any version of Unicode since 3.2.
+def settled() -> list[tuple[int, int]]:
+    """Runs of characters that are letters, numbers or neither alike in Unicode 3.2 and today.
 
-    The JVM and the library know different versions; a text of other characters
+    The JVM and the library know different versions in between; a text of other characters
     is split by the library.
     """
     kind = lambda db, c: db.category(c)[0] if db.category(c)[0] in "LN" else "O"
-    ranges, begin = [], 0
+    runs, begin = [], 0
     for i in range(0x30001):
         if i == 0x30000 or 0xD800 <= i < 0xE000 or kind(unicodedata, chr(i)) != kind(unicodedata.ucd_3_2_0, chr(i)):
             if i - begin >= RUN:
-                ranges.append(rf"\x{{{begin:X}}}-\x{{{i - 1:X}}}")
+                runs.append((begin, i - 1))
             begin = i + 1
-    return "".join(ranges)
+    return runs
+
+
+def _outside(runs: list[tuple[int, int]]) -> str:
+    return "[^" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in runs) + "]"
 
 
 def words(text: Column, specials: tuple[str, ...]) -> Column:
@@ -70,8 +73,13 @@ def words(text: Column, specials: tuple[str, ...]) -> Column:
         whole = F.flatten(F.transform(pieces, lambda p: F.when(p.isin(*specials), F.array(p)).otherwise(cut(p))))
         has = functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in specials])
         out = F.when(has, whole).otherwise(out)
-    odd = (F.length(text) != F.octet_length(text)) & text.rlike(f"[^{settled()}]")
-    return F.when(~odd, out)
+    return F.when(~odd(text), out)
+
+
+def odd(text: Column) -> Column:
+    """Whether a text has characters of other runs. Most texts are told by few runs: a class of many is slow."""
+    common_runs = [r for r in settled() if any(r[0] <= ord(c) <= r[1] for c in "a’€")]
+    return F.when(F.length(text) == F.octet_length(text), False).when(~text.rlike(_outside(common_runs)), False).otherwise(text.rlike(_outside(settled())))
 
 
 class Vocabulary:
@@ -117,24 +125,28 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def _split(docs: DataFrame, path: str) -> DataFrame:
-    """(text_key, doc_id, words, text), where the text is only given if the words are not. Rows of one id and text share a key."""
+    """(doc_id, words, text), where the text is only given if the words are not."""
     c = F.col
-    key = F.substring(F.unhex(F.sha2(F.concat(F.coalesce(c("doc_id").cast("string"), F.lit("")), F.lit("\n"), c("text")).cast("binary"), 256)), 1, 16)
-    rows = docs.select(key.alias("text_key"), "doc_id", "text", words(c("text"), tuple(vocabulary(path).specials)).alias("words"))
-    return rows.select("text_key", "doc_id", "words", F.when(c("words").isNull(), c("text")).alias("text"))
+    return docs.select("doc_id", words(c("text"), tuple(vocabulary(path).specials)).alias("words"), F.when(odd(c("text")), c("text")).alias("text"))
 
 
-def _batches(batches, path: str, rows: int = 512):
-    """Batches (.., words, text) with the words of every row."""
+def _batches(batches, path: str, rows: int):
+    """Batches (.., words, text) with the words of every row, of some rows each and of ``WORDS`` words if they aren't one row."""
     for b in common.sliced(batches, rows):
         at = b.schema.get_field_index("words")
         known = pc.is_valid(b.column(at))
-        if pc.all(known).as_py():
-            yield b
-            continue
-        yield b.filter(known)
-        rest = b.filter(pc.invert(known))
-        yield rest.set_column(at, b.schema.field(at), pa.array([vocabulary(path).split(t) for t in rest.column("text").to_pylist()], b.schema.field(at).type))
+        parts = [b.filter(known)] if pc.any(known).as_py() else []
+        if not pc.all(known).as_py():
+            rest = b.filter(pc.invert(known))
+            parts.append(rest.set_column(at, b.schema.field(at), pa.array([vocabulary(path).split(t) for t in rest.column("text").to_pylist()], b.schema.field(at).type)))
+        for part in parts:
+            ends = np.cumsum(pc.list_value_length(part.column(at)).to_numpy(), dtype=np.int64)
+            first = 0
+            while first < part.num_rows:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + WORDS, "right")))
+                yield part.slice(first, last - first)
+                first = last
 
 
 def _hot_words(rows: DataFrame, path: str, most: int, length: int) -> DataFrame:
@@ -154,8 +166,13 @@ def _hot_words(rows: DataFrame, path: str, most: int, length: int) -> DataFrame:
     return common.stored(counts.orderBy(F.desc("n"), "word").limit(most).select("word").mapInArrow(encode, "word string, ids array<int>"), "hot-words")
 
 
-def _coded(rows: DataFrame, path: str, hot) -> DataFrame:
-    """Each text as the numbers of its words in the broadcast table ``hot``, and the words at the holes."""
+def _coded(rows: DataFrame, path: str, hot, chunk: int) -> DataFrame:
+    """Chunks of texts as the numbers of their words: those of the broadcast table ``hot`` first, then those of ``missing``.
+
+    A chunk's key is a digest of what it holds, so that it is the same whenever
+    the chunk is made. Where no word is missing the key is made the task's own,
+    lest one text that many rows repeat becomes one key.
+    """
 
     def run(batches):
         from pyspark import TaskContext
@@ -163,26 +180,25 @@ def _coded(rows: DataFrame, path: str, hot) -> DataFrame:
         table = pa.ipc.open_stream(hot.value).read_all().column("word").combine_chunks()
         task = TaskContext.get().partitionId().to_bytes(4, "little")
         schema = common.batches_of(CODED)
-        for b in _batches(batches, path):
-            lists = b.column(2)
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
-            flat = lists.flatten()
-            codes = pc.fill_null(pc.index_in(flat, value_set=table), HOLE).to_numpy().astype("<u2")
-            holes = np.flatnonzero(codes == HOLE)
-            of = np.searchsorted(ends, holes, "right") - 1
-            cuts = pa.array(np.searchsorted(of, np.arange(len(lists) + 1)), pa.int32())
-            packed = [pa.compress(codes[s:e].tobytes(), "zstd", asbytes=True) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist())]
-            # a text without holes needs no answer: its key is made the task's own, lest one text that many rows repeat is one key
-            keys = [k if m else k + task for k, m in zip(b.column(0).to_pylist(), np.diff(cuts.to_numpy()).tolist())]
-            cols = [pa.array(keys, pa.binary()), b.column(1), pa.array(np.diff(ends), pa.int32()), pa.array(packed, pa.binary())]
-            cols += [pa.ListArray.from_arrays(cuts, pa.array(holes - ends[of], pa.int32())), pa.ListArray.from_arrays(cuts, flat.take(pa.array(holes)))]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+        for b in _batches(batches, path, chunk):
+            n_words, flat = pc.list_value_length(b.column(1)), b.column(1).flatten()
+            codes = pc.index_in(flat, value_set=table)
+            rare = flat.filter(pc.is_null(codes)).dictionary_encode()
+            codes = pc.fill_null(codes, -1).to_numpy().copy()
+            codes[codes < 0] = rare.indices.to_numpy() + len(table)
+            packed = pa.compress(codes.astype("<u2").tobytes() + (codes >> 16).astype("<u2").tobytes(), "zstd", asbytes=True)
+            key = hashlib.sha256(packed)
+            for part in (b.column(0).to_pylist(), n_words.to_pylist(), rare.dictionary.to_pylist()):
+                key.update(repr(part).encode("utf-8", "surrogatepass"))
+            key = key.digest()[:16] + (b"" if len(rare.dictionary) else task)
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.binary()), one(b.column(0)), one(n_words.cast(pa.int32())), pa.array([packed], pa.binary()), one(rare.dictionary)], schema=schema)
 
     return rows.mapInArrow(run, CODED)
 
 
-def _filled(coded: DataFrame, path: str, length: int) -> DataFrame:
-    """(text_key, at, ids) of every hole, once for rows that repeat a text: all rows of a word stand together, and it is encoded when it changes."""
+def _encoded_rest(coded: DataFrame, path: str, length: int) -> DataFrame:
+    """(chunk, at, ids) of every missing word: all chunks of a word stand together, and it is encoded when it changes."""
 
     def run(batches):
         word, ids, before = None, None, None
@@ -191,79 +207,73 @@ def _filled(coded: DataFrame, path: str, length: int) -> DataFrame:
             for w, key, at in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if w != word:
                     word, ids, before = w, vocabulary(path).encode(w), None
-                if (key, at) != before:
-                    before = key, at
+                if key != before:  # chunks of equal content share their answers
+                    before = key
                     out.append((key, at, ids))
             cols = list(zip(*out)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int32()))], schema=common.batches_of(FOUND))
 
-    holes = coded.select("text_key", F.explode(F.arrays_zip("ats", "words")).alias("h")).select(F.col("h.words").alias("word"), "text_key", F.col("h.ats").alias("at"))
-    share = F.when(F.octet_length("word") > length, F.pmod(F.xxhash64("text_key"), F.lit(SHARES))).otherwise(0)
-    return holes.withColumn("share", share).repartition("word", "share").sortWithinPartitions("word", "text_key", "at").select("word", "text_key", "at").mapInArrow(run, FOUND)
-
+    rest = coded.select("chunk", F.posexplode("missing").alias("at", "word"))
+    share = F.when(F.octet_length("word") > length, F.pmod(F.xxhash64("chunk"), F.lit(SHARES))).otherwise(0)
+    return rest.withColumn("share", share).repartition("word", "share").sortWithinPartitions("word", "chunk").select("word", "chunk", "at").mapInArrow(run, FOUND)
 
-def _placed(values: pa.Array, starts: np.ndarray, n: np.ndarray, to: np.ndarray, out: np.ndarray) -> None:
-    """Copies values[starts : starts + n] to out[to : to + n], for each of many such runs."""
-    inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    out[np.repeat(to, n) + inner] = values[np.repeat(starts, n) + inner]
 
-
-def _assembled(coded: DataFrame, fills: DataFrame, hot, make, ddl: str) -> DataFrame:
-    """Joins the ids of hot words and of filled holes by position; ``make(doc_ids, ids, ends)`` is the batch that is given out."""
+def _assembled(coded: DataFrame, rest: DataFrame, hot, make, ddl: str) -> DataFrame:
+    """Puts the ids of all words in their places; ``make(doc_ids, ids, ends)`` is the batch that is given out for a chunk."""
 
     def run(batches):
         table = pa.ipc.open_stream(hot.value).read_all().column("ids").combine_chunks()
-        hot_ids, hot_n = table.flatten().to_numpy(), np.append(pc.list_value_length(table).to_numpy(), 0).astype(np.int64)
+        hot_ids, hot_n = table.flatten().to_numpy(), pc.list_value_length(table).to_numpy().astype(np.int64)
         hot_at = np.cumsum(hot_n) - hot_n
-        for b in common.sliced(batches):
-            n_words = b.column(1).to_numpy().astype(np.int64)
-            codes = [np.frombuffer(pa.decompress(c, 2 * n, "zstd") if n else b"", "<u2") for c, n in zip(b.column(2).to_pylist(), n_words.tolist())]
-            codes = np.minimum(np.concatenate([*codes, np.zeros(0, "<u2")]), len(hot_n) - 1).astype(np.int64)  # a hole is the last number, of no ids
-            given = b.column(3)
-            first = np.cumsum(n_words) - n_words
-            per_row = pc.fill_null(pc.list_value_length(given), 0).to_numpy().astype(np.int64)
-            inner = given.flatten()
-            places = inner.field("at").to_numpy() + np.repeat(first, per_row)
-            lists = inner.field("ids")
-            fill_n = pc.list_value_length(lists).to_numpy().astype(np.int64)
-            n = hot_n[codes]
-            n[places] = fill_n
-            at = np.cumsum(n) - n
-            ids = np.zeros(n.sum(), np.int32)
-            known = np.flatnonzero(hot_n[codes])
-            _placed(hot_ids, hot_at[codes[known]], n[known], at[known], ids)
-            _placed(lists.flatten().to_numpy(), np.cumsum(fill_n) - fill_n, fill_n, at[places], ids)
-            ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(n_words)])]
-            yield make(b.column(0), ids, ends)
-
-    grouped = fills.groupBy("text_key").agg(F.collect_list(F.struct("at", "ids")).alias("fills"))
-    whole = coded.select("text_key", "doc_id", "n_words", "codes").join(grouped, "text_key", "left")
-    return whole.select("doc_id", "n_words", "codes", "fills").mapInArrow(run, ddl)
-
-
-def _encoded(docs: DataFrame, path: str, make, ddl: str, id_col: str, text_col: str, most: int, length: int) -> DataFrame:
+        for b in common.sliced(batches, 1):
+            n_words = b.column(1).flatten().to_numpy().astype(np.int64)
+            total = int(n_words.sum())
+            raw = np.frombuffer(pa.decompress(b.column(2)[0].as_py(), 4 * total, "zstd"), "<u2").astype(np.int64) if total else np.zeros(0, np.int64)
+            codes = raw[:total] + (raw[total:] << 16)
+            given = b.column(3).flatten()
+            lists = given.field("ids") if len(given) else pa.array([], pa.list_(pa.int32()))
+            own_n = np.zeros(max(0, int(codes.max(initial=-1)) + 1 - len(hot_n)), np.int64)
+            if len(given) != len(own_n):
+                raise ValueError(f"a chunk lacks {len(own_n)} words and was given {len(given)}: its rows came in another order when they were read again")
+            at = given.field("at").to_numpy() if len(given) else np.zeros(0, np.int64)
+            own_n[at] = sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            own_at = np.zeros(len(own_n), np.int64)
+            own_at[at] = np.cumsum(sizes) - sizes + len(hot_ids)
+            source, starts, sizes = np.concatenate([hot_ids, lists.flatten().to_numpy()]), np.concatenate([hot_at, own_at]), np.concatenate([hot_n, own_n])
+            n = sizes[codes]
+            inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ids = source[np.repeat(starts[codes], n) + inner].astype(np.int32)
+            yield make(b.column(0).flatten(), ids, np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(n_words)])])
+
+    grouped = rest.groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("given"))
+    whole = coded.select("chunk", "doc_ids", "n_words", "codes").join(grouped, "chunk", "left")
+    given = F.coalesce("given", F.expr("cast(array() as array<struct<at:int,ids:array<int>>>)"))
+    return whole.select("doc_ids", "n_words", "codes", given.alias("given")).mapInArrow(run, ddl)
+
+
+def _encoded(docs: DataFrame, path: str, make, ddl: str, id_col: str, text_col: str, most: int, length: int, chunk: int) -> DataFrame:
     rows = _split(common.text_rows(docs, id_col, text_col), path)
-    table = _hot_words(rows, path, min(most, HOT), length).toArrow()  # of HOT rows at most
+    table = _hot_words(rows, path, most, length).toArrow()  # of `most` rows at most
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)
     hot = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    coded = _coded(rows, path, hot)
-    return _assembled(coded, _filled(coded, path, length), hot, make, ddl)
+    coded = _coded(rows, path, hot, chunk)
+    return _assembled(coded, _encoded_rest(coded, path, length), hot, make, ddl)
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = HOT, length: int = LENGTH) -> DataFrame:
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = HOT, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids array<int>) of every row, as the library encodes its whole text without special tokens added.
 
     A null text is empty and has no ids; strings of special tokens in a text are
     those tokens, as the library has it. Repeated rows, and rows of a null id, are
-    rows each. Texts of any length are taken whole: a text's words have to fit a
+    rows each. Texts of any length are taken whole: the words of ``chunk`` rows have to fit a
     task. Other columns are not read; an empty table gives an empty result.
     ``most`` and ``length`` bound the broadcast table and change no result.
     """
     schema = common.batches_of("doc_id long, ids array<int>")
     make = lambda doc_ids, ids, ends: pa.RecordBatch.from_arrays([doc_ids, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], schema=schema)
-    return _encoded(docs, path, make, "doc_id long, ids array<int>", id_col, text_col, most, length)
+    return _encoded(docs, path, make, "doc_id long, ids array<int>", id_col, text_col, most, length, chunk)
 
 
 def joined(ids: np.ndarray, ends: np.ndarray, pieces: pa.Array) -> list[str]:
@@ -297,7 +307,7 @@ def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "i
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = HOT, length: int = LENGTH) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", most: int = HOT, length: int = LENGTH, chunk: int = CHUNK) -> DataFrame:
     """Of every row doc_id, n_tokens, the hex digest of its ids as little-endian unsigned 32-bit integers, and that of the text they decode to."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
 
@@ -307,4 +317,4 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         cols = [doc_ids, pa.array(np.diff(ends), pa.int64()), pa.array([sha(ids[a:e].astype("<u4").tobytes()) for a, e in spans], pa.string()), pa.array([sha(t.encode()) for t in texts], pa.string())]
         return pa.RecordBatch.from_arrays(cols, schema=common.batches_of(DIGESTS))
 
-    return _encoded(docs, path, make, DIGESTS, id_col, text_col, most, length)
+    return _encoded(docs, path, make, DIGESTS, id_col, text_col, most, length, chunk)

@@ -109,13 +109,14 @@ def hard_texts():
     return texts
 
 
-@pytest.mark.parametrize("most,length", [(65_535, 256), (3, 2), (0, 0)])
-def test_bpe_against_the_library(spark, sf_dir, odd_docs, most, length):
+@pytest.mark.parametrize("most,length,chunk", [(65_535, 256, 1024), (3, 2, 7), (0, 0, 100)])
+def test_bpe_against_the_library(spark, sf_dir, odd_docs, most, length, chunk, monkeypatch):
+    monkeypatch.setattr(word_table, "WORDS", 900 if chunk == 100 else word_table.WORDS)
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.createDataFrame(list(enumerate(hard_texts())) + [(1, "again <|endoftext|>"), (1, "again <|endoftext|>"), (None, None)], "doc_id long, text string").repartition(5)
     for df in (docs, odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
         want = bpe_by_hand([(r.doc_id, r.text) for r in df.collect()], path)
-        assert Counter(map(tuple, word_table.round_trip(df, path, most=most, length=length).collect())) == want
+        assert Counter(map(tuple, word_table.round_trip(df, path, most=most, length=length, chunk=chunk).collect())) == want
     assert word_table.round_trip(odd_docs.limit(0), path).count() == 0
 
 
