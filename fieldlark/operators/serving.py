@@ -101,20 +101,35 @@ def iso_day(value) -> Column:
     return F.substring(x.cast("string"), 1, 10)
 
 
-_PREPARED: dict[tuple, tuple[str, StructType]] = {}
+def version(spark: SparkSession, *paths: str) -> tuple:
+    """What tells that files under the paths (of any file system Spark knows) have changed: their number, sizes and times."""
+    out = []
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True)
+        n = size = last = mixed = 0
+        while files.hasNext():
+            f = files.next()
+            n, size, last = n + 1, size + f.getLen(), max(last, f.getModificationTime())
+            mixed = (mixed + hash((f.getPath().toString(), f.getLen(), f.getModificationTime()))) % (1 << 61)
+        out.append((p, n, size, last, mixed))
+    return tuple(out)
 
 
-def prepared(spark: SparkSession, key: tuple[str, ...], build, order: list[str]) -> DataFrame:
+_PREPARED: dict[tuple, tuple[tuple, str, StructType]] = {}
+
+
+def prepared(spark: SparkSession, key: tuple[str, ...], build, order: list[str], sources: tuple[str, ...] = ()) -> DataFrame:
     """A table to serve from: ``build`` makes it once for ``key`` while the application runs, later calls read what is stored.
 
-    It is sorted by ``order``, so that a lookup by these columns reads few row
-    groups. The key has to tell everything that the table is made of, its version
-    too.
+    It is made anew when the files under ``sources``, which it is made of, have
+    changed. It is sorted by ``order``, so that a lookup by these columns reads few
+    row groups.
     """
-    at = (spark.sparkContext.applicationId, *key)
-    if at not in _PREPARED:
+    at, now = (spark.sparkContext.applicationId, *key), version(spark, *sources)
+    if at not in _PREPARED or _PREPARED[at][0] != now:
         path, df = scratch(spark, "served"), build()
         df.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
-        _PREPARED[at] = path, df.schema
-    path, schema = _PREPARED[at]
+        _PREPARED[at] = now, path, df.schema
+    _, path, schema = _PREPARED[at]
     return spark.read.schema(schema).parquet(path)

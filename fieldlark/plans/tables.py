@@ -878,11 +878,11 @@ def pixel_scan(spark, d):
 @query(SQL["command_plan"].replace(" FROM adv GROUP BY 1", " FROM adv WHERE command_id = 2 GROUP BY 1"))
 def command_plan_served(spark, d):
     """One command's plan, from the plans stored by the first call."""
-    return serving.prepared(spark, ("command_plan", d), lambda: command_plan(spark, d), ["command_id"]).where("command_id = 2")
+    return serving.prepared(spark, ("command_plan", d), lambda: command_plan(spark, d), ["command_id"], (f"{d}/supplier.parquet", f"{d}/nation.parquet")).where("command_id = 2")
 
 
 @query(SQL["timeseries_range"])
 def timeseries_served(spark, d):
     """One cell's series, from the records stored by the first call."""
-    held = serving.prepared(spark, ("timeseries", d), lambda: _records(spark, d), ["cell", "date"])
+    held = serving.prepared(spark, ("timeseries", d), lambda: _records(spark, d), ["cell", "date"], (f"{d}/events.parquet",))
     return cells.timeseries(held, 7, "top", date(2024, 1, 5), date(2024, 1, 20))

@@ -38,8 +38,12 @@ def scan(spark: SparkSession, path: str, bands: list[str], start: date, end: dat
 
 
 def write_partitioned(df: DataFrame, path: str, by: str = "date", within=("cell",), mode: str = "overwrite") -> None:
-    """Parquet partitioned by date, sorted within, so that row groups can be skipped."""
-    df.repartition(by).sortWithinPartitions(by, *within).write.partitionBy(by).mode(mode).parquet(path)
+    """Parquet partitioned by date, sorted within, so that row groups can be skipped.
+
+    Tasks take ranges of date and ``within``: a date of many rows is written by
+    several, each with cells of its own, and small dates share one.
+    """
+    df.repartitionByRange(by, *within).sortWithinPartitions(by, *within).write.partitionBy(by).mode(mode).parquet(path)
 
 
 def read_geojson(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
@@ -50,9 +54,12 @@ def read_geojson(spark: SparkSession, path: str, series: list[str]) -> DataFrame
     return f.select(F.col("p.field_id").alias("field_id"), F.posexplode(zipped).alias("step", "z")).select("field_id", "step", "z.*")
 
 
-def to_rollup_json(df: DataFrame, order: str) -> DataFrame:
-    """All rows as one JSON array, in order: a report's few rows."""
-    return df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order])))).alias("json"))
+def write_rollup(df: DataFrame, path: str, by: str = "date") -> None:
+    """A report as JSON lines in a folder per date, and ``index``: the dates in order, the last of which is the default."""
+    df.withColumn("__day", F.col(by).cast("string")).repartitionByRange(by, *[c for c, t in df.dtypes if c != by and "map<" not in t]).write.partitionBy("__day").mode("overwrite").json(f"{path}/rows")
+    days = df.select(F.col(by).cast("string").alias("day")).distinct()
+    # as many as there are dates
+    days.agg(F.array_sort(F.collect_list("day")).alias("dates")).select("dates", F.try_element_at("dates", F.lit(-1)).alias("default")).coalesce(1).write.mode("overwrite").json(f"{path}/index")
 
 
 def time_axis(start: date, end: date, n: int) -> list[date]:
