@@ -77,9 +77,16 @@ def words(text: Column, specials: tuple[str, ...]) -> Column:
 
 
 def odd(text: Column) -> Column:
-    """Whether a text has characters of other runs. Most texts are told by few runs: a class of many is slow."""
-    common_runs = [r for r in settled() if any(r[0] <= ord(c) <= r[1] for c in "a’€")]
-    return F.when(F.length(text) == F.octet_length(text), False).when(~text.rlike(_outside(common_runs)), False).otherwise(text.rlike(_outside(settled())))
+    """Whether a text has characters of none of the runs.
+
+    A class of one range is many times as fast as one of several; so most texts
+    are told by the run of Latin letters, or by the gaps between it and the
+    runs of common punctuation.
+    """
+    usual = [r for r in settled() if any(r[0] <= ord(c) <= r[1] for c in "a’€")]
+    gaps = [(a[1] + 1, b[0] - 1) for a, b in zip(usual, [*usual[1:], (0x110000, 0)])]
+    between = functools.reduce(lambda a, b: a | b, [text.rlike(rf"[\x{{{a:X}}}-\x{{{b:X}}}]") for a, b in gaps])
+    return F.when(F.length(text) == F.octet_length(text), False).when(~text.rlike(_outside(usual[:1])), False).when(~between, False).otherwise(text.rlike(_outside(settled())))
 
 
 class Vocabulary:
@@ -278,11 +285,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
 def joined(ids: np.ndarray, ends: np.ndarray, pieces: pa.Array) -> list[str]:
     """The texts of the ids between neighbouring ``ends``: their pieces, joined to the table of pieces by id, one after the other."""
-    found = pieces.take(pa.array(np.where((ids >= 0) & (ids < len(pieces)), ids, -1), mask=(ids < 0) | (ids >= len(pieces))))
-    found = pc.fill_null(found, b"")
-    at = np.concatenate([[0], np.cumsum(pc.binary_length(found).to_numpy(), dtype=np.int64)])[ends]
-    whole = b"".join(found.to_pylist())
-    return [whole[a:e].decode("utf-8", "replace") for a, e in zip(at[:-1].tolist(), at[1:].tolist())]
+    found = pieces.take(pa.array(np.where((ids >= 0) & (ids < len(pieces)), ids, 0), mask=(ids < 0) | (ids >= len(pieces))))
+    _, offsets, data = found.buffers()
+    at = np.frombuffer(offsets, np.int32)[ends]  # nulls take no bytes
+    whole = memoryview(data) if data is not None else b""
+    return [str(whole[a:e], "utf-8", "replace") for a, e in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
 def decode(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

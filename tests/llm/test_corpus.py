@@ -110,8 +110,7 @@ def hard_texts():
 
 
 @pytest.mark.parametrize("most,length,chunk", [(65_535, 256, 1024), (3, 2, 7), (0, 0, 100)])
-def test_bpe_against_the_library(spark, sf_dir, odd_docs, most, length, chunk, monkeypatch):
-    monkeypatch.setattr(word_table, "WORDS", 900 if chunk == 100 else word_table.WORDS)
+def test_bpe_against_the_library(spark, sf_dir, odd_docs, most, length, chunk):
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.createDataFrame(list(enumerate(hard_texts())) + [(1, "again <|endoftext|>"), (1, "again <|endoftext|>"), (None, None)], "doc_id long, text string").repartition(5)
     for df in (docs, odd_docs, spark.read.parquet(f"{sf_dir}/documents.parquet")):
@@ -133,6 +132,16 @@ def test_ids_and_texts_by_themselves(spark, odd_docs):
     assert dict(map(tuple, word_table.decode(rows, path).collect())) == {i: library.decode([x for x in v or [] if x is not None and 0 <= x <= 50256], skip_special_tokens=False) for i, v in given}
 
 
+def test_chunks_are_cut_by_words(monkeypatch):
+    monkeypatch.setattr(word_table, "WORDS", 10)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lists = [["a"] * n if n is not None else None for n in (3, 4, 9, 0, 25, None, 1, 1, 1)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array(lists, pa.list_(pa.string())), pa.array([None] * 5 + ["b b b"] + [None] * 3, pa.string())], names=["doc_id", "words", "text"])
+    got = list(word_table._batches([batch], path, 100))
+    assert [b.column(0).to_pylist() for b in got] == [[0, 1], [2, 3], [4], [6, 7, 8], [5]]
+    assert got[-1].column(1).to_pylist() == [["b", " b", " b"]]
+
+
 def test_a_word_is_encoded_once(spark):
     """All occurrences of a word that isn't hot meet in one task, whatever the number of rows that hold it."""
     path = public_tokenizers.path("byte_bpe_50k.json")
