@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import advisory, crop, geo, soil, stress
 from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, serving, smoothing, stats
 from ..session import scratch
-from ..sources import tables
+from ..sources import chunks, exports, items, tables
 from ..streaming import windows
 from . import adapters as A
 from .scalar import _ADV, _CROPS, _TAW, cl, nd, r6, sd
@@ -886,3 +886,40 @@ def timeseries_served(spark, d):
     """One cell's series, from the records stored by the first call."""
     held = serving.prepared(spark, ("timeseries", d), lambda: _records(spark, d), ["cell", "date"], (f"{d}/events.parquet",))
     return cells.timeseries(held, 7, "top", date(2024, 1, 5), date(2024, 1, 20))
+
+
+@query(f"WITH {_EV} SELECT event_type, date, round(lat, 6) AS lat, round(lng, 6) AS lng, value FROM ev WHERE event_type IN ('click', 'view') AND date >= DATE '2024-01-05' AND date < DATE '2024-01-12' AND lat BETWEEN -40 AND 40")
+def scene_scan(spark, d):
+    """Scenes by kind, day and latitude, of which kind, dates and box open few."""
+    path = scratch(spark, "scenes")
+    items.write_items(_events(spark, d), path, [F.col("event_type"), F.col("date"), F.floor(F.col("lat") / 40.0)], ["event_type", "date", "lat", "lng"], ["lat"])
+    e = items.read_items(spark, path, ["event_type", "date", "lat", "lng", "value"])
+    held = e.where(F.col("event_type").isin("click", "view") & (F.col("date") >= F.lit(date(2024, 1, 5))) & (F.col("date") < F.lit(date(2024, 1, 12))) & F.col("lat").between(-40.0, 40.0))
+    return held.select("event_type", "date", R("lat"), R("lng"), "value")
+
+
+@query(SQL["timeseries_range"])
+def chunk_series(spark, d):
+    """One cell's series out of a store of chunks of 16 cells and 512 days."""
+    path = scratch(spark, "chunks")
+    chunks.write_chunks(A.daily(spark, d), path, "cell", F.floor(F.col("cell") / 16), "date", ["top", "low", "n"])
+    held = chunks.read_chunks(spark, path, ["cell", "date", "top"])
+    return held.where((F.col("cell") == 7) & F.col("date").between(F.lit(date(2024, 1, 5)), F.lit(date(2024, 1, 20)))).select("date", F.col("top").alias("value"))
+
+
+@query(f"WITH {A.DAILY} SELECT cell, date, top, low, n::DOUBLE AS n, vi FROM day")
+def chunk_cube(spark, d):
+    """The whole cube through the store and back."""
+    path = scratch(spark, "chunk-cube")
+    chunks.write_chunks(A.daily(spark, d), path, "cell", F.floor(F.col("cell") / 16), "date", ["top", "low", "n", "vi"], 16)
+    return chunks.read_chunks(spark, path)
+
+
+@query("SELECT " + _W + " AS window_start, count(DISTINCT user_id) AS n, min(user_id) AS least_user, max(user_id) AS most_user FROM events WHERE " + _HELD + " GROUP BY 1")
+def export_manifest(spark, d):
+    """Windows' composites exported, and what the manifest says of them."""
+    path = scratch(spark, "export")
+    e = A.read(spark, d, "events").select("user_id", F.col("ts").cast("date").alias("date"), "value")
+    exports.write_export(composite.composite(e, ["user_id"], ["value"], START, END), path, "window_start", ["user_id"], ["user_id"])
+    m = exports.manifest(spark, path).groupBy(F.col("window").alias("window_start"))
+    return m.agg(F.sum("n").alias("n"), F.min("least_user_id").alias("least_user"), F.max("most_user_id").alias("most_user"))

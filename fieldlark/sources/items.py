@@ -9,18 +9,17 @@ reads, Spark filters again, so that a row is given out by its own values.
 
 from __future__ import annotations
 
-import functools
-import operator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.dataset as ds
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, Filter, InputPartition
 from pyspark.sql.types import StructType
 
 from .files import opened, read_text
+from .pushed import Pushed
 
 #: Bytes of Parquet that one partition reads; a single file may be larger.
 SPLIT = 64 << 20
@@ -52,44 +51,21 @@ class Scenes(InputPartition):
     files: tuple[str, ...]
 
 
-#: How a predicate on a column bounds the extents of the files that can hold a row for it.
-_MEETS = {
-    EqualTo: lambda lo, hi, v: (lo <= v) & (hi >= v),
-    GreaterThan: lambda lo, hi, v: hi > v,
-    GreaterThanOrEqual: lambda lo, hi, v: hi >= v,
-    LessThan: lambda lo, hi, v: lo < v,
-    LessThanOrEqual: lambda lo, hi, v: lo <= v,
-    In: lambda lo, hi, v: functools.reduce(operator.or_, [(lo <= x) & (hi >= x) for x in v if x is not None], ds.scalar(False)),
-}
-_HOLDS = {
-    EqualTo: operator.eq,
-    GreaterThan: operator.gt,
-    GreaterThanOrEqual: operator.ge,
-    LessThan: operator.lt,
-    LessThanOrEqual: operator.le,
-    In: lambda c, v: c.isin([x for x in v if x is not None]),
-}
-
-
 class ItemsReader(DataSourceReader):
     def __init__(self, schema: StructType, path: str, split: int):
         self.schema, self.path, self.split = schema, path, split
-        self.pushed: list[tuple[type, str, object]] = []
+        self.pushed = Pushed()
 
     def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            if type(f) in _MEETS and len(f.attribute) == 1:
-                self.pushed.append((type(f), f.attribute[0], f.value))
-            yield f  # Spark decides on each row
+        self.pushed.take(filters)
+        return filters  # Spark decides on each row
 
     def index(self) -> pa.Table:
         """The files that the predicates leave, in order."""
         fs, at = opened(f"{self.path}/index")
         index = ds.dataset(at, filesystem=fs, format="parquet")
-        kept = set(index.schema.names)
-        where = [_MEETS[kind](ds.field(f"least_{c}"), ds.field(f"most_{c}"), v) for kind, c, v in self.pushed if f"least_{c}" in kept]
-        columns = ["file", "bytes", "n"]
-        return index.to_table(columns=columns, filter=functools.reduce(operator.and_, where) if where else None).sort_by("file")
+        known = [n.removeprefix("least_") for n in index.schema.names if n.startswith("least_")]
+        return index.to_table(columns=["file", "bytes", "n"], filter=self.pushed.on_extents(known)).sort_by("file")
 
     def partitions(self) -> list[Scenes]:
         out: list[list[str]] = []
@@ -109,9 +85,9 @@ class ItemsReader(DataSourceReader):
         for file in partition.files:
             fs, at = opened(file)
             data = ds.dataset(at, filesystem=fs, format="parquet")
-            # not on doubles, where NaN is the largest to Spark and no number to Arrow
-            where = [_HOLDS[kind](ds.field(c), v) for kind, c, v in self.pushed if c in data.schema.names and not pa.types.is_floating(data.schema.field(c).type)]
-            for b in data.to_batches(columns=schema.names, filter=functools.reduce(operator.and_, where) if where else None):
+            # not on doubles: NaN is the largest to Spark and no number to Arrow
+            exact = [f.name for f in data.schema if not pa.types.is_floating(f.type)]
+            for b in data.to_batches(columns=schema.names, filter=self.pushed.on_rows(exact)):
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(b.columns, schema.types)], schema=schema)
 
