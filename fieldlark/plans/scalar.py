@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import advisory, crop, et0, geo, indices, optical, sar, soil, stress
+from ..operators import polygons
 from . import adapters as A
 
 QUERIES: dict = {}
@@ -313,12 +316,33 @@ def point_in_polygon(spark, d):
     return A.points(spark, d).select("c_custkey", geo.inside("lng", "lat", _RING).alias("inside"))
 
 
-@query(f"""WITH g AS (SELECT r, c, -60 + (r + 0.5::DOUBLE) * (60 / 8::DOUBLE) AS lat, -180 + (c + 0.5::DOUBLE) * (60 / 8::DOUBLE) AS lng FROM range(0, 17) a(r), range(0, 48) b(c))
-    SELECT {_CELL("lat", "lng", 3)} AS cell FROM g WHERE {_parity("lng", "lat")}""")
+def _rings(spark, d):
+    """A star of eight points for each supplier."""
+    k = F.col("s_suppkey")
+    cx, cy, r = (k * 91 % 300).cast("double") - 149.9863, (k * 37 % 120).cast("double") - 59.9863, (k % 7).cast("double") + 3.0
+    corner = lambda j: F.struct((cx + r * (1.0 + 0.6 * (j % 2)) * math.cos(math.pi / 4 * j)).alias("lng"), (cy + r * (1.0 + 0.6 * (j % 2)) * math.sin(math.pi / 4 * j)).alias("lat"))
+    return A.read(spark, d, "supplier").select(k.alias("polygon_id"), F.array(*[corner(j) for j in range(8)]).alias("ring"))
+
+
+_STARS = f"""ring AS (SELECT s_suppkey AS polygon_id, j, (s_suppkey * 91 % 300)::DOUBLE - 149.9863::DOUBLE + ((s_suppkey % 7)::DOUBLE + 3) * (1 + 0.6::DOUBLE * (j % 2)) * [{', '.join(repr(math.cos(math.pi / 4 * j)) + '::DOUBLE' for j in range(8))}][j + 1] AS x,
+    (s_suppkey * 37 % 120)::DOUBLE - 59.9863::DOUBLE + ((s_suppkey % 7)::DOUBLE + 3) * (1 + 0.6::DOUBLE * (j % 2)) * [{', '.join(repr(math.sin(math.pi / 4 * j)) + '::DOUBLE' for j in range(8))}][j + 1] AS y FROM supplier, range(8) t(j)),
+    edge AS (SELECT a.polygon_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM ring a JOIN ring b ON b.polygon_id = a.polygon_id AND b.j = (a.j + 1) % 8)"""
+_ODD = "sum(((y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y1) + x1)::INT) % 2 = 1"
+
+
+@query(f"WITH {A.POINTS}, {_STARS} SELECT c_custkey, polygon_id FROM pts, edge GROUP BY 1, 2 HAVING {_ODD}")
+def points_in_polygons(spark, d):
+    """Every point in every polygon that holds it, over the cover of all polygons."""
+    return polygons.contained(A.points(spark, d), polygons.cover(_rings(spark, d), 6), "c_custkey")
+
+
+@query(f"""WITH {_STARS}, g AS (SELECT r, c, (r + 0.5::DOUBLE) * 7.5::DOUBLE - 90 AS lat, (c + 0.5::DOUBLE) * 7.5::DOUBLE - 180 AS lng FROM range(24) a(r), range(48) b(c)),
+    i AS (SELECT polygon_id, r, c FROM g, edge GROUP BY ALL HAVING {_ODD}),
+    m AS (SELECT polygon_id, avg(x) AS x, avg(y) AS y FROM ring GROUP BY 1 HAVING polygon_id NOT IN (SELECT polygon_id FROM i))
+    SELECT polygon_id, printf('f%02d%08x%08x', 3, r, c) AS cell FROM i UNION ALL SELECT polygon_id, printf('f%02d%08x%08x', 3, floor((y + 90) / 7.5::DOUBLE)::BIGINT, floor((x + 180) / 7.5::DOUBLE)::BIGINT) FROM m""")
 def cells_for_polygon(spark, d):
-    rows = spark.range(17).select(F.explode(F.sequence(F.lit(0), F.lit(47))).alias("c"), F.col("id").alias("r"))
-    g = rows.select((-60.0 + (F.col("r") + 0.5) * (60.0 / 8)).alias("lat"), (-180.0 + (F.col("c") + 0.5) * (60.0 / 8)).alias("lng"))
-    return g.where(geo.inside("lng", "lat", _RING)).select(geo.cell("lat", "lng", 3).alias("cell"))
+    """The cells of every polygon at resolution 3; those of none have their middle's."""
+    return polygons.cells_of(_rings(spark, d), 3)
 
 
 _T = lambda c, f: f"least(greatest(trunc({f})::INT, 0), 1023)"
