@@ -70,10 +70,14 @@ def lower_ascii(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def without(df: DataFrame, losers: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of ``df`` whose id (null is an id too) is not in the one-column ``losers``."""
-    drop = losers.select(F.col(losers.columns[0]).alias("__drop_id"))
-    return df.join(drop, df[id_col].eqNullSafe(drop["__drop_id"]), "left_anti")
+def plainly(docs: DataFrame, step, **columns: str) -> DataFrame:
+    """``step(docs, **columns)`` with the columns named by place, and their own names after it.
+
+    So no name of the input clashes with one that the step needs for itself.
+    """
+    names = docs.columns
+    at = {k: f"in{names.index(c)}" for k, c in columns.items()}
+    return step(docs.toDF(*[f"in{i}" for i in range(len(names))]), **at).toDF(*names)
 
 
 def let(value: Column, body) -> Column:

@@ -200,15 +200,20 @@ def groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: s
     id that repeats with different texts can be in several. Other columns are not
     read; an empty table gives an empty result.
     """
-    found = _grouped(common.numbered(docs.select(id_col, text_col)), radius, id_col, text_col)
+    given = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
+    found = _grouped(common.numbered(given), radius, "doc_id", "text")
     first = found.groupBy("root").agg(F.min("doc_id").alias("first"))
     return found.join(first, "root").where("doc_id <> first").select(F.col("doc_id").alias("node"), F.col("first").alias("root")).distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs``, all columns, but of each group of near copies only one row of the smallest doc_id."""
-    docs = common.numbered(docs)
-    found = _grouped(docs, 4, id_col, text_col, block)
-    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
-    lost = found.join(first, "row", "left_anti").select(F.col("row").alias(common.ROW))
-    return docs.join(lost, common.ROW, "left_anti").drop(common.ROW)
+
+    def kept(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        docs = common.numbered(docs)
+        found = _grouped(docs, 4, id_col, text_col, block)
+        first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+        lost = found.join(first, "row", "left_anti").select(F.col("row").alias(common.ROW))
+        return docs.join(lost, common.ROW, "left_anti").drop(common.ROW)
+
+    return common.plainly(docs, kept, id_col=id_col, text_col=text_col)

@@ -207,7 +207,9 @@ class Scorer:
         for w, n in Counter(words).items():
             f = memo.get(w)
             if f is None:
-                f = memo[w] = tuple(x for x in word_features(w) if x in known)
+                f = tuple(x for x in word_features(w) if x in known)
+                if len(w) <= 64:  # so that its limit bounds the memo's bytes too
+                    memo[w] = f
             for x in f:
                 counts[x] = counts.get(x, 0) + n
         none = (0.0,) * len(self.tops)
@@ -240,16 +242,26 @@ def train(docs: DataFrame, labels: DataFrame, targets: list[tuple[str, str]], id
     rows = featurised(texts.join(F.broadcast(taken.select("doc_id")), "doc_id")).groupBy("doc_id").agg(F.min("features").alias("features"))
     rows = common.stored(rows.join(F.broadcast(taken), "doc_id"), "training")
     sizes = rows.select("doc_id", F.sum(F.octet_length("features")).over(Window.orderBy(order, "doc_id")).alias("bytes"))
-    got = rows.join(F.broadcast(sizes.where(F.col("bytes") <= budget).select("doc_id")), "doc_id").toArrow()
-    if not got.num_rows:
+    got = rows.join(F.broadcast(sizes.where(F.col("bytes") <= budget).select("doc_id")), "doc_id").select("doc_id", *names, "features")
+
+    def fit(batches):
+        import pickle
+
+        whole = pa.Table.from_batches(list(batches), schema=common.batches_of(f"doc_id long, {', '.join(f'{y} int' for y in names)}, features binary"))
+        if whole.num_rows:
+            whole = whole.take(np.argsort(whole.column("doc_id").to_numpy(), kind="stable"))
+            y = np.column_stack([whole.column(y).to_numpy() for y in names])
+            chain = Chain([np.frombuffer(x.as_buffer(), np.uint32) for x in whole.column("features")], y)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
+        common.give_back()
+
+    # one task, of `budget` bytes of features at most; the driver gets the weights
+    told = got.repartition(1).mapInArrow(fit, "chain binary").collect()
+    if not told:
         return None
-    by = np.argsort(got.column("doc_id").to_numpy(), kind="stable")
-    y = np.column_stack([got.column(y).to_numpy() for y in names])[by]
-    held = [got.column("features").take(by)]
-    del got
-    chain = Chain([np.frombuffer(x.as_buffer(), np.uint32) for x in held.pop()], y)  # nothing else holds the features
-    common.give_back()
-    return chain
+    import pickle
+
+    return pickle.loads(told[0]["chain"])
 
 
 #: The categories that the labels tell, in the chain's order: whether a text is toxic is asked last, knowing the other.

@@ -628,3 +628,19 @@ def test_toxicity_edges(spark, odd_docs):
     assert out.count() == odd_docs.count() and out.where("toxic").count() == 0
     assert toxicity.clean(odd_docs, lab.limit(0)).count() == odd_docs.count()
     assert toxicity.judge(odd_docs.limit(0), lab).count() == 0
+
+
+def test_stages_with_clashing_names(spark, sf_dir):
+    """Columns of any name come through all stages as they were."""
+    import corpus_pipeline
+
+    names = ["__row", "__base", "__key", "__added", "row", "digest", "token", "chunk", "in0", "in1", "best", "group_size", "root", "key", "__text", "spans", "added"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    wide = docs.select(*[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names], "*")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got, want = stage(spark, wide, sf_dir), stage(spark, docs, sf_dir)
+        assert got.columns == wide.columns and [t for _, t in got.dtypes] == [t for _, t in wide.dtypes], name
+        assert sorted(map(tuple, got.select(*docs.columns).collect())) == sorted(map(tuple, want.collect())), name
+        assert got.where(" or ".join(f"not `{n}` <=> concat('{n}', doc_id)" for n in names)).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, wide, sf_dir).count() == last(spark, docs, sf_dir).count()
