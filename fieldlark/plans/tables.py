@@ -10,7 +10,7 @@ from ..functions import advisory, crop, geo, soil, stress
 from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, serving, smoothing, stats
 from ..session import scratch
 from ..sources import chunks, exports, items, tables
-from ..streaming import windows
+from ..streaming import runs, windows
 from . import adapters as A
 from .scalar import _ADV, _CROPS, _TAW, cl, nd, r6, sd
 
@@ -695,16 +695,32 @@ def stream_8day(spark, d):
     return out.select("user_id", "window_start", R("value"), "n")
 
 
-@query(f"WITH {A.DAILY} SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+@query("SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
 def stream_upsert(spark, d):
-    """Latest record of each key, kept by a foreachBatch sink."""
+    """Latest record of each key, kept by a foreachBatch sink over six batches of the events."""
     path = scratch(spark, "stream-upsert")
-    e = A.read(spark, d, "events")
-    s = spark.readStream.schema(e.schema).parquet(f"{d}/events*.parquet").select("user_id", "event_type", "event_id", "value")
-    sink = windows.upsert_into(spark, f"{path}/rows", ["user_id", "event_type"], "event_id")
+    e = A.read(spark, d, "events").select("user_id", "event_type", "event_id", "value")
+    e.repartition(6, F.xxhash64("event_id")).write.parquet(f"{path}/in")
+    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    sink = runs.upsert_into(spark, f"{path}/rows", ["user_id", "event_type"], "event_id")
     q = s.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return windows.upserted(spark, f"{path}/rows", s.schema)
+    return runs.upserted(spark, f"{path}/rows", s.schema, ["user_id", "event_type"], "event_id")
+
+
+@query(SQL["water_balance_daily"].replace(SQL["water_balance_daily"][SQL["water_balance_daily"].rindex("SELECT field_id, date,"):], f"SELECT field_id, date, {r6(dr='dr', ks='ks')} FROM rec"))
+def stream_balance(spark, d):
+    """The daily balance of field-days that come in any order, in three batches: the last revision of each day."""
+    path = scratch(spark, "stream-balance")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    days = _wb(spark, d)
+    days.repartition(3, F.xxhash64("date", "field_id")).write.parquet(f"{path}/in")
+    s = spark.readStream.schema(days.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    out = windows.water_balance(s, 400)
+    q = out.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = cells.latest(spark.read.schema(out.schema).parquet(f"{path}/out"), ["field_id", "date"], "revision")
+    return held.select("field_id", "date", R("dr"), R("ks"))
 
 
 _U = lambda *p: "(('0x' || substr(sha256(" + " || '/' || ".join(p) + "), 1, 12))::BIGINT % 10000) / 10000::DOUBLE"

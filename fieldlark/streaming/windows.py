@@ -1,10 +1,10 @@
-"""Streaming twins: eight-day windows with a watermark, latest-record upserts, and a resumable water balance."""
+"""Streaming twins: eight-day windows with a watermark, sessions, and a water balance that settles late days."""
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,89 +29,83 @@ def sessions(df: DataFrame, keys: list[str], gap: str = "30 minutes", ts: str =
     return held.groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("n")).drop("w")
 
 
-#: Files of an upserted table; a batch rewrites only those that one of its keys is in.
-BUCKETS = 64
+#: Days that the streaming balance keeps of each field, counted from its newest: one that comes later than that isn't settled.
+KEEP = 60
 
 
-def _versions(spark: SparkSession, path: str, number: int | None = None) -> dict[int, int]:
-    """The batch that last wrote each bucket, as of a batch (of the last one by default); at most a row a bucket."""
-    known = spark.read.schema("bucket int, version long, v long").option("basePath", f"{path}/versions").parquet(f"{path}/versions")
-    last = number if number is not None else known.agg(F.max("v")).first()[0]
-    return {r["bucket"]: r["version"] for r in known.where(F.col("v") == F.lit(last)).collect()}
-
-
-def _bucket(keys: list[str], buckets: int):
-    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-
-
-def upsert_into(spark: SparkSession, path: str, keys: list[str], order: str, buckets: int = BUCKETS):
-    """A foreachBatch sink that keeps the latest record of each key under ``path``; see ``upserted``.
-
-    Rows are in buckets by a hash of their key. A batch rewrites the buckets that
-    it touches, into a version of their own, and then says which version of each
-    is the last; so a batch that is run again gives the same table, and readers
-    never see half of one.
-    """
-    from ..operators.cells import latest
-
-    spark.createDataFrame([], "bucket int, version long").write.mode("ignore").parquet(f"{path}/versions/v=-1")
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        at = _versions(spark, path, number - 1)
-        batch = batch.withColumn("__bucket", _bucket(keys, buckets))
-        touched = [r[0] for r in batch.select("__bucket").distinct().collect()]  # at most `buckets` rows
-        held = [f"{path}/rows/v={at[b]}/__bucket={b}" for b in touched if b in at]
-        if held:
-            old = spark.read.schema(batch.drop("__bucket").schema).parquet(*held)
-            batch = old.withColumn("__bucket", _bucket(keys, buckets)).unionByName(batch)
-        latest(batch, keys, order).repartition("__bucket").write.mode("overwrite").partitionBy("__bucket").parquet(f"{path}/rows/v={number}")
-        now = [(b, v) for b, v in (at | dict.fromkeys(touched, number)).items()]
-        spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/versions/v={number}")
-
-    return write
-
-
-def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The table that ``upsert_into`` keeps, as of its last batch; empty where no batch came."""
-    paths = [f"{path}/rows/v={v}/__bucket={b}" for b, v in sorted(_versions(spark, path).items())]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+def _ks(dr: float, taw: float, p: float) -> float:
+    share = min(max(p, 0.0), 0.999999)
+    return 1.0 if taw <= 0 or dr <= share * taw else min(max((taw - dr) / ((1 - share) * taw), 0.0), 1.0)
 
 
 class Balance(StatefulProcessor):
-    """Carries each field's deficit from batch to batch; rows (field_id, date, et0, kc, rain, taw, p).
-
-    Missing rain is none. A day that isn't after the field's last one came too
-    late: its balance is a part of those after it, so it is handed out as it came,
-    marked late, and the state stays.
+    """Carries each field's last days from batch to batch; rows (field_id, date, et0, kc, rain, irrigation, taw, p).
+
+    The state is the deficit before the oldest kept day and, of each kept day, its
+    input and result. A day that comes late, or again with other values, takes its place among
+    them; it and those after it are computed anew, and what has changed is handed
+    out as a further revision. Days beyond ``keep`` are folded into the deficit
+    and forgotten; a day as old as those is handed out unsettled, marked late.
+    Missing rain and irrigation are none.
     """
 
+    def __init__(self, keep: int = KEEP):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "dr double, last date")
+        self.base = handle.getValueState("base", "dr double, through date")
+        self.days = handle.getMapState("days", "date date", "et0 double, kc double, rain double, irrigation double, taw double, p double, dr double, ks double, revision int")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd  # only where it runs, as the driver can do without
 
-        dr, last = self.state.get() if self.state.exists() else (0.0, None)
-        out = []
-        days = pd.concat(list(rows)).sort_values("date")
-        for r in days.itertuples():
-            if last is not None and r.date <= last:
-                out.append((key[0], r.date, None, None, True))
+        dr0, through = self.base.get() if self.base.exists() else (0.0, None)
+        held = {k[0]: list(v) for k, v in self.days.iterator()}
+        out, first, changed = [], None, set()
+        for r in pd.concat(list(rows)).itertuples():
+            if through is not None and r.date <= through:
+                out.append((key[0], r.date, None, None, None, True))
                 continue
-            rain = 0.0 if pd.isna(r.rain) else max(r.rain, 0.0)
-            share = min(max(r.p, 0.0), 0.999999)
-            ks = 1.0 if r.taw <= 0 or dr <= share * r.taw else min(max((r.taw - dr) / ((1 - share) * r.taw), 0.0), 1.0)
-            before = dr - rain + ks * (r.kc * r.et0)
-            dr, last = min(before + max(-before, 0.0), r.taw), r.date
-            out.append((key[0], r.date, dr, ks, False))
-        self.state.update((float(dr), last))
-        yield pd.DataFrame(out, columns=["field_id", "date", "dr", "ks", "late"])
+            none = lambda x: 0.0 if pd.isna(x) else float(x)
+            given = [float(r.et0), float(r.kc), max(none(r.rain), 0.0), none(r.irrigation), float(r.taw), float(r.p)]
+            if r.date not in held or held[r.date][:6] != given:
+                held[r.date] = [*given, None, None, held[r.date][8] if r.date in held else -1]
+                first = r.date if first is None else min(first, r.date)
+                changed.add(r.date)
+        order = sorted(held)
+        if first is not None:
+            at = order.index(first)
+            dr = held[order[at - 1]][6] if at else dr0
+            for day in order[at:]:
+                et0, kc, rain, irrigation, taw, p, old_dr, old_ks, revision = held[day]
+                ks = _ks(dr, taw, p)
+                before = dr - rain - irrigation + ks * (kc * et0)
+                dr = min(before + max(-before, 0.0), taw)
+                if (dr, ks) != (old_dr, old_ks):
+                    held[day] = [et0, kc, rain, irrigation, taw, p, dr, ks, revision + 1]
+                    changed.add(day)
+                    out.append((key[0], day, dr, ks, revision + 1, False))
+        gone = [d for d in order if (order[-1] - d).days >= self.keep]
+        if gone:
+            dr0, through = held[gone[-1]][6], gone[-1]
+        for day in changed - set(gone):
+            self.days.updateValue((day,), tuple(held[day]))
+        for day in gone:
+            if self.days.containsKey((day,)):
+                self.days.removeKey((day,))
+        self.base.update((float(dr0), through))
+        yield pd.DataFrame(out, columns=["field_id", "date", "dr", "ks", "revision", "late"]).astype({"revision": "Int32"})
 
     def close(self) -> None:
         pass
 
 
-def water_balance(stream: DataFrame) -> DataFrame:
-    """(field_id, date, dr, ks, late) of each day, as it comes."""
-    return stream.groupBy("field_id").transformWithStateInPandas(Balance(), "field_id long, date date, dr double, ks double, late boolean", "append", "none")
+def water_balance(stream: DataFrame, keep: int = KEEP) -> DataFrame:
+    """(field_id, date, dr, ks, revision, late) of each day as it comes, and of those that a late day changes.
+
+    The last revision of a day holds. The session's state store has to be RocksDB's.
+    """
+    kind = stream.schema["field_id"].dataType.simpleString()
+    if "irrigation" not in stream.columns:
+        stream = stream.withColumn("irrigation", F.lit(0.0))
+    return stream.groupBy("field_id").transformWithStateInPandas(Balance(keep), f"field_id {kind}, date date, dr double, ks double, revision int, late boolean", "append", "none")

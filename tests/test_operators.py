@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from datetime import date, timedelta
 
 import numpy as np
@@ -222,52 +223,93 @@ def test_streaming_balance_resumes(spark, tmp_path):
     assert got == pytest.approx(whole)
 
 
-def test_streaming_balance_with_gaps_and_late_days(spark, tmp_path):
+def _streamed_balance(spark, tmp_path, parts, schema, keep):
     from fieldlark.streaming import windows
 
-    rows = [(1, i, 6.0, 1.15, None if i == 2 else 1.0, 120.0, 0.5) for i in range(8)]
-    whole = {r.date: r.dr for r in balance.run(days(spark, [r for r in rows if r[1] != 4])).collect()}
     src = tmp_path / "in"
-    schema = days(spark, rows).schema
-    for k, part in enumerate((rows[:4], rows[5:7], [rows[4], rows[7]])):  # the fifth day comes after the seventh
-        days(spark, part).coalesce(1).write.parquet(str(src / f"p{k}"))
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(src / f"p{k}"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src / "*"))
-    q = windows.water_balance(stream).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q = windows.water_balance(stream, keep).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert [r.late for r in sorted(got, key=lambda r: r.date)] == [False] * 4 + [True] + [False] * 3
+    return spark.read.parquet(str(tmp_path / "out")).collect()
+
+
+def test_streaming_balance_settles_late_days(spark, tmp_path):
+    import random
+    from datetime import timedelta
+
+    rnd = random.Random(5)
+    rows = [(f, date(2024, 4, 1) + timedelta(days=i), rnd.uniform(2, 9), 1.15, rnd.choice([None, 0.0, 12.0]), 120.0 - 30 * f, 0.5) for f in (1, 2, 3) for i in range(40) if (f + i) % 9]
+    schema = "field_id long, date date, et0 double, kc double, rain double, taw double, p double"
+    whole = {(r.field_id, r.date): (r.dr, r.ks) for r in balance.run(spark.createDataFrame(rows, schema)).collect()}
+    shuffled = rnd.sample(rows, len(rows))
+    # days in any order, one of them twice, and one first with a wrong value
+    wrong = (*shuffled[50][:2], 99.0, *shuffled[50][3:])
+    parts = [[wrong, *shuffled[:30]], shuffled[30:45], shuffled[45:] + [shuffled[3]]]
+    got = _streamed_balance(spark, tmp_path, parts, schema, 60)
+    last = {}
+    for r in sorted(got, key=lambda r: r.revision):
+        last[r.field_id, r.date] = (r.dr, r.ks)
+    assert set(last) == set(whole) and all(last[k] == pytest.approx(whole[k]) for k in whole)
+    assert not any(r.late for r in got)
+    times = Counter((r.field_id, r.date, r.revision) for r in got)
+    assert max(times.values()) == 1 and max(r.revision for r in got) > 0
+
+
+def test_streaming_balance_forgets_old_days(spark, tmp_path):
+    rows = [(1, date(2024, 4, 1 + i), 6.0, 1.15, 1.0, 120.0, 0.5) for i in range(20)]
+    schema = "field_id long, date date, et0 double, kc double, rain double, taw double, p double"
+    got = _streamed_balance(spark, tmp_path, [rows[:3] + rows[4:15], [rows[3]], rows[15:]], schema, 5)
+    assert [(r.date.day, r.dr) for r in got if r.late] == [(4, None)]  # it would have changed days that are settled
+    whole = {r.date: r.dr for r in balance.run(spark.createDataFrame(rows[:3] + rows[4:], schema)).collect()}
     assert {r.date: r.dr for r in got if not r.late} == pytest.approx(whole)
 
 
-def test_upserts_rewrite_what_they_touch(spark, tmp_path):
-    from fieldlark.streaming import windows
+def test_upserts_write_what_came(spark, tmp_path):
+    import random
+
+    from fieldlark.streaming import runs
 
     path = str(tmp_path / "table")
-    sink = windows.upsert_into(spark, path, ["k"], "at", buckets=8)
+    sink = runs.upsert_into(spark, path, ["k"], "at", fan=3)
     make = lambda rows: spark.createDataFrame(rows, "k long, at long, v string")
     schema = make([]).schema
-    read = lambda: {tuple(r) for r in windows.upserted(spark, path, schema).collect()}
+    read = lambda: {tuple(r) for r in runs.upserted(spark, path, schema, ["k"], "at").collect()}
     assert read() == set()
-    sink(make([(i, 1, "a") for i in range(40)]), 0)
-    sink(make([(3, 2, "b"), (3, 0, "old"), (99, 1, "new")]), 1)
-    want = {(i, 1, "a") for i in range(40) if i != 3} | {(3, 2, "b"), (99, 1, "new")}
-    assert read() == want
-    assert len(list((tmp_path / "table/rows/v=1").glob("__bucket=*"))) <= 2
-    sink(make([(3, 2, "b"), (3, 0, "old"), (99, 1, "new")]), 1)  # the batch again
-    assert read() == want
-    sink(make([]), 2)
-    assert read() == want
+    rnd = random.Random(1)
+    batches = [[(i, 1, "a" * 50) for i in range(20_000)]] + [[(rnd.randint(0, 30_000), rnd.randint(0, 9), f"b{n}") for _ in range(40)] for n in range(1, 9)] + [[]]
+    want = {}
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "table/runs").rglob("*.parquet"))
+    written = []
+    for n, rows in enumerate(batches):
+        before = size() if n else 0
+        sink(make(rows), n)
+        written.append(size() - before)
+        for r in rows:
+            want[r[0]] = max(want.get(r[0], r), r, key=lambda x: (x[1], x[2]))
+        assert read() == set(want.values())
+        held = sorted(p.name for p in (tmp_path / "table").rglob("*.parquet"))
+        sink(make(rows), n)  # the batch again
+        assert read() == set(want.values()) and sorted(p.name for p in (tmp_path / "table").rglob("*.parquet")) == held
+    # what a batch writes follows the batch, but for merges of every third, and every ninth
+    assert written[0] > 50_000 and all(w < 20_000 for n, w in enumerate(written) if n and n % 3 != 2) and written[-1] == 0
+    assert runs.tidy(spark, path, 1) > 0 and read() == set(want.values())
+    sink(make([(5, 99, "last")]), len(batches))
+    assert (5, 99, "last") in read()
+    plan = runs.upserted(spark, path, schema, ["k"], "at").where("k = 5")._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(k), EqualTo(k,5)]" in plan
 
 
 def test_upsert_of_an_empty_stream(spark, tmp_path):
-    from fieldlark.streaming import windows
+    from fieldlark.streaming import runs
 
     (tmp_path / "none").mkdir()
     schema = spark.range(1).selectExpr("id as k", "id as at").schema
-    sink = windows.upsert_into(spark, str(tmp_path / "t"), ["k"], "at")
+    sink = runs.upsert_into(spark, str(tmp_path / "t"), ["k"], "at")
     q = spark.readStream.schema(schema).parquet(str(tmp_path / "none")).writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert windows.upserted(spark, str(tmp_path / "t"), schema).count() == 0
+    assert runs.upserted(spark, str(tmp_path / "t"), schema, ["k"], "at").count() == 0
 
 
 def test_late_data_is_left_out_by_the_watermark(spark, tmp_path):
