@@ -258,13 +258,25 @@ def test_tree_bytes_and_splits():
     rng = np.random.default_rng(4)
     points = rng.integers(-50, 50, (3000, 4)).astype(float)
     tree = topk.Tree.from_bytes(topk.Tree(np.arange(3000), points, leaf=40).to_bytes())
-    for q in points[:50]:
-        want = sorted(((float(q @ p), -i) for i, p in enumerate(points)), reverse=True)[:7]
-        assert tree.search(q, -1, tree.bounds(q[None])[0].tolist(), 7, -np.inf) == want
+    best, ids, _ = tree.search(points[:50], np.full(50, -1), np.full(50, -np.inf), 7)
+    for q, s, i in zip(points[:50], best, ids):
+        assert [(x, -y) for x, y in zip(s.tolist(), i.tolist())] == sorted(((float(q @ p), -i) for i, p in enumerate(points)), reverse=True)[:7]
     regions = topk.region_of(points, topk.splits(points, 8))
     assert sorted(set(regions.tolist())) == list(range(8)) and np.bincount(regions).max() < 500
 
 
+def test_top_k_skips_what_cannot_matter(spark):
+    """Clustered vectors: a block visits few leaves of its own shard, and few shards."""
+    rng = np.random.default_rng(6)
+    at = rng.normal(size=(40, 3)) * 5
+    rows = [(i, (at[i % 40] + rng.normal(size=3) * 0.05).tolist()) for i in range(12_000)]
+    told: list = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert Counter(map(tuple, topk.top_k(df, shard=1500, every=400, told=told).collect())) == top_by_hand(rows, every=400)
+    leaves, visited = told[0]
+    assert visited < leaves / 2
+
+
 def test_top_k_query(spark, sf_dir):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     assert Counter(map(tuple, queries.op7_exact_top_k(spark, sf_dir).collect())) == top_by_hand(rows)
