@@ -2,7 +2,10 @@
 
 Everything is DataFrame or SQL work. FP-growth mines the URL tokens (host
 labels, path segments, parameter names) of labelled pages together with their
-label. Rules that conclude the label with enough support and confidence, and that
+label; tokens that always come together are one item. Spark's FP-growth makes sets of any length, so that pages of
+many frequent tokens would be beyond it; where there are such pages, PrefixSpan
+grows the same sets (tokens in one order for all pages) up to the length of a rule.
+Rules of at most ``LONGEST`` tokens that conclude the label with enough support and confidence, and that
 no rule of fewer of their tokens makes needless, go to an inverted index by their
 rarest token. A page meets only rules filed under one of its tokens, and the most
 confident one that fits decides.
@@ -10,6 +13,8 @@ confident one that fits decides.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +30,11 @@ RULES = [
 ]
 #: Items that stand for a page's label.
 BAD, GOOD = "=bad", "=good"
-#: Share of the labelled pages that a rule's tokens and label need together; its least confidence, which is taken at
-#: the lower end of its 95 % interval, so that few pages prove nothing; tokens of a page that mining looks at, at most.
-SUPPORT, CONFIDENCE, MOST = 0.002, 0.8, 12
+#: A rule's least confidence, which is taken at the lower end of its 95 % interval, so that few pages prove nothing: a
+#: rule needs 16 pages that agree, whatever the size of the table. Its most tokens; frequent tokens of a page from which on PrefixSpan mines.
+CONFIDENCE, LONGEST, WIDE = 0.8, 4, 12
 Z = 1.96
-RULE = "antecedent array<string>, verdict string, confidence double, support double, anchor string"
+RULE = "antecedent array<string>, verdict string, confidence double, support long, anchor string"
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -67,59 +72,86 @@ def _proved(confidence: Column, pages: Column) -> Column:
     return (confidence + z2 / (2 * pages) - Z * F.sqrt(confidence * (1 - confidence) / pages + z2 / (4 * pages * pages))) / (1 + z2 / pages)
 
 
-def _baskets(labelled: DataFrame, least: float, most: int) -> tuple[DataFrame, DataFrame]:
-    """(baskets, counts): the label and those tokens of each page that ``least`` pages have, the ``most`` rarest; pages of each such token.
-
-    A token that fewer pages have is in no rule, so leaving it out loses nothing.
-    """
-    each = labelled.select("row", "bad", F.explode("items").alias("token"))
-    counts = common.stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least), "url-tokens")
-    kept = each.join(counts, "token").groupBy("row", "bad").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
-    label = F.when(F.col("bad"), BAD).otherwise(GOOD)
-    return kept.select(F.concat(F.transform(F.slice("t", 1, most), lambda x: x["token"]), F.array(label)).alias("items")), counts
+def _least(confidence: float) -> int:
+    """Fewer pages than these prove no such confidence, whatever they say."""
+    return math.ceil(Z * Z * confidence / (1 - confidence))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST) -> DataFrame:
-    """(antecedent, verdict, confidence, support, anchor) of the rules that conclude a label.
+def _items(labelled: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(each, counts): (row, bad, token) of the tokens that ``least`` pages have, and (token, n).
 
-    ``labelled`` has items (array of distinct tokens) and bad (boolean). Of a page
-    only its ``most`` rarest tokens that are frequent enough are mined, which
-    bounds a rule's length and the sets that a page makes. Confidence is the
+    Tokens that always come together, on the same pages, stand as one: the first of
+    them by name. They are proposed by a sum of their rows' hashes, and
+    merged if each page with one of them has all.
+    """
+    each = labelled.select("row", "bad", F.explode("items").alias("token"))
+    mark = F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("mark")
+    counts = common.stored(each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), mark).where(F.col("n") >= least), "url-tokens")
+    proposed = counts.groupBy("n", "mark").agg(F.min("token").alias("first"), F.count(F.lit(1)).alias("size"))
+    named = counts.join(proposed.where("size > 1"), ["n", "mark"]).select("token", "first", "size")
+    whole = each.join(named, "token").groupBy("row", "first").agg(F.count(F.lit(1)).alias("held"), F.first("size").alias("size")).groupBy("first").agg(F.min(F.col("held") == F.col("size")).alias("all"))
+    spare = named.join(whole.where("all"), "first").where("token <> first").select("token")
+    kept = counts.join(spare, "token", "left_anti").select("token", "n")
+    return each, common.stored(kept, "url-items")
+
+
+def _grown(baskets: DataFrame, least: int, longest: int, wide: int) -> DataFrame:
+    """(items, freq) of the sets of at most ``longest`` tokens that ``least`` pages have, with and without a label."""
+    from pyspark.ml.fpm import FPGrowth, PrefixSpan  # only here, as other queries' drivers can do without
+
+    held, most = baskets.agg(F.count(F.lit(1)), F.max(F.size("items"))).first()
+    share = (least - 0.5) / held  # of which both make the next whole number of pages
+    if most <= wide + 1:
+        sets = FPGrowth(itemsCol="items", minSupport=share).fit(baskets).freqItemsets
+    else:
+        span = PrefixSpan(minSupport=share, maxPatternLength=longest + 1, sequenceCol="steps")
+        found = span.findFrequentSequentialPatterns(baskets.select(F.transform("items", lambda x: F.array(x)).alias("steps")))
+        sets = found.select(F.flatten("sequence").alias("items"), "freq")
+    return sets.where(F.size(F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD)))) <= longest)
+
+
+def mine(labelled: DataFrame, confidence: float = CONFIDENCE, longest: int = LONGEST, least: int | None = None, wide: int = WIDE) -> DataFrame:
+    """(antecedent, verdict, confidence, support, anchor) of the rules that conclude a label; support is a number of pages.
+
+    ``labelled`` has items (array of distinct tokens) and bad (boolean). A rule has at
+    most ``longest`` tokens, and ``least`` pages that have them and its label (by
+    default as many as can prove ``confidence``). All frequent tokens of a page are mined. Confidence is the
     lower end of its 95 % interval. A rule is pruned if one of the same verdict
     with fewer tokens, all of them its own, is as confident. The anchor is the
     token that the fewest labelled pages have, the first by name on ties.
     """
-    from pyspark.ml.fpm import FPGrowth  # only here, as other queries' drivers can do without
-
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], RULE)
     labelled = common.stored(labelled.select(F.monotonically_increasing_id().alias("row"), "items", "bad"), "url-labels")
-    n = labelled.count()
-    if not n:
-        return empty
-    # fewer pages than these prove no such confidence, whatever they say: below them there is nothing to mine
-    least = max(support * n, Z * Z * confidence / (1 - confidence))
-    baskets, counts = _baskets(labelled, least, most)
-    baskets = common.stored(baskets, "url-baskets")
-    held = baskets.count()
-    if held < least:
+    least = _least(confidence) if least is None else least
+    each, counts = _items(labelled, least)
+    label = F.when(F.col("bad"), BAD).otherwise(GOOD)
+    kept = each.join(counts, "token").groupBy("row", "bad").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("t"))
+    baskets = common.stored(kept.select(F.concat(F.transform("t", lambda x: x["token"]), F.array(label)).alias("items")), "url-baskets")
+    if baskets.isEmpty():
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=least / held, minConfidence=confidence).fit(baskets)
-    verdict = F.when(F.array_contains("consequent", BAD), "block").when(F.array_contains("consequent", GOOD), "allow")
-    pages = F.round(F.col("support") * held)
-    rules = model.associationRules.select(F.array_sort("antecedent").alias("antecedent"), verdict.alias("verdict"), F.col("confidence").alias("share"), pages.alias("pages")).where("verdict is not null")
-    rules = rules.select("antecedent", "verdict", _proved(F.col("share"), F.round(F.col("pages") / F.col("share"))).alias("confidence"), (F.col("pages") / n).alias("support"))
+    sets = common.stored(_grown(baskets, least, longest, wide).select(F.array_sort(F.array_except("items", F.array(F.lit(BAD), F.lit(GOOD)))).alias("antecedent"), F.array_contains("items", BAD).alias("bad"), F.array_contains("items", GOOD).alias("good"), "freq"), "url-sets")
+    sets = sets.where(F.size("antecedent") > 0)
+    told = sets.where("bad or good").select("antecedent", F.when(F.col("bad"), "block").otherwise("allow").alias("verdict"), F.col("freq").alias("support"))
+    share = F.col("support") / F.col("freq")
+    rules = told.join(sets.where("not bad and not good").select("antecedent", "freq"), "antecedent").select("antecedent", "verdict", _proved(share, F.col("freq").cast("double")).alias("confidence"), "support")
     rules = common.stored(rules.where(F.col("confidence") >= confidence), "url-rules")
     rare = Window.partitionBy("antecedent", "verdict").orderBy("n", "token")
     filed = rules.withColumn("token", F.explode("antecedent")).join(counts, "token").withColumn("k", F.row_number().over(rare)).where("k = 1")
     filed = common.stored(filed.select("antecedent", "verdict", "confidence", "support", F.col("token").alias("anchor")), "url-index")
-    # a rule with fewer tokens is filed under one of them, which the longer rule has
-    each = filed.select(F.col("antecedent").alias("long"), "verdict", F.col("confidence").alias("own"), F.explode("antecedent").alias("anchor"))
-    shorter = (F.size("antecedent") < F.size("long")) & (F.col("confidence") >= F.col("own")) & (F.size(F.array_except("antecedent", "long")) == 0)
-    needless = each.join(filed, ["anchor", "verdict"]).where(shorter).select(F.col("long").alias("antecedent"), "verdict").distinct()
+    # a rule's shorter ones, of which there are fewer than 2 ** longest
+    shorter = filed.select(F.col("antecedent").alias("long"), "verdict", F.col("confidence").alias("own"), F.explode(_parts_of(F.col("antecedent"), longest)).alias("antecedent"))
+    needless = shorter.join(filed.select("antecedent", "verdict", "confidence"), ["antecedent", "verdict"]).where(F.col("confidence") >= F.col("own")).select(F.col("long").alias("antecedent"), "verdict").distinct()
     return common.stored(filed.join(needless, ["antecedent", "verdict"], "left_anti"), "url-index")
 
 
+def _parts_of(tokens: Column, longest: int) -> Column:
+    """All proper parts of an array of at most ``longest`` tokens, in its order."""
+    masks = F.sequence(F.lit(1), F.expr(f"cast(shiftleft(1, least(size(antecedent), {longest})) - 2 as int)"))
+    part = lambda m: F.filter(tokens, lambda x, i: m.bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0)
+    return F.when(F.size(tokens) > 1, F.transform(masks, part)).otherwise(F.expr("cast(array() as array<array<string>>)"))
+
+
 def matched(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(row, best) of the pages (row, items) that a rule fits: the most confident one, then of more tokens, then by name.
 
@@ -144,7 +176,7 @@ def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return ruled.unionByName(told)
 
 
-def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str = "page_id", support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str = "page_id", confidence: float = CONFIDENCE, longest: int = LONGEST) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, mined (the association rule that decided, its tokens spaced; else null).
 
     A fixed rule decides where one fits, the longest first; else the most
@@ -162,7 +194,7 @@ def judge(pages: DataFrame, labels: DataFrame, url_col: str = "url", id_col: str
     rule, verdict = fixed_rule(F.col("host"), F.col("path"))
     base = base.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("fixed"), tokens(F.col("url"), F.col("host"), F.col("path")).alias("items"))
     base = common.stored(base.withColumn("row", F.monotonically_increasing_id()), "url-pages")  # the row numbers are part of the table now
-    rules = mine(labelled_pages(base, labels), support, confidence, most)
+    rules = mine(labelled_pages(base, labels), confidence, longest)
     hits = matched(base.where("rule is null").select("row", "items"), rules)
     out = base.join(hits, "row", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("fixed", "best.verdict", F.lit("allow")).alias("verdict"), F.col("best.rule").alias("mined"))

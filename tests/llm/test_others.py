@@ -118,18 +118,23 @@ def test_mined_rules_block_what_the_labels_say(spark):
     assert urls.judge(pages, noise).where("verdict = 'block'").count() == 0
 
 
-def mined_by_hand(data, support, confidence, most):
+def mined_by_hand(data, least, confidence, longest):
     """Of (items, bad): the kept rules as {(antecedent, verdict): confidence}, by counting every set of tokens."""
     from itertools import combinations
 
-    n = len(data)
-    least = max(support * n, urls.Z**2 * confidence / (1 - confidence))
-    pages = Counter(t for items, _ in data for t in items)
-    baskets = [(sorted((t for t in items if pages[t] >= least), key=lambda t: (pages[t], t))[:most], bad) for items, bad in data]
+    on = defaultdict(set)
+    for i, (items, _) in enumerate(data):
+        for t in items:
+            on[t].add(i)
+    first = {}
+    for t in sorted(on):
+        first.setdefault(frozenset(on[t]), t)
+    mined = {t for t in first.values() if len(on[t]) >= least}  # of tokens that always come together, the first
     have, bads = Counter(), Counter()
-    for items, bad in baskets:
-        for k in range(1, len(items) + 1):
-            for c in combinations(sorted(items), k):
+    for items, bad in data:
+        held = sorted(mined & set(items))
+        for k in range(1, min(longest, len(held)) + 1):
+            for c in combinations(held, k):
                 have[c] += 1
                 bads[c] += bad
     rules = {}
@@ -137,13 +142,13 @@ def mined_by_hand(data, support, confidence, most):
         for verdict, k in (("block", bads[c]), ("allow", m - bads[c])):
             p, z2 = k / m, urls.Z**2
             low = (p + z2 / (2 * m) - urls.Z * math.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
-            if k >= least - 1e-9 and low >= confidence:
+            if k >= least and low >= confidence:
                 rules[c, verdict] = low
-    return {(c, v): x for (c, v), x in rules.items() if not any(w == v and set(d) < set(c) and y >= x - 1e-12 for (d, w), y in rules.items())}
+    return {(c, v): x for (c, v), x in rules.items() if not any((d, v) in rules and rules[d, v] >= x - 1e-12 for k in range(1, len(c)) for d in combinations(c, k))}
 
 
-@pytest.mark.parametrize("support,most", [(0.002, 12), (0.05, 12), (0.002, 3)])
-def test_mined_rules_against_brute_force(spark, support, most):
+@pytest.mark.parametrize("least,longest,wide", [(None, 4, 12), (75, 4, 12), (None, 2, 12), (None, 3, 2)])
+def test_mined_rules_against_brute_force(spark, least, longest, wide):
     rnd = random.Random(8)
     names = [f"h:{c}" for c in "abc"] + [f"p:{c}" for c in "xyz"] + ["q:id", "q:ref"]
     data = []
@@ -151,18 +156,32 @@ def test_mined_rules_against_brute_force(spark, support, most):
         items = sorted({rnd.choice(names[:3]), rnd.choice(names[3:6]), *rnd.sample(names, 2)})
         low = {"h:a", "p:x"} <= set(items) or "q:ref" in items and "h:b" in items
         data.append((items, rnd.random() < (0.95 if low else 0.1)))
-    # a pair that decides, in company that only repeats it
-    data += [([*"mn", f"o{i % 2}"], True) for i in range(80)] + [(["m"], False), (["n"], False)] * 40
+    # a pair that decides, in company that only repeats it, and two tokens that always come together
+    data += [([*"mn", f"o{i % 2}", "u", "v"], True) for i in range(80)] + [(["m"], False), (["n"], False)] * 40
     df = spark.createDataFrame(data, "items array<string>, bad boolean").repartition(3)
-    got = {(tuple(r.antecedent), r.verdict): r for r in urls.mine(df, support, most=most).collect()}
-    want = mined_by_hand(data, support, urls.CONFIDENCE, most)
-    assert set(got) == set(want) and all(abs(got[k].confidence - want[k]) < 1e-9 for k in want)
-    if support < 0.01:
-        assert (("m", "n"), "block") in got and not any({"m", "n"} < set(a) for a, _ in got)
+    got = {(tuple(r.antecedent), r.verdict): r for r in urls.mine(df, least=least, longest=longest, wide=wide).collect()}
+    want = mined_by_hand(data, least or urls._least(urls.CONFIDENCE), urls.CONFIDENCE, longest)
+    assert set(got) == set(want) and all(abs(got[k].confidence - want[k]) < 1e-9 for k in want) and got
+    assert not any("v" in a for a, _ in got)
     pages = Counter(t for items, _ in data for t in items)
     assert all(r.anchor == min(r.antecedent, key=lambda t: (pages[t], t)) for r in got.values())
 
 
+def test_rules_over_pages_of_many_frequent_tokens(spark):
+    """Thirty tokens, each on half of the pages: a rule may be of any of them, the most common ones too."""
+    rnd = random.Random(18)
+    names = [f"q:{i:02d}" for i in range(30)]
+    data = []
+    for _ in range(700):
+        items = sorted({n for i, n in enumerate(names) if rnd.random() < (0.9 if i < 5 else 0.45)})
+        data.append((items, ({"q:00", "q:01", "q:20"} <= set(items)) != (rnd.random() < 0.02)))
+    df = spark.createDataFrame(data, "items array<string>, bad boolean").repartition(3)
+    got = {(tuple(r.antecedent), r.verdict): r.confidence for r in urls.mine(df, least=60, longest=3).collect()}
+    want = mined_by_hand(data, 60, urls.CONFIDENCE, 3)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert (("q:00", "q:01", "q:20"), "block") in got
+
+
 def test_no_labels_mine_nothing(spark):
     none = spark.createDataFrame([], "items array<string>, bad boolean")
     assert urls.mine(none).count() == 0
@@ -194,7 +213,7 @@ def test_mined_verdicts_of_the_query(spark):
         named = [f"h:{t}" for t in host.split(".")] + [f"p:{t}" for t in path.split("/")] + [f"q:{t.split('=')[0]}" for t in (query[1].split("&") if query else [])]
         data[r.page_id] = sorted({re.sub("[0-9]+", "0", t) for t in named if len(re.sub("[0-9]+", "0", t)) > 2}), rule_by_hand(host, path)[1]
     known = [(items, verdict == "block") for items, verdict in data.values() if verdict] + [(items, bad[i]) for i, (items, verdict) in data.items() if not verdict and i in bad]
-    rules = mined_by_hand(known, urls.SUPPORT, urls.CONFIDENCE, urls.MOST)
+    rules = mined_by_hand(known, urls._least(urls.CONFIDENCE), urls.CONFIDENCE, urls.LONGEST)
     assert rules
     for r in rows:
         items, verdict = data[r.page_id]
