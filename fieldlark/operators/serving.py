@@ -84,15 +84,15 @@ def ramp(value, stops=GREEN_RED) -> dict[str, Column]:
     return {c: (at(k, i) * (1.0 - f) + at(k, i + 1) * f).cast("int") for k, c in enumerate(("r", "g", "b"))}
 
 
-def field_grid(spark, ring: list[tuple[float, float]], centre: tuple[float, float], rows: int, cols: int, radius: float = 0.105, inset: float = 0.012, gap: float = 0.06) -> DataFrame:
-    """(r, c, cx, cy): cells of a grid over the ring's box, without those far from the centre."""
-    xs, ys = [p[0] for p in ring], [p[1] for p in ring]
-    x0, x1, y0, y1 = min(xs) + inset, max(xs) - inset, min(ys) + inset, max(ys) - inset
-    dx, dy = (x1 - x0) / cols, (y1 - y0) / rows
-    g = spark.range(rows * cols).select(F.floor(F.col("id") / cols).cast("int").alias("r"), (F.col("id") % cols).cast("int").alias("c"))
-    mid = lambda o, i, d: ((o + F.col(i) * d + d * gap) + (o + (F.col(i) + 1) * d - d * gap)) / 2.0
-    g = g.withColumns({"cx": mid(x0, "c", dx), "cy": mid(y0, "r", dy)})
-    return g.where(F.hypot(F.col("cx") - centre[0], (F.col("cy") - centre[1]) * 1.05) <= radius)
+def field_grid(areas: DataFrame, rows: int, cols: int, radius: float = 0.105, inset: float = 0.012, gap: float = 0.06) -> DataFrame:
+    """Adds (r, c, cx, cy) to areas (min_lng, max_lng, min_lat, max_lat, lng, lat): cells of a grid over each box, without those far from its centre."""
+    g = areas.select("*", F.explode(F.sequence(F.lit(0), F.lit(rows * cols - 1))).alias("__i"))
+    g = g.withColumns({"r": F.floor(F.col("__i") / cols).cast("int"), "c": (F.col("__i") % cols).cast("int"), "__x0": F.col("min_lng") + inset, "__y0": F.col("min_lat") + inset})
+    g = g.withColumns({"__dx": ((F.col("max_lng") - inset) - F.col("__x0")) / cols, "__dy": ((F.col("max_lat") - inset) - F.col("__y0")) / rows})
+    mid = lambda o, i, d: ((F.col(o) + F.col(i) * F.col(d) + F.col(d) * gap) + (F.col(o) + (F.col(i) + 1) * F.col(d) - F.col(d) * gap)) / 2.0
+    g = g.withColumns({"cx": mid("__x0", "c", "__dx"), "cy": mid("__y0", "r", "__dy")})
+    far = F.hypot(F.col("cx") - F.col("lng"), (F.col("cy") - F.col("lat")) * 1.05)
+    return g.where(far <= radius).drop("__i", "__x0", "__y0", "__dx", "__dy")
 
 
 def iso_day(value) -> Column:

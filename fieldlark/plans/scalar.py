@@ -186,14 +186,16 @@ def stage_gdd(spark, d):
     return df.select("o_orderkey", "gdd", crop.degree_day_stage("gdd", "c").alias("stage"))
 
 
-@query(f"""WITH {_BOUNDS}, s AS (SELECT crop, generate_subscripts(list_concat([0.0], b), 1) AS i, b FROM gd) SELECT crop, {A.sql_list(crop.STAGES)}[i] AS stage, (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END)::DOUBLE AS lo, (CASE WHEN i = 5 THEN 'inf'::DOUBLE ELSE b[i] END)::DOUBLE AS hi FROM s""")
+@query(f"""WITH {A.FIELDS}, {_BOUNDS}, s AS (SELECT crop, generate_subscripts(list_concat([0.0], b), 1) AS i, b FROM gd) SELECT field_id, crop, {A.sql_list(crop.STAGES)}[i] AS stage, (CASE WHEN i = 1 THEN 0 ELSE b[i - 1] END)::DOUBLE AS lo, (CASE WHEN i = 5 THEN 'inf'::DOUBLE ELSE b[i] END)::DOUBLE AS hi FROM fld JOIN s USING (crop)""")
 def stage_intervals(spark, d):
-    return crop.stage_intervals(spark)
+    """The stages of each field's crop in degree days."""
+    return A.fields(spark, d).select("field_id", "crop").join(F.broadcast(crop.stage_intervals(spark)), "crop").select("field_id", "crop", "stage", "lo", "hi")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}::DOUBLE, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE, {v[5]}::DOUBLE, {str(v[6]).upper()})" for k, v in crop.CROPS.items()) + ") t(crop, stage_lengths, kc_ini, kc_mid, kc_end, zr_m, depletion_p, ponded)")
+@query(f"WITH {A.FIELDS} SELECT field_id, t.* FROM fld JOIN (VALUES " + ", ".join(f"('{k}', {v[0]}, {v[1]}::DOUBLE, {v[2]}::DOUBLE, {v[3]}::DOUBLE, {v[4]}::DOUBLE, {v[5]}::DOUBLE, {str(v[6]).upper()})" for k, v in crop.CROPS.items()) + ") t(crop, stage_lengths, kc_ini, kc_mid, kc_end, zr_m, depletion_p, ponded) ON fld.crop = t.crop")
 def crop_table(spark, d):
-    return crop.crops(spark)
+    """The coefficients of each field's crop."""
+    return crop.with_crop(A.fields(spark, d).select("field_id", "crop"))
 
 
 _TAW = "(1000 * (theta_fc - theta_wp) * zr)"

@@ -620,14 +620,16 @@ def phenometrics(spark, d):
     return smoothing.phenometric_series(_series(spark, d), "cell", "t", "vi")
 
 
-@query("""SELECT 's2' AS sensor, DATE '2024-01-01' + (t * 12)::INT AS date, y::INT AS y, x::INT AS x, band, round(least(greatest(0.25::DOUBLE + 0.45::DOUBLE * sin(pi() * t / 5) + 0.2::DOUBLE * ((('0x' || substr(sha256('0/s2/' || t || '/' || y || '/' || x || '/' || band), 1, 12))::BIGINT % 10000) / 10000::DOUBLE), 0), 1), 5) AS value
-    FROM range(6) a(t), range(16) b(y), range(16) c(x), (VALUES ('red'), ('nir')) v(band)""")
+@query(f"""WITH {A.REGISTRY} SELECT id AS sensor, DATE '2024-01-01' + (t * 12)::INT AS date, y::INT AS y, x::INT AS x, band, round(least(greatest(0.25::DOUBLE + 0.45::DOUBLE * sin(pi() * t / 5) + 0.2::DOUBLE * ((('0x' || substr(sha256('0/' || id || '/' || t || '/' || y || '/' || x || '/' || band), 1, 12))::BIGINT % 10000) / 10000::DOUBLE), 0), 1), 5) AS value
+    FROM reg, range(6) a(t), range(16) b(y), range(16) c(x), (VALUES ('red'), ('nir')) v(band) WHERE sensor_type = 'optical'""")
 def synthetic_stack(spark, d):
-    out = tables.synthetic(spark, "s2", "optical_sr", START, date(2024, 3, 1), 6, 16, ("red", "nir"))
+    """A stack for each optical sensor of the registry."""
+    sensors = A.registry(spark, d).where("sensor_type = 'optical'").select(F.col("id").alias("sensor"))
+    out = tables.synthetic(spark, sensors, "optical_sr", START, date(2024, 3, 1), 6, 16, ("red", "nir"))
     return out.select("sensor", "date", "y", "x", "band", R(F.col("value").cast("double"), "value", 5))
 
 
-_CUBE = """WITH h AS (SELECT t, y, x, DATE '2024-01-01' + (t * 30)::INT AS date, dayofyear(DATE '2024-01-01' + (t * 30)::INT)::DOUBLE AS doy, ((y // 5 * 3 + x // 4) % 5)::INT AS field_id FROM range(12) a(t), range(20) b(y), range(16) c(x)),
+_CUBE = "WITH " + A.GRID + """, h AS (SELECT t, y, x, DATE '2024-01-01' + (t * 30)::INT AS date, dayofyear(DATE '2024-01-01' + (t * 30)::INT)::DOUBLE AS doy, ((y // 10 * 3 + x // 12) % 5)::INT AS field_id FROM range(12) a(t), grd),
     r AS (SELECT *, HASH(ndvi) AS u1, HASH(cloud) AS u2, HASH(sm) AS u3, HASH(lst) AS u4 FROM h),
     g AS (SELECT *, greatest(0, least(0.95::DOUBLE, 0.18::DOUBLE + 0.02::DOUBLE * field_id + (0.45::DOUBLE + 0.08::DOUBLE * (field_id - 2)) * exp(-0.5 * ((doy - (150 + 25 * (field_id - 2))) / 45) ** 2) + (u1 - 0.5) * (0.015::DOUBLE * sqrt(12)))) AS g FROM r),
     l AS (SELECT *, lag(g) OVER w AS b, lead(g) OVER w AS a FROM g WINDOW w AS (PARTITION BY y, x ORDER BY t)),
@@ -643,7 +645,8 @@ for _n in ("ndvi", "cloud", "sm", "lst"):
 
 @query(_CUBE)
 def demo_cube(spark, d):
-    out = tables.demo_cube(spark, START, date(2024, 11, 26), 12, 20, 16)
+    """A cube over the pixels of the grid."""
+    out = tables.demo_cube(spark, START, date(2024, 11, 26), 12, 40, 50, pixels=A.grid(spark, d).select("y", "x"))
     return out.select("date", "y", "x", "field_id", *[R(c) for c in out.columns if c not in ("date", "y", "x", "field_id", "phenophase", "qa")], "phenophase", "qa")
 
 
@@ -651,29 +654,32 @@ _ROLL = lambda *p: "((('0x' || substr(sha256('11/' || id || " + " || ".join(f"'/
 _SIG = lambda z: f"(1 / (1 + exp(-({z}))))"
 
 
-@query("WITH r AS (SELECT i::BIGINT AS id, (i % 4)::INT AS k FROM range(480) t(i)), a AS (SELECT id, " + ", ".join(f"[{', '.join(f'{tables.ARCHETYPES[n][i]}::DOUBLE' for n in sorted(tables.ARCHETYPES))}][k + 1] AS a{i}" for i in range(6)) + f", 'crop' || k AS label, ({_ROLL('s')} - 0.5) * 0.06::DOUBLE AS shift FROM r) SELECT id, label, round({_ROLL('x')} * 100, 6) AS px, round({_ROLL('y')} * 100, 6) AS py, "
+@query("WITH r AS (SELECT c_custkey AS id, (c_custkey % 4)::INT AS k FROM customer), a AS (SELECT id, " + ", ".join(f"[{', '.join(f'{tables.ARCHETYPES[n][i]}::DOUBLE' for n in sorted(tables.ARCHETYPES))}][k + 1] AS a{i}" for i in range(6)) + f", 'crop' || k AS label, ({_ROLL('s')} - 0.5) * 0.06::DOUBLE AS shift FROM r) SELECT id, label, round({_ROLL('x')} * 100, 6) AS px, round({_ROLL('y')} * 100, 6) AS py, "
     + ", ".join("round(a0 + a1 * (" + _SIG(f"a3 * ({t} / 11::DOUBLE - a2 - shift)") + " - " + _SIG(f"a5 * ({t} / 11::DOUBLE - a4 - shift)") + f") + ({_ROLL('n', t)} + {_ROLL('m', t)} - 1) * 0.04::DOUBLE * 2, 6) AS t{t:02d}" for t in range(12)) + " FROM a")
 def synthetic_crops(spark, d):
-    out = tables.synthetic_crops(spark)
+    out = tables.synthetic_crops(A.read(spark, d, "customer").select(F.col("c_custkey").alias("id")))
     return out.select("id", "label", *[R(c) for c in out.columns if c not in ("id", "label")])
 
 
-def _trained(spark, kind: str, **kw):
-    df = tables.synthetic_crops(spark)
-    split = stats.block_split(df, "px", "py", 4, 0.3)
-    names = [c for c in df.columns if c.startswith("t")]
-    model = classify.fit(split.where("not is_test"), names, "label", kind, **kw)
+def _trained(spark, d, kind: str, **kw):
+    """Overall accuracy of a model of the embeddings' labels, on blocks of ground it hasn't seen."""
+    from pyspark.ml.functions import array_to_vector
+
+    e = A.read(spark, d, "embeddings").where("embedding is not null and label is not null")
+    e = e.select("vec_id", F.col("label").cast("string").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), (F.col("vec_id") * 37 % 100).cast("double").alias("px"), (F.col("vec_id") * 91 % 97).cast("double").alias("py"))
+    split = stats.block_split(e, "px", "py", 4, 0.3)
+    model = classify.fit(split.where("not is_test"), ["v"], "label", kind, **kw)
     return accuracy.overall(accuracy.confusion(model.transform(split.where("is_test")), "label", "predicted"))
 
 
 @query()
 def rf_classifier(spark, d):
-    return _trained(spark, "rf")
+    return _trained(spark, d, "rf")
 
 
 @query()
 def lr_head(spark, d):
-    return _trained(spark, "logistic")
+    return _trained(spark, d, "logistic")
 
 
 def _streamed(spark, d, name: str, build, mode: str):
@@ -762,23 +768,29 @@ def colour_ramp(spark, d):
     return p.select("l_orderkey", "l_linenumber", *[c.alias(n) for n, c in serving.ramp(F.col("nir") * 1.3).items()])
 
 
-@query("SELECT DATE '2025-11-01' + (i * 8)::INT AS date FROM range(5) t(i)")
+@query(f"WITH {A.FIELDS} SELECT field_id, (CASE WHEN field_id % 2 = 0 THEN DATE '2025-06-01' ELSE DATE '2025-11-01' END + (i * 8)::INT)::DATE AS date FROM fld, range(5) t(i)")
 def season_axis(spark, d):
-    return spark.createDataFrame([(x,) for x in serving.season_dates("rabi", 5)], "date date")
+    """The dates of each field's season."""
+    first, second = (F.array(*map(F.lit, serving.season_dates(s, 5))) for s in ("kharif", "rabi"))
+    return A.fields(spark, d).select("field_id", F.explode(F.when(F.col("field_id") % 2 == 0, first).otherwise(second)).alias("date"))
 
 
-@query("SELECT DATE '2024-01-01' + round_even(45 / 6::DOUBLE * i, 0)::INT AS date FROM range(7) t(i)")
+@query("WITH a AS (SELECT o_custkey, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS b FROM orders GROUP BY 1) SELECT o_custkey, (a + round_even((b - a) / 6::DOUBLE * i, 0)::INT)::DATE AS date FROM a, range(7) t(i)")
 def even_time_axis(spark, d):
-    return spark.createDataFrame([(x,) for x in tables.time_axis(START, date(2024, 2, 15), 7)], "date date")
-
-
-_BOX = [(74.50, 18.90), (74.80, 18.95), (74.78, 19.20), (74.48, 19.15)]
+    """Seven dates over each customer's orders."""
+    a = A.read(spark, d, "orders").groupBy("o_custkey").agg(F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("b"))
+    return a.select("o_custkey", F.explode(tables.axis_of(F.col("a"), F.col("b"), 7)).alias("date"))
 
 
-@query("""WITH p AS (SELECT 74.48::DOUBLE + 0.012::DOUBLE AS x0, 74.80::DOUBLE - 0.012::DOUBLE AS x1, 18.90::DOUBLE + 0.012::DOUBLE AS y0, 19.20::DOUBLE - 0.012::DOUBLE AS y1), g AS (SELECT r, c, (x1 - x0) / 12 AS dx, (y1 - y0) / 9 AS dy, x0, y0 FROM range(9) a(r), range(12) b(c), p),
-    m AS (SELECT r::INT AS r, c::INT AS c, ((x0 + c * dx + dx * 0.06::DOUBLE) + (x0 + (c + 1) * dx - dx * 0.06::DOUBLE)) / 2 AS cx, ((y0 + r * dy + dy * 0.06::DOUBLE) + (y0 + (r + 1) * dy - dy * 0.06::DOUBLE)) / 2 AS cy FROM g) SELECT r, c, round(cx, 6) AS cx, round(cy, 6) AS cy FROM m WHERE sqrt((cx - 74.64::DOUBLE) ** 2 + ((cy - 19.05::DOUBLE) * 1.05::DOUBLE) ** 2) <= 0.105::DOUBLE""")
+@query("""WITH k AS (SELECT s_suppkey AS k, 74.48::DOUBLE + s_suppkey % 20 AS w, 74.80::DOUBLE + s_suppkey % 20 AS e, 18.90::DOUBLE + s_suppkey % 7 AS s, 19.20::DOUBLE + s_suppkey % 7 AS n, 74.64::DOUBLE + s_suppkey % 20 AS lng, 19.05::DOUBLE + s_suppkey % 7 AS lat FROM supplier),
+    p AS (SELECT *, w + 0.012::DOUBLE AS x0, e - 0.012::DOUBLE AS x1, s + 0.012::DOUBLE AS y0, n - 0.012::DOUBLE AS y1 FROM k), g AS (SELECT *, (x1 - x0) / 12 AS dx, (y1 - y0) / 9 AS dy FROM p, range(9) a(r), range(12) b(c)),
+    m AS (SELECT k, lng, lat, r::INT AS r, c::INT AS c, ((x0 + c * dx + dx * 0.06::DOUBLE) + (x0 + (c + 1) * dx - dx * 0.06::DOUBLE)) / 2 AS cx, ((y0 + r * dy + dy * 0.06::DOUBLE) + (y0 + (r + 1) * dy - dy * 0.06::DOUBLE)) / 2 AS cy FROM g) SELECT k AS s_suppkey, r, c, round(cx, 6) AS cx, round(cy, 6) AS cy FROM m WHERE sqrt((cx - lng) ** 2 + ((cy - lat) * 1.05::DOUBLE) ** 2) <= 0.105::DOUBLE""")
 def field_grid(spark, d):
-    return serving.field_grid(spark, _BOX, (74.64, 19.05), 9, 12).select("r", "c", R("cx"), R("cy"))
+    """A grid of fields over an area for each supplier."""
+    k = F.col("s_suppkey")
+    at = lambda v, m: (v + (k % m))
+    areas = A.read(spark, d, "supplier").select(k, at(F.lit(74.48), 20).alias("min_lng"), at(F.lit(74.80), 20).alias("max_lng"), at(F.lit(18.90), 7).alias("min_lat"), at(F.lit(19.20), 7).alias("max_lat"), at(F.lit(74.64), 20).alias("lng"), at(F.lit(19.05), 7).alias("lat"))
+    return serving.field_grid(areas, 9, 12).select("s_suppkey", "r", "c", R("cx"), R("cy"))
 
 
 @query()
@@ -790,7 +802,7 @@ def harmonic_trend(spark, d):
 
 @query()
 def gbm_classifier(spark, d):
-    return _trained(spark, "gbm", trees=5, depth=3)
+    return _trained(spark, d, "gbm", trees=5, depth=3)
 
 
 @query()

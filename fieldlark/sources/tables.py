@@ -72,6 +72,13 @@ def time_axis(start: date, end: date, n: int) -> list[date]:
     return [date.fromordinal(start.toordinal() + round(gap * i)) for i in range(n)]
 
 
+def axis_of(start, end, n: int) -> Column:
+    """``time_axis`` of two date columns: an array of n dates from the first."""
+    a, b = F.least(start, end), F.greatest(start, end)
+    gap = F.datediff(b, a).cast("double") / max(n - 1, 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.date_add(a, F.bround(gap * i).cast("int")))
+
+
 def validate_family(family: str, kind: str) -> None:
     if family not in FAMILIES:
         raise ValueError(f"unknown family {family!r}")
@@ -84,31 +91,37 @@ def chance(seed, *parts) -> Column:
     return unit_hash(F.concat_ws("/", F.lit(str(seed)), *[(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]))
 
 
-def synthetic(spark: SparkSession, sensor: str, family: str, start: date, end: date, n: int = 6, size: int = 32, bands=("b1",), seed: int = 0) -> DataFrame:
-    """Deterministic observations (sensor, date, y, x, band, value): a season's swell and hash noise within the family's range."""
+def synthetic(spark: SparkSession, sensor: str | DataFrame, family: str, start: date, end: date, n: int = 6, size: int = 32, bands=("b1",), seed: int = 0) -> DataFrame:
+    """Deterministic observations (sensor, date, y, x, band, value): a season's swell and hash noise within the family's range.
+
+    Of one sensor, or of each in a table's column ``sensor``.
+    """
     lo, hi = RANGES[family]
     if family == "dem":
         n = 1
     dates = time_axis(start, end, n)
-    rows = spark.range(n * size * size).select(F.floor(F.col("id") / (size * size)).cast("int").alias("t"), (F.floor(F.col("id") / size) % size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
+    sensors = sensor.select("sensor") if isinstance(sensor, DataFrame) else spark.range(1).select(F.lit(sensor).alias("sensor"))
+    rows = sensors.select("sensor", F.explode(F.sequence(F.lit(0), F.lit(n * size * size - 1))).alias("id"))
+    rows = rows.select("sensor", F.floor(F.col("id") / (size * size)).cast("int").alias("t"), (F.floor(F.col("id") / size) % size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, bands))).alias("band"))
     swell = F.sin(math.pi * F.col("t") / max(1, n - 1))
-    value = lo + (hi - lo) * (0.25 + 0.45 * swell + 0.2 * chance(seed, sensor, F.col("t"), F.col("y"), F.col("x"), F.col("band")))
+    value = lo + (hi - lo) * (0.25 + 0.45 * swell + 0.2 * chance(seed, F.col("sensor"), F.col("t"), F.col("y"), F.col("x"), F.col("band")))
     day = F.element_at(F.array(*map(F.lit, dates)), F.col("t") + 1)
-    return rows.select(F.lit(sensor).alias("sensor"), day.alias("date"), "y", "x", "band", F.least(F.greatest(value, F.lit(lo)), F.lit(hi)).cast("float").alias("value"))
+    return rows.select("sensor", day.alias("date"), "y", "x", "band", F.least(F.greatest(value, F.lit(lo)), F.lit(hi)).cast("float").alias("value"))
 
 
-def demo_cube(spark: SparkSession, start: date, end: date, n: int = 12, height: int = 64, width: int = 64, seed: int = 0, cloud: float = 0.25) -> DataFrame:
+def demo_cube(spark: SparkSession, start: date, end: date, n: int = 12, height: int = 64, width: int = 64, seed: int = 0, cloud: float = 0.25, pixels: DataFrame | None = None) -> DataFrame:
     """A made cube (date, y, x, field_id, bands, indices, soil_moisture, lst_et, phenophase, qa, sigma).
 
     Greenness is a Gaussian in time, with its own peak and height for each of
     five kinds of field block. Clouds (qa 0, more of them in the rains) leave ndvi
     NULL and nothing else. The noise is of hashes, so the cube is the same on any
-    cluster.
+    cluster. ``pixels`` (y, x) says which pixels of the grid there are; all by default.
     """
     dates = time_axis(start, end, n)
-    ids = spark.range(n * height * width)
-    rows = ids.select(F.floor(F.col("id") / (height * width)).cast("int").alias("t"), (F.floor(F.col("id") / width) % height).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    if pixels is None:
+        pixels = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x"))
+    rows = pixels.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"), "y", "x")
     rows = rows.withColumn("date", F.element_at(F.array(*map(F.lit, dates)), F.col("t") + 1)).withColumns({"doy": F.dayofyear("date").cast("double"), "field_id": pixel_block("y", "x", height, width)})
     c = F.col
     noise = lambda name, sd: (chance(seed, name, c("t"), c("y"), c("x")) - 0.5) * (sd * math.sqrt(12.0))
@@ -166,9 +179,9 @@ def load_family(spark: SparkSession, family: str, sensor: dict, start: date, end
 ARCHETYPES = {"crop0": (0.15, 0.65, 0.20, 25.0, 0.75, 22.0), "crop1": (0.18, 0.50, 0.35, 30.0, 0.90, 30.0), "crop2": (0.22, 0.60, 0.10, 18.0, 0.55, 20.0), "crop3": (0.12, 0.35, 0.45, 22.0, 0.80, 18.0)}
 
 
-def synthetic_crops(spark: SparkSession, per_class: int = 120, steps: int = 12, noise: float = 0.04, seed: int = 11) -> DataFrame:
-    """(id, label, px, py, t00..): seeded NDVI curves of the archetypes with hash noise."""
-    rows = spark.range(per_class * len(ARCHETYPES)).withColumn("k", (F.col("id") % len(ARCHETYPES)).cast("int"))
+def synthetic_crops(ids: DataFrame, steps: int = 12, noise: float = 0.04, seed: int = 11) -> DataFrame:
+    """(id, label, px, py, t00..): seeded NDVI curves of the archetypes with hash noise, one for each ``id``."""
+    rows = ids.select("id").withColumn("k", (F.col("id") % len(ARCHETYPES)).cast("int"))
     names = sorted(ARCHETYPES)
     pick = lambda i: F.element_at(F.array(*[F.lit(ARCHETYPES[n][i]) for n in names]), F.col("k") + 1)
     unit = lambda *p: chance(seed, F.col("id"), *p)
