@@ -10,8 +10,12 @@ characters that ordinary text has most to those it has least. Three tests ask ho
 likely ordinary text of that encoding would look as random as the token does:
 chi-squared uniformity over the alphabet (by how often two characters are the
 same), the number of runs within the two halves of the alphabet, and lag-1 serial
-correlation of the places in it. That a token is all hex digits is evidence of its
-own. Stouffer's rule combines them into one p-value; few characters say little, so
+correlation of the places in it. What is usual in ordinary text is measured on the corpus' own
+tokens, per encoding and class of length: on those that surely aren't random, as the tests below reject
+that, and together with a stated prior, as a corpus may have few of them. That a token is all hex digits is evidence of its
+own, and so is the mixture of small and capital letters, digits and signs where an alphabet has several of
+these: the likelihood of the moves between them in a random token over that in ordinary tokens.
+Stouffer's rule combines all into one p-value; few characters say little, so
 short tokens weigh little (20 digits or letters of one case hardly tell). Over all tokens of the corpus the Benjamini-Hochberg
 rule, applied per encoding and class of length, keeps the share of false finds
 below a set rate.
@@ -36,8 +40,8 @@ KINDS = [
 ]
 TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 DIGITS, LETTERS = "0123456789", "etaoinsrhldcumfpgwybvkxjqz"
-#: Encodings, the first that fits: name, characters, alphabet (common characters first) and its size; of ordinary
-#: tokens the chance that two characters are the same, that neighbours are of different halves of the alphabet, and
+#: Encodings, the first that fits: name, characters, alphabet (common characters first) and its size; the prior for ordinary
+#: tokens: the chance that two characters are the same, that neighbours are of different halves of the alphabet, and
 #: the serial correlation.
 ENCODINGS = [
     ("decimal", "^[0-9]+$", DIGITS, 10, 0.17, 0.35, 0.2),
@@ -51,6 +55,17 @@ ENCODINGS = [
 ]
 #: Chance that a character of an ordinary token is a hex digit, and that one of a number is a letter.
 HEX_IN_WORD, LETTER_IN_NUMBER = 0.5, 0.05
+#: Kinds of characters: small letters, capitals, digits, signs. Shares of them in the alphabets that mix them (a body is in small letters but for base64).
+KIND_PATTERNS = ("[a-z]", "[A-Z]", "[0-9]")
+MIXED = {"base64": (26 / 64, 26 / 64, 10 / 64, 2 / 64), "lower36": (26 / 36, 0.0, 10 / 36, 0.0), "upper36": (26 / 36, 0.0, 10 / 36, 0.0), "base32": (26 / 32, 0.0, 6 / 32, 0.0)}
+#: The prior for moves from a kind (row) to a kind in ordinary tokens.
+MOVES = ((0.78, 0.08, 0.05, 0.09), (0.75, 0.17, 0.04, 0.04), (0.08, 0.04, 0.70, 0.18), (0.55, 0.20, 0.20, 0.05))
+#: Tokens, and moves from each kind, that the priors count for.
+PRIOR, PRIOR_MOVES = 100.0, 500.0
+#: What a token's z by the priors has to be over to count as an ordinary one.
+LOOKS = -3.0
+#: Quantiles that the lower tail of ordinary tokens is fitted by, and the normal distribution's there.
+TAIL, TAIL_Z = (0.05, 0.01), (-1.6448536269514722, -2.3263478740408408)
 #: Correlation that is allowed for between two tests of a token.
 TOGETHER = 0.2
 #: Standard deviations beyond which a test rejects randomness, and as too even; rate of false finds; bins per power of ten.
@@ -98,47 +113,120 @@ def _encoding(token: Column) -> Column:
     return out
 
 
-def battery(tokens: DataFrame) -> DataFrame:
-    """Adds to tokens (column token) their stratum (encoding, length class), whether a test rejects randomness, and log10 of p."""
+def _pairs(c, f) -> Column:
+    return F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), f)
+
+
+def measured(tokens: DataFrame) -> DataFrame:
+    """Adds to tokens (column token) what the tests ask for, their stratum (encoding, length class), and whether a test rejects randomness."""
     t = tokens.withColumn("body", F.regexp_replace("token", "=+$", "")).withColumn("enc", _encoding(F.col("body"))).where("enc is not null")
     t = t.select("*", "enc.*").withColumn("body", F.when(F.col("encoding") == "base64", F.col("body")).otherwise(F.lower("body")))
     t = t.withColumns({"n": F.length("body").cast("double"), "v": F.transform(F.split("body", ""), lambda c: F.instr(F.col("letters"), c) - 1)})
     squares = F.aggregate(F.array_distinct("v"), F.lit(0.0), lambda s, x: s + F.pow(F.size(F.filter("v", lambda y: y == x)).cast("double"), F.lit(2.0)))
     t = t.withColumns({"squares": squares, "mean": F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.col("n"), "up": F.transform("v", lambda x: (x.cast("double") * 2 >= F.col("a")).cast("int"))})
-    pairs = lambda c, f: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), f)
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    # one sign for each kind of character, then the numbers of the moves
+    kinds = F.split(F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace("body", KIND_PATTERNS[2], "2"), KIND_PATTERNS[0], "0"), KIND_PATTERNS[1], "1"), "+/_-", "3333"), "")
+    moves = F.when(F.col("encoding").isin(*MIXED), _pairs(F.transform(kinds, lambda c: c.cast("int")), lambda x, y: x * 4 + y))
     t = t.withColumns(
         {
             "ones": total("up"),
-            "changes": total(pairs("up", lambda x, y: (x != y).cast("double"))),
-            "covered": total(pairs("v", lambda x, y: (x - F.col("mean")) * (y - F.col("mean")))),
+            "changes": total(_pairs("up", lambda x, y: (x != y).cast("double"))),
+            "covered": total(_pairs("v", lambda x, y: (x - F.col("mean")) * (y - F.col("mean")))),
             "spread": F.aggregate("v", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))),
             "letters": F.size(F.filter("v", lambda x: x >= 10)).cast("double"),
+            "moves": moves,
         }
     )
-    a, n, same, change = F.col("a"), F.col("n"), F.col("same"), F.col("change")
-    r = F.when(F.col("spread") > 0, F.col("covered") / F.col("spread"))
-    # against ordinary text: how far below its figures the token's lie
-    z_chi = ((F.col("squares") - n) / (n * (n - 1)) - same) / F.sqrt(2 * same * (1 - same) / (n * (n - 1)))
-    z_runs = ((n - 1) * change - F.col("changes")) / F.sqrt((n - 1) * change * (1 - change))
-    z_serial = (F.abs(r) - F.col("serial")) * F.sqrt(n)
-    numbers = (LETTER_IN_NUMBER * n - F.col("letters")) / F.sqrt(LETTER_IN_NUMBER * (1 - LETTER_IN_NUMBER) * n)
-    words = -F.sqrt(F.greatest(-2 * n * F.log(F.lit(HEX_IN_WORD)) - F.log(4 * n), F.lit(0.0)))  # about the deviation with a tail of HEX_IN_WORD^n
-    is_hex = F.col("encoding") == "hex"
-    k = F.when(is_hex, 4.0).otherwise(3.0)
-    z = (z_chi + z_runs + z_serial + F.when(is_hex, F.greatest(words, numbers)).otherwise(0.0)) / F.sqrt(k + k * (k - 1) * TOGETHER)
-    # against randomness
+    a, n = F.col("a"), F.col("n")
+    t = t.withColumns({"alike": (F.col("squares") - n) / (n * (n - 1)), "varied": F.col("changes") / (n - 1), "r": F.abs(F.when(F.col("spread") > 0, F.col("covered") / F.col("spread")))})
     df = a - 1
     even = (F.pow(F.greatest(a / n * F.col("squares") - n, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     many = 2 * F.col("ones") * (n - F.col("ones")) / n
     runs = (F.col("changes") - many) / F.sqrt(F.greatest(many * (many - 1) / (n - 1), F.lit(1e-9)))
-    return t.withColumns(
+    t = t.withColumns(
         {
-            "rejected": F.coalesce((even > REJECT) | (even < -EVEN) | (F.abs(runs) > REJECT) | (F.abs(r) * F.sqrt(n) > REJECT), F.lit(True)),
-            "log_p": F.log10(F.greatest(_phi(F.coalesce(z, F.lit(0.0))), F.lit(1e-300))),
+            "rejected": F.coalesce((even > REJECT) | (even < -EVEN) | (F.abs(runs) > REJECT) | (F.col("r") * F.sqrt(n) > REJECT), F.lit(True)),
             "stratum": F.concat_ws("/", "encoding", F.floor(F.log2(n)).cast("string")),
         }
-    ).select(*tokens.columns, "stratum", "rejected", "log_p")
+    )
+    return t.select(*tokens.columns, "encoding", "stratum", "rejected", "n", "same", "change", "serial", "alike", "varied", "r", "letters", "moves")
+
+
+def _odds(random: Column, chance) -> Column:
+    """Of each of the 16 moves the logarithm of its chance in a random token over that in an ordinary one."""
+    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda m: F.when(F.get(random, m % 4) > 0, F.log(F.get(random, m % 4) / chance(m))).otherwise(0.0))
+
+
+def _mixtures(spark) -> DataFrame:
+    """(encoding, random, prior): of each encoding of ``MIXED`` the shares in a random token, and the prior for the moves."""
+    rows = [(e, list(r), [x for row in _prior_moves(r) for x in row]) for e, r in MIXED.items()]
+    return spark.createDataFrame(rows, "encoding string, random array<double>, prior array<double>")
+
+
+def usual(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is usual in ordinary tokens: (stratum, m, u_..), sums by stratum, and (encoding, odds) of moves."""
+    sums = plain.groupBy("stratum").agg(F.count("r").alias("m"), *[F.sum(F.when(F.col("r").isNotNull(), F.col(c))).alias(f"u_{c}") for c in ("alike", "varied", "r")])
+    seen = plain.select("encoding", F.explode("moves").alias("move")).groupBy("encoding", "move").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    seen = seen.groupBy("encoding").agg(F.map_from_entries(F.collect_list(F.struct("move", "n"))).alias("seen"))  # 16 at most
+    got = _mixtures(plain.sparkSession).join(seen, "encoding", "left")
+    count = lambda m: F.coalesce(F.try_element_at("seen", m), F.lit(0.0))
+    row = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda s, j: s + count((F.floor(m / 4) * 4 + j).cast("int")))
+    chance = lambda m: (count(m) + PRIOR_MOVES * F.get("prior", m)) / (row(m) + PRIOR_MOVES)
+    return sums, got.select("encoding", _odds(F.col("random"), chance).alias("odds"))
+
+
+def _prior_moves(random: tuple[float, ...]) -> list[list[float]]:
+    """``MOVES`` among the kinds that an alphabet has."""
+    own = [[m if random[j] > 0 else 0.0 for j, m in enumerate(row)] for row in MOVES]
+    return [[m / sum(row) if sum(row) else 0.0 for m in row] for row in own]
+
+
+def _z(same: Column, change: Column, serial: Column) -> Column:
+    """How far below the usual figures a token's lie, all tests taken together; null where a test can't tell."""
+    n, r = F.col("n"), F.col("r")
+    z_chi = (F.col("alike") - same) / F.sqrt(2 * same * (1 - same) / (n * (n - 1)))
+    z_runs = (n - 1) * (change - F.col("varied")) / F.sqrt((n - 1) * change * (1 - change))
+    z_serial = (r - serial) * F.sqrt(n)
+    numbers = (LETTER_IN_NUMBER * n - F.col("letters")) / F.sqrt(LETTER_IN_NUMBER * (1 - LETTER_IN_NUMBER) * n)
+    beyond = lambda x: F.sqrt(F.greatest(2 * x - F.log(4 * x), F.lit(0.0)))  # noqa: E731  about the deviation with a tail of exp(-x)
+    words = -beyond(-n * F.log(F.lit(HEX_IN_WORD)))
+    llr = F.aggregate("moves", F.lit(0.0), lambda s, m: s + F.get("odds", m))
+    # a likelihood ratio of exp(x) has a chance of exp(-x) at most
+    mixture = F.when(llr > 1, -beyond(llr)).otherwise(F.sqrt(2 * F.greatest(-llr, F.lit(0.0))))
+    is_hex = F.col("encoding") == "hex"
+    more = F.when(is_hex, F.greatest(words, numbers)).otherwise(F.coalesce(mixture, F.lit(0.0)))
+    k = F.when(is_hex | F.col("moves").isNotNull(), 4.0).otherwise(3.0)
+    return (z_chi + z_runs + z_serial + more) / F.sqrt(k + k * (k - 1) * TOGETHER)
+
+
+def battery(tokens: DataFrame) -> DataFrame:
+    """Adds to tokens (column token) their stratum (encoding, length class), whether a test rejects randomness, and log10 of p.
+
+    Ordinary tokens are those that a test rejects as random and that don't look it
+    by the priors alone: a corpus that is all secrets has some that a test rejects by chance.
+    """
+    priors = _mixtures(tokens.sparkSession).select("encoding", _odds(F.col("random"), lambda m: F.get("prior", m)).alias("odds"))
+    rows = measured(tokens).join(F.broadcast(priors), "encoding", "left")  # a row for each encoding
+    rows = rows.withColumn("plain", F.col("rejected") & F.coalesce(_z(F.col("same"), F.col("change"), F.col("serial")) > LOOKS, F.lit(True))).drop("odds")
+    rows = common.stored(rows, "secret-figures")
+    sums, odds = usual(rows.where("plain"))
+    # a row for each stratum, and for each encoding
+    t = rows.join(F.broadcast(sums), "stratum", "left").join(F.broadcast(odds), "encoding", "left")
+    told = lambda name, prior: (F.coalesce(f"u_{name}", F.lit(0.0)) + PRIOR * F.col(prior)) / (F.coalesce("m", F.lit(0)) + PRIOR)
+    t = t.select(*tokens.columns, "stratum", "rejected", "plain", _z(told("alike", "same"), told("varied", "change"), told("r", "serial")).alias("z"))
+    # ordinary tokens are of several kinds, so the lower tail of their z is fitted, by two of its quantiles; z in hundredths, of which there are few
+    low = F.percentile(F.round("z", 2), [TAIL[0], TAIL[1]])
+    tails = t.where("plain and z is not null").groupBy("stratum").agg(F.count(F.lit(1)).alias("m"), low.alias("q"))
+    spread = (F.get("q", 0) - F.get("q", 1)) / (TAIL_Z[0] - TAIL_Z[1])
+    held = lambda c, lo, hi: F.least(F.greatest(c, F.lit(lo)), F.lit(hi))
+    share = F.col("m") / (F.col("m") + PRIOR)
+    spread = held(spread, 0.8, 2.0)
+    tails = tails.select("stratum", (1 + share * (spread - 1)).alias("spread"), (share * held(F.get("q", 0) - TAIL_Z[0] * spread, -1.5, 0.0)).alias("centre"))
+    t = t.join(F.broadcast(tails), "stratum", "left")
+    z = (F.col("z") - F.coalesce("centre", F.lit(0.0))) / F.coalesce("spread", F.lit(1.0))
+    log_p = F.log10(F.greatest(_phi(F.coalesce(z, F.lit(0.0))), F.lit(1e-300)))
+    return t.select(*tokens.columns, "stratum", "rejected", log_p.alias("log_p"))
 
 
 def discoveries(tested: DataFrame, rate: float = RATE) -> dict[str, float]:

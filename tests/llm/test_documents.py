@@ -358,10 +358,10 @@ def test_secret_scan_finds_hex_of_both_cases(spark):
     assert all((blank[i] == "see [SECRET] here") == (i in found) for i in blank)
 
 
-def battery_by_hand(token):
-    """(stratum, whether a test rejects randomness, p) of a token, or None without an encoding."""
+def measured_by_hand(token):
+    """(stratum, whether a test rejects randomness, figures) of a token, or None without an encoding."""
     body = token.rstrip("=")
-    for name, pattern, letters, size, same, change, serial in secret_scan.ENCODINGS:
+    for name, pattern, letters, size, *prior in secret_scan.ENCODINGS:
         if re.fullmatch(pattern.replace("^", "(?:").replace("$", ")"), body):
             break
     else:
@@ -372,29 +372,73 @@ def battery_by_hand(token):
     up = v * 2 >= size
     ones, changes = up.sum(), (up[1:] != up[:-1]).sum()
     d = v - v.mean()
-    r = (d[1:] * d[:-1]).sum() / (d * d).sum() if (d * d).sum() else None
-    pairs = n * (n - 1)
-    z = [((counts**2).sum() - n) / pairs - same, (n - 1) * change - changes]
-    z = [z[0] / math.sqrt(2 * same * (1 - same) / pairs), z[1] / math.sqrt((n - 1) * change * (1 - change))]
-    if r is not None:
-        z.append((abs(r) - serial) * math.sqrt(n))
-    if name == "hex":
-        p, letter = secret_scan.LETTER_IN_NUMBER, (v >= 10).sum()
-        words = -math.sqrt(max(-2 * n * math.log(secret_scan.HEX_IN_WORD) - math.log(4 * n), 0))
-        z.append(max(words, (p * n - letter) / math.sqrt(p * (1 - p) * n)))
-    k = 4 if name == "hex" else 3
-    total = sum(z) / math.sqrt(k + k * (k - 1) * secret_scan.TOGETHER) if r is not None else 0.0
+    r = abs((d[1:] * d[:-1]).sum() / (d * d).sum()) if (d * d).sum() else None
     df = size - 1
     even = ((max(size / n * (counts**2).sum() - n, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
     many = 2 * ones * (n - ones) / n
     runs = (changes - many) / math.sqrt(max(many * (many - 1) / (n - 1), 1e-9))
-    bad = r is None or even > secret_scan.REJECT or even < -secret_scan.EVEN or abs(runs) > secret_scan.REJECT or abs(r) * math.sqrt(n) > secret_scan.REJECT
-    return f"{name}/{int(math.log2(n))}", bad, math.erfc(-total / math.sqrt(2)) / 2
+    bad = r is None or even > secret_scan.REJECT or even < -secret_scan.EVEN or abs(runs) > secret_scan.REJECT or r * math.sqrt(n) > secret_scan.REJECT
+    kind = lambda c: 0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if c.isdigit() else 3
+    moves = [(kind(x), kind(y)) for x, y in zip(body, body[1:])] if name in secret_scan.MIXED else None
+    figures = [((counts**2).sum() - n) / (n * (n - 1)), changes / (n - 1), r]
+    return f"{name}/{int(math.log2(n))}", bad, (name, n, figures, prior, (v >= 10).sum(), moves)
+
+
+def z_by_hand(told, usual, seen):
+    name, n, figures, _, letters, moves = told
+    same, change, serial = usual
+    beyond = lambda x: math.sqrt(max(2 * x - math.log(4 * x), 0))
+    if figures[2] is None:
+        return None
+    z = [(figures[0] - same) / math.sqrt(2 * same * (1 - same) / (n * (n - 1))), (n - 1) * (change - figures[1]) / math.sqrt((n - 1) * change * (1 - change)), (figures[2] - serial) * math.sqrt(n)]
+    if name == "hex":
+        p = secret_scan.LETTER_IN_NUMBER
+        z.append(max(-beyond(-n * math.log(secret_scan.HEX_IN_WORD)), (p * n - letters) / math.sqrt(p * (1 - p) * n)))
+    if moves is not None:
+        random_, llr = secret_scan.MIXED[name], 0.0
+        for a, b in moves:
+            row = secret_scan.MOVES[a]
+            prior = (row[b] if random_[b] else 0) / sum(m for m, x in zip(row, random_) if x)
+            chance = (seen[a, b] + secret_scan.PRIOR_MOVES * prior) / (sum(seen[a, c] for c in range(4)) + secret_scan.PRIOR_MOVES)
+            llr += math.log(random_[b] / chance) if random_[b] else 0.0
+        z.append(-beyond(llr) if llr > 1 else math.sqrt(2 * max(-llr, 0)))
+    return sum(z) / math.sqrt(len(z) + len(z) * (len(z) - 1) * secret_scan.TOGETHER)
+
+
+def battery_by_hand(tokens):
+    """token: (stratum, whether a test rejects randomness, p), what is usual being measured on these tokens."""
+    rows = {t: x for t in set(tokens) if (x := measured_by_hand(t))}
+    sums, seen, plain = defaultdict(list), defaultdict(Counter), set()
+    for t, (stratum, bad, told) in rows.items():
+        z = z_by_hand(told, told[3], Counter())
+        if bad and (z is None or z > secret_scan.LOOKS):
+            plain.add(t)
+            if z is not None:
+                sums[stratum].append(told[2])
+            seen[told[0]].update(told[5] or [])
+    zs = {}
+    for t, (stratum, _, told) in rows.items():
+        own = sums[stratum]
+        usual = [(sum(f[i] for f in own) + secret_scan.PRIOR * told[3][i]) / (len(own) + secret_scan.PRIOR) for i in range(3)]
+        zs[t] = z_by_hand(told, usual, seen[told[0]])
+    out = {}
+    for stratum in {x[0] for x in rows.values()}:
+        low = [round(zs[t], 2) for t, (s, _, _) in rows.items() if s == stratum and t in plain and zs[t] is not None]
+        centre, spread = 0.0, 1.0
+        if low:
+            q = np.quantile(low, secret_scan.TAIL)
+            wide = min(max((q[0] - q[1]) / (secret_scan.TAIL_Z[0] - secret_scan.TAIL_Z[1]), 0.8), 2.0)
+            share = len(low) / (len(low) + secret_scan.PRIOR)
+            centre, spread = share * min(max(q[0] - secret_scan.TAIL_Z[0] * wide, -1.5), 0.0), 1 + share * (wide - 1)
+        for t, (s, bad, _) in rows.items():
+            if s == stratum:
+                out[t] = stratum, bad, 0.5 if zs[t] is None else math.erfc(-(zs[t] - centre) / spread / math.sqrt(2)) / 2
+    return out
 
 
 def found_by_hand(tokens, rate=secret_scan.RATE):
     """What the battery finds among the distinct tokens, and what lies too near a limit to tell."""
-    rows = {t: x for t in set(tokens) if (x := battery_by_hand(t))}
+    rows = battery_by_hand(tokens)
     found, near = set(), set()
     for stratum in {x[0] for x in rows.values()}:
         ps = sorted((p, t) for t, (s, _, p) in rows.items() if s == stratum)
@@ -438,8 +482,9 @@ def test_secret_battery_against_brute_force(spark, battery_rows):
     got = {r.token for r in secret_scan.random_tokens(df).collect()}
     want, near = found_by_hand(planted + plain)
     assert got - near == want - near and len(near) < 0.1 * len(planted)
+    told = battery_by_hand(planted + plain)
     for r in secret_scan.battery(df.distinct()).collect():
-        stratum, bad, p = battery_by_hand(r.token)
+        stratum, bad, p = told[r.token]
         assert (r.stratum, r.rejected) == (stratum, bad) and abs(r.log_p - math.log10(max(p, 1e-300))) < 0.03 * max(1, -math.log10(max(p, 1e-300)))
 
 
@@ -447,12 +492,39 @@ def test_secret_battery_finds_every_encoding_and_leaves_plain_text(spark, batter
     planted, plain = battery_rows
     docs = spark.createDataFrame(list(enumerate(f"ein {t} dort" for t in planted + plain)), "doc_id long, text string")
     found = {r.doc_id for r in secret_scan.scan(docs).where("exists(spans, m -> m.kind = 'random')").collect()}
-    missed = Counter(battery_by_hand(t)[0].split("/")[0] for i, t in enumerate(planted) if i not in found)
+    missed = Counter(measured_by_hand(t)[0].split("/")[0] for i, t in enumerate(planted) if i not in found)
     assert missed.pop("decimal") == 45  # of 24 digits and more, so spans of the fixed pattern for hex already
     assert max(missed.values()) <= 10 and sum(missed.values()) <= 30, missed
     assert sum(i >= len(planted) for i in found) <= 0.01 * len(found) + 1
 
 
+def ordinary_tokens(rnd, n):
+    """Names, paths and dates of 20 characters and more, put together from words."""
+    words = "get set user name list data base file path open read write close index count value total error message config server client request response table column first last next page item order number date time zone start stop begin end north south river field water crop plan stage yield model train test sample batch queue cache token key lock state event stream window group join sort merge filter build deploy release version branch commit review module package".split()
+    out = set()
+    while len(out) < n:
+        w = [rnd.choice(words) for _ in range(rnd.randint(3, 7))]
+        kind = rnd.randint(0, 7)
+        t = ["_".join(w), "-".join(w), "/".join(w), w[0] + "".join(x.title() for x in w[1:]), "".join(x.title() for x in w), "_".join(w).upper(), "-".join(w) + f"-v{rnd.randint(1, 30)}", f"{rnd.randint(2015, 2025)}-{rnd.randint(1, 12):02}-{rnd.randint(1, 28):02}-" + "-".join(w)][kind]
+        if len(t) >= 20:
+            out.add(t)
+    return sorted(out)
+
+
+def test_secret_battery_is_calibrated(spark):
+    """On ordinary tokens alone p is small no more often than it says, and 128-bit keys stand out among them."""
+    rnd = random.Random(33)
+    plain = ordinary_tokens(rnd, 10_000)
+    told = spark.createDataFrame([(t,) for t in plain], "token string")
+    p = np.array([10**r.log_p for r in secret_scan.battery(told).collect()])
+    assert 0.002 <= (p <= 0.01).mean() <= 0.02 and (p <= 0.001).mean() <= 0.002
+    assert secret_scan.random_tokens(told).count() <= 3
+    keys = [random_token(rnd, ALPHABETS["base64"], 22) for _ in range(200)]
+    found = {r.token for r in secret_scan.random_tokens(told.unionByName(spark.createDataFrame([(t,) for t in keys], "token string"))).collect()}
+    assert len(found & set(keys)) >= 150, len(found & set(keys))
+    assert len(found - set(keys)) <= 0.01 * len(found) + 2
+
+
 @pytest.mark.parametrize("letter", ["x", "é"])
 def test_secrets_in_a_long_text(spark, letter):
     rnd = random.Random(22)
