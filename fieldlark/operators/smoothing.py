@@ -126,6 +126,73 @@ def fit_logistic(t: np.ndarray, x: np.ndarray, steps: int = 200) -> np.ndarray |
     return q if np.isfinite(cost) else None
 
 
+#: Series that are fitted at once.
+STACK = 512
+
+
+def _logistics(t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """``_logistic`` of a stack: times (series, steps), parameters (series, .., 6)."""
+    base, amp, sos, r1, eos, r2 = (q[..., k, None] for k in range(6))
+    t = t[(slice(None), *[None] * (q.ndim - 2))]
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+    return base + amp * (sig(r1 * (t - sos)) - sig(r2 * (t - eos)))
+
+
+def fit_logistics(series: list[tuple[np.ndarray, np.ndarray]], steps: int = 200) -> list[np.ndarray | None]:
+    """``fit_logistic`` of many series (times, values) together.
+
+    A step solves the six equations of all unsettled series in one call; each has a damping
+    of its own and leaves the stack once it has settled. Series are stacked by length, the shorter ones filled up
+    with steps of no weight.
+    """
+    out: list[np.ndarray | None] = [None] * len(series)
+    able = [i for i, (t, x) in enumerate(series) if len(t) and np.ptp(t) > 0 and np.ptp(x) >= 1e-9]
+    able.sort(key=lambda i: len(series[i][0]))
+    for s in range(0, len(able), STACK):
+        for i, q in zip(able[s : s + STACK], _stack_fitted([series[i] for i in able[s : s + STACK]], steps)):
+            out[i] = q if np.isfinite(q).all() else None
+    return out
+
+
+def _stack_fitted(series, steps: int) -> np.ndarray:
+    n = max(len(t) for t, _ in series)
+    t, x, w = (np.zeros((len(series), n)) for _ in range(3))
+    for i, (a, b) in enumerate(series):
+        t[i, : len(a)], t[i, len(a) :], x[i, : len(a)], w[i, : len(a)] = a, a[-1], b, 1.0
+    ends = np.array([(a[0], a[-1], np.ptp(a), a[b.argmax()], b.min(), b.max()) for a, b in series], float)
+    t0, t1, span, peak, lo, hi = ends.T
+    rise = hi - lo
+    q = np.column_stack([lo, rise, (t0 + peak) / 2, 10 / span, (peak + t1) / 2, 10 / span])
+    low = np.column_stack([lo - rise, 0 * lo, t0 - span / 2, 1e-4 / span, t0, 1e-4 / span])
+    high = np.column_stack([hi, 4 * rise, t1, 500 / span, t1 + span / 2, 500 / span])
+    q, damp = np.clip(q, low, high), np.full(len(q), 1e-2)
+    miss = lambda i, p: (_logistics(t[i], p) - x[i]) * w[i]
+    cost = (miss(slice(None), q) ** 2).sum(1)
+    open_ = np.arange(len(q))
+    eye = np.eye(6)
+    for _ in range(steps):
+        if not len(open_):
+            break
+        i = open_
+        r = miss(i, q[i])
+        h = np.maximum(np.abs(q[i]), 1e-3) * 1e-6
+        moved = h[:, :, None] * eye
+        j = (_logistics(t[i], q[i][:, None] + moved) - _logistics(t[i], q[i][:, None] - moved)) / (2 * h[:, :, None]) * w[i][:, None]
+        a = j @ j.transpose(0, 2, 1)
+        diag = np.einsum("skk->sk", a)
+        a = a + eye * (damp[i, None] * (diag + 1e-12))[:, :, None]
+        step = np.linalg.solve(a, (j @ r[:, :, None]))[:, :, 0]
+        new = np.clip(q[i] - step, low[i], high[i])
+        c = (miss(i, new) ** 2).sum(1)
+        better = c < cost[i]
+        done = better & (cost[i] - c < 1e-12 * (1 + cost[i]))
+        q[i[better]], cost[i[better]] = new[better], c[better]
+        damp[i] = np.where(better, damp[i] / 3, damp[i] * 4)
+        open_ = i[~done & (better | (damp[i] <= 1e12))]
+    q[~np.isfinite(cost)] = np.nan
+    return q
+
+
 def _crossing(t, y, level, rising):
     a, b = y[:-1], y[1:]
     hit = np.flatnonzero((a < level) & (b >= level) if rising else (a >= level) & (b < level))
@@ -135,17 +202,30 @@ def _crossing(t, y, level, rising):
     return float(t[i] if b[i] == a[i] else t[i] + (level - a[i]) * (t[i + 1] - t[i]) / (b[i] - a[i]))
 
 
-def season(t: np.ndarray, x: np.ndarray, threshold: float = 0.5, smooth: float | None = None) -> dict[str, float]:
-    """Season metrics of a fitted double logistic on a grid of 512 points, of the data itself where the fit fails."""
+def _cleaned(t: np.ndarray, x: np.ndarray, smooth: float | None) -> tuple[np.ndarray, np.ndarray]:
     ok = np.isfinite(t) & np.isfinite(x)
     by = np.argsort(t[ok], kind="stable")
     t, x = t[ok][by], x[ok][by]
-    if smooth and len(x) > 2:
-        x = whittaker(x, smooth)
+    return t, whittaker(x, smooth) if smooth and len(x) > 2 else x
+
+
+def season(t: np.ndarray, x: np.ndarray, threshold: float = 0.5, smooth: float | None = None) -> dict[str, float]:
+    """Season metrics of a fitted double logistic on a grid of 512 points, of the data itself where the fit fails."""
+    return seasons([(t, x)], threshold, smooth)[0]
+
+
+def seasons(series: list[tuple[np.ndarray, np.ndarray]], threshold: float = 0.5, smooth: float | None = None) -> list[dict[str, float]]:
+    """``season`` of many series, fitted together."""
+    clean = [_cleaned(t, x, smooth) for t, x in series]
+    long = [i for i, (t, _) in enumerate(clean) if len(t) >= 6]
+    fits = dict(zip(long, fit_logistics([clean[i] for i in long])))
+    return [_metrics(t, x, fits.get(i), threshold) for i, (t, x) in enumerate(clean)]
+
+
+def _metrics(t: np.ndarray, x: np.ndarray, q: np.ndarray | None, threshold: float) -> dict[str, float]:
     if not len(t):
         return dict.fromkeys(METRICS, np.nan) | {"success": 0.0}
-    q = fit_logistic(t, x) if len(t) >= 6 else None
-    g, y = (np.linspace(t[0], t[-1], 512), None) if q is not None else (t, x)
+    g = np.linspace(t[0], t[-1], 512) if q is not None else t
     y = _logistic(g, q) if q is not None else x
     k = int(y.argmax())
     base, peak = float(y.min()), float(y.max())
@@ -188,10 +268,11 @@ def _series_batches(df: DataFrame, key: str, t: str, value: str, fn, ddl: str) -
 
 
 def _per_series(df: DataFrame, key: str, t: str, value: str, names: list[str], fn) -> DataFrame:
+    """The figures ``names`` of every series; ``fn`` gives a list of them for a list of series (times, values)."""
     kind = df.schema[key].dataType.simpleString()
 
     def each(series, of):
-        got = [fn(np.asarray(times.to_numpy(), float), x) for _, times, x in series]
+        got = fn([(np.asarray(times.to_numpy(), float), x) for _, times, x in series])
         cols = [pa.array([k for k, _, _ in series], of), *[pa.array([g[n] for g in got], pa.float64()) for n in names]]
         return pa.RecordBatch.from_arrays(cols, names=[key, *names])
 
@@ -218,11 +299,11 @@ def whittaker_series(df: DataFrame, key: str, t: str, value: str, lam: float = 1
 
 def harmonic_series(df: DataFrame, key: str, t: str, value: str, n: int = 3, period: float | None = None, trend: bool = False) -> DataFrame:
     names = ["mean", "rmse"] + [f"{k}{i}" for i in range(1, n + 1) for k in ("amp", "phase")]
-    return _per_series(df, key, t, value, names, lambda a, b: harmonics(a, b, n, period, trend))
+    return _per_series(df, key, t, value, names, lambda many: [harmonics(a, b, n, period, trend) for a, b in many])
 
 
 def season_series(df: DataFrame, key: str, t: str, value: str, threshold: float = 0.5, smooth: float | None = None) -> DataFrame:
-    return _per_series(df, key, t, value, [*METRICS, "success"], lambda a, b: season(a, b, threshold, smooth))
+    return _per_series(df, key, t, value, [*METRICS, "success"], lambda many: seasons(many, threshold, smooth))
 
 
 def phenometric_series(df: DataFrame, key: str, t: str, value: str, n: int = 3) -> DataFrame:
@@ -230,11 +311,11 @@ def phenometric_series(df: DataFrame, key: str, t: str, value: str, n: int = 3)
     stats = ["vi_mean", "vi_max", "vi_min", "vi_std", "vi_range"]
     names = [*METRICS, "success", "mean", *[f"{k}{i}" for i in range(1, n + 1) for k in ("amp", "phase")], *stats]
 
-    def both(t, x):
+    def both(t, x, told):
         ok = x[np.isfinite(x)]
         some = len(ok) > 0
         plain = dict(zip(stats, (ok.mean(), ok.max(), ok.min(), ok.std(), np.ptp(ok)) if some else (np.nan,) * 5))
         h = harmonics(t, x, n)
-        return season(t, x, 0.5, 5.0) | {k: v for k, v in h.items() if k != "rmse"} | {k: float(v) for k, v in plain.items()}
+        return told | {k: v for k, v in h.items() if k != "rmse"} | {k: float(v) for k, v in plain.items()}
 
-    return _per_series(df, key, t, value, names, both)
+    return _per_series(df, key, t, value, names, lambda many: [both(t, x, told) for (t, x), told in zip(many, seasons(many, 0.5, 5.0))])

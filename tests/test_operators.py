@@ -513,3 +513,29 @@ def test_axis_of_columns(spark):
     for a, b, n in ((date(2024, 1, 1), date(2024, 2, 15), 7), (date(2024, 3, 1), date(2024, 1, 1), 4), (date(2024, 1, 1), date(2024, 1, 1), 3), (date(2024, 1, 1), date(2024, 5, 5), 1)):
         df = spark.createDataFrame([(a, b)], "a date, b date")
         assert df.select(tables.axis_of(F.col("a"), F.col("b"), n).alias("x")).first().x == tables.time_axis(a, b, n)
+
+
+def test_stacked_fits_equal_single_ones():
+    import time
+
+    rng = np.random.default_rng(17)
+    many = []
+    for i in range(400):
+        t = np.sort(rng.choice(np.arange(0, 365, 5.0), rng.integers(8, 60), replace=False))
+        sos, eos = rng.uniform(60, 140), rng.uniform(200, 300)
+        y = rng.uniform(0.1, 0.3) + rng.uniform(0.3, 0.6) * (1 / (1 + np.exp(-0.08 * (t - sos))) - 1 / (1 + np.exp(-0.07 * (t - eos))))
+        many.append((t, y + rng.normal(0, 0.01, len(t))))
+    many += [(np.array([]), np.array([])), (np.full(7, 3.0), np.arange(7.0)), (np.arange(9.0), np.ones(9)), (np.arange(3.0), np.array([0.0, 1.0, 0.0]))]
+    clock = time.perf_counter()
+    one = [smoothing.fit_logistic(t, x) if len(t) else None for t, x in many]
+    single = time.perf_counter() - clock
+    clock = time.perf_counter()
+    got = smoothing.fit_logistics(many)
+    stacked = time.perf_counter() - clock
+    assert [g is None for g in got] == [o is None for o in one]
+    cost = lambda t, x, q: float(((smoothing._logistic(t, q) - x) ** 2).sum())
+    settled = [(t, x, g, o) for (t, x), g, o in zip(many, got, one) if o is not None]
+    same = [np.allclose(g, o, rtol=1e-6, atol=1e-6) for _, _, g, o in settled]
+    # few series have more than one way down; either end is as good
+    assert np.mean(same) > 0.97 and all(cost(t, x, g) <= cost(t, x, o) * (1 + 1e-3) + 1e-9 for t, x, g, o in settled)
+    assert stacked < single / 3, (single, stacked)
