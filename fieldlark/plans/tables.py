@@ -7,9 +7,9 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import advisory, crop, geo, soil, stress
-from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, serving, smoothing, stats
+from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, serving, smoothing, spells, stats
 from ..session import scratch
-from ..sources import chunks, exports, items, tables
+from ..sources import chunks, exports, features, items, tables
 from ..streaming import runs, windows
 from . import adapters as A
 from .scalar import _ADV, _CROPS, _TAW, cl, nd, r6, sd
@@ -951,3 +951,26 @@ def export_manifest(spark, d):
     exports.write_export(composite.composite(e, ["user_id"], ["value"], START, END), path, "window_start", ["user_id"], ["user_id"])
     m = exports.manifest(spark, path).groupBy(F.col("window").alias("window_start"))
     return m.agg(F.sum("n").alias("n"), F.min("least_user_id").alias("least_user"), F.max("most_user_id").alias("most_user"))
+
+
+@query(f"WITH {A.DAILY} SELECT cell::VARCHAR AS field_id, (row_number() OVER (PARTITION BY cell ORDER BY date) - 1)::INT AS step, top AS dr, low AS raw FROM day")
+def feature_series(spark, d):
+    """Series written as properties of features and read back in ranges of 64 KB."""
+    path = scratch(spark, "features").removeprefix("file://")
+    each = A.daily(spark, d).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("date", "top", "low"))).alias("s"))
+    of = lambda n: F.transform("s", lambda x: x[n])
+    made = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("cell").cast("string").alias("field_id"), of("top").alias("dr_series"), of("low").alias("raw_series")).alias("properties"))
+    features.write_collection(each.select(F.to_json(made).alias("feature")), path)
+    kinds = "field_id: string, dr_series: array<double>, raw_series: array<double>"
+    f = features.read_features(spark, path, f"properties struct<{kinds}>", 1 << 16).select("properties.*")
+    zipped = F.arrays_zip(F.col("dr_series").alias("dr"), F.col("raw_series").alias("raw"))
+    return f.select("field_id", F.posexplode(zipped).alias("step", "z")).select("field_id", "step", "z.*")
+
+
+@query(f"""WITH {A.DAILY}, o AS (SELECT cell, date, top, date - row_number() OVER (PARTITION BY cell ORDER BY date)::INT AS g FROM day WHERE top >= 60)
+    SELECT cell AS key, min(date) AS first, max(date) AS last, count(*)::INT AS days, max(top) AS worst, round(sum(top), 6) AS total, CASE WHEN count(*) >= 3 THEN 'irrigate now' WHEN count(*) = 2 THEN 'irrigate soon' ELSE 'watch' END AS recommendation FROM o GROUP BY cell, g""")
+def dry_spells(spark, d):
+    """Spells of days over a limit, by a table function called from SQL."""
+    spells.register(spark)
+    A.daily(spark, d).select("cell", "date", "top").createOrReplaceTempView("field_days")
+    return spark.sql("SELECT key, first, last, days, worst, round(total, 6) + 0.0D AS total, recommendation FROM spells(60.0D, TABLE(SELECT cell AS key, date, top AS value FROM field_days) PARTITION BY key ORDER BY date)")

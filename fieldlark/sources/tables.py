@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import unit_hash
 from ..operators.series import gradient, phenophase
+from .features import read_features
 
 REGISTRY = "id string, name string, operator string, country string, sensor_type string, bands array<string>, native_resolution_m double, revisit_days double, swath_km double, status string, gee_asset_id string, stac_collection string, portal string, cost string, tier int, roles array<string>, fills_gaps array<string>"
 #: Sensor kinds each loader family takes.
@@ -47,9 +48,9 @@ def write_partitioned(df: DataFrame, path: str, by: str = "date", within=("cell"
 
 
 def read_geojson(spark: SparkSession, path: str, series: list[str]) -> DataFrame:
-    """One row per feature and step: field_id and the value of each ``*_series`` property."""
-    doc = spark.read.option("multiLine", True).json(path)
-    f = doc.select(F.explode("features.properties").alias("p"))
+    """One row per feature and step: field_id and the value of each ``*_series`` property; files are read by ranges of bytes."""
+    kinds = ", ".join(["field_id: string", *[f"{s}: array<double>" for s in series]])
+    f = read_features(spark, path, f"properties struct<{kinds}>").select(F.col("properties").alias("p"))
     zipped = F.arrays_zip(*[F.col(f"p.{s}").alias(s.removesuffix("_series")) for s in series])
     return f.select(F.col("p.field_id").alias("field_id"), F.posexplode(zipped).alias("step", "z")).select("field_id", "step", "z.*")
 

@@ -539,3 +539,16 @@ def test_stacked_fits_equal_single_ones():
     # few series have more than one way down; either end is as good
     assert np.mean(same) > 0.97 and all(cost(t, x, g) <= cost(t, x, o) * (1 + 1e-3) + 1e-9 for t, x, g, o in settled)
     assert stacked < single / 3, (single, stacked)
+
+
+def test_spells_from_sql(spark):
+    from fieldlark.operators import spells
+
+    spells.register(spark)
+    d = lambda n: date(2024, 2, 27) + timedelta(days=n)
+    rows = [(1, d(0), 5.0), (1, d(1), 6.0), (1, d(2), 7.0), (1, d(3), 1.0), (1, d(4), 9.0), (1, d(6), 9.0), (1, d(7), None), (1, d(8), 5.0), (1, d(8), 8.0), (1, d(9), 5.0), (2, d(1), 4.9), (3, d(5), 5.0), (None, d(0), 8.0)]
+    spark.createDataFrame(rows, "k long, day date, mm double").repartition(3).createOrReplaceTempView("mm_days")
+    got = spark.sql("SELECT * FROM spells(5.0D, TABLE(SELECT k, day, mm FROM mm_days) PARTITION BY k ORDER BY day)").collect()
+    want = {(1, d(0), d(2), 3, 7.0, 18.0, "irrigate now"), (1, d(4), d(4), 1, 9.0, 9.0, "watch"), (1, d(6), d(6), 1, 9.0, 9.0, "watch"), (1, d(8), d(9), 2, 8.0, 13.0, "irrigate soon"), (3, d(5), d(5), 1, 5.0, 5.0, "watch"), (None, d(0), d(0), 1, 8.0, 8.0, "watch")}
+    assert set(map(tuple, got)) == want and len(got) == len(want)
+    assert spark.sql("SELECT * FROM spells(5.0D, TABLE(SELECT k, day, mm FROM mm_days WHERE false) PARTITION BY k ORDER BY day)").count() == 0

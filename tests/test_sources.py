@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
 from datetime import date, timedelta
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlark.sources import chunks, exports, items
+from fieldlark.sources import chunks, exports, features, items
 
 
 def test_items_are_pruned_while_planning(spark, tmp_path):
@@ -120,3 +121,36 @@ def test_exports_hold_as_a_whole(spark, tmp_path):
     assert exports.read_export(spark, path).count() == 3000
     exports.write_export(df.limit(0), path, "window_start", ["lat"])
     assert exports.read_export(spark, path).count() == 0 and exports.manifest(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("split", [1 << 20, 997, 64, 7])
+def test_features_of_any_split(spark, tmp_path, split):
+    """Brackets and marks within strings, backslashes at borders, members in any order, objects that are no features."""
+    rng = np.random.default_rng(5)
+    names = ['plain', 'a } ] { [', 'say \\"hi\\"', 'back\\\\', '\\\\\\"{', 'é👍 ü', '{\\"type\\": \\"Feature\\"}']
+    want, parts = Counter(), []
+    for i in range(120):
+        raw = names[int(rng.integers(len(names)))]
+        name = json.loads(f'"{raw}"')
+        series = [round(float(x), 2) for x in rng.random(rng.integers(0, 4))]
+        own = [f'"properties": {{"name": "{raw}", "dr_series": {json.dumps(series)}, "deep": {{"x": [[1, {{"y": 2}}]]}}}}', '"type": "Feature"', f'"id": {i}', '"geometry": {"type": "Polygon", "coordinates": [[[1, 2], [3, 4], [1, 2]]]}']
+        parts.append("{" + (", " if i % 2 else ",\n ").join(own[k] for k in rng.permutation(4)) + "}")
+        want[i, name, tuple(series)] += 1
+    parts.insert(3, '{"type": "Other", "id": 999}')
+    half = len(parts) // 2
+    for k, some in enumerate((parts[:half], parts[half:])):
+        text = '{"type": "FeatureCollection", "crs": {"properties": {"name": "[{"}}, "features": [' + ",\n".join(some) + "]}"
+        (tmp_path / f"f{k}.geojson").write_text(text, encoding="utf-8")
+    if split < 50:
+        (tmp_path / "f0.geojson").unlink()
+        want = Counter({r: n for r, n in want.items() if r[0] >= half - 1})
+        split = len(text.encode()) // 40 + 1
+    got = features.read_features(spark, str(tmp_path), "id long, properties struct<name:string,dr_series:array<double>>", split)
+    assert got.columns == ["id", "properties"]
+    assert Counter((r.id, r.properties.name, tuple(r.properties.dr_series)) for r in got.collect()) == want
+
+
+def test_features_of_empty_collections(spark, tmp_path):
+    (tmp_path / "a.geojson").write_text('{"type": "FeatureCollection", "features": []}')
+    (tmp_path / "b.geojson").write_text("")
+    assert features.read_features(spark, str(tmp_path), "id long").count() == 0
