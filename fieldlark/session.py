@@ -28,14 +28,24 @@ def session(app: str = "fieldlark", master: str | None = None, **conf: str) -> S
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from where the driver found it, if they have no copy of their own."""
+    """Let Python workers import this package from where the driver found it, if they have no copy of their own.
+
+    Arrow batches come in fewer rows than Spark's default, unless the session
+    says otherwise: a row may hold a whole text or a set of thousands of hashes, and each
+    batch is held several times on its way to Python.
+    """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(p for p in (env.get("PYTHONPATH"), root) if p)
+    if spark.conf.get(ROWS) == "10000":  # as Spark has it
+        spark.conf.set(ROWS, "2000")
     return spark
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share, ``spark.checkpoint.dir``. Only a local session, as in tests, gets
     one of its own where none is set."""
