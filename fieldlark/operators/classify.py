@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import unit_hash
+from ..session import scratch
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -79,18 +80,72 @@ def probabilities(df: DataFrame, centres: DataFrame, key: str = "vec_id", vector
     return _cosines(df, centres, key, vector, softmax, [("label", "label"), ("probability", "double")])
 
 
-def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 8192) -> DataFrame:
+#: Rows that pivots are chosen from, and pivots, at most.
+SAMPLE, PIVOTS = 4096, 64
+#: Radians by which angles are widened against rounding.
+SLACK = 1e-6
+
+
+def pivots_of(units: np.ndarray, n: int) -> np.ndarray:
+    """``n`` of the rows that have a direction, each as far from those before it as can be; any direction if there are none."""
+    units = units[(units * units).sum(1) > 0.5]
+    if not len(units):
+        return np.ones((1, units.shape[1])) / max(units.shape[1], 1) ** 0.5
+    chosen = [0]
+    near = units @ units[0]
+    while len(chosen) < min(n, len(units)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, units @ units[chosen[-1]])
+    return units[chosen]
+
+
+def _placed(df: DataFrame, pivots: np.ndarray, names: list[str], vector: str) -> DataFrame:
+    """Adds the nearest pivot of each row and the angle to it; that of a vector without direction is pi, which meets all."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u = _units(b.column(len(names)))
+            cosines = np.clip(u @ pivots.T, -1.0, 1.0)
+            at = cosines.argmax(1)
+            angle = np.where((u * u).sum(1) < 0.5, np.pi, np.arccos(cosines[np.arange(len(at)), at]))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32)), pa.array(angle)], names=[*b.schema.names, "pivot", "angle"])
+
+    held = df.select(*names, vector)
+    ddl = ", ".join(f"{n} {t}" for n, t in held.dtypes) + ", pivot int, angle double"
+    return held.mapInArrow(run, ddl)
+
+
+def _in_blocks(rows: DataFrame, key: str, block: int, side: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, blocks): rows with the pivot and part that make their block, and of each block its largest angle and its rows' number."""
+    parts = rows.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))  # a row for each pivot
+    held = rows.join(F.broadcast(parts), "pivot").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts")).cast("int")).drop("parts")
+    held = held.withColumnsRenamed({"pivot": f"{side}p", "part": f"{side}a"})
+    return held, held.groupBy(f"{side}p", f"{side}a").agg((F.max("angle") + SLACK).alias(f"{side}_angle"), F.count(F.lit(1)).alias(f"{side}_n"))
+
+
+def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 8192, told: list | None = None) -> DataFrame:
     """(key, predicted): majority of the k nearest training rows by cosine, other rows than the query itself; the
-    smaller label on ties. Both sides come in blocks of about ``block``; every two blocks meet in one matrix product,
-    which yields the k best of each query, so what is shuffled after it is k rows a query and block."""
-    blocks = lambda df: max(1, -(-df.count() // block))
-    nq, nt = blocks(queries), blocks(train)
+    smaller label on ties.
+
+    Both sides come in blocks of about ``block`` rows that have one pivot as their nearest. A block of queries first meets a
+    training block of its own pivot or the nearest, which says how near the kth neighbours are at least; then only blocks that
+    can be as near, by the triangle inequality on the sphere: two rows are no nearer than their pivots less
+    their angles to these. Every two blocks that meet do so in one matrix product,
+    which yields the k best of each query. ``told`` gets the pairs of blocks that met, and all there are.
+    """
     kind, lab = queries.schema[key].dataType.simpleString(), train.schema[label].dataType.simpleString()
-    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     v = F.col(vector).cast("array<double>")
-    t = train.where(v.isNotNull()).select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), v.alias("t_v")).withColumn("t_block", deal("t_id", nt)).withColumn("t_other", each(nq))
-    q = queries.where(v.isNotNull()).select(F.col(key).alias("q_id"), v.alias("q_v")).withColumn("q_block", deal("q_id", nq)).withColumn("q_other", each(nt))
+    t = train.where(v.isNotNull()).select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), v.alias("t_v"))
+    q = queries.where(v.isNotNull()).select(F.col(key).alias("q_id"), v.alias("q_v"))
+    n = t.count()
+    if not n:
+        return q.limit(0).select(F.col("q_id").alias(key), F.lit(None).cast(lab).alias("predicted"))
+    sample = t.select("t_v").orderBy(F.xxhash64("t_id", F.lit(5))).limit(SAMPLE if n > block else 1).toArrow()
+    pivots = pivots_of(_units(sample.column(0)), min(PIVOTS, -(-n // block)))
+    t, t_blocks = _in_blocks(_placed(t, pivots, ["t_id", "t_label"], "t_v"), "t_id", block, "t")
+    q, q_blocks = _in_blocks(_placed(q, pivots, ["q_id"], "q_v"), "q_id", block, "q")
     schema = pa.schema([("q_id", _arrow(kind)), ("t_id", _arrow(kind)), ("t_label", _arrow(lab)), ("d", pa.float64())])
 
     def nearest(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -112,9 +167,35 @@ def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "
             found.append(pa.table({"q_id": right.column("q_id").slice(s, 1024).take(pa.array(rows[some])), "t_id": left.column("t_id").take(pa.array(cols[some])), "t_label": left.column("t_label").take(pa.array(cols[some])), "d": d[rows, cols][some]}))
         return pa.concat_tables(found).cast(schema)
 
-    best = t.groupBy("t_block", "t_other").cogroup(q.groupBy("q_other", "q_block")).applyInArrow(nearest, f"q_id {kind}, t_id {kind}, t_label {lab}, d double")
+    def met(pairs: DataFrame) -> DataFrame:
+        by = ["qp", "qa", "tp", "ta"]
+        left, right = t.join(pairs, ["tp", "ta"]).select(*by, "t_id", "t_label", "t_v"), q.join(pairs, ["qp", "qa"]).select(*by, "q_id", "q_v")
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(nearest, f"q_id {kind}, t_id {kind}, t_label {lab}, d double")
+
+    path = scratch(queries.sparkSession, "nearest")
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    apart = queries.sparkSession.createDataFrame([(i, j, float(apart[i, j])) for i in range(len(pivots)) for j in range(len(pivots))], "qp int, tp int, apart double")  # PIVOTS squared rows
+    every = q_blocks.join(F.broadcast(apart), "qp").join(t_blocks, "tp")
+    # the nearest block that has k rows besides the query itself, any of its pivot's
+    turn = F.xxhash64("qp", "qa", "ta")
+    home = every.where(F.col("t_n") > k).groupBy("qp", "qa").agg(F.min_by(F.struct("tp", "ta"), F.struct("apart", turn)).alias("h")).select("qp", "qa", "h.tp", "h.ta")
+    home.write.parquet(f"{path}/home")
+    home = queries.sparkSession.read.schema("qp int, qa int, tp int, ta int").parquet(f"{path}/home")
+    met(home).write.parquet(f"{path}/first")
+    first = queries.sparkSession.read.schema(f"q_id {kind}, t_id {kind}, t_label {lab}, d double").parquet(f"{path}/first")
+    # the least cosine that a kth neighbour of the block's queries is known to have; -1 where one has fewer than k
+    kth = q.select("q_id", "qp", "qa").join(first.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("far")), "q_id", "left")
+    kth = kth.groupBy("qp", "qa").agg(F.min(F.when(F.col("n") >= k, -F.col("far")).otherwise(-1.0)).alias("kth"))
+    near = every.join(kth, ["qp", "qa"])
+    best = F.cos(F.greatest(F.col("apart") - F.col("q_angle") - F.col("t_angle"), F.lit(0.0)))
+    pairs = near.where(best >= F.col("kth") - 2e-9).select("qp", "qa", "tp", "ta").join(home, ["qp", "qa", "tp", "ta"], "left_anti")
+    pairs.write.parquet(f"{path}/pairs")
+    pairs = queries.sparkSession.read.schema("qp int, qa int, tp int, ta int").parquet(f"{path}/pairs")
+    if told is not None:
+        told.append((home.count() + pairs.count(), q_blocks.count() * t_blocks.count()))
+    found = first.unionByName(met(pairs))
     w = Window.partitionBy("q_id").orderBy("d", "t_id")
-    votes = best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("q_id", "t_label").agg(F.count(F.lit(1)).alias("n"))
+    votes = found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).groupBy("q_id", "t_label").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy(F.col("q_id").alias(key)).agg((-F.max(F.struct("n", (-F.col("t_label")).alias("m")))["m"]).alias("predicted"))
 
 

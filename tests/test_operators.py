@@ -552,3 +552,27 @@ def test_spells_from_sql(spark):
     want = {(1, d(0), d(2), 3, 7.0, 18.0, "irrigate now"), (1, d(4), d(4), 1, 9.0, 9.0, "watch"), (1, d(6), d(6), 1, 9.0, 9.0, "watch"), (1, d(8), d(9), 2, 8.0, 13.0, "irrigate soon"), (3, d(5), d(5), 1, 5.0, 5.0, "watch"), (None, d(0), d(0), 1, 8.0, 8.0, "watch")}
     assert set(map(tuple, got)) == want and len(got) == len(want)
     assert spark.sql("SELECT * FROM spells(5.0D, TABLE(SELECT k, day, mm FROM mm_days WHERE false) PARTITION BY k ORDER BY day)").count() == 0
+
+
+@pytest.mark.parametrize("block,spread", [(8192, 0.05), (40, 0.05), (40, 2.0)])
+def test_neighbours_by_pivots(spark, block, spread):
+    rng = np.random.default_rng(23)
+    centres = rng.normal(size=(12, 6))
+    rows = [(i, i % 12 % 5, (centres[i % 12] + rng.normal(size=6) * spread).tolist()) for i in range(900)] + [(900, 1, [0.0] * 6), (901, 2, None)]
+    rows += [(1000 + i, i % 3, rows[5][2]) for i in range(8)]  # the same place, of several labels
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").repartition(4)
+    told: list = []
+    got = {r.vec_id: r.predicted for r in classify.by_neighbours(df.where("vec_id % 3 = 0"), df, 5, block=block, told=told).collect()}
+    held = [(i, c, np.array(v)) for i, c, v in rows if v is not None]
+    ids, labels = np.array([i for i, _, _ in held]), np.array([c for _, c, _ in held])
+    m = np.array([v / (np.linalg.norm(v) if np.linalg.norm(v) > 1e-12 else 1.0) for _, _, v in held])
+    want = {}
+    for i, u in zip(ids.tolist(), m):
+        if i % 3 == 0:
+            near = sorted((round(-float(c), 9), j, x) for c, j, x in zip(m @ u, ids.tolist(), labels.tolist()) if j != i)[:5]
+            n = Counter(x for _, _, x in near)
+            want[i] = min(n, key=lambda x: (-n[x], x))
+    assert got == want
+    pairs, every = told[0]
+    assert pairs <= every and (pairs < every / 3 if spread < 1 and block == 40 else True)
+    assert classify.by_neighbours(df.limit(0), df).count() == 0 and classify.by_neighbours(df, df.limit(0)).count() == 0
