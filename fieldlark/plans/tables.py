@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import advisory, crop, geo, soil, stress
-from ..operators import accuracy, balance, catalog, cells, classify, command, composite, raster, series, serving, smoothing, spells, stats
+from ..operators import accuracy, balance, boosting, catalog, cells, classify, command, composite, raster, series, serving, smoothing, spells, stats
 from ..session import scratch
 from ..sources import chunks, exports, features, items, tables
 from ..streaming import runs, windows
@@ -661,13 +661,18 @@ def synthetic_crops(spark, d):
     return out.select("id", "label", *[R(c) for c in out.columns if c not in ("id", "label")])
 
 
+def _labelled(spark, d):
+    """Embeddings with labels, on blocks of ground for training and testing."""
+    e = A.read(spark, d, "embeddings").where("embedding is not null and label is not null")
+    e = e.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("x"), (F.col("vec_id") * 37 % 100).cast("double").alias("px"), (F.col("vec_id") * 91 % 97).cast("double").alias("py"))
+    return stats.block_split(e, "px", "py", 4, 0.3)
+
+
 def _trained(spark, d, kind: str, **kw):
     """Overall accuracy of a model of the embeddings' labels, on blocks of ground it hasn't seen."""
     from pyspark.ml.functions import array_to_vector
 
-    e = A.read(spark, d, "embeddings").where("embedding is not null and label is not null")
-    e = e.select("vec_id", F.col("label").cast("string").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("v"), (F.col("vec_id") * 37 % 100).cast("double").alias("px"), (F.col("vec_id") * 91 % 97).cast("double").alias("py"))
-    split = stats.block_split(e, "px", "py", 4, 0.3)
+    split = _labelled(spark, d).withColumn("v", array_to_vector("x"))
     model = classify.fit(split.where("not is_test"), ["v"], "label", kind, **kw)
     return accuracy.overall(accuracy.confusion(model.transform(split.where("is_test")), "label", "predicted"))
 
@@ -802,7 +807,10 @@ def harmonic_trend(spark, d):
 
 @query()
 def gbm_classifier(spark, d):
-    return _trained(spark, d, "gbm", trees=5, depth=3)
+    """Boosted trees of all classes at once, 40 rounds of depth 4."""
+    split = _labelled(spark, d)
+    model = boosting.fit(split.where("not is_test"), "x", "label", 40, 4)
+    return accuracy.overall(accuracy.confusion(boosting.predict(split.where("is_test"), model, "x", ["label"]), "label", "predicted"))
 
 
 @query()

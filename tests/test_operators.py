@@ -576,3 +576,54 @@ def test_neighbours_by_pivots(spark, block, spread):
     pairs, every = told[0]
     assert pairs <= every and (pairs < every / 3 if spread < 1 and block == 40 else True)
     assert classify.by_neighbours(df.limit(0), df).count() == 0 and classify.by_neighbours(df, df.limit(0)).count() == 0
+
+
+def test_boosting_splits_where_brute_force_does(spark):
+    from fieldlark.operators import boosting
+
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(300, 4)).round(2)
+    y = np.where(x[:, 1] > 0.3, "b", np.where(x[:, 2] + x[:, 0] > 0, "a", "c"))
+    df = spark.createDataFrame([(v.tolist(), c) for v, c in zip(x, y)] + [(None, "a"), ([0.0] * 4, None)], "x array<double>, y string").repartition(3)
+    model = boosting.fit(df, "x", "y", rounds=2, depth=2, block=70, bins=8, keep=1)
+    assert model.classes == ["a", "b", "c"] and len(model.trees) == 2
+    bins, start = model.bins(x), np.log(np.array([(y == c).mean() for c in model.classes]))
+    assert np.allclose(start, model.start)
+
+    def find(rows, g, h):
+        """The best split by trying every feature and bin on the rows themselves."""
+        score = lambda i: g[i].sum() ** 2 / (h[i].sum() + 1)
+        best = max(((score(rows[bins[rows, f] <= b]) + score(rows[bins[rows, f] > b]) - score(rows), -f, -b) for f in range(4) for b in range(7) if 0 < (bins[rows, f] <= b).sum() < len(rows)), default=(0, 1, 0))
+        return (-best[1], -best[2], best[0]) if best[0] > 1e-12 else (-1, 0, 0.0)
+
+    margins = np.tile(start, (300, 1))
+    for trees in model.trees:
+        p = boosting.softmax(margins)
+        for k, (feature, cut, value) in enumerate(trees):
+            g, h = p[:, k] - (y == model.classes[k]), p[:, k] * (1 - p[:, k])
+            where = {0: np.arange(300)}
+            for node in range(3):
+                rows = where.get(node)
+                if rows is None or not len(rows):
+                    continue
+                f, b, _ = find(rows, g, h)
+                assert (feature[node], cut[node]) == (f, b)
+                if f >= 0:
+                    where[2 * node + 1], where[2 * node + 2] = rows[bins[rows, f] <= b], rows[bins[rows, f] > b]
+            for node, rows in where.items():
+                assert value[node] == pytest.approx(-0.1 * g[rows].sum() / (h[rows].sum() + 1))
+        margins = boosting.grown([trees], bins, margins)
+    got = boosting.predict(df, model, "x", ["x"]).where("x is not null").collect()
+    assert Counter((tuple(r.x), r.predicted) for r in got if r.x != [0.0] * 4) == Counter((tuple(v), model.classes[i]) for v, i in zip(x.tolist(), margins.argmax(1)))
+
+
+def test_boosting_learns_classes(spark):
+    from fieldlark.operators import boosting
+
+    rng = np.random.default_rng(37)
+    x = rng.uniform(-1, 1, size=(1200, 3))
+    y = (x[:, 0] * x[:, 1] > 0).astype(int) + 2 * (x[:, 2] > 0.5)  # no single feature tells the first two
+    df = spark.createDataFrame([(i, v.tolist(), str(c)) for i, (v, c) in enumerate(zip(x, y))], "id int, x array<double>, y string")
+    model = boosting.fit(df.where("id < 800"), "x", "y", rounds=25, depth=4, rate=0.3)
+    seen = boosting.predict(df.where("id >= 800"), model, "x", ["id", "y"]).collect()
+    assert np.mean([r.predicted == r.y for r in seen]) > 0.9
