@@ -204,26 +204,34 @@ class Bitmaps:
             yield from self._deeper(words, place, byte[ok], mask[ok], table, longest)
 
 
+#: A phrase of a language as one string, which is shorter to shuffle than two; no phrase contains the sign between them.
+KEYED = "key string, f long"
+
+
 def _popcounts(shards: DataFrame, table, pairs, entries: int, longest: int) -> DataFrame:
-    """(lang, phrase, f) of each shard: pairs of words that ``table`` holds, or, with the table ``pairs``, longer phrases."""
+    """(key, f) of each shard: pairs of words that ``table`` holds, or, with the table ``pairs``, longer phrases."""
 
     def run(batches):
-        schema = common.batches_of("lang string, phrase string, f long")
+        schema = common.batches_of(KEYED)
         known = np.frombuffer(table.value, np.uint8)
         pair_bits = np.frombuffer(pairs.value, np.uint8) if pairs is not None else None
         for b in common.sliced(batches, 1):
-            maps = Bitmaps(b.column(0)[0].as_py(), b.column(1).flatten(), *(b.column(i)[0].as_py() for i in (2, 3, 4)), known)
+            lang = b.column(0)[0].as_py()
+            maps = Bitmaps(lang, b.column(1).flatten(), *(b.column(i)[0].as_py() for i in (2, 3, 4)), known)
+            firsts = pc.binary_join_element_wise(pa.scalar(lang), maps.words, GAP)
             for words, n in maps.pairs(entries) if pair_bits is None else maps.longer(entries, pair_bits, longest):
                 for s in range(0, len(n), 65_536):
-                    part = [maps.words.take(pa.array(w[s : s + 65_536])) for w in words]
-                    phrase = pc.binary_join_element_wise(*part, " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column(0)[0].as_py()] * len(phrase), pa.string()), phrase, pa.array(n[s : s + 65_536])], schema=schema)
+                    part = [of.take(pa.array(w[s : s + 65_536])) for of, w in zip([firsts, *[maps.words] * len(words)], words)]
+                    yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(*part, " "), pa.array(n[s : s + 65_536])], schema=schema)
 
-    return shards.select("lang", "words", "sizes", "steps", "masks").mapInArrow(run, "lang string, phrase string, f long")
+    return shards.select("lang", "words", "sizes", "steps", "masks").mapInArrow(run, KEYED)
 
 
 def _frequent(parts: DataFrame, least: int, name: str) -> DataFrame:
-    return common.stored(parts.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least), name)
+    """(lang, phrase, f) of the keys that occur ``least`` times."""
+    found = parts.groupBy("key").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    phrase = F.substring_index("key", GAP, -1)
+    return common.stored(found.select(F.substr(F.col("key"), F.lit(1), F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f"), name)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", shard: int = SHARD, entries: int = ENTRIES, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -235,7 +243,8 @@ def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = LONGEST, t
     texts = docs.select(F.coalesce(docs[lang_col].cast("string"), F.lit("und")).alias("lang"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     shards = common.stored(_sharded(texts, shard), "shards", "zstd")
     n = shards.groupBy("lang").agg(F.sum("total").alias("n"))
-    words = _frequent(shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("f")), least, "words")
+    each = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    words = _frequent(each.select(F.concat("lang", F.lit(GAP), "w.words").alias("key"), F.col("w.counts").alias("f")), least, "words")
     known = spark.sparkContext.broadcast(_bit_table(words, bits))
     pairs = _frequent(_popcounts(shards, known, None, entries, longest), least, "pairs")
     if longest < 3:

@@ -49,7 +49,7 @@ def made_texts(seed, n, words, size):
     rnd = random.Random(seed)
     bits = [*words, *words[:2], "is", "Is", "é", " "]
     gap = lambda: rnd.choice([" ", " ", " ", "  ", "\t", ". ", ",", "\n", "\r\n"])
-    rows = [(rnd.choice(["en", "de", None]), "".join(rnd.choice(bits) + gap() for _ in range(rnd.randint(0, size)))) for _ in range(n)]
+    rows = [(rnd.choice(["en", "de", None, "", "x\ny "]), "".join(rnd.choice(bits) + gap() for _ in range(rnd.randint(0, size)))) for _ in range(n)]
     return [*rows, ("en", None), (None, ""), ("fr", " .,\n"), ("en", "a " * 3000), ("de", "a b a b " * 700)]
 
 
