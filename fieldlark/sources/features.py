@@ -101,8 +101,8 @@ def _cut(batches, more: int = 1 << 20):
 def read_features(spark: SparkSession, path: str, schema: str, split: int = SPLIT) -> DataFrame:
     """The features of all collections under ``path`` as columns of ``schema`` (as "id long, properties struct<..>").
 
-    Objects in a list of the collection's own count if they are of type Feature or
-    don't tell one, whatever the order of their members; a member that ``schema`` doesn't name isn't read.
+    Objects of the collection count if they are of type Feature, or tell no type and have
+    properties, whatever the order of their members; a member that ``schema`` doesn't name isn't read.
     """
     system, at = opened(path)
     info = system.get_file_info(at)
@@ -118,8 +118,9 @@ def read_features(spark: SparkSession, path: str, schema: str, split: int = SPLI
         begin.append((r["file"], r["start"], r["end"], int(inside), depth))
         depth, inside = depth + (r["inside"] if inside else r["outside"]), inside != (r["quotes"] == 1)
     at = spark.createDataFrame(begin, f"{RANGES}, inside int, depth long").repartition(max(1, len(begin)))
-    parsed = at.mapInArrow(_cut, TEXTS).select(F.from_json("feature", f"type string, {schema}").alias("f"))
-    return parsed.where("coalesce(f.type, 'Feature') = 'Feature'").select(*[f"f.{c}" for c in spark.createDataFrame([], schema).columns])
+    parsed = at.mapInArrow(_cut, TEXTS).select("feature", F.from_json("feature", f"type string, {schema}").alias("f"))
+    untold = F.col("f.type").isNull() & F.get_json_object("feature", "$.properties").isNotNull()
+    return parsed.where((F.col("f.type") == "Feature") | untold).select(*[f"f.{c}" for c in spark.createDataFrame([], schema).columns])
 
 
 def write_collection(df: DataFrame, path: str, feature: str = "feature") -> None:
