@@ -91,6 +91,17 @@ def _logistic(t, q):
     return base + amp * (sig(r1 * (t - sos)) - sig(r2 * (t - eos)))
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of a stack of systems, NaN for those that are singular: no step then counts as better, and the damping rises."""
+    try:
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:  # of any one
+        if len(a) == 1:
+            return np.full_like(b, np.nan)
+        half = len(a) // 2
+        return np.concatenate([_solved(a[:half], b[:half]), _solved(a[half:], b[half:])])
+
+
 def fit_logistic(t: np.ndarray, x: np.ndarray, steps: int = 200) -> np.ndarray | None:
     """Bounded Levenberg-Marquardt from the data's own guess; None if it does not settle."""
     span = float(np.ptp(t))
@@ -108,10 +119,7 @@ def fit_logistic(t: np.ndarray, x: np.ndarray, steps: int = 200) -> np.ndarray |
         h = np.maximum(np.abs(q), 1e-3) * 1e-6
         j = np.column_stack([(_logistic(t, q + h * (np.arange(6) == k)) - _logistic(t, q - h * (np.arange(6) == k))) / (2 * h[k]) for k in range(6)])
         a = j.T @ j
-        try:
-            step = np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), j.T @ r)
-        except np.linalg.LinAlgError:
-            return None
+        step = _solved((a + damp * np.diag(np.diag(a) + 1e-12))[None], (j.T @ r)[None])[0]
         new = np.clip(q - step, low, high)
         c = float(((_logistic(t, new) - x) ** 2).sum())
         if c < cost:
@@ -181,7 +189,7 @@ def _stack_fitted(series, steps: int) -> np.ndarray:
         a = j @ j.transpose(0, 2, 1)
         diag = np.einsum("skk->sk", a)
         a = a + eye * (damp[i, None] * (diag + 1e-12))[:, :, None]
-        step = np.linalg.solve(a, (j @ r[:, :, None]))[:, :, 0]
+        step = _solved(a, (j @ r[:, :, None])[:, :, 0])
         new = np.clip(q[i] - step, low[i], high[i])
         c = (miss(i, new) ** 2).sum(1)
         better = c < cost[i]

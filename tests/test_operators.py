@@ -627,3 +627,16 @@ def test_boosting_learns_classes(spark):
     model = boosting.fit(df.where("id < 800"), "x", "y", rounds=25, depth=4, rate=0.3)
     seen = boosting.predict(df.where("id >= 800"), model, "x", ["id", "y"]).collect()
     assert np.mean([r.predicted == r.y for r in seen]) > 0.9
+
+
+def test_fits_outlive_singular_steps():
+    """Series whose equations become singular on the way are fitted like others, and leave those beside them alone."""
+    hard = [(np.arange(6.0), np.array([0.2, 0.1, 0.9, 0.9, 0.9, 0.5])), (np.arange(8.0), np.array([0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0]))]
+    t = np.arange(0, 60, 5.0)
+    plain = (t, 0.2 + 0.5 * (1 / (1 + np.exp(-0.3 * (t - 15))) - 1 / (1 + np.exp(-0.3 * (t - 40)))))
+    alone = smoothing.fit_logistics([plain])[0]
+    got = smoothing.fit_logistics([hard[0], plain, hard[1]])
+    assert np.allclose(got[1], alone)
+    for (x, y), q in zip(hard, (got[0], got[2])):
+        assert q is not None and ((smoothing._logistic(x, q) - y) ** 2).sum() < 0.02
+        assert smoothing.fit_logistic(x, y) is not None
