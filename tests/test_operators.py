@@ -640,3 +640,13 @@ def test_fits_outlive_singular_steps():
     for (x, y), q in zip(hard, (got[0], got[2])):
         assert q is not None and ((smoothing._logistic(x, q) - y) ** 2).sum() < 0.02
         assert smoothing.fit_logistic(x, y) is not None
+
+
+def test_phenometrics_of_singular_series(spark):
+    """A smoothed series whose equations become singular comes out like any other."""
+    t = [1.0, 3.0, 4.0, 5.0, 6.0, 7.0, 9.0, 22.0, 27.0, 29.0]
+    x = [0.94, 0.4, 0.44, 0.01, 0.65, 0.27, 0.94, 0.91, 0.86, 0.68]
+    df = spark.createDataFrame([(k, a, b if k else 1.0 - b) for k in (0, 1) for a, b in zip(t, x)], "k long, t double, vi double")
+    got = {r.k: r for r in smoothing.phenometric_series(df, "k", "t", "vi").collect()}
+    assert set(got) == {0, 1} and got[1].success == 1.0 and 0 < got[1].rmse < 0.3
+    assert got[1].vi_max == 0.94 and got[1].vi_min == 0.01
