@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.core import col
-from ..session import scratch
+from ..session import scratch, spread
 
 #: Where the reference point of a cell lies in it: off the lines that coordinates tend to lie on.
 REF_X, REF_Y = 0.4142135623730951, 0.5772156649015329
@@ -81,6 +81,25 @@ def _placed(level: Column, row: Column, column: Column) -> tuple[Column, Column,
     return column.cast("double") * side - 180.0, row.cast("double") * side - 90.0, side
 
 
+def _shapes(polygons: DataFrame, polygon_id: str, ring: str) -> tuple[DataFrame, DataFrame]:
+    """(shapes, members): each different ring once, as (shape, ring), and which polygons have it, as (polygon_id, shape).
+
+    Rings without points or with a missing coordinate have no shape.
+    """
+    spark = polygons.sparkSession
+    place = lambda p: F.struct(p["lng"].cast("double").alias("lng"), p["lat"].cast("double").alias("lat"))
+    held = polygons.where((F.size(ring) > 0) & F.forall(F.col(ring), lambda p: p["lng"].isNotNull() & p["lat"].isNotNull())).select(F.col(polygon_id).alias("polygon_id"), F.transform(F.col(ring), place).alias("ring"))
+    path = scratch(spark, "shapes")
+    held.select("ring").distinct().select(F.monotonically_increasing_id().alias("shape"), "ring").write.parquet(path)
+    shapes = spark.read.schema("shape long, ring array<struct<lng:double,lat:double>>").parquet(path)
+    return shapes, held.join(shapes, "ring").select("polygon_id", "shape")
+
+
+def _once(*columns: Column) -> Column:
+    """The columns as a row of a generator, past which no filter is pushed that would compute them anew."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
 def cover(polygons: DataFrame, finest: int = 9, coarsest: int = 0, polygon_id: str = "polygon_id", ring: str = "ring") -> DataFrame:
     """(polygon_id, level, row, col, interior, inside, edges): the cells of each polygon, no two of which overlap.
 
@@ -90,13 +109,13 @@ def cover(polygons: DataFrame, finest: int = 9, coarsest: int = 0, polygon_id: s
     """
     spark = polygons.sparkSession
     whole = polygons.select(F.col(polygon_id).alias("polygon_id"), edges_of(F.col(ring)).alias("edges")).where((F.size(ring) >= 3) & F.forall(F.col(ring), lambda p: p["lng"].isNotNull() & p["lat"].isNotNull()))
-    whole = whole.where("size(edges) >= 3")
+    whole = spread(whole.where("size(edges) >= 3"), F.xxhash64("edges"))
     ends = lambda a, b, f: f(F.transform("edges", lambda e: e[a]))
     side = geo.step(F.lit(coarsest))
     spans = {n: (F.floor((ends(c, None, F.array_min) + o) / side), F.floor((ends(c, None, F.array_max) + o) / side)) for n, c, o in (("row", "y1", 90.0), ("col", "x1", 180.0))}
     cells = whole.select("*", F.explode(F.sequence(*spans["row"])).alias("row")).select("*", F.explode(F.sequence(*spans["col"])).alias("col")).withColumn("level", F.lit(coarsest))
     x0, y0, s = _placed(F.col("level"), F.col("row"), F.col("col"))
-    cells = cells.select("polygon_id", "level", "row", "col", odd_east(F.col("edges"), x0 + s * REF_X, y0 + s * REF_Y).alias("inside"), _touching(F.col("edges"), x0, y0, s).alias("edges"))
+    cells = cells.select("polygon_id", "level", "row", "col", _once(odd_east(F.col("edges"), x0 + s * REF_X, y0 + s * REF_Y).alias("inside"), _touching(F.col("edges"), x0, y0, s).alias("edges")))
     parts = []
     for level in range(coarsest, finest + 1):
         path = scratch(spark, f"cover-{level}")
@@ -111,7 +130,7 @@ def cover(polygons: DataFrame, finest: int = 9, coarsest: int = 0, polygon_id: s
         ux, uy, us = _placed(F.col("level") - 1, F.col("up_row"), F.col("up_col"))
         x0, y0, s = _placed(F.col("level"), F.col("row"), F.col("col"))
         crossed = odd_way(F.col("edges"), ux + us * REF_X, uy + us * REF_Y, x0 + s * REF_X, y0 + s * REF_Y)
-        cells = split.select("polygon_id", "level", "row", "col", (F.col("inside") != crossed).alias("inside"), _touching(F.col("edges"), x0, y0, s).alias("edges"))
+        cells = split.select("polygon_id", "level", "row", "col", _once((F.col("inside") != crossed).alias("inside"), _touching(F.col("edges"), x0, y0, s).alias("edges")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -140,9 +159,31 @@ def contained(points: DataFrame, covered: DataFrame, point_id: str, lng: str = "
     return met.where(there).select(point_id, "polygon_id")
 
 
+def within(points: DataFrame, polygons: DataFrame, point_id: str, finest: int = 9, polygon_id: str = "polygon_id", ring: str = "ring", lng: str = "lng", lat: str = "lat", salts: int = 1) -> DataFrame:
+    """(point_id, polygon_id) of every point in every polygon that holds it, once.
+
+    Each different place is held against each different shape: points at one place and polygons of one ring are told together.
+    """
+    held = points.where(F.col(lng).isNotNull() & F.col(lat).isNotNull()).select(F.col(point_id).alias("__id"), F.struct(F.col(lng).cast("double").alias("x"), F.col(lat).cast("double").alias("y")).alias("place"))
+    places = held.select("place").distinct().select("place", "place.x", "place.y")
+    shapes, members = _shapes(polygons, polygon_id, ring)
+    pairs = contained(places, cover(shapes, finest, 0, "shape"), "place", "x", "y", salts).withColumnRenamed("polygon_id", "shape")
+    named = pairs.join(members, "shape").select("place", "polygon_id")
+    return held.join(named, "place").select(F.col("__id").alias(point_id), F.col("polygon_id").alias(polygon_id))
+
+
 def cells_of(polygons: DataFrame, res: int = 9, polygon_id: str = "polygon_id", ring: str = "ring") -> DataFrame:
-    """(polygon_id, cell): the cells whose centre lies in the polygon; of a polygon too small for any, the cell of its points' mean."""
-    found = cover(polygons, res, 0, polygon_id, ring)
+    """(polygon_id, cell): the cells whose centre lies in the polygon; of a polygon too small for any, the cell of its points' mean.
+
+    Polygons of one ring are covered once.
+    """
+    shapes, members = _shapes(polygons, polygon_id, ring)
+    return _cells_of(shapes.withColumnRenamed("shape", "polygon_id"), res).withColumnRenamed("polygon_id", "shape").join(members, "shape").select("polygon_id", "cell")
+
+
+def _cells_of(polygons: DataFrame, res: int) -> DataFrame:
+    ring = "ring"
+    found = cover(polygons, res)
     x0, y0, s = _placed(F.col("level"), F.col("row"), F.col("col"))
     border = found.where("not interior").where(F.col("inside") != odd_way(F.col("edges"), x0 + s * REF_X, y0 + s * REF_Y, x0 + s * 0.5, y0 + s * 0.5)).select("polygon_id", "row", "col")
     times = F.expr(f"shiftleft(1, {int(res)} - level)")
@@ -151,5 +192,5 @@ def cells_of(polygons: DataFrame, res: int = 9, polygon_id: str = "polygon_id",
     named = F.format_string("f%02d%08x%08x", F.lit(res), "row", "col")
     cells = border.unionByName(whole).select("polygon_id", named.alias("cell"))
     mean = lambda k: F.aggregate(F.col(ring), F.lit(0.0), lambda t, p: t + p[k].cast("double")) / F.size(ring)
-    small = polygons.where(F.size(ring) > 0).select(F.col(polygon_id).alias("polygon_id"), geo.cell(mean("lat"), mean("lng"), res).alias("cell")).where("cell is not null")
+    small = polygons.select("polygon_id", geo.cell(mean("lat"), mean("lng"), res).alias("cell")).where("cell is not null")
     return cells.unionByName(small.join(cells.select("polygon_id").distinct(), "polygon_id", "left_anti"))

@@ -335,7 +335,7 @@ _ODD = "sum(((y1 > lat) <> (y2 > lat) AND lng < (x2 - x1) * (lat - y1) / (y2 - y
 @query(f"WITH {A.POINTS}, {_STARS} SELECT c_custkey, polygon_id FROM pts, edge GROUP BY 1, 2 HAVING {_ODD}")
 def points_in_polygons(spark, d):
     """Every point in every polygon that holds it, over the cover of all polygons."""
-    return polygons.contained(A.points(spark, d), polygons.cover(_rings(spark, d), 6), "c_custkey")
+    return polygons.within(A.points(spark, d), _rings(spark, d), "c_custkey", 6)
 
 
 @query(f"""WITH {_STARS}, g AS (SELECT r, c, (r + 0.5::DOUBLE) * 7.5::DOUBLE - 90 AS lat, (c + 0.5::DOUBLE) * 7.5::DOUBLE - 180 AS lng FROM range(24) a(r), range(48) b(c)),

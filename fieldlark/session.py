@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "fieldlark", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,6 +46,12 @@ def on_workers(spark: SparkSession) -> SparkSession:
 ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def spread(df: DataFrame, *keys) -> DataFrame:
+    """The rows dealt to three tasks a core by their keys. For work that is heavy for its bytes: a small file is read by one task,
+    and adaptive execution would join small partitions again."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder all executors share, ``spark.checkpoint.dir``. Only a local session, as in tests, gets
     one of its own where none is set."""
