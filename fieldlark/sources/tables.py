@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import unit_hash
 from ..operators.series import gradient, phenophase
+from ..session import spread
 from .features import read_features
 
 REGISTRY = "id string, name string, operator string, country string, sensor_type string, bands array<string>, native_resolution_m double, revisit_days double, swath_km double, status string, gee_asset_id string, stac_collection string, portal string, cost string, tier int, roles array<string>, fills_gaps array<string>"
@@ -101,7 +102,7 @@ def synthetic(spark: SparkSession, sensor: str | DataFrame, family: str, start:
     if family == "dem":
         n = 1
     dates = time_axis(start, end, n)
-    sensors = sensor.select("sensor") if isinstance(sensor, DataFrame) else spark.range(1).select(F.lit(sensor).alias("sensor"))
+    sensors = spread(sensor.select("sensor"), "sensor") if isinstance(sensor, DataFrame) else spark.range(1).select(F.lit(sensor).alias("sensor"))
     rows = sensors.select("sensor", F.explode(F.sequence(F.lit(0), F.lit(n * size * size - 1))).alias("id"))
     rows = rows.select("sensor", F.floor(F.col("id") / (size * size)).cast("int").alias("t"), (F.floor(F.col("id") / size) % size).cast("int").alias("y"), (F.col("id") % size).cast("int").alias("x"))
     rows = rows.select("*", F.explode(F.array(*map(F.lit, bands))).alias("band"))
