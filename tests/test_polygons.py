@@ -105,3 +105,15 @@ def test_cells_of_copies_are_found_once(spark, monkeypatch):
     of = lambda k: Counter({c: n for (i, c), n in got.items() if i == k})
     assert covered == [len({tuple(ring) for _, ring in shapes})]
     assert all(of(i) and of(1000 * k + i) == of(i) for k in range(15) for i, _ in shapes)
+
+
+def test_work_heavy_for_its_bytes_is_spread(spark):
+    """A table of one small file is read by one task; the observations of its sensors are made by several."""
+    from datetime import date
+
+    from fieldlark.sources import tables
+
+    sensors = spark.range(40).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("sensor")).coalesce(1)
+    out = tables.synthetic(spark, sensors, "optical_sr", date(2024, 1, 1), date(2024, 3, 1), 2, 2, ("red",))
+    counts = [n for n in out.rdd.glom().map(len).collect() if n]
+    assert len(counts) > 4 and sum(counts) == 40 * 8
