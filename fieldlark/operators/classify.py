@@ -125,6 +125,44 @@ def _in_blocks(rows: DataFrame, key: str, block: int, side: str) -> tuple[DataFr
     return held, held.groupBy(f"{side}p", f"{side}a").agg((F.max("angle") + SLACK).alias(f"{side}_angle"), F.count(F.lit(1)).alias(f"{side}_n"))
 
 
+def _finite(table: pa.Table, units: np.ndarray) -> tuple[pa.Table, np.ndarray]:
+    ok = np.isfinite(units).all(1)
+    return (table, units) if ok.all() else (table.filter(pa.array(ok)), units[ok])
+
+
+def candidates(queries: np.ndarray, units: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of pairs among which are the k nearest of each query, and all that tie with them; ``ids`` are in order.
+
+    Told by products in single precision: the columns are dealt to groups, and k groups have a cosine of at least the kth
+    largest of the groups' maxima. What that precision can be wrong by is allowed for.
+    """
+    groups = 64 * -(-k // 16)
+    n, dim = units.shape
+    filled = np.zeros((-(-n // groups) * groups, dim), np.float32)
+    filled[:n] = units
+    c = queries.astype(np.float32) @ filled.T
+    c[:, n:] = -np.inf
+    first, last = np.searchsorted(ids, own), np.searchsorted(ids, own, "right")  # the query itself
+    same = np.repeat(np.arange(len(own)), last - first)
+    c[same, np.arange(len(same)) - np.repeat(np.cumsum(last - first) - last, last - first)] = -np.inf
+    most = c.reshape(len(c), -1, groups).max(1)
+    edge = np.maximum(np.partition(most, groups - k, 1)[:, groups - k] - np.float32((dim + 16) * 2.0**-23), np.float32(-4.0))
+    return np.divmod(np.flatnonzero(c >= edge[:, None]), c.shape[1])
+
+
+def best_of(queries: np.ndarray, units: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, negative cosine to nine digits) of the k nearest of each query but itself, ties to the smaller id."""
+    rows, cols = candidates(queries, units, own, ids, k)
+    d = np.empty(len(rows))
+    for s in range(0, len(rows), 1 << 16):
+        d[s : s + (1 << 16)] = np.einsum("ij,ij->i", queries[rows[s : s + (1 << 16)]], units[cols[s : s + (1 << 16)]])
+    d = np.round(-d, 9)
+    order = np.lexsort((cols, d, rows))
+    rows = rows[order]
+    kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[kept], cols[order][kept], d[order][kept]
+
+
 def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", label: str = "label", block: int = 8192, told: list | None = None) -> DataFrame:
     """(key, predicted): majority of the k nearest training rows by cosine, other rows than the query itself; the
     smaller label on ties.
@@ -132,11 +170,11 @@ def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "
     Both sides come in blocks of about ``block`` rows that have one pivot as their nearest. A block of queries first meets a
     training block of its own pivot or the nearest, which says how near the kth neighbours are at least; then only blocks that
     can be as near, by the triangle inequality on the sphere: two rows are no nearer than their pivots less
-    their angles to these. Every two blocks that meet do so in one matrix product,
-    which yields the k best of each query. ``told`` gets the pairs of blocks that met, and all there are.
+    their angles to these. Every two blocks that meet do so in one matrix product of single
+    precision, which leaves few pairs of each query to be told exactly. ``told`` gets the pairs of blocks that met, and all there are.
     """
     kind, lab = queries.schema[key].dataType.simpleString(), train.schema[label].dataType.simpleString()
-    v = F.col(vector).cast("array<double>")
+    v = F.col(vector)  # singles stay so in the shuffle
     t = train.where(v.isNotNull()).select(F.col(key).alias("t_id"), F.col(label).alias("t_label"), v.alias("t_v"))
     q = queries.where(v.isNotNull()).select(F.col(key).alias("q_id"), v.alias("q_v"))
     n = t.count()
@@ -152,19 +190,16 @@ def by_neighbours(queries: DataFrame, train: DataFrame, k: int = 5, key: str = "
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         left = left.sort_by("t_id")  # equal cosines then come by id
-        ids, own, units = left.column("t_id").to_numpy(), right.column("q_id").to_numpy(), _units(left.column("t_v"))
+        units, others = _units(left.column("t_v")), _units(right.column("q_v"))
+        left, units = _finite(left, units)
+        right, others = _finite(right, others)
+        ids, own = left.column("t_id").to_numpy(), right.column("q_id").to_numpy()
+        if not len(ids) or not len(own):
+            return schema.empty_table()
         found = []
         for s in range(0, len(own), 1024):
-            d = np.round(-(_units(right.column("q_v").slice(s, 1024)) @ units.T), 9)
-            d[own[s : s + 1024, None] == ids[None]] = np.inf
-            best = np.sort(np.argpartition(d, k - 1, 1)[:, :k], 1) if d.shape[1] > k else np.tile(np.arange(d.shape[1]), (len(d), 1))
-            if d.shape[1] > k:  # where the kth is tied the smallest ids count
-                edge = np.take_along_axis(d, best, 1).max(1)
-                for i in np.flatnonzero((d <= edge[:, None]).sum(1) > k).tolist():
-                    best[i] = np.argsort(d[i], kind="stable")[:k]
-            rows, cols = np.repeat(np.arange(len(d)), best.shape[1]), best.ravel()
-            some = np.isfinite(d[rows, cols])
-            found.append(pa.table({"q_id": right.column("q_id").slice(s, 1024).take(pa.array(rows[some])), "t_id": left.column("t_id").take(pa.array(cols[some])), "t_label": left.column("t_label").take(pa.array(cols[some])), "d": d[rows, cols][some]}))
+            rows, cols, d = best_of(others[s : s + 1024], units, own[s : s + 1024], ids, k)
+            found.append(pa.table({"q_id": right.column("q_id").slice(s, 1024).take(pa.array(rows)), "t_id": left.column("t_id").take(pa.array(cols)), "t_label": left.column("t_label").take(pa.array(cols)), "d": d}))
         return pa.concat_tables(found).cast(schema)
 
     def met(pairs: DataFrame) -> DataFrame:

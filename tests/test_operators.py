@@ -650,3 +650,20 @@ def test_phenometrics_of_singular_series(spark):
     got = {r.k: r for r in smoothing.phenometric_series(df, "k", "t", "vi").collect()}
     assert set(got) == {0, 1} and got[1].success == 1.0 and 0 < got[1].rmse < 0.3
     assert got[1].vi_max == 0.94 and got[1].vi_min == 0.01
+
+
+def test_neighbours_are_told_apart_by_few_exact_products():
+    """Single precision leaves few pairs of a block to be told exactly, and loses none that ties; the query itself doesn't count."""
+    rng = np.random.default_rng(31)
+    u = rng.normal(size=(2000, 24))
+    u[1500:1700] = u[7]  # copies
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    ids = np.sort(rng.choice(9000, 2000, replace=False))
+    asked = np.r_[0:60, 1500:1510]
+    rows, cols, d = classify.best_of(u[asked], u, ids[asked], ids, 5)
+    for i, q in enumerate(asked):
+        want = [j for j in np.lexsort((ids, np.round(-(u @ u[q]), 9))) if j != q][:5]
+        assert cols[rows == i].tolist() == want
+    assert len(classify.candidates(u[:7], u, ids[:7], ids, 5)[0]) < 7 * 40
+    rows, cols, _ = classify.best_of(u[:3], u[:4], ids[:3], ids[:4], 5)  # fewer than k
+    assert len(rows) == 9 and not (rows == cols).any()
