@@ -53,15 +53,14 @@ class Balance(StatefulProcessor):
         self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.base = handle.getValueState("base", "dr double, through date")
-        self.days = handle.getMapState("days", "date date", "et0 double, kc double, rain double, irrigation double, taw double, p double, dr double, ks double, revision int")
+        # one value, read and written once a batch: each call is a round trip between Python and the JVM
+        self.state = handle.getValueState("balance", "dr double, through int, days array<int>, held array<double>, revisions array<int>")
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd  # only where it runs, as the driver can do without
 
-        dr0, through = self.base.get() if self.base.exists() else (0.0, None)
-        held = {k[0]: list(v) for k, v in self.days.iterator()}
-        out, first, changed = [], None, set()
+        dr0, through, held = self._read()
+        out, first = [], None
         for r in pd.concat(list(rows)).itertuples():
             if through is not None and r.date <= through:
                 out.append((key[0], r.date, None, None, None, True))
@@ -71,7 +70,6 @@ class Balance(StatefulProcessor):
             if r.date not in held or held[r.date][:6] != given:
                 held[r.date] = [*given, None, None, held[r.date][8] if r.date in held else -1]
                 first = r.date if first is None else min(first, r.date)
-                changed.add(r.date)
         order = sorted(held)
         if first is not None:
             at = order.index(first)
@@ -83,19 +81,24 @@ class Balance(StatefulProcessor):
                 dr = min(before + max(-before, 0.0), taw)
                 if (dr, ks) != (old_dr, old_ks):
                     held[day] = [et0, kc, rain, irrigation, taw, p, dr, ks, revision + 1]
-                    changed.add(day)
                     out.append((key[0], day, dr, ks, revision + 1, False))
         gone = [d for d in order if (order[-1] - d).days >= self.keep]
         if gone:
             dr0, through = held[gone[-1]][6], gone[-1]
-        for day in changed - set(gone):
-            self.days.updateValue((day,), tuple(held[day]))
-        for day in gone:
-            if self.days.containsKey((day,)):
-                self.days.removeKey((day,))
-        self.base.update((float(dr0), through))
+        self._write(float(dr0), through, {d: held[d] for d in order[len(gone) :]})
         yield pd.DataFrame(out, columns=["field_id", "date", "dr", "ks", "revision", "late"]).astype({"revision": "Int32"})
 
+    def _read(self):
+        if not self.state.exists():
+            return 0.0, None, {}
+        dr0, through, days, held, revisions = self.state.get()
+        day = date.fromordinal
+        return dr0, None if through is None else day(through), {day(d): [*held[8 * i : 8 * i + 8], revisions[i]] for i, d in enumerate(days)}
+
+    def _write(self, dr0: float, through: date | None, held: dict) -> None:
+        flat = [float(x) for v in held.values() for x in v[:8]]
+        self.state.update((dr0, None if through is None else through.toordinal(), [d.toordinal() for d in held], flat, [int(v[8]) for v in held.values()]))
+
     def close(self) -> None:
         pass
 

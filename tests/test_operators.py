@@ -667,3 +667,39 @@ def test_neighbours_are_told_apart_by_few_exact_products():
     assert len(classify.candidates(u[:7], u, ids[:7], ids, 5)[0]) < 7 * 40
     rows, cols, _ = classify.best_of(u[:3], u[:4], ids[:3], ids[:4], 5)  # fewer than k
     assert len(rows) == 9 and not (rows == cols).any()
+
+
+def test_balance_state_is_read_and_written_once_a_batch():
+    import pandas as pd
+
+    from fieldlark.streaming import windows
+
+    class Value:
+        held, calls = None, 0
+
+        def exists(self):
+            self.calls += 1
+            return self.held is not None
+
+        def get(self):
+            self.calls += 1
+            return self.held
+
+        def update(self, v):
+            self.calls += 1
+            self.held = v
+
+    class Handle:
+        value = Value()
+
+        def getValueState(self, name, schema):  # noqa: N802
+            return self.value
+
+    b = windows.Balance(400)
+    b.init(Handle())
+    day = lambda i: (date(2024, 4, 1) + timedelta(days=i), 6.0, 1.15, 0.0, 0.0, 120.0, 0.5)
+    part = lambda r: pd.DataFrame([day(i) for i in r], columns=["date", "et0", "kc", "rain", "irrigation", "taw", "p"])
+    first = pd.concat(list(b.handleInputRows((1,), iter([part(range(0, 30, 2))]), None)))
+    second = pd.concat(list(b.handleInputRows((1,), iter([part(range(1, 30, 2))]), None)))
+    assert Handle.value.calls <= 6 and len(first) == 15 and len(second) >= 15
+    assert len(Handle.value.held[2]) == 30
