@@ -52,6 +52,25 @@ def numbered(df: DataFrame) -> DataFrame:
     return stored(df.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
 
 
+#: Words of marks that are broadcast at most: 8 MB of 64 rows each.
+WORDS = 1 << 19
+
+
+def marked(df: DataFrame, rows: DataFrame, keep: bool, words: int = WORDS) -> DataFrame:
+    """The rows of a numbered table whose number is in ``rows`` (column ROW), or those whose isn't.
+
+    A join by number would move all texts for the sake of a few marks. Numbers run within each part of the
+    table, so the marks go to the texts instead, 64 to a word; where there are more than ``words``, it is the join.
+    """
+    row, bit = F.col(ROW), F.expr(f"shiftleft(1L, cast({ROW} & 63 as int))")
+    marks = stored(rows.groupBy(F.shiftright(row, 6).alias("__word")).agg(F.bit_or(bit).alias("__marks")), "marks")
+    if marks.count() > words:
+        return df.join(rows.select(ROW), ROW, "left_semi" if keep else "left_anti").select(*df.columns)
+    hit = F.coalesce(F.col("__marks").bitwiseAND(bit) != 0, F.lit(False))
+    met = df.join(F.broadcast(marks), F.shiftright(row, 6) == F.col("__word"), "left")
+    return met.where(hit if keep else ~hit).drop("__word", "__marks")
+
+
 def text_rows(df: DataFrame, id_col: str, text_col: str, text_type: str = "string", *more: str) -> DataFrame:
     """Just (id, text), and columns named in ``more``: the id as a long, a null text as the empty one."""
     return df.select(

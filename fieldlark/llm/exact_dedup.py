@@ -113,6 +113,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
         docs = common.numbered(docs)
         rows = common.stored(digests(docs, id_col, text_col, row=True), "digests")
         lost = _settled(rows, F.struct("doc_id", "row"), counters).where(F.col("row") != F.col("best.row"))
-        return docs.join(lost.select(F.col("row").alias(common.ROW)), common.ROW, "left_anti").drop(common.ROW)
+        return common.marked(docs, lost.select(F.col("row").alias(common.ROW)), keep=False).drop(common.ROW)
 
     return common.plainly(docs, kept, id_col=id_col, text_col=text_col)

@@ -185,7 +185,7 @@ def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str, block: in
     pairs = pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = common.stored(pairs.distinct(), "proposed")
     asked = pairs.select(F.explode(F.array("a", "b")).alias(common.ROW)).distinct()
-    sets = common.stored(shingle_sets(docs.join(asked, common.ROW, "left_semi"), id_col=id_col, text_col=text_col), "shingles")
+    sets = common.stored(shingle_sets(common.marked(docs, asked, keep=True), id_col=id_col, text_col=text_col), "shingles")
     first = common.stored(confirmed(pairs, sets), "confirmed")
     more = regrouped(members.select("key", "row"), common.stored(components(first), "groups"), rows, sets, block)
     found = components(first.unionByName(more))
@@ -214,6 +214,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
         found = _grouped(docs, 4, id_col, text_col, block)
         first = found.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
         lost = found.join(first, "row", "left_anti").select(F.col("row").alias(common.ROW))
-        return docs.join(lost, common.ROW, "left_anti").drop(common.ROW)
+        return common.marked(docs, lost, keep=False).drop(common.ROW)
 
     return common.plainly(docs, kept, id_col=id_col, text_col=text_col)

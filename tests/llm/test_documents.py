@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from fieldlark.llm import components, exact_dedup, near_dedup, queries, secret_scan, simhash, toxicity
+from fieldlark.llm import common, components, exact_dedup, near_dedup, queries, secret_scan, simhash, toxicity
 
 
 def lower(t):
@@ -295,6 +295,44 @@ def test_near_dedup_recall_and_precision_on_the_documents(spark, deduped):
     assert pairs and found == len(pairs) and grouped == true
 
 
+def test_marks_move_no_text(spark):
+    """Numbered rows are told by marks that go to them, whatever the broadcast threshold; by a join beyond the bound."""
+    docs = common.numbered(spark.range(0, 3000, 1, 3).select("id", F.lit("text").alias("text")))
+    held = [r[common.ROW] for r in docs.select(common.ROW).collect()]
+    chosen = held[::7] + held[60:70] + held[-1:]
+    rows = spark.createDataFrame([(r,) for r in [*chosen, 1 << 40]], f"{common.ROW} long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for keep in (True, False):
+            want = sorted(set(chosen) if keep else set(held) - set(chosen))
+            by_marks, by_join = common.marked(docs, rows, keep), common.marked(docs, rows, keep, words=1)
+            for got in (by_marks, by_join):
+                assert got.columns == docs.columns and sorted(r[common.ROW] for r in got.collect()) == want
+            plan = by_marks._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            none = common.marked(docs, rows.limit(0), keep)
+            assert none.count() == (0 if keep else len(held))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_exact_and_near_dedup_shuffle_no_text(spark, monkeypatch):
+    """Neither stage joins the texts by a shuffle, whatever the broadcast threshold."""
+    monkeypatch.setattr(common, "marked", lambda df, rows, keep, words=0, real=common.marked: seen.append(real(df, rows, keep)) or seen[-1])
+    seen = []
+    docs = spark.createDataFrame([(i, f"{'a b c d e f g h i j k l m n o p q r s t ' * 2}{i // 3}", "en") for i in range(30)], "doc_id long, text string, lang string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert exact_dedup.keep_one(docs).count() == 10
+        assert near_dedup.keep_one(docs).count() == 1
+        assert len(seen) == 3
+        assert all("SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString() for d in seen)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_joined_against_all_pairs():
     rng = np.random.default_rng(10)
     for _ in range(30):
