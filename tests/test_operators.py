@@ -703,3 +703,77 @@ def test_balance_state_is_read_and_written_once_a_batch():
     second = pd.concat(list(b.handleInputRows((1,), iter([part(range(1, 30, 2))]), None)))
     assert Handle.value.calls <= 6 and len(first) == 15 and len(second) >= 15
     assert len(Handle.value.held[2]) == 30
+
+
+def test_best_splits_are_those_of_brute_force():
+    from fieldlark.operators import forest
+
+    rng = np.random.default_rng(3)
+    counts = rng.integers(0, 4, (40, 3, 5, 4)).astype(float)
+    counts[:, 1] = rng.multinomial(1, [0.2] * 5, (40, 4)).transpose(0, 2, 1) * counts[:, 0].sum(1, keepdims=True)  # features of a node count the same rows
+    counts[:, 2] = counts[:, 0][:, ::-1]
+    counts[0], counts[1], counts[2, :, :, 1:] = 0, np.eye(5, 4)[0], 0  # no rows, nothing to part by, one class
+    gini = lambda c: c.sum() - (c * c).sum() / c.sum() if c.sum() else 0.0
+    place, cut, whole, left = forest.best_splits(counts)
+    for q in range(40):
+        all_ = counts[q, 0].sum(0)
+        gains = np.array([[gini(all_) - gini(a[: b + 1].sum(0)) - gini(a[b + 1 :].sum(0)) for b in range(4)] for a in counts[q]])
+        assert (whole[q] == all_).all()
+        if gains.max() < 1e-9:
+            assert place[q] == -1
+        else:
+            assert gains[place[q], cut[q]] == pytest.approx(gains.max()) and (left[q] == counts[q, place[q], : cut[q] + 1].sum(0)).all()
+
+
+def test_a_forest_is_the_same_wherever_its_nodes_grow(spark):
+    """Whole trees in one group each, tops grown by counts, and all by counts in passes of few nodes."""
+    from fieldlark.operators import forest
+
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 1500)
+    x = rng.normal(0, 1, (1500, 9)) + y[:, None] * np.r_[1.0, 0.5, np.zeros(7)]
+    x[::50, 3] = np.nan
+    df = spark.createDataFrame([(v.tolist(), f"c{k}") for v, k in zip(x, y)] + [(None, "c1"), ([0.0] * 9, None)], "x array<double>, y string").repartition(3).persist()
+    whole, tops = (forest.fit(df, "x", "y", trees=6, depth=7, rows=r) for r in (10_000, 200))
+    cells = forest.CELLS
+    try:
+        forest.CELLS = 3 * 3 * 32 * 3 * 5
+        by_counts = forest.fit(df, "x", "y", trees=6, depth=7, rows=0)
+    finally:
+        forest.CELLS = cells
+    bins = whole.bins(x)
+    shares = [[(t.counts / np.maximum(t.counts.sum(1, keepdims=True), 1))[t.nodes(bins)] for t in m.trees] for m in (whole, tops, by_counts)]
+    assert [len(t.feature) for t in whole.trees] == [len(t.feature) for t in tops.trees] == [len(t.feature) for t in by_counts.trees]
+    assert np.array_equal(shares[0], shares[1]) and np.array_equal(shares[0], shares[2])
+    t = whole.trees[0]
+    assert len(t.feature) > 30 and (t.feature >= 0).sum() * 2 + 1 == len(t.feature)
+    inner = np.flatnonzero(t.feature >= 0)
+    assert np.array_equal(t.counts[inner], t.counts[t.left[inner]] + t.counts[t.left[inner] + 1]) and 1200 < t.counts[0].sum() < 1800
+    got = forest.predict(df, whole, "x", ["y"])
+    assert got.where("predicted is null").count() == 1 and got.where("y = predicted").count() > 1100
+    df.unpersist()
+
+
+def test_forests_learn_as_well_as_those_of_mllib(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from fieldlark.operators import forest
+
+    df = tables.synthetic_crops(spark.range(480))
+    names = [c for c in df.columns if c.startswith("t")]
+    split = stats.block_split(df.select("label", "px", "py", F.array(*names).alias("x")).withColumn("v", array_to_vector("x")), "px", "py", 4, 0.3).persist()
+    train, test = split.where("not is_test"), split.where("is_test")
+    ours = forest.predict(test, forest.fit(train, "x", "label", trees=60), "x", ["label"])
+    theirs = classify.fit(train, ["v"], "label", trees=60).transform(test)
+    a, b = (accuracy.overall(accuracy.confusion(p, "label", "predicted")).first() for p in (ours, theirs))
+    assert a.overall_accuracy > 0.85 and a.kappa > 0.8 and abs(a.overall_accuracy - b.overall_accuracy) < 0.04
+    split.unpersist()
+
+
+def test_forests_of_few_rows(spark):
+    from fieldlark.operators import forest
+
+    one = spark.createDataFrame([([1.0, 2.0], "a")], "x array<double>, y string")
+    assert [r.predicted for r in forest.predict(one, forest.fit(one, "x", "y", trees=5), "x", ["y"]).collect()] == ["a"]
+    with pytest.raises(ValueError):
+        forest.fit(one.limit(0), "x", "y")
