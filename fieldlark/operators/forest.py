@@ -271,19 +271,21 @@ def fit(df: DataFrame, features: str, label: str, trees: int = 300, depth: int =
                     for j in nodes:
                         s, e = np.searchsorted(at, [j, j + 1])
                         if e > s:
-                            out.append((t, j, held[some[s:e]].tobytes(), y[some[s:e]].astype("<i4").tobytes(), w[s:e].tobytes()))
+                            out.append((t, j, int(e - s), *(pa.compress(c.tobytes(), codec="zstd", asbytes=True) for c in (held[some[s:e]], y[some[s:e]].astype("<i4"), w[s:e]))))
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, s) for c, s in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["tree", "node", "bins", "y", "w"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, s) for c, s in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["tree", "node", "n", "bins", "y", "w"])
 
     def grown(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
         t, j = key[0].as_py(), key[1].as_py()
-        held, y, w = (np.frombuffer(b"".join(part.column(c).to_pylist()), s) for c, s in (("bins", np.uint8), ("y", "<i4"), ("w", np.uint8)))
+        sizes = part.column("n").to_pylist()
+        unpacked = lambda c, each: b"".join(pa.decompress(r, n * each, "zstd", asbytes=True) for r, n in zip(part.column(c).to_pylist(), sizes))
+        held, y, w = (np.frombuffer(unpacked(c, each), s) for c, each, s in (("bins", width, np.uint8), ("y", 4, "<i4"), ("w", 1, np.uint8)))
         heap = heaps[t][j]
         tree = grow(held.reshape(len(y), -1), y.astype(np.int64), w, seed, t, heap, depth - int(heap + 1).bit_length() + 1, m, bins, k)
         return pa.table({"tree": pa.array([t], pa.int32()), "node": pa.array([j], pa.int32()), "grown": pa.array([pickle.dumps(tree)], pa.binary())})
 
     if given:
-        parts = spread(blocks.mapInArrow(dealt, "tree int, node int, bins binary, y binary, w binary"), "tree", "node").groupBy("tree", "node").applyInArrow(grown, "tree int, node int, grown binary")
+        parts = spread(blocks.mapInArrow(dealt, "tree int, node int, n int, bins binary, y binary, w binary"), "tree", "node").groupBy("tree", "node").applyInArrow(grown, "tree int, node int, grown binary")
         parts.write.parquet(f"{path}/grown")
         under: dict = {}
         for r in spark.read.schema("tree int, node int, grown binary").parquet(f"{path}/grown").toLocalIterator():
