@@ -179,7 +179,7 @@ def fit(df: DataFrame, features: str, label: str, trees: int = 300, depth: int =
         if n:
             yield _block(got, n)
 
-    spread(held).mapInArrow(blocked, BLOCKS).write.parquet(f"{path}/blocks")
+    spread(held).sortWithinPartitions("x", "y").mapInArrow(blocked, BLOCKS)  # bags go by place in a block.write.parquet(f"{path}/blocks")
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
     def opened(b, i):
