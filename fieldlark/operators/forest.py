@@ -179,7 +179,7 @@ def fit(df: DataFrame, features: str, label: str, trees: int = 300, depth: int =
         if n:
             yield _block(got, n)
 
-    spread(held).sortWithinPartitions("x", "y").mapInArrow(blocked, BLOCKS).write.parquet(f"{path}/blocks")  # in order, as bags go by place in a block
+    spread(held, F.xxhash64("x", "y")).sortWithinPartitions("x", "y").mapInArrow(blocked, BLOCKS).write.parquet(f"{path}/blocks")  # in order, as bags go by place in a block
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
     def opened(b, i):
